@@ -51,3 +51,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def map_texts(docs: DataFrame, judge, schema: str, slice_rows: int = 1000) -> DataFrame:
+    """(doc_id, columns of ``schema``) of every row: ``judge`` takes a list of texts and returns a dict of lists."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = StructType.fromDDL(f"doc_id bigint, {schema}")
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
+                columns = judge(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(columns[f.name], f.type) for f in list(arrow)[1:]]], schema=arrow)
+
+    return texts(docs).mapInArrow(run, out)
+
+
+def filter_rows(docs: DataFrame, keep) -> DataFrame:
+    """Rows of ``docs``, every column as it is, whose text (null: empty) ``keep`` accepts; it maps a list of texts to booleans."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            found = [x or "" for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep(found), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

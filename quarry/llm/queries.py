@@ -7,7 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, license, linededup
+from quarry.llm import common, htmltext, license, linededup, pii, quality, secretscan
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = htmltext.extract(common.table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secret_scan(common.table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    rows = quality.quality_scan(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+def op5_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_scan(common.table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +91,10 @@ FROM documents d LEFT JOIN once o USING (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_text": op2_html_text,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_pii_scan": op5_pii_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
 }

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, htmltext, license, linededup, pii, quality, secretscan
+from quarry.llm import common, htmltext, license, linededup, neardup, packing, pii, quality, secretscan
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "sentence_ids", F.array_join("licenses", ",").alias("licenses"), "n_generic")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 WHITE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP8_SQL = f"""
@@ -90,12 +99,57 @@ FROM documents d LEFT JOIN once o USING (doc_id)
 """
 
 
+WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP10_SQL = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, {WORDS_SQL.format(f"translate(coalesce(text, ''), '{linededup.UPPER}', '{linededup.LOWER}')")} AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, c) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM reach r JOIN both_ways l ON l.a = r.doc_id
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id, d.doc_id = min(r.c) AS kept
+FROM documents d JOIN reach r USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROUP BY d.doc_id
+"""
+
+OP7_SQL = f"""
+WITH words AS (
+    SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), firsts AS (
+    SELECT s, min(doc_id) AS d FROM windows GROUP BY s
+), removed AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (s) WHERE d < doc_id
+), spread AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), kept AS (
+    SELECT s.doc_id, count(*) FILTER (r.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY s.i) FILTER (r.i IS NULL) AS t
+    FROM spread s LEFT JOIN removed r ON s.doc_id = r.doc_id AND s.i = r.i GROUP BY s.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii_scan": op5_pii_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql()}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql(), "op10_near_duplicates": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, htmltext, license, linededup, neardup, packing, pii, quality, secretscan
+from quarry.llm import common, htmltext, license, linededup, neardup, packing, pii, quality, secretscan, substring
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_scan(common.table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.substring_dedup(common.table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.line_dedup(common.table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -148,8 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii_scan": op5_pii_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql(), "op10_near_duplicates": OP10_SQL}
+ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql(), "op10_near_duplicates": OP10_SQL}

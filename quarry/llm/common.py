@@ -24,9 +24,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def row_key() -> list[Column]:
+def row_key_of(doc_id: Column, text: Column) -> list[Column]:
     """Join key of a row: its id and a hash of its text, so that repeated ids do not mix."""
-    return [F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_rk")]
+    return [F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_rk")]
+
+
+def row_key() -> list[Column]:
+    return row_key_of(F.col("doc_id"), F.col("text"))
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -96,24 +96,42 @@ class LineRuns:
         return rows.filter(F.col("n_docs") >= min_docs).select(*KEY, "max_doc")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """Rows of ``docs`` as (doc_id, text, n_lines, n_dropped, kept_text)."""
-    spark = docs.sparkSession
+def common_drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """(_id, _rk, drop): positions of the lines that each row loses."""
     lines = common.materialise(keyed_lines(docs, min_chars, batches), "lines")
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(docs.sparkSession, fanout)
     for k in range(batches):
         own = lines.filter(F.col("batch") == k).select(*KEY, "_id")
         runs.add(common.materialise(LineRuns.summarise(own), "keys"))
     drops = lines.join(runs.common_keys(min_docs), KEY).filter(F.col("_id") < F.col("max_doc"))
-    drops = drops.groupBy("_id", "_rk").agg(F.collect_set("pos").alias("drop"))
+    return drops.groupBy("_id", "_rk").agg(F.collect_set("pos").alias("drop"))
+
+
+def kept_text() -> Column:
+    """The text without the lines at the positions in ``drop`` (null: none)."""
+    lines = split_lines(F.col("text"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+    return F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+
+
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """Rows of ``docs`` as (doc_id, text, n_lines, n_dropped, kept_text)."""
+    drops = common_drops(docs, min_chars, min_docs, batches, fanout)
     rows = common.texts(docs).select("doc_id", "text", *common.row_key())
     rows = rows.join(drops.hint("shuffle_hash"), ["_id", "_rk"], "left")
-    all_lines = split_lines(F.col("text"))
-    n_lines = F.size(all_lines)
-    keep = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("drop"))
-    kept = F.transform(keep, lambda i: F.get(all_lines, i))
     return rows.select(
-        "doc_id", "text", n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        "doc_id", "text", F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("long").alias("n_dropped"),
+        kept_text().alias("kept_text"),
     )
+
+
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """``docs`` with its own columns: text without the dropped lines (a null stays null), n_chars following it if there is one."""
+    drops = common_drops(docs, min_chars, min_docs, batches, fanout)
+    key = F.struct(*common.row_key_of(F.col("doc_id"), F.coalesce("text", F.lit("")))).alias("_key")
+    drops = drops.select(F.struct("_id", "_rk").alias("_key"), "drop")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key).join(drops.hint("shuffle_hash"), "_key", "left")
+    rows = rows.select("_row", "drop", F.col("_row.text").alias("text")).select("_row", kept_text().alias("_new"))
+    columns = {"text": F.col("_new"), "n_chars": F.length("_new").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return rows.select(*[columns.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -239,3 +239,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "doc_id", "_id", "_rk", "n_shingles",
         F.when(component != common.NULL_ID, component).alias("component_id"), (F.col("_id") == component).alias("kept"),
     )
+
+
+def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Rows of ``docs``, with their own columns, whose id names their component."""
+    gone = common.materialise(near_duplicates(docs, percent).filter(~F.col("kept")).select("_id", "_rk").distinct(), "not-kept")
+    key = F.struct(*common.row_key_of(F.col("doc_id"), F.coalesce("text", F.lit("")))).alias("_key")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key)
+    gone = gone.select(F.struct("_id", "_rk").alias("_key"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
+    return rows.join(gone, "_key", "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

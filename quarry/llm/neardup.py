@@ -5,7 +5,8 @@ whole sequence where there are fewer words). Documents with equal sets are one
 class. Of ``MINIMA`` minima of a class, bands of ``ROWS`` give bucket keys; the low
 ``BITS`` bits of all minima are packed into longs, and the similarity of a candidate
 pair is estimated by counting differing fields, corrected for chance collisions.
-Pairs that the estimate can't exclude are confirmed on the full sets.
+Parities of set sizes by hash cell bound the difference of two sets from below by
+another bit count. Pairs that neither excludes are confirmed on the full sets.
 
 Links decide components, so not all pairs of a bucket are needed. First every
 member is compared with a few centres of its bucket (smallest id, smallest hashes).
@@ -36,7 +37,10 @@ from quarry.llm import common, graph
 
 SHINGLE, MINIMA, ROWS, BANDS, BITS = 5, 128, 5, 25, 4
 PACKED = MINIMA * BITS // 64
-SIGNATURE = [f"s{k}" for k in range(PACKED)]
+CELLS = 1024
+FIELDS = [f"s{k}" for k in range(PACKED)]
+PARITIES = [f"p{k}" for k in range(CELLS // 64)]
+SIGNATURE = FIELDS + PARITIES
 MARGIN = 0.16
 #: Candidates up to this many (16 bytes each) are broadcast to fetch their sets; beyond, a shuffled semi-join does.
 BROADCAST_ROWS = 1_000_000
@@ -104,6 +108,12 @@ def packed(found: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(fields << shifts, axis=1).view(np.int64)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each of ``CELLS`` cells of the hash space holds an odd number of shingles, as signed longs."""
+    odd = np.bincount(((own >> np.uint64(16)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(_id, _rk, doc_id, n_shingles, d0, d1, s0.., bands) of every row; d0 and d1 name the set."""
     import pyarrow as pa
@@ -120,11 +130,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                     n.append(len(own))
                     names.append(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64))
                     found = minima(own)
-                    packs.append(packed(found))
+                    packs.append(np.concatenate([packed(found), parities(own)]))
                     bands.append(band_keys(found).tolist() if len(own) else [])
-                packs, names = np.array(packs).reshape(-1, PACKED), np.array(names).reshape(-1, 2)
+                packs, names = np.array(packs).reshape(-1, len(SIGNATURE)), np.array(names).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("_id"), part.column("_rk"), pa.array(n, pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), *[pa.array(packs[:, k]) for k in range(PACKED)], pa.array(bands, pa.list_(pa.int64()))],
+                    [part.column("doc_id"), part.column("_id"), part.column("_rk"), pa.array(n, pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), *[pa.array(packs[:, k]) for k in range(len(SIGNATURE))], pa.array(bands, pa.list_(pa.int64()))],
                     schema=schema,
                 )
 
@@ -137,7 +147,7 @@ def estimate(a: str, b: str) -> Column:
     """Similarity by counts of equal fields, corrected for fields that are equal by chance."""
     ones = F.lit(int("1" * (64 // BITS), 16))
     differ = F.lit(0)
-    for s in SIGNATURE:
+    for s in FIELDS:
         x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
         y = x
         for k in range(1, BITS):
@@ -148,10 +158,19 @@ def estimate(a: str, b: str) -> Column:
     return (match - chance) / (1 - chance)
 
 
+def least_difference(a: str, b: str) -> Column:
+    """Cells of different parity: the symmetric difference of the sets is at least as large."""
+    out = F.lit(0)
+    for p in PARITIES:
+        out = out + F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}")))
+    return out
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Neither the set sizes nor the estimate exclude a link."""
+    """Neither the set sizes, nor the estimate, nor the parities exclude a link."""
     small, great = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (small * 100 >= great * percent) & (estimate(a, b) >= percent / 100 - MARGIN)
+    near = least_difference(a, b) * (100 + percent) <= (small + great) * (100 - percent)
+    return (small * 100 >= great * percent) & near & (estimate(a, b) >= percent / 100 - MARGIN)
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:

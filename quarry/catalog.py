@@ -1,10 +1,539 @@
-"""Registered queries of the engine, by name, with DuckDB SQL where SQL can express them."""
+"""Registered queries of the engine, by name, with DuckDB SQL where SQL can express them.
+
+``documents`` stands for chunks (content: text, title: source), ``pages`` for
+fetched pages, ``embeddings`` for vectors. Literal inputs come as VALUES.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import markdown, text, urls, versions
+from quarry.operators import chunking, frontier, lookup, paths, search, store, tree
+from quarry.sources import files, manifests
+from quarry.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal(spark: SparkSession, values: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
+# Full-text search.
+
+FIELDS = {"content": 10.0, "title": 5.0}
+AND_WORDS, ANY_WORDS = ["that", "hain", "the"], ["thanedb", "erin", "queelle"]
+
+
+def document_chunks(spark: SparkSession, sf_dir: str, per_source: bool = False) -> DataFrame:
+    source = F.xxhash64("source") if per_source else F.lit(1).cast("long")
+    return table(spark, sf_dir, "documents").select(source.alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("title"))
+
+
+def _bm25_sql(condition: list[str], match_all: bool) -> str:
+    phrases = " UNION ALL ".join(f"SELECT {k} AS phrase, chunk_id, tf FROM postings WHERE {c}" for k, c in enumerate(condition))
+    return f"""
+WITH words AS (
+    SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')) AS term, 10.0::DOUBLE AS w FROM documents
+    UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')), 5.0::DOUBLE FROM documents
+), postings AS (SELECT chunk_id, term, sum(w) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT d.doc_id AS chunk_id, count(w.term) AS n FROM documents d LEFT JOIN words w ON w.chunk_id = d.doc_id GROUP BY d.doc_id),
+stats AS (SELECT count(*) AS n_rows, avg(n) AS avg_len FROM lengths),
+hits AS (SELECT phrase, chunk_id, sum(tf) AS f FROM ({phrases}) GROUP BY ALL),
+freq AS (SELECT phrase, CASE WHEN ln((n_rows - count(*) + 0.5) / (count(*) + 0.5)) > 0 THEN ln((n_rows - count(*) + 0.5) / (count(*) + 0.5)) ELSE 1e-6 END AS idf
+         FROM hits, stats GROUP BY phrase, n_rows),
+scored AS (SELECT chunk_id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / avg_len))) AS bm25, count(*) AS matched
+           FROM hits JOIN freq USING (phrase) JOIN lengths USING (chunk_id), stats GROUP BY chunk_id)
+SELECT chunk_id, round(bm25, 6) AS bm25, round(1 / (1 + abs(bm25)), 6) AS score FROM scored {f"WHERE matched = {len(condition)}" if match_all else ""} ORDER BY scored.bm25, chunk_id LIMIT 8
+"""
+
+
+def _top8(found: DataFrame) -> DataFrame:
+    top = found.orderBy("bm25", "chunk_id").limit(8)
+    return top.select("chunk_id", F.round("bm25", 6).alias("bm25"), F.round(search.reader_score(F.col("bm25")), 6).alias("score"))
+
+
+@query(_bm25_sql([f"term = '{w}'" for w in AND_WORDS], True))
+def bm25_word_top8(spark, sf_dir):
+    index = search.build_index(document_chunks(spark, sf_dir), FIELDS, stemmed=False)
+    return _top8(search.bm25(index, AND_WORDS))
+
+
+@query(_bm25_sql([f"starts_with(term, '{w}')" for w in ANY_WORDS], False))
+def bm25_relaxed_prefix(spark, sf_dir):
+    index = search.build_index(document_chunks(spark, sf_dir), FIELDS, stemmed=False)
+    return _top8(search.bm25(index, ANY_WORDS, prefix=True, match_all=False))
+
+
+@query()
+def bm25_stemmed_top8(spark, sf_dir):
+    index = search.build_index(document_chunks(spark, sf_dir), FIELDS)
+    return _top8(search.bm25(index, ["relationing", "that"], match_all=False))
+
+
+@query("""
+WITH words AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+')) AS term FROM documents)
+SELECT source, term, count(*) AS df FROM words GROUP BY ALL
+""")
+def term_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return search.term_statistics(search.build_index(docs, {"content": 1.0}, stemmed=False)).withColumnRenamed("source_id", "source")
+
+
+@query("""
+SELECT source, count(*) AS n_rows, round(avg(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+'))), 6) AS avg_len FROM documents GROUP BY source
+""")
+def corpus_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    stats = search.build_index(docs, {"content": 1.0}, stemmed=False).stats
+    return stats.select(F.col("source_id").alias("source"), "n_rows", F.round("avg_len", 6).alias("avg_len"))
+
+
+# Vectors and fusion.
+
+
+def _probe(spark, sf_dir, vec_id: int) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first().embedding)
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+DISTANCE_SQL = "list_cosine_distance(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {}))"
+
+
+@query(f"""
+SELECT vec_id AS chunk_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score
+FROM (SELECT vec_id, {DISTANCE_SQL.format(0)} AS d FROM embeddings e) ORDER BY d, vec_id LIMIT 20
+""")
+def knn_cosine_top20(spark, sf_dir):
+    near = search.knn(_vectors(spark, sf_dir), _probe(spark, sf_dir, 0), 20)
+    return near.select("chunk_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+@query(f"""
+SELECT vec_id AS chunk_id, round(d, 6) AS distance
+FROM (SELECT vec_id, label, {DISTANCE_SQL.format(0)} AS d FROM embeddings e ORDER BY d, vec_id LIMIT 20) WHERE label < 5
+""")
+def knn_post_filter(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return search.knn(v, _probe(spark, sf_dir, 0), 20, v.filter("label < 5")).select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""
+SELECT vec_id AS chunk_id, round(d, 6) AS distance
+FROM (SELECT vec_id, label, {DISTANCE_SQL.format(0)} AS d FROM embeddings e WHERE label < 5 ORDER BY d, vec_id LIMIT 20)
+""")
+def knn_prefilter(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return search.knn(v, _probe(spark, sf_dir, 0), 20, v.filter("label < 5"), prefilter=True).select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+def _lists(spark, sf_dir) -> DataFrame:
+    out = None
+    for k, weight in ((0, 2.0), (1, 1.0), (2, 0.7)):
+        near = search.knn(_vectors(spark, sf_dir), _probe(spark, sf_dir, k), 20)
+        own = search.ranked_list(near, [F.col("distance"), F.col("chunk_id")], k, weight)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+LISTS_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS list_idx, {w} AS weight, row_number() OVER (ORDER BY d, vec_id) AS rank, vec_id AS chunk_id FROM (SELECT vec_id, {DISTANCE_SQL.format(k)} AS d FROM embeddings e ORDER BY d, vec_id LIMIT 20)"
+    for k, w in ((0, 2.0), (1, 1.0), (2, 0.7))
+)
+FUSED_SQL = f"""
+WITH lists AS ({LISTS_SQL}),
+sums AS (SELECT chunk_id, sum(weight::DOUBLE / (60 + rank)) AS base, min(rank) AS best, min(list_idx * 1000 + rank) AS first FROM lists GROUP BY chunk_id),
+fused AS (SELECT chunk_id, base + CASE WHEN best = 1 THEN 0.05::DOUBLE WHEN best <= 3 THEN 0.02::DOUBLE ELSE 0 END AS score, best, first FROM sums ORDER BY score DESC, first LIMIT 8)
+"""
+
+
+@query(FUSED_SQL + "SELECT chunk_id, round(score, 6) AS score, best::INT AS best_rank FROM fused")
+def rrf_fuse(spark, sf_dir):
+    return search.fuse(_lists(spark, sf_dir)).select("chunk_id", F.round("score", 6).alias("score"), "best_rank")
+
+
+BOOST_TERMS = ["the", "que", "src1"]
+BOOST_SQL = " + ".join(
+    f"CASE WHEN contains(lower(d.source), '{t}') THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN contains(lower(d.lang), '{t}') THEN 0.03::DOUBLE ELSE 0 END + CASE WHEN contains(lower(left(d.text, 220)), '{t}') THEN 0.005::DOUBLE ELSE 0 END"
+    for t in BOOST_TERMS
+)
+
+
+def _boosted(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("lang").alias("path"), F.lit("").alias("context_path"), F.substring("text", 1, 220).alias("preview"))
+    return search.boosted(F.broadcast(search.fuse(_lists(spark, sf_dir))).join(docs, "chunk_id"), BOOST_TERMS)
+
+
+@query(FUSED_SQL + f"SELECT chunk_id, round(f.score + least(0.08, {BOOST_SQL}), 6) AS score FROM fused f JOIN documents d ON d.doc_id = f.chunk_id")
+def rrf_keyword_boost(spark, sf_dir):
+    return _boosted(spark, sf_dir).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(FUSED_SQL + f""", b AS (SELECT chunk_id, f.score + least(0.08, {BOOST_SQL}) AS s FROM fused f JOIN documents d ON d.doc_id = f.chunk_id)
+SELECT chunk_id, round(s / (SELECT max(s) FROM b), 6) AS confidence FROM b""")
+def search_confidence(spark, sf_dir):
+    return search.with_confidence(_boosted(spark, sf_dir)).select("chunk_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT doc_id AS chunk_id, 'title: ' || coalesce(nullif(source, ''), 'none') || ' | text: ' || text AS prompt FROM documents")
+def embedding_prompt(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), search.document_prompt(F.col("source"), F.col("text")).alias("prompt"))
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def needs_embedding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit(True).alias("active"))
+    ledger = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("m").alias("model"))
+    return search.needs_embedding(docs, ledger, "m").select("chunk_id")
+
+
+# Document store. Snapshots derive from documents: the first holds ids not divisible by 7, the second all but those divisible by 5, with other text where 11 divides.
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    base = docs.select(F.lit(1).cast("long").alias("source_id"), path.alias("path"), F.lit("1.x").alias("version_label"), "doc_id", F.col("source").alias("uri"), F.col("lang").alias("title"), "text", F.lit("text/markdown").alias("content_type"))
+    old = base.filter("doc_id % 7 <> 0").select("source_id", "path", "version_label", F.col("doc_id").alias("document_id"), "uri", "title", F.sha2("text", 256).alias("hash"), "content_type", (F.col("doc_id") % 3 != 0).alias("active"))
+    content = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = base.filter("doc_id % 5 <> 0").withColumn("content", content).withColumn("hash", F.sha2("content", 256))
+    return old, new
+
+
+UPSERT_SQL = """
+WITH o AS (SELECT doc_id, sha256(text) AS hash, doc_id % 3 <> 0 AS active FROM documents WHERE doc_id % 7 <> 0),
+n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 5 <> 0),
+u AS (SELECT 'docs/' || coalesce(n.doc_id, o.doc_id) || '.md' AS path, coalesce(n.hash, o.hash) AS hash, (n.hash IS NOT NULL OR coalesce(o.active, FALSE)) AS active,
+      CASE WHEN n.hash IS NULL THEN 'kept' WHEN o.hash IS NULL THEN 'new' WHEN n.hash = o.hash THEN 'same' ELSE 'changed' END AS change_type, n.hash IS NOT NULL AS came
+      FROM o FULL JOIN n USING (doc_id))
+"""
+
+
+@query(UPSERT_SQL + "SELECT path, hash, active, change_type FROM u")
+def upsert_change_type(spark, sf_dir):
+    return store.upsert_documents(*_snapshots(spark, sf_dir)).select("path", "hash", "active", "change_type")
+
+
+@query(UPSERT_SQL + "SELECT path, active AND came AS active FROM u")
+def soft_delete_missing(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return store.deactivate_missing(store.upsert_documents(old, new), 1, "1.x", new.select("path")).select("path", "active")
+
+
+@query("SELECT sha256(text) AS hash, min(length(text))::INT AS n FROM documents GROUP BY sha256(text)")
+def doc_hash_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("content"))
+    return store.new_blobs(docs, spark.createDataFrame([], "hash string")).select("hash", F.length("content").alias("n"))
+
+
+@query(UPSERT_SQL + """, dead AS (SELECT count(*) AS documents FROM u WHERE NOT active),
+b AS (SELECT DISTINCT hash FROM u), g AS (SELECT count(*) AS blobs FROM b WHERE hash NOT IN (SELECT hash FROM u WHERE active))
+SELECT documents, documents AS chunks, documents AS vectors, blobs FROM dead, g""")
+def gc_counts(spark, sf_dir):
+    docs = store.upsert_documents(*_snapshots(spark, sf_dir))
+    chunks = docs.select("document_id", F.col("document_id").alias("chunk_id"))
+    return store.garbage_counts(docs, chunks, chunks.select("chunk_id"), docs.select("hash").distinct())
+
+
+@query(UPSERT_SQL + "SELECT DISTINCT hash FROM u WHERE active")
+def gc_live_blobs(spark, sf_dir):
+    docs = store.upsert_documents(*_snapshots(spark, sf_dir))
+    chunks = docs.select("document_id", F.col("document_id").alias("chunk_id"))
+    return store.collect_garbage(docs, chunks, chunks.select("chunk_id"), docs.select("hash").distinct())["blobs"]
+
+
+@query("""
+SELECT d.source, count(*) AS documents, count(*) AS chunks, count(e.vec_id) AS embedded FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.source
+""")
+def status_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.lit(True).alias("active"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return store.store_counts(docs, docs, vectors).withColumnRenamed("source_id", "source")
+
+
+# Text expressions.
+
+
+@query("""
+WITH p AS (SELECT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents)
+SELECT doc_id, CASE WHEN length(flat) <= 220 THEN flat ELSE left(flat, 217) || '...' END AS preview, greatest(1, ceil(length(text) / 4))::INT AS tokens, sha256(text) AS hash FROM p
+""")
+def preview_tokens(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(c).alias("preview"), text.approx_tokens(c).alias("tokens"), text.content_hash(c).alias("hash"))
+
+
+@query("""
+SELECT page_id, contains(html, '```') OR contains(html, '~~~') OR regexp_matches(html, '(?m)^(?: {4}|\\t).+') OR regexp_matches(html, '(?i)<(pre|code)[\\s>]') AS has_code,
+       regexp_matches(html, '(?s)```.*?```') OR regexp_matches(html, '(?s)~~~.*?~~~') OR regexp_matches(html, '`[^`]+`') AS has_snippets,
+       length(regexp_replace(html, '\\s+', '', 'g')) AS n FROM pages
+""")
+def code_gate(spark, sf_dir):
+    c = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", text.has_code(c).alias("has_code"), text.has_snippets(c).alias("has_snippets"), text.body_length(c).alias("n"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS payload FROM documents")
+def line_slice(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.line_slice(F.col("text"), F.lit(2), F.lit(3)).alias("payload"))
+
+
+@query("""
+SELECT p_partkey, concat_ws(' > ', p_brand, CASE WHEN trim(p_type) <> p_brand THEN trim(p_type) END, CASE WHEN trim(p_name) <> trim(p_type) THEN trim(p_name) END) AS crumb FROM part
+""")
+def breadcrumb(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.breadcrumb(F.array("p_brand", F.lit(" "), "p_type", F.lit(None).cast("string"), "p_name", "p_name")).alias("crumb"))
+
+
+@query("""
+SELECT * FROM (VALUES ('src/a.ts', 'ts', 'typescript', FALSE), ('docs/x.md', 'md', 'md', TRUE), ('Dockerfile', 'dockerfile', 'dockerfile', FALSE), ('m/k.py', 'py', 'python', FALSE), ('Makefile', '', NULL, FALSE)) t(path, ext, language, is_doc)
+""")
+def file_kinds(spark, sf_dir):
+    rows = literal(spark, "('src/a.ts'), ('docs/x.md'), ('Dockerfile'), ('m/k.py'), ('Makefile')", "path")
+    return rows.select("path", text.extension(F.col("path")).alias("ext"), text.language(F.col("path")).alias("language"), text.is_doc(F.col("path")).alias("is_doc"))
+
+
+# Pages and URLs.
+
+URL_SQL = "regexp_replace(lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+', '/', 'g'), '(?i)\\.md$', '') || regexp_extract(url, '^[^?#]*(\\?[^#]+)', 1), '/$', '')"
+
+
+@query(f"SELECT page_id, {URL_SQL} AS url FROM pages")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
+
+
+@query("""
+SELECT page_id, regexp_matches(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '(^|\\.)example\\.com$') AND regexp_matches(lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '^/(en|fr)') AND NOT starts_with(lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '/en/1') AS inside FROM pages
+""")
+def url_scope(spark, sf_dir):
+    inside = urls.in_scope(F.col("url"), "https://example.com/", ["/en", "/fr"], ["/en/1"], subdomains=True)
+    return table(spark, sf_dir, "pages").select("page_id", inside.alias("inside"))
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^/', ''), '/$', '') AS p FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(CASE WHEN p = '' THEN 'index' ELSE p END, '(?i)\\.html?$', ''), '(?i)\\.md$', '') || '.md' AS path FROM p
+""")
+def relative_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.relative_path(F.col("url")).alias("path"))
+
+
+@query("""
+WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, list_distinct(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS l FROM pages)
+SELECT page_id, len(l) AS n, (SELECT min(root || x) FROM (SELECT unnest(l) AS x)) AS least FROM a
+""")
+def link_extract(spark, sf_dir):
+    links = urls.html_links(F.col("html"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", links.alias("l")).select("page_id", F.size("l").cast("long").alias("n"), F.array_min("l").alias("least"))
+
+
+@query()
+def html_simple_markdown(spark, sf_dir):
+    return markdown.simple_markdown(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "markdown").drop("html")
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''') AS html FROM pages")
+def entity_decode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", markdown.decode_entities(F.col("html")).alias("html"))
+
+
+@query()
+def sanitize_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.sanitize(F.col("text")).alias("text"))
+
+
+@query("SELECT page_id, CASE WHEN length(regexp_replace(html, '\\s+', '', 'g')) < 400 THEN 'short body' WHEN len(regexp_extract_all(html, '<a ')) < 3 THEN 'few links' END AS reason FROM pages")
+def headless_decision(spark, sf_dir):
+    c = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", markdown.needs_rendering(c, c, F.size(F.regexp_extract_all(c, F.lit("<a "), F.lit(0)))).alias("reason"))
+
+
+# Frontier.
+
+
+def _frontier(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    status = F.when(F.col("page_id") % 5 == 0, "done").when(F.col("page_id") % 5 == 1, "failed").when(F.col("page_id") % 7 == 2, "skipped").otherwise("pending")
+    return p.select(F.lit(1).cast("long").alias("source_id"), "url", urls.normalize(F.col("url")).alias("normalized_url"), (F.col("page_id") % 4).cast("int").alias("depth"), status.alias("status"), F.lit(None).cast("string").alias("error_message"), (F.col("page_id") % 6).cast("int").alias("attempts"))
+
+
+FRONTIER_SQL = f"WITH f AS (SELECT {URL_SQL} AS normalized_url, (page_id % 4)::INT AS depth, CASE WHEN page_id % 5 = 0 THEN 'done' WHEN page_id % 5 = 1 THEN 'failed' WHEN page_id % 7 = 2 THEN 'skipped' ELSE 'pending' END AS status, page_id % 6 AS attempts FROM pages) "
+
+
+@query(FRONTIER_SQL + "SELECT count(*) AS total, " + ", ".join(f"sum((status = '{s}')::INT)::BIGINT AS {s}" for s in ("pending", "done", "failed", "skipped")) + " FROM f")
+def frontier_counts(spark, sf_dir):
+    return frontier.status_counts(_frontier(spark, sf_dir))
+
+
+@query(FRONTIER_SQL + "SELECT normalized_url, depth FROM f WHERE status IN ('pending', 'failed') AND attempts < 3 ORDER BY depth, normalized_url LIMIT 50")
+def frontier_batch(spark, sf_dir):
+    return frontier.eligible(_frontier(spark, sf_dir), 50).select("normalized_url", "depth")
+
+
+@query(FRONTIER_SQL + "SELECT DISTINCT normalized_url FROM f WHERE depth <> 0 AND normalized_url NOT IN (SELECT normalized_url FROM f WHERE depth = 0)")
+def frontier_insert(spark, sf_dir):
+    f = _frontier(spark, sf_dir)
+    known = f.filter("depth = 0")
+    return frontier.insert_new(known, f.filter("depth <> 0").select("source_id", "url", "depth")).join(known, ["source_id", "normalized_url"], "left_anti").select("normalized_url")
+
+
+# Libraries and versions.
+
+
+@query("""
+WITH n AS (SELECT s_suppkey, s_name, lower(s_name) AS l, regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') AS b FROM supplier)
+SELECT s_suppkey, CASE WHEN l = 'supplier#1' THEN 100 WHEN b = 'supplier1' THEN 95 WHEN instr(l, 'supplier#1') > 0 THEN 80 - least(20, instr(l, 'supplier#1') - 1) WHEN instr(b, 'supplier1') > 0 THEN 70 - least(20, instr(b, 'supplier1') - 1) ELSE 0 END::INT AS score FROM n
+""")
+def library_match(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", lookup.match_score(F.col("s_name"), "Supplier#1").cast("int").alias("score"))
+
+
+TAGS = "(1, 0, 'v16.1.0'), (1, 1, 'v16.2.0'), (1, 2, 'v15.9.9'), (1, 3, 'v17.0.0-rc.1'), (2, 0, 'release-1.2.3'), (2, 1, '12.x'), (2, 2, '1.10.0')"
+
+
+@query("SELECT * FROM (VALUES (1, '16.x', 'v16.2.0'), (1, '15.x', 'v15.9.9'), (2, '1.x', '1.10.0')) t(source_id, label, tag)")
+def version_latest_by_major(spark, sf_dir):
+    tags = literal(spark, TAGS, "source_id, pos, tag").filter(~versions.is_prerelease(F.col("tag")))
+    return versions.latest_by_major(tags)
+
+
+@query("SELECT * FROM (VALUES (1, 'v16.1.0', '16.x'), (2, 'release-1.2.3', '1.x'), (3, 'main', 'main')) t(source_id, ref, label)")
+def version_default(spark, sf_dir):
+    return versions.default_version(literal(spark, TAGS, "source_id, pos, tag"), literal(spark, "(1, 'main'), (2, 'main'), (3, 'main')", "source_id, default_branch"))
+
+
+@query("SELECT * FROM (VALUES ('^4.0.0', '4.x', NULL), ('v16.2.3', '16.x', NULL), ('>= 0.25', '0.x', NULL), ('*', NULL, NULL), ('16.x', '16.x', 16), ('v17.x', '17.x', 17)) t(v, label, series)")
+def version_labels(spark, sf_dir):
+    return literal(spark, "('^4.0.0'), ('v16.2.3'), ('>= 0.25'), ('*'), ('16.x'), ('v17.x')", "v").select("v", versions.suggested_label(F.col("v")).alias("label"), versions.series(F.col("v")).alias("series"))
+
+
+FILE_ROWS = "('README.md', 10L), ('logo.png', 10L), ('Dockerfile', 10L), ('.env', 10L), ('bundle.min.js', 10L), ('big.md', 9000000L), ('src/vendor/x.go', 10L), ('a/b.ts', 10L), ('x.unknown', 1L)"
+
+
+@query("""
+SELECT * FROM (VALUES ('README.md', NULL), ('logo.png', 'extension'), ('Dockerfile', NULL), ('.env', 'directory'), ('bundle.min.js', 'path_ending'), ('big.md', 'file_too_large'),
+('src/vendor/x.go', 'directory'), ('a/b.ts', NULL), ('x.unknown', 'not_listed')) t(path, reason)
+""")
+def path_filter(spark, sf_dir):
+    return literal(spark, FILE_ROWS, "path, size").select("path", paths.skip_reason(F.col("path"), F.col("size")).alias("reason"))
+
+
+MANIFESTS = [
+    ("package.json", '{"dependencies": {"hono": "^4.0.0"}, "devDependencies": {"typescript": "5"}}'),
+    ("api/composer.json", '{"require": {"laravel/framework": "^11.0"}, "require-dev": {"phpunit": "1"}}'),
+    ("py/pyproject.toml", '[tool.poetry.dependencies]\npython = "3.12"\nfastapi = "0.110"\n[project]\ndependencies = ["httpx >= 0.25"]\n'),
+    ("py/requirements.txt", "# c\nrequests==2.31.0\nflask\n"),
+    ("go.mod", "module x\nrequire (\n\tgithub.com/pkg/errors v0.9.1\n)\n"),
+    ("Cargo.toml", '[dependencies]\nserde = "1.0"\nreqwest = { version = "0.12", features = ["json"] }\n'),
+    ("Gemfile", 'gem "rails", "7.1"\n'),
+    ("pom.xml", "<dependency><groupId>org.junit.jupiter</groupId><artifactId>junit-jupiter</artifactId><version>5.10</version></dependency>"),
+    ("build.gradle", "dependencies {\n implementation 'com.squareup.okhttp3:okhttp:4.12.0'\n}\n"),
+    ("node_modules/x/package.json", '{"dependencies": {"hidden": "1"}}'),
+]
+
+
+@query("""
+SELECT * FROM (VALUES ('package.json', 'hono', '^4.0.0', '4.x'), ('api/composer.json', 'laravel/framework', '^11.0', '11.x'), ('py/pyproject.toml', 'fastapi', '0.110', '0.x'),
+('py/pyproject.toml', 'httpx', '>= 0.25', '0.x'), ('py/requirements.txt', 'requests', '2.31.0', '2.x'), ('py/requirements.txt', 'flask', '*', NULL), ('go.mod', 'github.com/pkg/errors', 'v0.9.1', '0.x'),
+('Cargo.toml', 'serde', '1.0', '1.x'), ('Cargo.toml', 'reqwest', '0.12', '0.x'), ('Gemfile', 'rails', '7.1', '7.x'), ('pom.xml', 'org.junit.jupiter:junit-jupiter', '5.10', '5.x'),
+('build.gradle', 'com.squareup.okhttp3:okhttp', '4.12.0', '4.x')) t(manifest, name, version, label)
+""")
+def manifest_dependencies(spark, sf_dir):
+    return manifests.detected(spark.createDataFrame(MANIFESTS, "path string, content string"))
+
+
+# Discovery.
+
+SITEMAP = "<?xml?><urlset><url><loc>https://e.com/docs/a?x=1&amp;y=2</loc></url><url><loc> https://e.com/blog/b </loc></url></urlset>"
+
+
+@query("SELECT * FROM (VALUES ('https://e.com/docs/a?x=1&y=2'), ('https://e.com/blog/b')) t(url)")
+def sitemap_pages(spark, sf_dir):
+    index = "<sitemapindex><sitemap><loc>https://e.com/s1.xml</loc></sitemap></sitemapindex>"
+    content = spark.createDataFrame([("https://e.com/sitemap.xml", index), ("https://e.com/s1.xml", SITEMAP)], "url string, content string")
+    return files.read_sitemaps(content.filter("url like '%sitemap.xml'").select("url"), content)
+
+
+@query("SELECT * FROM (VALUES (1, 'https://e.com/docs/a'), (1, 'https://e.com/docs/b'), (2, 'https://x.org/only')) t(source_id, url)")
+def llms_links(spark, sf_dir):
+    rows = [(1, 0, "# T\n- [A](https://e.com/docs/a): x\nhttps://e.com/docs/b\n| no |"), (1, 1, "- [C](https://e.com/c)"), (2, 0, "nothing"), (2, 1, "- https://x.org/only")]
+    return files.manifest_links(spark.createDataFrame(rows, "source_id int, rank int, content string")).select("source_id", "url")
+
+
+@query("SELECT * FROM (VALUES (1, 'https://e.com/a.xml'), (1, 'https://e.com/b.xml'), (1, 'https://cdn.e.com/c.xml')) t(source_id, url)")
+def robots_sitemaps(spark, sf_dir):
+    rows = [(1, "https://e.com/docs", "User-agent: *\nSitemap: https://e.com/a.xml\nsitemap: /b.xml\nSITEMAP: //cdn.e.com/c.xml\n")]
+    return files.robots_sitemaps(spark.createDataFrame(rows, "source_id int, root string, content string")).select("source_id", "url")
+
+
+@query("SELECT * FROM (VALUES ('demo/repo'), ('Example Docs')) t(name)")
+def seed_dedupe(spark, sf_dir):
+    yaml = """
+- {name: demo/repo, type: github, url: "https://github.com/demo/repo", docs: docs}
+- {name: Example Docs, type: web, url: "https://example.com/docs/", allow: [/docs], deny: [/blog], depth: 2, pages: 50}
+- {name: again, type: github, url: "https://github.com/Demo/repo/", docs: /docs/}
+"""
+    return files.new_seeds(files.read_seeds(spark, yaml), spark.createDataFrame([], "key string")).select("name")
+
+
+# Chunking, events.
+
+
+@query()
+def markdown_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("source").alias("title"), F.array(F.col("lang")).alias("prefix"), F.col("text").alias("content"))
+    return chunking.with_chunk_ids(chunking.chunk_documents(docs))
+
+
+@query("SELECT * FROM (VALUES (0, 'Getting Started', 'Getting Started' || chr(10) || chr(10) || '## Getting Started' || chr(10) || 'Hello world', 12, 3, 5), (1, 'API', 'API' || chr(10) || chr(10) || '## API' || chr(10) || 'More details', 6, 6, 7)) t(position, context_path, content, token_count, line_start, line_end)")
+def heading_chunks(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "t.md", "Title", [], "# Title\n\n## Getting Started\nHello world\n\n## API\nMore details")], "document_id long, path string, title string, prefix array<string>, content string")
+    return chunking.chunk_documents(docs).select("position", "context_path", "content", "token_count", "line_start", "line_end")
+
+
+@query()
+def code_chunks(spark, sf_dir):
+    code = "export function load(id: string) {\n  return fetch(id);\n}\n\nexport class User {\n  name = '';\n  greet() {\n    return `hi ${this.name}`;\n  }\n}\n"
+    docs = spark.createDataFrame([(1, "src/user.ts", None, ["o/r"], code), (2, "m.py", None, ["o/r"], "class A:\n    def f(self):\n        return 1\n")], "document_id long, path string, title string, prefix array<string>, content string")
+    return chunking.chunk_documents(docs)
+
+
+@query()
+def repo_tree(spark, sf_dir):
+    return tree.repo_trees(literal(spark, "(1L, 'README.md'), (1L, 'docs/intro.md'), (1L, 'docs/api/auth.md'), (1L, 'src/index.ts')", "source_id, path"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    found = incremental.event_counts(table(spark, sf_dir, "events"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").k.alias("k"))

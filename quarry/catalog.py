@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text, urls, versions
 from quarry.operators import chunking, frontier, lookup, paths, search, store, tree
-from quarry.sources import files, manifests
+from quarry.sources import files, manifests, pages
 from quarry.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,6 +373,16 @@ def headless_decision(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markdown.needs_rendering(c, c, F.size(F.regexp_extract_all(c, F.lit("<a "), F.lit(0)))).alias("reason"))
 
 
+@query()
+def page_extract(spark, sf_dir):
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def page_documents(spark, sf_dir):
+    return pages.page_documents(pages.extract_pages(table(spark, sf_dir, "pages")), "https://example.com/", need_code=False)
+
+
 # Frontier.
 
 

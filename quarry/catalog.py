@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text, urls, versions
 from quarry.operators import chunking, frontier, lookup, paths, search, store, tree
+from quarry.plans import services
 from quarry.sources import files, manifests, pages
 from quarry.streaming import incremental
 
@@ -511,6 +512,52 @@ def seed_dedupe(spark, sf_dir):
     return files.new_seeds(files.read_seeds(spark, yaml), spark.createDataFrame([], "key string")).select("name")
 
 
+# Services.
+
+
+@query("""
+SELECT * FROM (VALUES ('vercel/next.js', 'github', 'vercel/next.js', 'next.js', 'v16.2.0', NULL, '16.x'), ('https://github.com/foo/bar/tree/main/docs/', 'github', 'foo/bar', 'bar', 'main', 'docs', NULL),
+('https://Example.com/guide', 'web', 'example.com', NULL, NULL, NULL, NULL)) t(address, kind, name, repo, ref, docs_path, version_label)
+""")
+def source_rows(spark, sf_dir):
+    out = None
+    for address, flags in (("vercel/next.js", {"tag": "v16.2.0"}), ("https://github.com/foo/bar/tree/main/docs/", {}), ("https://Example.com/guide", {})):
+        row = services.source_row(spark, address, **flags).select(F.lit(address).alias("address"), "kind", "name", "repo", "ref", "docs_path", "version_label")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+SOURCE_ROWS = "(1L, 'next', 'vercel', 'next.js', '16.x'), (2L, 'nextra', 'shuding', 'nextra', NULL), (3L, 'django', 'django', 'django', '5.x')"
+VERSION_ROWS = "(1L, '15.x', TIMESTAMP'2024-01-01'), (1L, '16.x', TIMESTAMP'2024-02-01'), (2L, '3.x', TIMESTAMP'2024-03-01')"
+
+
+@query("SELECT * FROM (VALUES (1, 'next', 100, ['16.x', '15.x']), (2, 'nextra', 80, ['3.x'])) t(id, name, score, versions)")
+def library_search(spark, sf_dir):
+    sources = literal(spark, SOURCE_ROWS, "id, name, owner, repo, version_label")
+    return services.library_lookup(sources, literal(spark, VERSION_ROWS, "source_id, version_label, synced_at"), "next")
+
+
+@query("SELECT * FROM (VALUES (1, 'next')) t(id, name)")
+def library_version_fallback(spark, sf_dir):
+    sources = literal(spark, SOURCE_ROWS, "id, name, owner, repo, version_label")
+    return services.library_lookup(sources, literal(spark, VERSION_ROWS, "source_id, version_label, synced_at"), "next", "16.2.1").select("id", "name")
+
+
+@query("SELECT * FROM (VALUES ('16.x'), ('15.x'), ('3.x')) t(label)")
+def version_listing(spark, sf_dir):
+    return services.available_labels(literal(spark, VERSION_ROWS, "source_id, version_label, synced_at"))
+
+
+@query("SELECT o_orderpriority AS key, min_by(o_orderkey, o_orderkey) AS first FROM orders GROUP BY o_orderpriority")
+def first_by_key(spark, sf_dir):
+    return store.keep_latest(table(spark, sf_dir, "orders").withColumn("back", -F.col("o_orderkey")), ["o_orderpriority"], "back").select(F.col("o_orderpriority").alias("key"), F.col("o_orderkey").alias("first"))
+
+
+@query("SELECT count(*) FILTER (change_type IN ('new', 'changed')) AS updated, count(*) FILTER (change_type = 'same') AS unchanged, (SELECT count(*) FROM pages) AS skipped FROM (" + UPSERT_SQL + " SELECT change_type FROM u)")
+def ingest_summary(spark, sf_dir):
+    return services.ingest_summary(store.upsert_documents(*_snapshots(spark, sf_dir)), table(spark, sf_dir, "pages"))
+
+
 # Chunking, events.
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, lookup, search, store
+from quarry.plans import services
+from quarry.sources import manifests
 
 #: Rows a list holds, rows returned, and weights of lists (fixed values).
 CANDIDATES, RESULTS = 20, 8
@@ -105,6 +107,8 @@ class Engine:
         "blobs": "hash string, content string",
         "chunks": f"{chunking.SCHEMA}, chunk_id bigint, source_id bigint, doc_path string, doc_uri string, doc_title string",
         "vectors": "chunk_id bigint, model string, embedding array<float>",
+        "sources": services.SOURCES,
+        "source_versions": services.VERSIONS,
     }
 
     def __init__(self, spark: SparkSession, root: str):
@@ -171,7 +175,37 @@ class Engine:
 
     def cleanup(self) -> DataFrame:
         """Removes inactive documents and what hangs on them; returns the counts."""
-        tables = {k: self.table(k) for k in self.TABLES}
+        tables = {k: self.table(k) for k in ("documents", "chunks", "vectors", "blobs")}
         counts = store.garbage_counts(**tables).checkpoint()
         self._commit(store.collect_garbage(**tables))
         return counts
+
+    def add_source(self, address: str, **flags) -> None:
+        """Adds a repository (owner/repo or url) or a web root; flags: ref, tag, label, docs, mode, name, allow, deny, depth, pages."""
+        row = services.source_row(self.spark, address, **flags)
+        if row.isEmpty():
+            raise ValueError(f"no repository or web address: {address}")
+        self._commit({"sources": store.add_source(self.table("sources"), row).select(*self.table("sources").columns)})
+
+    def remove_source(self, source_id: int) -> None:
+        names = ("sources", "source_versions", "documents", "chunks")
+        kept = store.remove_source({k: self.table(k) for k in names}, source_id)
+        self._commit(kept | {"vectors": self.table("vectors").join(kept["chunks"].select("chunk_id"), "chunk_id", "left_semi")})
+
+    def record_sync(self, versions: DataFrame, sync: DataFrame) -> None:
+        """Version rows and sync columns after a run."""
+        self._commit({"source_versions": store.record_version(self.table("source_versions"), versions), "sources": store.record_sync(self.table("sources"), sync)})
+
+    def clear_embeddings(self) -> None:
+        self._commit({"vectors": self.table("vectors").limit(0)})
+
+    def libraries(self, query: str, version: str | None = None) -> DataFrame:
+        return services.library_lookup(self.table("sources"), self.table("source_versions"), query, version)
+
+    def detect(self, root: str) -> DataFrame:
+        """Dependencies of a project's manifests with suggested version labels."""
+        return manifests.detected(manifests.scan(self.spark, root))
+
+    def reset(self) -> None:
+        """An empty snapshot after the current one."""
+        self._commit({name: self.spark.createDataFrame([], schema) for name, schema in self.TABLES.items()})

@@ -19,8 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts travel to Python in batches of at most ``rows`` rows, which bounds the Arrow buffers of a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of a document table whatever else it holds; null text becomes empty."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -80,6 +88,8 @@ def filter_rows(docs: DataFrame, keep) -> DataFrame:
     """Rows of ``docs``, every column as it is, whose text (null: empty) ``keep`` accepts; it maps a list of texts to booleans."""
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             found = [x or "" for x in batch.column("text").to_pylist()]

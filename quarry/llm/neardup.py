@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common, graph
+from quarry.llm.names import NAMES
 
 SHINGLE, MINIMA, ROWS, BANDS, BITS = 5, 128, 5, 25, 4
 PACKED = MINIMA * BITS // 64
@@ -54,21 +55,6 @@ FACTORS = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | 1).astype(np.uint3
 OFFSETS = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
 
 
-class Names(dict):
-    """64-bit names of words, kept for reuse within a bound."""
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) > 400_000:
-            self.clear()
-        name = self[word] = xxh3_64_intdigest(word)
-        return name
-
-
-NAMES = Names()
-
-
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a text."""
     words = WORDS.findall(text.translate(LOWER))

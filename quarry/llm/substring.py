@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.neardup import NAMES
+from quarry.llm.names import NAMES
 
 WINDOW, LEFT, RIGHT = 13, 2, 3
 PACK_CHARS = 4_000_000

@@ -80,7 +80,7 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
 
     def flush() -> None:
         if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(p for p, _ in parts))).strip()
+            text = SPACE.sub(" ", "".join(p for p, _ in parts)).strip()
             if text:
                 linked = sum(len(p) for p, link in parts if link)
                 out.append((text, [e.path for e in stack[1:] if e.tag not in INLINE], linked))
@@ -88,7 +88,7 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
 
     def said(text: str) -> None:
         if text and not stack[-1].furniture:
-            parts.append((text, stack[-1].link))
+            parts.append((entities.unescape(text), stack[-1].link))
 
     def close(k: int) -> None:
         """Pops the stack down to the element at k, and that one."""

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common, graph
-from quarry.llm.names import NAMES
+from quarry.llm.names import names_of
 
 SHINGLE, MINIMA, ROWS, BANDS, BITS = 5, 128, 5, 25, 4
 PACKED = MINIMA * BITS // 64
@@ -60,7 +60,7 @@ def shingles(text: str) -> np.ndarray:
     words = WORDS.findall(text.translate(LOWER))
     if not words:
         return np.empty(0, np.uint64)
-    names = np.fromiter((NAMES[w] for w in words), np.uint64, len(words))
+    names = names_of(words)
     n = max(1, len(words) - SHINGLE + 1)
     out = np.full(n, min(len(words), SHINGLE), np.uint64)
     for k in range(min(SHINGLE, len(words))):

@@ -29,13 +29,14 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.names import NAMES
+from quarry.llm.names import names_of
 
 WINDOW, LEFT, RIGHT = 13, 2, 3
 PACK_CHARS = 4_000_000
@@ -90,7 +91,7 @@ class Pack:
         self.ids, self.words = ids, [WORDS.findall(t) for t in texts]
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(sizes)
-        self.names = np.fromiter((NAMES[w] for own in self.words for w in own), np.uint64, int(sizes.sum()))
+        self.names = names_of(list(chain.from_iterable(self.words)))
         self.doc = np.repeat(np.arange(len(ids)), sizes)
 
     def windows(self) -> np.ndarray:

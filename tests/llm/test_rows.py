@@ -5,8 +5,6 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
-
 from quarry.llm import common, htmltext, pii, quality, secretscan
 
 
@@ -97,15 +95,15 @@ def brute_cost(value):
 def test_guess_cost_against_brute_force():
     rng = random.Random(1)
     for _ in range(50):
-        value = "".join(rng.choice(["dragon", "monkey", "zqv", "kxw", "tiger"]) for _ in range(rng.randint(1, 4)))
-        assert abs(secretscan.guess_cost(value) - brute_cost(value)) < 0.7
+        value = "".join(rng.sample(["dragon", "monkey", "zqv", "kxw", "tiger"], rng.randint(1, 4)))
+        assert abs(secretscan.guess_cost(value) - brute_cost(value)) < 1e-9
 
 
 def test_secret_scan_rows(spark, odd, none):
     text = "the password is X9#kd!Qz81m and pwd: qwertyuiop"
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(50, text)], "doc_id bigint, text string"))
     rows = {r.doc_id: r for r in secretscan.secret_scan(docs).collect()}
-    assert len(rows) == 10 and rows[1].spans == "" and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert len(rows) == 11 and rows[1].spans == "" and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert [text[a:b] for _, a, b in spans(rows[50].spans)] == ["X9#kd!Qz81m"] and rows[50].n_value == 1
     assert secretscan.secret_scan(none).count() == 0
 
@@ -134,8 +132,6 @@ def test_pii_gradient():
     for name in ("wf", "ub", "move", "out"):
         v = tagger.p[name].copy()
         at = (1, 2)
-        for sign, out in ((1, []), (-1, [])):
-            pass
         tagger.p[name] = v.copy()
         tagger.p[name][at] += 1e-5
         up = tagger.step(x, y)[0]

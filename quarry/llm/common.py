@@ -65,6 +65,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def released(batches):
+    """The batches of a task, and then a release; Python workers live on after a task."""
+    yield from batches
+    release()
+
+
 def map_texts(docs: DataFrame, judge, schema: str, slice_rows: int = 1000) -> DataFrame:
     """(doc_id, columns of ``schema``) of every row: ``judge`` takes a list of texts and returns a dict of lists."""
     import pyarrow as pa
@@ -81,7 +102,7 @@ def map_texts(docs: DataFrame, judge, schema: str, slice_rows: int = 1000) -> Da
                 columns = judge(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(columns[f.name], f.type) for f in list(arrow)[1:]]], schema=arrow)
 
-    return texts(docs).mapInArrow(run, out)
+    return texts(docs).mapInArrow(lambda batches: released(run(batches)), out)
 
 
 def filter_rows(docs: DataFrame, keep) -> DataFrame:
@@ -95,4 +116,4 @@ def filter_rows(docs: DataFrame, keep) -> DataFrame:
             found = [x or "" for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep(found), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), docs.schema)

@@ -126,7 +126,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     rows = common.texts(docs).select("doc_id", "text", *common.row_key())
     kinds = "doc_id bigint, _id bigint, _rk bigint, n_shingles bigint, d0 bigint, d1 bigint, " + ", ".join(f"{s} bigint" for s in SIGNATURE) + ", bands array<bigint>"
-    return rows.mapInArrow(run, kinds)
+    return rows.mapInArrow(lambda batches: common.released(run(batches)), kinds)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -174,7 +174,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 sets = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_rk"), pa.array(sets, pa.binary())], names=["rep", "rk", "hashes"])
 
-    return rows.join(wanted, ["_id", "_rk"], "left_semi").mapInArrow(run, "rep bigint, rk bigint, hashes binary").dropDuplicates(["rep", "rk"])
+    return rows.join(wanted, ["_id", "_rk"], "left_semi").mapInArrow(lambda batches: common.released(run(batches)), "rep bigint, rk bigint, hashes binary").dropDuplicates(["rep", "rk"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +196,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(lambda batches: common.released(run(batches)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

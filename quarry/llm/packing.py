@@ -184,4 +184,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-    return common.texts(docs).mapInArrow(run, SCHEMA)
+    return common.texts(docs).mapInArrow(lambda batches: common.released(run(batches)), SCHEMA)

@@ -126,6 +126,10 @@ def stems(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else term(w))
 
 
+#: Declared nondeterministic, so that no filter on a term moves it below the aggregation to distinct words.
+stems = stems.asNondeterministic()
+
+
 def raw_tokens(text: Column) -> Column:
     """Words of letters, digits and their marks, in lower case, in text order."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))

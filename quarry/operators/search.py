@@ -65,11 +65,16 @@ class TextIndex:
     stemmed: bool = True
 
 
+def _weighted(words: Column, weight: float) -> Column:
+    return F.transform(words, lambda x: F.struct(x.alias("word"), F.lit(weight).alias("w")))
+
+
 def build_index(chunks: DataFrame, weights: dict[str, float] | None = None, stemmed: bool = True) -> TextIndex:
     """Inverted index of chunks(source_id, chunk_id, and the weighted text columns)."""
     weights = {k: w for k, w in (weights or WEIGHTS).items() if k in chunks.columns}
-    fields = F.array(*[F.struct(stem.raw_tokens(F.col(k)).alias("words"), F.lit(w).alias("w")) for k, w in weights.items()])
-    words = chunks.select("source_id", "chunk_id", F.explode(fields).alias("f")).select("source_id", "chunk_id", F.col("f.w").alias("w"), F.explode("f.words").alias("word"))
+    # One explode of (word, weight) pairs: a second one would copy its array into every row.
+    pairs = [_weighted(stem.raw_tokens(F.col(k)), w) for k, w in weights.items()]
+    words = chunks.select("source_id", "chunk_id", F.explode(F.flatten(F.array(*pairs))).alias("p")).select("source_id", "chunk_id", F.col("p.word").alias("word"), F.col("p.w").alias("w"))
     counted = words.groupBy("source_id", "chunk_id", "word").agg(F.sum("w").alias("tf"), F.count("*").alias("n"))
     if stemmed:  # Python sees each distinct word once
         terms = counted.select("word").distinct().withColumn("term", stem.stems("word"))

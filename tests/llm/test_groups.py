@@ -270,6 +270,19 @@ def test_leak_cases(spark, odd, none, data):
     assert decontam.drop_leaks(odd, bench).count() == odd.count()
 
 
+def test_decoy_does_not_hide_a_leak(spark, data):
+    """The item's words in other order beat the leak's window in cosine; the leak is found all the same."""
+    docs = common.table(spark, data, "documents").select("doc_id", "text")
+    item = "Which harbour town shipped copper ore to the northern smelters during the long winter of the siege? The answer is Port Maribel near Oldcastle."
+    leak = "Which harbour town then shipped raw copper ore up to the old northern smelters all during that long cold winter of the grim siege? The answer is surely Port Maribel lying near Oldcastle."
+    decoy = " ".join(reversed(decontam.words_of(item)))
+    text = f"{decoy} {'filler ' * 300} {leak} {'filler ' * 300} {decoy}"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    more = spark.createDataFrame([(10**6, text), (10**6 + 1, decoy)], "doc_id bigint, text string")
+    rows = decontam.find_leaks(docs.unionByName(more), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in rows] == [(10**6, 1)] and rows[0].lcs_share >= 0.6
+
+
 # Licences.
 
 

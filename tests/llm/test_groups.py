@@ -283,6 +283,18 @@ def test_decoy_does_not_hide_a_leak(spark, data):
     assert [(r.doc_id, r.item_id) for r in rows] == [(10**6, 1)] and rows[0].lcs_share >= 0.6
 
 
+def test_short_item_of_frequent_words_among_rare_ones(spark):
+    """A verbatim item of 12 words that most documents hold, beside words of one document only."""
+    rng = random.Random(5)
+    common_words = [f"often{k}" for k in range(12)]
+    rare = lambda k, n: " ".join(f"r{k}x{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(k, " ".join(f"{w} {rare(k, 12)}" for w in rng.sample(common_words, 12))) for k in range(60)]
+    rows += [(100 + k, f"{rare(k, 50 + k)} {' '.join(common_words)} {rare(k, 60)}") for k in range(9)] + [(200, " ".join(common_words))]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(common_words))], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect())
+    assert got == [(100 + k, 1) for k in range(9)] + [(200, 1)]
+
+
 # Licences.
 
 

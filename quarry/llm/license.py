@@ -1,13 +1,15 @@
 """Licence scans by sentence rules (native DataFrame operations only).
 
-A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before
-white space. Sentences with a licence cue are normalised (letters and digits,
-lower case, single spaces) and mapped to identifiers of known licence sentences;
-the identifier sequence of a text is matched against ordered licence rules.
+A text is normalised (letters and digits, lower case, single spaces, which drops
+comment marks) with marks at line ends and at hard ends: blank lines, and ``.``,
+``!`` or ``?`` before white space. A known licence sentence is found between two
+marks; it may be wrapped over lines, but holds no hard end. Where several begin at
+one place the longest counts. The identifier sequence of a text is matched against
+ordered licence rules.
 
 A rule fires where its identifiers stand next to each other, in order, in the
-sequence of known sentences. ``generic`` counts sentences with a strong cue that
-no identifier covers.
+sequence of known sentences. ``generic`` counts the lines and sentences in a line
+with a strong cue that no identifier covers.
 
 Defined cases: null or empty text has no sentences and no licences; repeated rows
 give repeated results; a null doc_id stays null; other columns are ignored.
@@ -83,13 +85,24 @@ RULES = [
     ("MPL-2.0", ["mpl2-notice"]),
     ("Proprietary", ["reserved"]),
 ]
-#: A line or sentence without any of these in it is no licence sentence (fixed values).
+#: A text without any of these in it holds no licence sentence (fixed values).
 CUES = ["licens", "licenc", "permission", "copyright", "warrant", "redistribut", "free software", "compliance with", "rights reserved"]
 STRONG = ["licens", "licenc"]
 
 
-def normal(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+#: A known sentence between marks: ``~`` is a line end and ``|`` a hard end.
+KNOWN = "(?<=[|~])(?:" + "|".join(s.replace(" ", "[ ~]") for s in sorted(SENTENCES, key=lambda s: (-len(s), s))) + ")(?=[|~])"
+
+
+def marked(low: Column) -> Column:
+    """Lower-case text in normal form with marks at its line ends and hard ends."""
+    out = low
+    for pattern, to in (
+        ("[|~]", " "), (r"([.!?])[\x20\x09-\x0D]+", "$1|"), (r"\n", "~"), ("[^a-z0-9|~]+", " "),
+        (" ?([|~]) ?", "$1"), ("~{2,}", "|"), (r"[|~]*\|[|~]*", "|"),
+    ):
+        out = F.regexp_replace(out, pattern, to)
+    return F.concat(F.lit("|"), F.btrim(out), F.lit("|"))
 
 
 def has_any(text: Column, words: list[str]) -> Column:
@@ -102,15 +115,13 @@ def has_any(text: Column, words: list[str]) -> Column:
 def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licenses, n_generic) of every row; licenses in rule order, each once."""
     low = F.lower(F.col("text"))
-    lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: has_any(F.lower(x), CUES))
-    sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])[\x20\x09-\x0D]+", -1)))
-    sentences = F.transform(F.filter(sentences, lambda x: has_any(F.lower(x), CUES)), normal)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    rows = common.texts(docs).select("doc_id", F.when(has_any(low, CUES), sentences).otherwise(F.array().cast("array<string>")).alias("s"))
-    rows = rows.select("doc_id", "s", F.filter(F.transform("s", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()).alias("ids"))
+    rows = common.texts(docs).select("doc_id", F.when(has_any(low, CUES), marked(low)).otherwise("").alias("s"))
+    found = F.regexp_extract_all("s", F.lit(KNOWN), F.lit(0))
+    rows = rows.select("doc_id", "s", F.transform(found, lambda x: F.try_element_at(known, F.translate(x, "~", " "))).alias("ids"))
     joined = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     fired = F.array(*[F.when(joined.contains("," + ",".join(ids) + ","), F.lit(name)) for name, ids in RULES])
-    generic = F.filter("s", lambda x: has_any(x, STRONG) & F.try_element_at(known, x).isNull())
+    generic = F.filter(F.split(F.regexp_replace("s", KNOWN, ""), "[|~]", -1), lambda x: has_any(x, STRONG))
     return rows.select(
         "doc_id", F.array_join("ids", ",").alias("sentence_ids"),
         F.array_distinct(F.filter(fired, lambda x: x.isNotNull())).alias("licenses"),

@@ -308,6 +308,25 @@ def test_license_rules(spark, odd, none):
     assert license.license_scan(odd).count() == odd.count() and license.license_scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Headers wrapped at some 70 columns, with comment marks, give the identifiers of their long sentences."""
+    import textwrap
+
+    known = {i: s for s, i in license.SENTENCES.items()}
+    body = lambda *ids: [known[i][0].upper() + known[i][1:] + "." for i in ids]
+    wrap = lambda parts, mark: "\n".join(textwrap.wrap(" ".join(parts), 70, initial_indent=mark, subsequent_indent=mark))
+    mit, gpl = body("mit-grant", "mit-condition", "mit-disclaimer"), body("gpl3-grant", "gpl-disclaimer")
+    bsd = body("bsd-grant", "bsd-source", "bsd-binary")
+    rows = [
+        (1, "Copyright (c) 2001 Someone\n\n" + "\n\n".join(wrap([p], "") for p in mit)), (2, wrap(mit, " * ")), (3, wrap(gpl, "# ")),
+        (4, "/*\n" + wrap(gpl, "// ") + "\n*/\nint x;"), (5, "\n".join(wrap([p], "  ") for p in bsd)), (6, "Licensed under the\n\nMIT License."), (7, "Licensed under the\r\nMIT License"),
+    ]
+    out = {r.doc_id: r for r in license.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [out[k].licenses for k in range(1, 8)] == [["MIT"], ["MIT"], ["GPL-3.0"], ["GPL-3.0"], ["BSD-3-Clause", "BSD-2-Clause"], [], ["MIT"]]
+    assert out[1].sentence_ids == "mit-grant,mit-condition,mit-disclaimer" and out[1].n_generic == 0 and out[6].n_generic == 2
+    assert all(any(c in s for c in license.CUES) for s in license.SENTENCES)
+
+
 # Pipeline.
 
 

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and password guess costs for values in a credential context.
 
 The guess cost of a value is the least sum, over all cuts of it into spans, of the
-log10 guesses of each span: dictionary words (any case, common substitutions),
+log10 guesses of each span: dictionary words (any case, common substitutions;
+passwords first, then the words of a public vocabulary by their frequency there),
 dates, repeats of a unit, keyboard walks, or brute force a character. Values next
 to a credential word whose cost reaches ``min_cost`` become spans of kind
 ``value``, unless they overlap a base span.
@@ -13,6 +14,7 @@ doc_id stays null; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -44,8 +46,24 @@ LEET = str.maketrans("043157$@!", "oaeistsai")
 #: Keyboard rows of the walks (fixed values).
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
-WORD_RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-WORD_LENGTHS = sorted({len(w) for w in COMMON})
+LEAST_WORD = 4
+
+
+def dictionary() -> dict[str, int]:
+    """Rank of each word: the common ones of passwords, then the words that byte_bpe_50k begins with a space, in its order."""
+    import public_tokenizers
+
+    found = list(COMMON)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        for token in (base64.b64decode(line.split()[0]) for line in f):
+            word = token[1:]
+            if token[:1] == b" " and len(word) >= LEAST_WORD and word.isalpha():
+                found.append(word.decode("ascii").lower())
+    return {w: k + 1 for k, w in enumerate(dict.fromkeys(found))}
+
+
+WORD_RANK = dictionary()
+WORD_LENGTHS = sorted({len(w) for w in WORD_RANK})
 DATES = (
     re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"),
     re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d"),
@@ -132,7 +150,7 @@ def value_spans(text: str, base: list[tuple[int, int, str]], min_cost: float) ->
             end -= 1
         if start < at or end - start < 6 or any(s < end and e > start for s, e, _ in base):
             continue
-        if any(c.isdigit() or not c.isalpha() for c in text[start:end]) and guess_cost(text[start:end]) >= min_cost:
+        if guess_cost(text[start:end]) >= min_cost:
             out.append((start, end, "value"))
             at = end
     return out

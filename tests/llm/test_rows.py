@@ -108,6 +108,15 @@ def test_secret_scan_rows(spark, odd, none):
     assert secretscan.secret_scan(none).count() == 0
 
 
+def test_secret_values_of_letters_only():
+    """The guess cost alone decides: random letters are found, words of prose are not."""
+    for text in ("pwd: QxVbLmZtRkWp", "the passphrase is wkzhrvqmtbxp.", "auth => hZqPwRtXkBnM", "access_key=gqzxvtrwkpfj"):
+        found = secretscan.value_spans(text, [], 9.0)
+        assert [text[a:b] for a, b, _ in found] == [re.split(r"[ =]", text.rstrip("."))[-1]], text
+    for word in "everything confidential required incorrect unfortunately placeholder incorrectly Administrator environment".split():
+        assert not secretscan.value_spans(f"the password is {word}, auth: {word}", [], 9.0), word
+
+
 def test_pii_base_spans():
     t = "é a.b+c@mail.example.com, 1.2.3.4 999.1.1.1 4539 1488 0343 6467 1234567890123 +1 (017) 555-7713. x@y"
     got = [(k, t[a:b]) for a, b, k in sorted(pii.base_spans(t))]

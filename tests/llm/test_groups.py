@@ -38,6 +38,17 @@ def test_best_fill_is_optimal():
         assert sum(k * n for k, n in used.items()) == max(reach)
 
 
+def test_added_tokens_as_tokenizers():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder("byte_bpe_50k.tiktoken")
+    end = "<|endoftext|>"
+    for text in (f"one{end}two", end, f" {end}{end} \n{end}", f"don't {end[:-1]} stop{end}'s  end", "plain text", ""):
+        assert list(encode(text)) == t.encode(text, add_special_tokens=False).ids, text
+    assert 50256 in encode(f"a{end}")
+
+
 def check_pieces(rows, texts, capacity=1024):
     from tokenizers import Tokenizer
     import public_tokenizers

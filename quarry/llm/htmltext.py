@@ -8,6 +8,11 @@ the shares of its best containers. Spark sums the votes for each host and path
 decides what is extracted from its pages. A page on which the winning path holds
 no text is extracted by the best container of its own.
 
+Elements named by furniture words are cut, but not those that hold more than half of
+the page's unlinked text (of its longest article or main, where it has one): these are
+wrappers, and the votes decide on them. Reader comments count as a wrapper only where
+nothing else of that text is left.
+
 Defined cases: null or empty html gives an empty text; pages without a url share
 one host; a tag cut off by the end of the html is dropped; an unclosed comment,
 script or style runs to the end; ties between paths go to more pages, then to the
@@ -53,15 +58,18 @@ FURNITURE_WORDS = {
     "sidebar", "header", "footer", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond",
     "disqus", "replies", "widget", "toolbar", "pagination", "pager", "login", "search", "masthead", "topbar", "skip",
 }
+COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "disqus", "replies"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("furniture", "link", "path", "tag")
+    __slots__ = ("furniture", "link", "main", "named", "path", "tag")
 
-    def __init__(self, tag: str, path: str, furniture: bool, link: bool):
+    def __init__(self, tag: str, path: str, furniture: bool, link: bool, named: tuple[int, ...] = (), main: tuple[int, ...] = ()):
         self.tag, self.path, self.furniture, self.link = tag, path, furniture, link
+        #: Numbers of the open elements named by furniture words, outermost first; and of the open articles and mains.
+        self.named, self.main = named, main
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -75,20 +83,29 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
     """(text, paths of the open containers outermost first, characters inside links) of each block outside furniture."""
     stack = [Element("", "", False, False)]
     out: list[tuple[str, list[str], int]] = []
-    parts: list[tuple[str, bool]] = []
+    inside: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
+    comments: list[bool] = []  # of each element named by furniture words
+    number: list[int] = []  # of the block of each piece
+    mains = done = 0
+    parts: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
     at = 0
 
-    def flush() -> None:
+    def flush(ends: bool = True) -> None:
+        nonlocal done
         if parts:
-            text = SPACE.sub(" ", "".join(p for p, _ in parts)).strip()
-            if text:
-                linked = sum(len(p) for p, link in parts if link)
-                out.append((text, [e.path for e in stack[1:] if e.tag not in INLINE], linked))
+            linked = sum(len(p) for p, link, *_ in parts if link)
+            out.append(("".join(p for p, *_ in parts), [e.path for e in stack[1:] if e.tag not in INLINE], linked))
+            inside.append(parts[0][2:])
+            number.append(done)
             parts.clear()
+        done += ends
 
     def said(text: str) -> None:
-        if text and not stack[-1].furniture:
-            parts.append((entities.unescape(text), stack[-1].link))
+        top = stack[-1]
+        if text and not top.furniture:
+            if parts and parts[-1][2] != top.named:  # an inline element named by furniture words begins or ends
+                flush(False)
+            parts.append((entities.unescape(text), top.link, top.named, top.main))
 
     def close(k: int) -> None:
         """Pops the stack down to the element at k, and that one."""
@@ -150,16 +167,54 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         names = found.get("class", "").lower()
         top = stack[-1]
         furniture = top.furniture or tag in FURNITURE or "hidden" in found or found.get("role", "").lower() in FURNITURE_ROLES
-        if not furniture and tag not in ("html", "body", "article", "main"):
-            furniture = not FURNITURE_WORDS.isdisjoint(WORD.findall(f"{names} {found.get('id', '').lower()}"))
+        named, main = top.named, top.main
+        if tag in ("article", "main"):
+            main, mains = (*main, mains), mains + 1
+        elif not furniture and tag not in ("html", "body"):
+            words = set(WORD.findall(f"{names} {found.get('id', '').lower()}"))
+            if not FURNITURE_WORDS.isdisjoint(words):
+                named = (*named, len(comments))
+                comments.append(not COMMENT_WORDS.isdisjoint(words))
         if tag in INLINE:
             path = top.path
         else:
             kind = ".".join([tag, *sorted(set(DIGITS.sub("0", names).split()))])
             path = f"{top.path}/{kind}" if top.path else kind
-        stack.append(Element(tag, path, furniture, top.link or tag == "a"))
+        stack.append(Element(tag, path, furniture, top.link or tag == "a", named, main))
     flush()
-    return out
+    cleared = wrappers([max(0, len(t.strip()) - linked) for t, _, linked in out], inside, comments) if comments else set()
+    whole: dict[int, tuple[str, list[str], int]] = {}
+    for k, (text, paths, linked), (named, _) in zip(number, out, inside, strict=True):
+        if cleared.issuperset(named):
+            before, _, more = whole.get(k, ("", paths, 0))
+            whole[k] = (before + text, paths, more + linked)
+    found_blocks = ((SPACE.sub(" ", text).strip(), paths, linked) for text, paths, linked in whole.values())
+    return [block for block in found_blocks if block[0]]
+
+
+def wrappers(sizes: list[int], inside: list[tuple[tuple[int, ...], tuple[int, ...]]], comments: list[bool]) -> set[int]:
+    """Elements named by furniture words that hold most of a page's text; ``inside``: the named elements and the articles around each block."""
+    by_main: dict[int, int] = {}
+    for size, (_, mains) in zip(sizes, inside, strict=True):
+        for k in mains:
+            by_main[k] = by_main.get(k, 0) + size
+    main = max(by_main, key=lambda k: (by_main[k], -k), default=None)
+    if main is not None and not by_main[main]:
+        main = None
+    judged = [(size, named) for size, (named, mains) in zip(sizes, inside, strict=True) if main is None or main in mains]
+    total = sum(size for size, _ in judged)
+    held = [0] * len(comments)
+    for size, named in judged:
+        for k in named:
+            held[k] += size
+    cleared: set[int] = set()
+    for k in range(len(comments)):  # outer elements come first
+        if 2 * held[k] <= total:
+            continue
+        if comments[k] and any(size and cleared.issuperset(named) for size, named in judged):
+            continue
+        cleared.add(k)
+    return cleared
 
 
 def container_scores(found: list[tuple[str, list[str], int]]) -> dict[str, float]:

@@ -179,6 +179,17 @@ def test_html_text():
     assert htmltext.text_at(htmltext.blocks("<p>x<!-- <p>no</p>"), None) == "x"
 
 
+def test_html_wrappers_named_by_furniture_words():
+    text = "long text of the page " * 20
+    for wrapper in ("class='content with-sidebar'", "class='has-sidebar'", "class='no-sidebar header-fixed'", "id='search-results-page'"):
+        for inner in (f"<p>{text}</p>", f"<article><p>{text}</p><div class='comments'><p>{text * 3}</p></div></article>"):
+            page = f"<body><div {wrapper}>{inner}<div class='sidebar'><p>side</p></div></div><div class='cookie'>cookies</div></body>"
+            assert htmltext.text_at(htmltext.blocks(page), None) == text.strip(), page
+    page = f"<main><h1>Title</h1><div class='content with-sidebar'><p>{text}</p></div><div class='related'><p>other</p></div></main>"
+    assert htmltext.text_at(htmltext.blocks(page), None) == f"Title {text.strip()}"
+    assert htmltext.text_at(htmltext.blocks("<p>one w<span class='ad'>x</span>ord"), None) == "one word"
+
+
 def test_html_hosts_vote(spark):
     """A host whose pages share a layout: the page with a long side block follows the others."""
     normal = "<body><div class='story'><p>" + "text " * 40 + "</p></div><div class='box'><p>short</p></div></body>"

@@ -1,6 +1,7 @@
 """Quality rules with line sequence labelling by a linear-chain conditional random field.
 
-Every line of a text gets 0/1 features; a two-state chain (content, boilerplate)
+Every line of a text gets 0/1 features, taken over all its words (those of furniture
+and lower-case words as bins of their share); a two-state chain (content, boilerplate)
 trained on labelled documents is decoded by Viterbi, and a document is kept when
 the base rules pass and content lines hold at least ``min_share`` of its words.
 
@@ -29,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 #: Words that a page's furniture uses and prose seldom does (fixed values).
 FURNITURE = {"cookie", "cookies", "subscribe", "newsletter", "login", "sign", "menu", "share", "click", "javascript", "copyright", "privacy", "terms", "advertisement"}
 REPEAT_WINDOW = 8
-N_FEATURES = 20
+N_FEATURES = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,10 +78,12 @@ def line_features(line: str, words: list[str], again: bool) -> list[int]:
         out.append(16)
     if letters > 14 * n or letters < 2 * n:
         out.append(17)
-    if not FURNITURE.isdisjoint(w.lower() for w in words[:12]):
-        out.append(18)
-    if any(w.isalpha() and w.islower() for w in words[:40]):
-        out.append(19)
+    furniture = sum(w.lower() in FURNITURE for w in words)
+    if furniture:
+        out.append(18 if 12 * furniture >= n else 20)
+    lower = sum(w.isalpha() and w.islower() for w in words)
+    if lower:
+        out.append(19 if 4 * lower >= n else 21)
     return out
 
 

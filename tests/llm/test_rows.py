@@ -44,6 +44,15 @@ def test_quality_tells_labels_apart(spark, data):
     assert kept.schema == docs.schema and 0 < kept.count() < docs.count()
 
 
+def test_line_features_read_all_words():
+    """Boilerplate and lower-case words count wherever they stand in a line."""
+    features = lambda line: set(quality.line_features(line, line.split(), False))
+    prose = "some words of a text " * 10
+    assert not {18, 20} & features(prose) and 20 in features(prose + "subscribe") and 18 in features(prose + "subscribe now share login " * 10)
+    caps = "WORDS " * 50
+    assert not {19, 21} & features(caps) and 21 in features(caps + "small") and 19 in features(caps + "small words " * 20)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     chain = quality.Chain(rng.normal(size=(quality.N_FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))

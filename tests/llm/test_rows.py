@@ -159,6 +159,15 @@ def test_pii_gradient():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4
 
 
+def test_pii_spans_without_digits_and_of_any_length():
+    """Spelled-out addresses without a digit, and long ones at every offset to the pieces."""
+    address, long = "jane.doe [at] mail [dot] org", "rosalinda.montgomery-featherstone [at] departmental-post [dot] org"
+    texts = [f"please write to {address} for more"] + [f"{('some words stand here ' * 9)[:k]} {long} and so on" for k in range(60, 124, 3)]
+    found = pii.tag_texts(pii.train(), texts)
+    assert [texts[0][a:b] for a, b in found[0]] == [address]
+    assert sum(any(long in t[a:b] for a, b in own) for t, own in zip(texts[1:], found[1:], strict=True)) == len(texts) - 1
+
+
 def test_reconcile_takes_the_best_total():
     found = [(0, 10, 3.0), (5, 15, 5.0), (12, 20, 3.0), (12, 20, 0.5)]
     assert pii.reconcile(found) == [(0, 10), (12, 20)] and pii.reconcile([]) == []

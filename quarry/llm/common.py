@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,10 +42,28 @@ def row_key() -> list[Column]:
     return row_key_of(F.col("doc_id"), F.col("text"))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """Every column, whatever its name holds."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(_row, _key): the columns of each row as one struct, and its join key."""
+    key = F.struct(*row_key_of(F.col("doc_id"), F.coalesce("text", F.lit("")))).alias("_key")
+    return docs.select(F.struct(*columns(docs)).alias("_row"), key)
+
+
+def plain_rows(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``_row``, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The shared folder of spark.checkpoint.dir; a local one only where a local session names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -54,10 +73,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/quarry-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to shared scratch and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to shared scratch, in folders ``by`` columns, and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

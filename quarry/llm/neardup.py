@@ -14,9 +14,9 @@ Then, in buckets that still hold several components, the members outside the
 largest one are compared with all members of other components. No link between
 different components is left out; pairs within a component can change nothing.
 
-Odds: a pair at the threshold shares no band with probability
+Odds, for independent minima: a pair at the threshold shares no band with probability
 (1 - 0.85^5)^25 = 4e-7, and falls under the estimate's margin (five standard
-deviations) with less than 1e-6.
+deviations) with less than 1e-6. A test measures both on pairs just over the threshold.
 
 Defined cases: null or empty text and text without words have an empty set, are
 linked with nothing and kept; a null doc_id is a document that sorts first and is
@@ -46,6 +46,7 @@ MARGIN = 0.16
 #: Candidates up to this many (16 bytes each) are broadcast to fetch their sets; beyond, a shuffled semi-join does.
 BROADCAST_ROWS = 1_000_000
 CENTRES = 3
+CLASS = "struct<d0: bigint, d1: bigint>"
 
 WORDS = re.compile(common.WORD)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -159,26 +160,27 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (small * 100 >= great * percent) & near & (estimate(a, b) >= percent / 100 - MARGIN)
 
 
-def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, hashes) of the classes: full shingle sets of their representatives."""
+def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, hashes) of the wanted classes (class, rep, rep_rk): full shingle sets of their representatives."""
     import pyarrow as pa
 
     rows = common.texts(docs).select("text", *common.row_key())
-    wanted = classes.select(F.col("rep").alias("_id"), F.col("rep_rk").alias("_rk"))
-    wanted = F.broadcast(wanted) if classes.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
+    wanted = wanted.select(F.col("rep").alias("_id"), F.col("rep_rk").alias("_rk"), "class").dropDuplicates(["_id", "_rk"])
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_rk"), pa.array(sets, pa.binary())], names=["rep", "rk", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sets, pa.binary())], names=["class", "hashes"])
 
-    return rows.join(wanted, ["_id", "_rk"], "left_semi").mapInArrow(lambda batches: common.released(run(batches)), "rep bigint, rk bigint, hashes binary").dropDuplicates(["rep", "rk"])
+    found = rows.join(wanted, ["_id", "_rk"]).select("class", "text")
+    return found.mapInArrow(lambda batches: common.released(run(batches)), f"class {CLASS}, hashes binary").dropDuplicates(["class"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs of class numbers whose full sets reach the threshold."""
+    """The (a, b) pairs of classes whose full sets reach the threshold."""
     import pyarrow as pa
 
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
@@ -196,48 +198,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(lambda batches: common.released(run(batches)), "a bigint, b bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(lambda batches: common.released(run(batches)), f"a {CLASS}, b {CLASS}")
+
+
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.class", f"{y}.class").alias("a"), F.greatest(f"{x}.class", f"{y}.class").alias("b")]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, _id, _rk, n_shingles, component_id, kept) of every row."""
     found = common.materialise(signatures(docs), "signatures")
-    # Classes of equal sets; the class number is the name's first half, its representative the smallest id.
+    # Classes of equal sets, named by both halves of the set's name; the representative has the smallest id.
     first = F.min(F.struct("_id", "_rk", "n_shingles", *SIGNATURE, "bands")).alias("top")
-    classes = found.filter("n_shingles > 0").groupBy("d0", "d1").agg(first)
-    classes = common.materialise(classes.select(F.xxhash64("d0", "d1").alias("class"), "top.*").withColumnsRenamed({"_id": "rep", "_rk": "rep_rk"}), "classes")
-    buckets = classes.select("class", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    member = common.materialise(buckets.join(shared, "bucket").join(classes.select("class", "rep", "n_shingles", *SIGNATURE), "class"), "members")
-    wanted = classes.join(member.select("class").distinct(), "class", "left_semi")
-    sets = candidate_sets(docs, wanted).join(wanted.select("rep", F.col("rep_rk").alias("rk"), "class"), ["rep", "rk"]).select("class", "hashes")
-    sets = common.materialise(sets, "sets")
-    # Every member against a few centres of its bucket.
-    body = F.struct("class", "n_shingles", *SIGNATURE)
-    orders = [F.min(F.struct("rep", body.alias("c"))).alias("c0"), *[F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("h"), body.alias("c"))).alias(f"c{k}") for k in range(1, CENTRES)]]
-    centres = member.groupBy("bucket").agg(*orders).select("bucket", F.explode(F.array(*[f"c{k}.c" for k in range(CENTRES)])).alias("y"))
-    tried = member.alias("x").join(centres, "bucket").filter(F.col("x.class") != F.col("y.class")).filter(may_link("x", "y", percent))
-    tried = common.materialise(tried.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct(), "tried")
-    links = common.materialise(confirmed(tried, sets, percent), "links")
+    classes = found.filter("n_shingles > 0").groupBy("d0", "d1").agg(first).select(F.struct("d0", "d1").alias("class"), "top.*")
+    classes = common.materialise(classes.withColumnsRenamed({"_id": "rep", "_rk": "rep_rk"}), "classes")
+    body = classes.select("class", "n_shingles", *SIGNATURE)
+    buckets = classes.select("class", "rep", F.explode("bands").alias("bucket"))
+    # A few centres of every bucket that holds several classes: ids only, with their bodies once a pair.
+    picks = [F.min(F.struct("rep", "class")).alias("c0"), *[F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("h"), "class")).alias(f"c{k}") for k in range(1, CENTRES)]]
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), *picks).filter("n > 1")
+    shared = shared.select("bucket", F.array_distinct(F.array(*[f"c{k}.class" for k in range(CENTRES)])).alias("centres"))
+    member = common.materialise(buckets.select("class", "bucket").join(shared, "bucket"), "members")
+    near = member.select("class", F.explode("centres").alias("y")).filter(F.col("class") != F.col("y"))
+    near = near.select(F.least("class", "y").alias("a"), F.greatest("class", "y").alias("b")).distinct()
+    tried = near.join(body.alias("x"), F.col("a") == F.col("x.class")).join(body.alias("y"), F.col("b") == F.col("y.class"))
+    tried = common.materialise(tried.filter(may_link("x", "y", percent)).select("a", "b"), "tried")
+    wanted = classes.select("class", "rep", "rep_rk").join(member.select("class").distinct(), "class", "left_semi")
+    sets = common.materialise(candidate_sets(docs, wanted), "sets")
+    label = graph.components(common.materialise(confirmed(tried, sets, percent), "links"))
     # Members outside the largest component of their bucket against the other components' members.
-    label = graph.components(links)
-    state = member.join(label.withColumnsRenamed({"node": "class", "component": "part"}), "class", "left").withColumn("part", F.coalesce("part", "class"))
-    state = common.materialise(state, "state")
+    state = member.select("class", "bucket").join(label.withColumnsRenamed({"node": "class", "component": "part"}), "class", "left")
+    state = common.materialise(state.withColumn("part", F.coalesce("part", "class")), "state")
     parts = state.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
     parts = parts.filter("parts > 1").select("bucket", F.col("most.part").alias("largest"))
-    open_ = state.join(parts, "bucket")
+    open_ = common.materialise(state.join(parts, "bucket").join(body, "class"), "open")
     outside = open_.filter(F.col("part") != F.col("largest"))
     more = outside.alias("x").join(open_.alias("y"), F.col("x.bucket") == F.col("y.bucket"))
     more = more.filter((F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.largest")) | (F.col("x.class") < F.col("y.class"))) & may_link("x", "y", percent))
-    more = more.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(common.materialise(confirmed(more, sets, percent), "more-links"))
+    more = common.materialise(confirmed(more.select(*ordered("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"), sets, percent), "more-links")
     # Components of classes, named by the smallest id of any document in them.
-    label = graph.components(links).withColumnsRenamed({"node": "class", "component": "part"}).join(classes.select("class", "rep"), "class")
+    label = graph.extended(label, more).withColumnsRenamed({"node": "class", "component": "part"}).join(classes.select("class", "rep"), "class")
     name = label.groupBy("part").agg(F.min("rep").alias("component"))
     linked = common.materialise(label.join(name, "part").select("class", "component"), "components")
-    own = classes.select("class", "rep")
-    rows = found.select("doc_id", "_id", "_rk", "n_shingles", F.xxhash64("d0", "d1").alias("class"))
-    rows = rows.join(own, "class", "left").join(linked, "class", "left")
+    rows = found.select("doc_id", "_id", "_rk", "n_shingles", F.struct("d0", "d1").alias("class"))
+    rows = rows.join(classes.select("class", "rep"), "class", "left").join(linked, "class", "left")
     lone = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("_id"))
     component = F.coalesce("component", lone)
     return rows.select(
@@ -249,8 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Rows of ``docs``, with their own columns, whose id names their component."""
     gone = common.materialise(near_duplicates(docs, percent).filter(~F.col("kept")).select("_id", "_rk").distinct(), "not-kept")
-    key = F.struct(*common.row_key_of(F.col("doc_id"), F.coalesce("text", F.lit("")))).alias("_key")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), key)
+    rows = common.keyed_rows(docs)
     gone = gone.select(F.struct("_id", "_rk").alias("_key"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
-    return rows.join(gone, "_key", "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return common.plain_rows(rows.join(gone, "_key", "left_anti"), docs)

@@ -165,13 +165,33 @@ def test_lines_cases(spark, odd, none):
 
 
 def test_runs_know_what_is_new(spark):
-    runs = linededup.LineRuns(spark, fanout=2)
+    """Every key lies in one run, counts come from runs and logs, and without the anti-join they would be wrong."""
     batch = lambda keys, d: spark.createDataFrame([(k, k, 1, d) for k in keys], "h1 bigint, h2 bigint, n_docs bigint, max_doc bigint")
-    for d, (keys, fresh) in enumerate([([1, 2, 3], {1, 2, 3}), ([2, 4], {4}), ([1, 4, 5], {5}), ([1], set())]):
-        run = runs.add(batch(keys, d))
-        assert {r.h1 for r in run.filter("first").collect()} == fresh
-    assert len(runs.runs()) < 4  # compacted
-    assert {(r.h1, r.max_doc) for r in runs.common_keys(3).collect()} == {(1, 3)}
+    batches = [([1, 2, 3], {1, 2, 3}), ([2, 4], {4}), ([1, 4, 5], {5}), ([1], set())]
+    runs = linededup.LineRuns(spark, fanout=2)
+    for d, (keys, fresh) in enumerate(batches):
+        run, log = runs.add(batch(keys, d))
+        assert {r.h1 for r in run.collect()} == fresh and {r.h1 for r in log.collect()} == set(keys) - fresh
+    assert len(runs.tables(True)) < 4  # compacted
+    assert sorted(r.h1 for r in runs.united(runs.tables(True)).collect()) == [1, 2, 3, 4, 5]
+    assert {(r.h1, r.max_doc) for r in runs.common_keys(3).collect()} == {(1, 3)} and {r.h1 for r in runs.common_keys(2).collect()} == {1, 2, 4}
+    blind = linededup.LineRuns(spark, fanout=9)
+    for d, (keys, _) in enumerate(batches):
+        blind.levels[0].append(blind._write(batch(keys, d), None, "run"))
+    assert blind.common_keys(3).count() == 0
+
+
+def test_names_of_columns_may_hold_dots(spark, odd):
+    named = odd.withColumnsRenamed({"lang": "a.b", "source": "c`d"})
+    for out in (linededup.drop_lines(named), neardup.keep_first(named)):
+        assert out.columns == named.columns and {r.doc_id for r in out.collect()} >= {None, 1, 2, 3}
+    assert linededup.drop_lines(named).filter("`a.b` = 'en'").count() == 10
+
+
+def test_many_common_keys_take_the_merge_join(spark, data, compare, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", 0)
+    got, want = compare(queries.QUERIES["op8_line_dedup"](spark, data), queries.ORACLES["op8_line_dedup"])
+    assert got == want
 
 
 # Near duplicates.
@@ -228,6 +248,43 @@ def test_signature_estimates():
     assert odd <= len(np.setxor1d(a, b))
 
 
+def test_recall_just_over_the_threshold():
+    """Pairs of sets at 0.85 to 0.88: nearly all share a band, and the estimate's margin holds."""
+    rng, seen, lost, low = np.random.default_rng(9), 0, 0, 0
+    for _ in range(2000):
+        n = int(rng.integers(60, 600))
+        own = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        both = int(np.ceil(rng.uniform(0.85, 0.88) * 2 * n / 1.86))
+        a, b = np.unique(own[:n]), np.unique(np.concatenate([own[:both], own[n : 2 * n - both]]))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        if true < 0.85:
+            continue
+        x, y = neardup.minima(a), neardup.minima(b)
+        lost += not set(neardup.band_keys(x)) & set(neardup.band_keys(y))
+        p, q = neardup.packed(x).view(np.uint64), neardup.packed(y).view(np.uint64)
+        equal = sum((int(v) >> s & 15) == (int(w) >> s & 15) for v, w in zip(p, q) for s in range(0, 64, 4))
+        low += (equal / neardup.MINIMA - 1 / 16) / (15 / 16) < 0.85 - neardup.MARGIN
+        seen += 1
+    assert seen > 1000 and lost == 0 and low == 0
+
+
+def test_components_after_more_edges(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    more = [(rng.randrange(300), rng.randrange(300)) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "a int, b int")
+    root = {k: k for k in range(300)}
+    for a, b in edges + more:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    from quarry.llm import graph
+
+    label = graph.extended(graph.components(frame(edges)), frame(more))
+    got = {r.node: r.component for r in label.collect()}
+    assert all(got[k] == root[k] for k in got) and set(got) >= {k for a, b in edges + more if a != b for k in (a, b)}
+    assert label.count() == len(got) and graph.components(frame([])).count() == 0
+
+
 def test_near_duplicate_cases(spark, odd, none):
     rows = {}
     for r in neardup.near_duplicates(odd).collect():

@@ -99,6 +99,12 @@ def release() -> None:
         return
 
 
+def settle(spark: SparkSession) -> None:
+    """Between jobs: the driver drops what nothing refers to, so that Spark's cleaner removes its shuffle files, broadcasts and checkpoints."""
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
 def released(batches):
     """The batches of a task, and then a release; Python workers live on after a task."""
     yield from batches

@@ -6,12 +6,18 @@ trained on labelled documents is decoded by Viterbi, and a document is kept when
 the base rules pass and content lines hold at least ``min_share`` of its words.
 
 The chain is fitted on at most ``sample`` labelled documents of each class (those
-with the smallest hashes of their ids); the label of a document is taken for all
-its lines. Without labels of both classes every line counts as content.
+with the smallest hashes of their ids), and at most ``lines`` lines of each, in
+pieces spread evenly over it. Labels belong to documents, lines have to be labelled
+by training itself: a first chain takes the document's label for all its lines;
+then lines go where that chain's emissions alone put them, unless most words of the
+document would contradict its label; the second chain learns from these, so that
+its transitions know where a text switches. Without labels of both classes every
+line counts as content.
 
 Defined cases: null or empty text has no words, fails the base rules and is not
 kept; ties between the states go to content; repeated rows give repeated results;
-a null doc_id stays null; other columns are carried by ``quality_filter`` only.
+a labelled id of several rows trains on one of them; a null doc_id stays null;
+other columns are carried by ``quality_filter`` only.
 """
 
 from __future__ import annotations
@@ -157,19 +163,39 @@ def all_content() -> Chain:
     return Chain(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.array([1.0, 0.0]))
 
 
-def train(sequences: list[tuple[list[list[int]], int]], steps: int = 80, rate: float = 0.15, ridge: float = 0.02, piece: int = 64) -> Chain:
-    """Maximum likelihood by gradient steps over padded batches; long sequences are cut into pieces for training."""
-    if len({label for _, label in sequences}) < 2:
+@dataclass
+class Piece:
+    """Lines of a labelled document: features, words and labels of each (0 content, 1 boilerplate), and the document's label."""
+
+    features: list[list[int]]
+    words: list[int]
+    labels: list[int]
+    document: int
+
+
+def relabelled(found: list[Piece], chain: Chain) -> list[Piece]:
+    """Lines by the emissions of a chain alone; a piece whose words would mostly contradict its document keeps its labels."""
+    lean = chain.emit[:, 1] - chain.emit[:, 0]
+    out = []
+    for p in found:
+        labels = [int(lean[own].sum() > 0) for own in p.features]
+        against = sum(n for n, k in zip(p.words, labels, strict=True) if k != p.document)
+        out.append(p if 2 * against > sum(p.words) else Piece(p.features, p.words, labels, p.document))
+    return out
+
+
+def train(cut: list[Piece], steps: int = 80, rate: float = 0.15, ridge: float = 0.02) -> Chain:
+    """Maximum likelihood by gradient steps over padded batches of pieces."""
+    if len({p.document for p in cut}) < 2:
         return all_content()
-    cut = [(f[k : k + piece], label) for f, label in sequences for k in range(0, len(f), piece)]
-    n, most = len(cut), max(len(f) for f, _ in cut)
-    x, y, on = np.zeros((n, most, N_FEATURES)), np.zeros((n, most), int), np.zeros((n, most))
+    n, most = len(cut), max(len(p.features) for p in cut)
+    x, y, on = np.zeros((n, most, N_FEATURES), np.float32), np.zeros((n, most), int), np.zeros((n, most))
     weight = np.zeros(n)
-    per_class = [sum(label == k for _, label in cut) for k in (0, 1)]
-    for i, (features, label) in enumerate(cut):
-        for k, own in enumerate(features):
+    per_class = [sum(p.document == k for p in cut) for k in (0, 1)]
+    for i, p in enumerate(cut):
+        for k, own in enumerate(p.features):
             x[i, k, own] = 1
-        y[i], on[i, : len(features)], weight[i] = label, 1, 1 / per_class[label] / len(features)
+        y[i, : len(p.labels)], on[i, : len(p.labels)], weight[i] = p.labels, 1, 1 / per_class[p.document] / len(p.labels)
     weight /= weight.sum()
     gold = np.eye(2)[y] * on[..., None]
     theta = [np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
@@ -203,26 +229,34 @@ def train(sequences: list[tuple[list[list[int]], int]], steps: int = 80, rate: f
     return Chain(*theta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 300) -> Chain:
-    """Chain fitted on at most ``sample`` labelled documents of each class."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
-    ids: dict[int, int] = {}
-    for quality in (0, 1):
-        for row in known.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect():
-            ids[row.doc_id] = quality
-    if len(set(ids.values())) < 2:
-        return all_content()
+def pieces(found: Analysis, lines: int, size: int = 64) -> list[tuple[list[list[int]], list[int]]]:
+    """(features, words) of pieces of ``size`` lines, at most ``lines`` in all, spread evenly over a text."""
+    starts = range(0, len(found.features), size)
+    most = max(1, lines // size)
+    if len(starts) > most:
+        starts = [starts[k * len(starts) // most] for k in range(most)]
+    return [(found.features[a : a + size], found.line_words[a : a + size]) for a in starts]
 
-    def features(batches):
-        import pandas as pd
 
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "features": [analyse(t).features for t in batch["text"]]})
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 300, lines: int = 256) -> Chain:
+    """Chain fitted on at most ``sample`` labelled documents of each class and ``lines`` lines of each."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = {q: [r.doc_id for r in known.filter(F.col("quality") == q).orderBy(*order).limit(sample).collect()] for q in (0, 1)}
+    label = {doc: 1 - q for q, own in chosen.items() for doc in own}
+    if len(set(label.values())) < 2:
+        return all_content()
 
-    chosen = common.texts(docs).filter(F.col("doc_id").isin(list(ids)))
-    rows = chosen.mapInPandas(features, "doc_id bigint, features array<array<int>>").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, len(r.features)))
-    return train([([list(f) for f in r.features], 1 - ids[r.doc_id]) for r in rows])
+    def judge(found: list[str]) -> dict[str, list]:
+        cut = [pieces(analyse(t), lines) for t in found]
+        return {"features": [[f for f, _ in own] for own in cut], "words": [[w for _, w in own] for own in cut]}
+
+    rows = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(label))).dropDuplicates(["doc_id"])
+    rows = common.map_texts(rows, judge, "features array<array<array<int>>>, words array<array<int>>").collect()
+    found = [Piece(f, w, [label[r.doc_id]] * len(f), label[r.doc_id]) for r in sorted(rows, key=lambda r: r.doc_id) for f, w in zip(r.features, r.words, strict=True)]
+    chain = train(relabelled(found, train(found)))
+    common.release()
+    return chain
 
 
 def quality_scan(docs: DataFrame, chain: Chain, min_share: float = 0.5) -> DataFrame:

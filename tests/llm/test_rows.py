@@ -44,6 +44,26 @@ def test_quality_tells_labels_apart(spark, data):
     assert kept.schema == docs.schema and 0 < kept.count() < docs.count()
 
 
+def test_lines_of_a_mixed_document_are_told_apart(spark, data):
+    """Half prose, half shouted or symbol lines: the chain switches where the text does, and transitions allow it."""
+    d = data.replace("sf0.001", "sf0.01")
+    docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
+    chain = quality.fit(docs, labels)
+    prose = [x for r in docs.join(labels.filter("quality = 1"), "doc_id").filter("lang = 'en'").limit(12).collect() for x in r.text.split("\n") if len(x.split()) > 15][:30]
+    junk = [" ".join(w.upper() + "!!" for w in x.split()) for x in prose[:6]] + [" ".join(w + "$$$" for w in x.split()) for x in prose[6:12]]
+    for lines, want in ((prose + junk, [0] * 30 + [1] * 12), (junk + prose, [1] * 12 + [0] * 30), (prose[:15] + junk + prose[15:], [0] * 15 + [1] * 12 + [0] * 15)):
+        found = quality.analyse("\n".join(lines))
+        path = chain.decode(found.features)
+        assert sum(a == b for a, b in zip(path, want, strict=True)) >= 40 and 0.2 < chain.content_share(found) < 0.95
+
+
+def test_training_pieces_are_bounded():
+    found = quality.analyse("\n".join(f"line {k} of the text" for k in range(5000)))
+    own = quality.pieces(found, 256)
+    assert [len(f) for f, _ in own] == [64] * 4 and own[0][0] == found.features[:64]
+    assert [len(f) for f, _ in quality.pieces(quality.analyse("a\nb"), 256)] == [2]
+
+
 def test_line_features_read_all_words():
     """Boilerplate and lower-case words count wherever they stand in a line."""
     features = lambda line: set(quality.line_features(line, line.split(), False))

@@ -3,12 +3,13 @@
 The guess cost of a value is the least sum, over all cuts of it into spans, of the
 log10 guesses of each span: dictionary words (any case, common substitutions;
 passwords first, then the words of a public vocabulary by their frequency there),
-dates, repeats of a unit, keyboard walks, or brute force a character. Values next
-to a credential word whose cost reaches ``min_cost`` become spans of kind
-``value``, unless they overlap a base span.
+dates, repeats (a unit of any length and all the copies that follow it), walks over
+neighbouring keys or through alphabet and digits (of three keys and more, cut
+anywhere), or brute force a character. Values next to a credential word whose cost
+reaches ``min_cost`` become spans of kind ``value``, unless they overlap a base span.
 
 Defined cases: null or empty text has no spans; very long values are costed whole
-(the work is linear in their length); repeated rows give repeated results; a null
+(the work is n log n in their length); repeated rows give repeated results; a null
 doc_id stays null; other columns are ignored.
 """
 
@@ -19,6 +20,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from quarry.llm import common
@@ -40,12 +42,32 @@ COMMON = (
     "football baseball soccer hockey shadow sunshine princess iloveyou trustno hello freedom whatever ninja mustang "
     "access batman superman starwars michael jordan thomas daniel robert maria anna test user root guest default "
     "changeme example company database server system manager service demo sample orange purple yellow silver golden "
-    "tiger lion eagle horse battery staple correct river mountain ocean coffee cookie flower computer internet"
+    "tiger lion eagle horse battery staple correct river mountain ocean coffee cookie flower computer internet "
+    "123456 12345678 123456789 123123 111111 654321 666666 qwerty123 abc123 1q2w3e 1q2w3e4r zaq12wsx qazwsx qazwsxedc "
+    "asdfgh zxcvbn passw0rd hunter killer pepper ginger buster jennifer joshua maggie charlie matthew andrew michelle "
+    "jessica ashley amanda nicole hannah chelsea arsenal liverpool barcelona samsung google pokemon naruto matrix "
+    "cheese chocolate butterfly rainbow diamond crystal phoenix thunder lucky money love angel devil heaven forever"
 ).split()
 LEET = str.maketrans("043157$@!", "oaeistsai")
-#: Keyboard rows of the walks (fixed values).
-ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
-NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
+#: Keyboard rows, each half a key to the right of the one above, and sequences (fixed values).
+ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
+WALK, STEP, TURN = math.log10(94), 0.2, math.log10(4)
+
+
+def neighbours() -> dict[tuple[str, str], int]:
+    """Direction of the step between two neighbouring keys: along a row, to the row below or above, or through a sequence."""
+    at = {key: (r, c) for r, row in enumerate(ROWS) for c, key in enumerate(row)}
+    ways = {(0, 1): 1, (0, -1): 2, (1, 0): 3, (1, -1): 4, (-1, 0): 5, (-1, 1): 6}
+    out = {(a, b): ways[way] for a, (r, c) in at.items() for b, (s, d) in at.items() if (way := (s - r, d - c)) in ways}
+    for row in SEQUENCES:
+        for a, b in zip(row, row[1:], strict=False):
+            out.setdefault((a, b), 7)
+            out.setdefault((b, a), 8)
+    return out
+
+
+NEXT = neighbours()
 LEAST_WORD = 4
 
 
@@ -70,7 +92,43 @@ DATES = (
     re.compile(r"(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])[-/.]?(?:19|20)\d\d"),
 )
 YEAR = re.compile(r"(?:19|20)\d\d")
-LONGEST_UNIT = 8
+
+
+def repetitions(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit) of the maximal stretches of two and more copies of a unit.
+
+    A stretch of unit u holds a multiple of u whose character comes again u later, so
+    those are looked at; stretches of a unit's multiples are those of the unit.
+    """
+    v = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    n, out = len(v), []
+
+    def agree(a: int, b: int, way: int) -> int:
+        """How far the value agrees from a and from b, forwards or, before them, backwards."""
+        x, y = (v[a:], v[b:]) if way > 0 else (v[:a][::-1], v[:b][::-1])
+        m, at, size = min(len(x), len(y)), 0, 32
+        while at < m:
+            differ = np.flatnonzero(x[at : min(at + size, m)] != y[at : min(at + size, m)])
+            if len(differ):
+                return at + int(differ[0])
+            at, size = at + size, 2 * size
+        return m
+
+    for unit in range(1, n // 2 + 1):
+        places = np.arange(0, n - unit, unit)
+        done = 0
+        for a in places[v[places] == v[places + unit]].tolist():
+            if a + unit < done:
+                continue
+            known = next((e for s, e, u in out if unit % u == 0 and s <= a < a + unit < e and e - s >= 2 * unit), 0)
+            if known:
+                done = known
+                continue
+            first, last = a - agree(a, a + unit, -1), a + unit + agree(a, a + unit, 1)
+            done = last
+            if last - first >= 2 * unit:
+                out.append((first, last, unit))
+    return out
 
 
 def class_size(ch: str) -> int:
@@ -98,35 +156,29 @@ def guess_cost(value: str) -> float:
             for pattern in DATES:
                 if m := pattern.match(value, i):
                     starts[i].append((m.end(), math.log10(365 * 120)))
-    i = 0
-    while i < n - 1:  # maximal keyboard walks; each may be cut anywhere
-        j = i
-        while j + 1 < n and (low[j], low[j + 1]) in NEXT:
-            j += 1
-        if j - i >= 2:
-            for a in range(i, j - 1):
-                for b in {a + 3, j + 1}:
-                    starts[a].append((b, math.log10(94) + math.log10(4) + 0.2 * (b - a)))
-        i = max(j, i + 1)
-    repeats: list[list[int]] = []  # by unit: how far the value goes on equal to itself, one unit later
-    for unit in range(1, min(LONGEST_UNIT, n // 2) + 1):
-        same = [0] * (n + 1)
-        for i in range(n - unit - 1, -1, -1):
-            same[i] = same[i + 1] + 1 if value[i] == value[i + unit] else 0
-        repeats.append(same)
+    for first, last, unit in repetitions(value):
+        inner = guess_cost(value[first : first + unit]) if unit > 1 else math.inf
+        whole = sum(brute[first : first + unit])  # the same for every rotation
+        for i in range(first, last - 2 * unit + 1):
+            times = (last - i) // unit
+            own = min(whole, unit_cost(value[i : i + unit]), inner if i == first else math.inf)
+            starts[i].append((i + unit * times, own + math.log10(times)))
     best = [math.inf] * (n + 1)
     best[0] = 0.0
+    short = long = math.inf  # best walks of two and of more keys that end before the present character
     for i in range(n):
-        one = best[i]
-        best[i + 1] = min(best[i + 1], one + brute[i])
+        here = best[i]
+        best[i + 1] = min(best[i + 1], here + brute[i])
         for end, cost in starts[i]:
-            best[end] = min(best[end], one + cost)
-        for unit, same in enumerate(repeats, 1):  # a unit, then its copies
-            times = 1 + same[i] // unit
-            if times >= 2:
-                cost = one + min(sum(brute[i : i + unit]), unit_cost(value[i : i + unit])) + math.log10(times)
-                end = i + unit * times
-                best[end] = min(best[end], cost)
+            best[end] = min(best[end], here + cost)
+        way = NEXT.get((low[i - 1], low[i])) if i else None
+        if way is None:
+            short = long = math.inf
+            continue
+        turn = TURN if i > 1 and NEXT.get((low[i - 2], low[i - 1])) != way else 0.0
+        long = min(short, long) + STEP + turn
+        short = best[i - 1] + WALK + TURN + 2 * STEP
+        best[i + 1] = min(best[i + 1], long)
     return best[n]
 
 
@@ -161,17 +213,18 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def secret_scan(docs: DataFrame, min_cost: float = 9.0) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_value, base_sha256, spans) of every row."""
+    """(doc_id, n_assign, n_access, n_hex, n_value, n_spans, base_sha256, spans) of every row."""
 
     def judge(found: list[str]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_value", "base_sha256", "spans")}
+        out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_value", "n_spans", "base_sha256", "spans")}
         for text in found:
             base = base_spans(text)
             spans = base + (value_spans(text, base, min_cost) if CUE.search(text) else [])
             for kind in KINDS:
                 out[f"n_{kind}"].append(sum(s[2] == kind for s in spans))
+            out["n_spans"].append(len(spans))
             out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
             out["spans"].append(joined(spans))
         return out
 
-    return common.map_texts(docs, judge, "n_assign bigint, n_access bigint, n_hex bigint, n_value bigint, base_sha256 string, spans string")
+    return common.map_texts(docs, judge, "n_assign bigint, n_access bigint, n_hex bigint, n_value bigint, n_spans bigint, base_sha256 string, spans string")

@@ -110,6 +110,42 @@ def test_guess_costs_order():
     assert cost("aaaa" * 5000) < 10 and cost("") == 0
 
 
+def test_repetitions_against_brute_force():
+    rng = random.Random(6)
+    for k in range(120):
+        value = "".join(rng.choice("ab" if k % 2 else "abc") for _ in range(rng.randint(0, 24)))
+        want = set()
+        for unit in range(1, len(value) // 2 + 1):
+            same = [value[j] == value[j + unit] for j in range(len(value) - unit)]
+            j = 0
+            while j < len(same):
+                e = j
+                while e < len(same) and same[e]:
+                    e += 1
+                if e - j >= unit:
+                    want.add((j, e + unit, unit))
+                j = max(e, j + 1)
+        least = {(s, e, u) for s, e, u in want if not any(u % d == 0 and d < u and a <= s and e <= b for a, b, d in want)}
+        assert set(secretscan.repetitions(value)) == least, value
+
+
+def test_guess_cost_spans_of_any_length():
+    cost, unit = secretscan.guess_cost, "kT9#vQz!2mXw7Rp"
+    assert cost(unit * 3) < cost(unit) + 1 and cost("dragon7dragon7") < cost("dragon7") + 0.5
+    assert cost("qazxdr") < cost("qzpmal") and cost("zaqwsxcde") < 9 and cost("asdfghjkl;'") < 5.5
+    assert cost("xqwertyuiop[]") - cost("x") < 6 and cost("lkjhgfdsapoiuyt") < 8.5
+
+
+def test_recall_of_planted_secrets():
+    """Random values in credential contexts are found; words, dates and walks in the same contexts are not."""
+    rng = random.Random(12)
+    contexts = ["password: {}", "pwd = {}", "the passphrase is {} for now", 'auth => "{}"', "access_key={}", "my credentials: {}, keep them", "private-key = {}"]
+    strong = ["".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%") for _ in range(rng.randint(11, 30))) for _ in range(300)]
+    weak = ["sunshine", "dragon1999", "qwertyuiop", "password123", "19900412", "letmein!", "football7", "aaaaaaaaaaaa", "abcdefgh", "Monkey12", "p4ssw0rd", "asdfghjkl"] * 10
+    hits = lambda values: sum(bool(secretscan.value_spans(t := rng.choice(contexts).format(v), [], 9.0)) and v in t for v in values) / len(values)
+    assert hits(strong) >= 0.95 and hits(weak) <= 0.02
+
+
 def brute_cost(value):
     """Best over all cuts into single characters and common words, for values of those alone."""
     best = [0.0] + [1e9] * len(value)
@@ -197,7 +233,7 @@ def test_pii_rows(spark, odd, none):
     text = "call (555) 123-4567 or mail me.2@mail3.example.com"
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(50, text)], "doc_id bigint, text string"))
     rows = {r.doc_id: r for r in pii.pii_scan(docs).collect()}
-    assert rows[50].n_email == 1 and rows[50].n_other >= 1 and rows[1].spans == ""
+    assert rows[50].n_email == 1 and rows[50].n_other >= 1 and rows[1].spans == "" and rows[50].n_spans == len(spans(rows[50].spans))
     assert pii.pii_scan(none).count() == 0
 
 

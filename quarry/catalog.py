@@ -1,7 +1,9 @@
 """Registered queries of the engine, by name, with DuckDB SQL where SQL can express them.
 
 ``documents`` stands for chunks (content: text, title: source), ``pages`` for
-fetched pages, ``embeddings`` for vectors. Literal inputs come as VALUES.
+fetched pages, ``embeddings`` for vectors. Inputs of other kinds (paths, tags,
+manifests, sitemaps) are made of the keys and names of the tables, one or more a row,
+so that each kind occurs at every scale; the SQL says what has to come out.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text, urls, versions
 from quarry.operators import chunking, frontier, lookup, paths, search, store, tree
-from quarry.plans import services
+from quarry.plans import engine, services, shared
 from quarry.sources import files, manifests, pages
 from quarry.streaming import incremental
 
@@ -37,8 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def literal(spark: SparkSession, values: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+def by_case(key: str, cases: list[str]) -> str:
+    """SQL, the same in both engines: one of the expressions by the remainder of a key."""
+    return f"CASE {key} % {len(cases)} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + " END"
 
 
 # Full-text search.
@@ -87,6 +90,78 @@ def bm25_relaxed_prefix(spark, sf_dir):
     return _top8(search.bm25(index, ANY_WORDS, prefix=True, match_all=False))
 
 
+def _library(spark, sf_dir, vectors: bool = False) -> engine.Library:
+    """Documents as chunks and as documents of their own, every third inactive, with an index of plain words."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = document_chunks(spark, sf_dir)
+    rows = chunks.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("path"), F.lit("").alias("context_path"), F.substring("text", 1, 220).alias("preview")), "chunk_id")
+    documents = docs.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 3 != 0).alias("active"), F.col("lang").alias("version_label"))
+    index = search.build_index(chunks, FIELDS, stemmed=False)
+    embeddings = _vectors(spark, sf_dir).drop("label") if vectors else None
+    probe = (lambda text: _probe(spark, sf_dir, 1)) if vectors else None
+    shared.shared_folder(spark)
+    return engine.Library(rows, documents, index, embeddings, probe)
+
+
+def _live(sql: str, condition: str = "TRUE") -> str:
+    """The best rows of a BM25 query among active documents, 20 of them."""
+    best = sql.rstrip().removesuffix("ORDER BY scored.bm25, chunk_id LIMIT 8")
+    return f"SELECT chunk_id, bm25, score FROM ({best}) WHERE chunk_id % 3 <> 0 AND {condition} ORDER BY bm25, chunk_id LIMIT 20"
+
+
+STRICT_SQL = _live(_bm25_sql([f"term = '{w}'" for w in AND_WORDS], True))
+RELAXED_QUERY = "how to use the Thanedb; erin or queelle?"
+RELAXED_SQL = _live(_bm25_sql([f"starts_with(term, '{w}')" for w in ("use", "thanedb", "erin", "queelle")], False))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+
+
+@query(STRICT_SQL)
+def keyword_search_strict(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return _found(search.keyword_search(lib.index, lib.rows(), " ".join(AND_WORDS)))
+
+
+@query(RELAXED_SQL)
+def keyword_search_relaxed(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    return _found(search.keyword_search(lib.index, lib.rows(), RELAXED_QUERY))
+
+
+@query(_live(_bm25_sql([f"term = '{w}'" for w in AND_WORDS], True), "chunk_id IN (SELECT doc_id FROM documents WHERE lang = 'en')").replace("LIMIT 20", "LIMIT 8"))
+def engine_search_word(spark, sf_dir):
+    return _found(engine.run_search(_library(spark, sf_dir), " ".join(AND_WORDS), "word", version="en"))
+
+
+@query(f"""
+WITH near AS (SELECT vec_id, list_cosine_distance(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)) AS d FROM embeddings e ORDER BY d, vec_id LIMIT 8)
+SELECT vec_id AS chunk_id, round(1 / (1 + d), 6) AS score FROM near WHERE vec_id % 3 <> 0 AND vec_id IN (SELECT doc_id FROM documents)
+""")
+def engine_search_vector(spark, sf_dir):
+    return engine.run_search(_library(spark, sf_dir, True), "anything", "meaning").select("chunk_id", F.round("score", 6).alias("score"))
+
+
+HYBRID_TERMS = ["use", "thanedb", "erin", "queelle"]
+HYBRID_SQL = f"""
+WITH words AS ({RELAXED_SQL}), near AS (
+    SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY d, vec_id) AS r
+    FROM (SELECT vec_id, list_cosine_distance(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)) AS d FROM embeddings e ORDER BY d, vec_id LIMIT 20) WHERE vec_id % 3 <> 0 AND vec_id IN (SELECT doc_id FROM documents)
+), lists AS (SELECT 0 AS list_idx, 1.2::DOUBLE AS weight, row_number() OVER (ORDER BY bm25, chunk_id) AS rank, chunk_id FROM words UNION ALL SELECT 1, 2.0, r, chunk_id FROM near),
+sums AS (SELECT chunk_id, sum(weight / (60 + rank)) AS base, min(rank) AS best, min(list_idx * 1000 + rank) AS first FROM lists GROUP BY chunk_id),
+fused AS (SELECT chunk_id, base + CASE WHEN best = 1 THEN 0.05::DOUBLE WHEN best <= 3 THEN 0.02::DOUBLE ELSE 0 END AS score, first FROM sums ORDER BY score DESC, first LIMIT 8)
+SELECT chunk_id, round(f.score + least(0.08, {" + ".join(f"CASE WHEN contains(lower(d.source), '{t}') THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN contains(lower(d.lang), '{t}') THEN 0.03::DOUBLE ELSE 0 END + CASE WHEN contains(lower(left(d.text, 220)), '{t}') THEN 0.005::DOUBLE ELSE 0 END" for t in HYBRID_TERMS)}), 6) AS score
+FROM fused f JOIN documents d ON d.doc_id = f.chunk_id
+"""
+
+
+@query(HYBRID_SQL)
+def engine_search_hybrid(spark, sf_dir):
+    """No row holds all words, so the relaxed list of its search terms and the vector list are fused and boosted."""
+    return engine.run_search(_library(spark, sf_dir, True), RELAXED_QUERY, "hybrid").select("chunk_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def bm25_stemmed_top8(spark, sf_dir):
     index = search.build_index(document_chunks(spark, sf_dir), FIELDS)
@@ -276,6 +351,72 @@ def status_counts(spark, sf_dir):
     return store.store_counts(docs, docs, vectors).withColumnRenamed("source_id", "source")
 
 
+@query("""
+SELECT doc_id AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN doc_id % 50 ELSE n_chars END AS token_count FROM documents
+""")
+def token_count_update(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").alias("token_count"))
+    return store.update_token_counts(docs, docs.filter("chunk_id % 4 = 0").select("chunk_id", (F.col("chunk_id") % 50).alias("token_count")))
+
+
+@query("""
+WITH fresh AS (SELECT doc_id % 100 AS d, doc_id FROM documents WHERE doc_id % 100 % 3 = 0 AND doc_id % 2 = 0)
+SELECT doc_id % 100 AS document_id, doc_id AS chunk_id, 'old' AS content FROM documents WHERE doc_id % 100 NOT IN (SELECT d FROM fresh) UNION ALL SELECT d, doc_id, 'new' FROM fresh
+""")
+def chunk_replace(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("document_id"), F.col("doc_id").alias("chunk_id"))
+    fresh = docs.filter("document_id % 3 = 0 and chunk_id % 2 = 0").withColumn("content", F.lit("new"))
+    return store.replace_chunks(docs.withColumn("content", F.lit("old")), fresh)
+
+
+@query("""
+SELECT vec_id AS chunk_id, CASE WHEN vec_id % 5 = 0 THEN 'b' ELSE 'a' END AS model, CASE WHEN vec_id % 4 = 0 THEN 1 ELSE len(embedding) END::INT AS n FROM embeddings
+""")
+def vector_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 5 == 0, "b").otherwise("a").alias("model"), "embedding")
+    fresh = rows.filter("chunk_id % 4 = 0").withColumn("embedding", F.slice("embedding", 1, 1))
+    return store.upsert_vectors(rows, fresh).select("chunk_id", "model", F.size("embedding").alias("n"))
+
+
+@query("""
+SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 THEN 'new' WHEN s_suppkey % 3 = 0 THEN 'new2' ELSE 'old' END AS commit_sha, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 't2' ELSE 't' END AS tree_hash FROM supplier
+""".replace("'new2'", "'old'"))
+def version_record(spark, sf_dir):
+    k = F.col("s_suppkey")
+    own = table(spark, sf_dir, "supplier").select(k.alias("source_id"), F.lit("1.x").alias("version_label"), F.lit("r").alias("ref"), F.lit("old").alias("commit_sha"), F.lit("t").alias("tree_hash"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("timestamp").alias("synced_at"))
+    odd = F.col("source_id") % 2 == 1
+    fresh = own.filter("source_id % 3 = 0").withColumn("commit_sha", F.when(odd, "new")).withColumn("tree_hash", F.when(~odd, "t2"))
+    return store.record_version(own, fresh).select("source_id", "commit_sha", "tree_hash")
+
+
+@query("""
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 4 = 0 THEN 'c2' ELSE 'c1' END ELSE 'c1' END AS last_commit, CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'bad' END ELSE 'was' END AS last_error FROM supplier
+""")
+def sync_record(spark, sf_dir):
+    no = F.lit(None).cast("string")
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(None).cast("timestamp").alias("last_sync_at"), F.lit("c1").alias("last_commit"), no.alias("last_etag"), F.lit("was").alias("last_error"))
+    good = F.col("id") % 4 == 0
+    ran = own.filter("id % 2 = 0").withColumn("last_commit", F.when(good, "c2")).withColumn("last_error", F.when(~good, "bad"))
+    return store.record_sync(own, ran).select("id", "last_commit", "last_error")
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 3 = 1")
+def unsynced_sources(spark, sf_dir):
+    return services.unsynced(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 != 1, F.current_timestamp()).alias("last_sync_at"))).select("id")
+
+
+@query("""
+WITH one AS (SELECT doc_id, text FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents WHERE doc_id % 3 <> 0))
+SELECT doc_id AS document_id, array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS payload FROM one
+""")
+def document_get(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    top = docs.filter("doc_id % 3 <> 0").agg(F.max("doc_id")).first()[0]
+    rows = docs.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("u").alias("uri"), F.sha2("text", 256).alias("hash"), (F.col("doc_id") % 3 != 0).alias("active"), F.lit("1.x").alias("version_label"))
+    blobs = docs.select(F.sha2("text", 256).alias("hash"), F.col("text").alias("content")).dropDuplicates(["hash"])
+    return lookup.sliced(lookup.by_path_or_uri(rows, blobs, f"docs/{top}.md", "1.x"), "1:2").select("document_id", "payload")
+
+
 # Text expressions.
 
 
@@ -288,14 +429,20 @@ def preview_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.preview(c).alias("preview"), text.approx_tokens(c).alias("tokens"), text.content_hash(c).alias("hash"))
 
 
-@query("""
-SELECT page_id, contains(html, '```') OR contains(html, '~~~') OR regexp_matches(html, '(?m)^(?: {4}|\\t).+') OR regexp_matches(html, '(?i)<(pre|code)[\\s>]') AS has_code,
-       regexp_matches(html, '(?s)```.*?```') OR regexp_matches(html, '(?s)~~~.*?~~~') OR regexp_matches(html, '`[^`]+`') AS has_snippets,
-       length(regexp_replace(html, '\\s+', '', 'g')) AS n FROM pages
+GATED = by_case("page_id", [
+    "html", "concat(html, chr(10), '```', chr(10), 'x', chr(10), '```')", "concat('a `b` c', page_id)", "concat('x', chr(10), '    indented ', page_id)", "concat('<PRE >', page_id, '</PRE>')", "concat('~~~ open ', page_id)", "concat('---', chr(10), 'k: v', chr(10), '---', chr(10), 'body ', page_id)",
+])
+
+
+@query(f"""
+SELECT page_id, page_id % 7 IN (1, 3, 4, 5) AS has_code, page_id % 7 IN (1, 2) AS has_snippets,
+       CASE WHEN page_id % 7 = 6 THEN 4 + length(page_id::VARCHAR) ELSE length(regexp_replace({GATED}, '\\s+', '', 'g')) END AS n FROM pages
 """)
 def code_gate(spark, sf_dir):
-    c = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", text.has_code(c).alias("has_code"), text.has_snippets(c).alias("has_snippets"), text.body_length(c).alias("n"))
+    """Pages with fences, inline code, indented lines, tags, open fences and front matter."""
+    c = F.col("body")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(GATED).alias("body"))
+    return rows.select("page_id", text.has_code(c).alias("has_code"), text.has_snippets(c).alias("has_snippets"), text.body_length(c).alias("n"))
 
 
 @query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS payload FROM documents")
@@ -310,12 +457,44 @@ def breadcrumb(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.breadcrumb(F.array("p_brand", F.lit(" "), "p_type", F.lit(None).cast("string"), "p_name", "p_name")).alias("crumb"))
 
 
-@query("""
-SELECT * FROM (VALUES ('src/a.ts', 'ts', 'typescript', FALSE), ('docs/x.md', 'md', 'md', TRUE), ('Dockerfile', 'dockerfile', 'dockerfile', FALSE), ('m/k.py', 'py', 'python', FALSE), ('Makefile', '', NULL, FALSE)) t(path, ext, language, is_doc)
+KIND_PATHS = by_case("doc_id", ["concat(source, '/', doc_id, '.ts')", "concat('docs/', doc_id, '.md')", "concat(source, '/Dockerfile')", "concat('m/', doc_id, '.PY')", "concat(source, '/Makefile')", "concat('a.b/', doc_id, '.tar.gz')"])
+
+
+@query(f"""
+SELECT doc_id, {KIND_PATHS} AS path, {by_case("doc_id", ["'ts'", "'md'", "'dockerfile'", "'py'", "''", "'gz'"])} AS ext,
+       {by_case("doc_id", ["'typescript'", "'md'", "'dockerfile'", "'python'", "NULL", "'gz'"])} AS language, doc_id % 6 = 1 AS is_doc FROM documents
 """)
 def file_kinds(spark, sf_dir):
-    rows = literal(spark, "('src/a.ts'), ('docs/x.md'), ('Dockerfile'), ('m/k.py'), ('Makefile')", "path")
-    return rows.select("path", text.extension(F.col("path")).alias("ext"), text.language(F.col("path")).alias("language"), text.is_doc(F.col("path")).alias("is_doc"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(KIND_PATHS).alias("path"))
+    return rows.select("doc_id", "path", text.extension(F.col("path")).alias("ext"), text.language(F.col("path")).alias("language"), text.is_doc(F.col("path")).alias("is_doc"))
+
+
+SLICES = by_case("doc_id", ["'1:2'", "'2'", "'a:b'", "'3:1'", "'1:500'", "'99999:100000'", "'1:400'"])
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, CASE WHEN doc_id % 7 = 6 THEN 400 ELSE 2 END AS last FROM documents)
+SELECT doc_id, {by_case("doc_id", ["''", "'slice must be start:end'", "'slice bounds must be numbers'", "'slice end lies before its start'", "'slice spans too many lines'", "'slice starts after the last line'", "''"])} AS error,
+       strlen(array_to_string(l[1:last], chr(10))) > 4096 AS long FROM d WHERE doc_id % 7 NOT IN (0, 6) OR strlen(array_to_string(l[1:last], chr(10))) <= 4096
+""")
+def slice_errors(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(SLICES).alias("spec"))
+    cut = F.octet_length(text.line_slice(F.col("text"), F.lit(1), F.when(F.col("doc_id") % 7 == 6, 400).otherwise(2)))
+    rows = rows.select("doc_id", F.coalesce(text.slice_error(F.col("text"), F.col("spec")), F.lit("")).alias("error"), (cut > 4096).alias("long"))
+    return rows.filter("doc_id % 7 not in (0, 6) or not long")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN length(p_name) <= 8 THEN p_name ELSE rtrim(left(p_name, 8)) END AS clamped, concat('```', CASE WHEN p_partkey % 2 = 0 THEN 'py' ELSE '' END, chr(10), p_name, chr(10), '```') AS fence,
+       CASE WHEN p_partkey % 3 = 0 THEN p_name END AS title, concat('gh://', p_brand, '/r@', p_size, '/', p_name) AS repo_uri, concat('web://h/', p_name) AS web_uri FROM part
+""")
+def text_forms(spark, sf_dir):
+    c, key = F.col("p_name"), F.col("p_partkey")
+    content = F.when(key % 3 == 0, F.concat(F.lit("\n \n# "), c, F.lit("  \nmore"))).otherwise(F.concat(F.lit("words\n# "), c))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.clamp(c, 8).alias("clamped"), text.code_fence(F.concat(c, F.lit(" \n")), F.when(key % 2 == 0, "py")).alias("fence"), text.document_title(content).alias("title"),
+        text.repo_uri(F.col("p_brand"), F.lit("r"), F.col("p_size").cast("string"), c).alias("repo_uri"), text.web_uri(F.lit("h"), F.concat(F.lit("/"), c)).alias("web_uri"),
+    )
 
 
 # Pages and URLs.
@@ -353,7 +532,28 @@ def link_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", links.alias("l")).select("page_id", F.size("l").cast("long").alias("n"), F.array_min("l").alias("least"))
 
 
-@query()
+def _replace_each_sql(source: str, column: str, pattern: str, change) -> str:
+    """A CTE body in which every match of a pattern is replaced by an expression of its first group."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT page_id, array_to_string(list_transform(range(1, len(o) + 1), lambda i: CASE WHEN i = 1 THEN o[1] ELSE {change("g[i - 1]", "h[i - 1]")} || o[i] END), '') AS {column}
+    FROM (SELECT page_id, string_split_regex({column}, '{p}') AS o, regexp_extract_all({column}, '{p}', 1) AS g, regexp_extract_all({column}, '{p}', {2 if "href" in p else 1}) AS h FROM {source})"""
+
+
+def _simple_markdown_sql() -> str:
+    inner = lambda x: f"trim(regexp_replace({x}, '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+    marked = lambda before, after: lambda g, h: f"'{before}' || {inner(g)} || '{after}'"
+    steps = [(rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", marked(f"\n{'#' * n} ", "\n")) for n in range(6, 0, -1)]
+    steps += [(r"(?is)<p[^>]*>(.*?)</p>", marked("\n", "\n")), (r"(?is)<li[^>]*>(.*?)</li>", marked("- ", "\n")), (r"(?is)<code[^>]*>(.*?)</code>", marked("`", "`"))]
+    steps.append((r'(?is)<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>', lambda g, h: f"CASE WHEN {inner(h)} <> '' THEN '[' || {inner(h)} || '](' || {g} || ')' ELSE {g} END"))
+    ctes = ["s0 AS (SELECT page_id, html AS t FROM pages)"] + [f"s{k + 1} AS ({_replace_each_sql(f's{k}', 't', p, c)})" for k, (p, c) in enumerate(steps)]
+    plain = "regexp_replace(t, '<[^>]+>', '', 'g')"
+    for entity, ch in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+        plain = f"replace({plain}, '{entity}', '{ch}')"
+    plain = f"regexp_replace(replace(replace({plain}, chr(13), ''), chr(9), '  '), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"WITH {', '.join(ctes)} SELECT page_id, trim({plain}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279)) AS markdown FROM s{len(steps)}"
+
+
+@query(_simple_markdown_sql())
 def html_simple_markdown(spark, sf_dir):
     return markdown.simple_markdown(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "markdown").drop("html")
 
@@ -363,15 +563,36 @@ def entity_decode(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markdown.decode_entities(F.col("html")).alias("html"))
 
 
-@query()
+#: Markdown on which every cleaning step fires, and what it becomes; {i} is the id.
+UNCLEAN = (
+    "<a name='top'></a>Title {i}\n=====\n\n## Table of Contents\n- [One](#one)\n  - [Two](#two)\n\nText [link](http://x/{i}) ![img](i.png) a<wbr>b <a href='/p'>page</a>\n- [gone](#gone)\n\n\n\n"
+    "Code `a\\_b` and c\\_d\n<style>p{}</style>end\nSub\n---\nItâs"
+)
+CLEAN = "# Title {i}\n\nText link (http://x/{i}) img ab page\n\nCode `a_b` and c\\_d\nend\n## Sub\nIt’s"
+
+
+def _of_id(template: str, cast: str) -> str:
+    return "replace('" + template.replace("'", "''") + f"', '{{i}}', CAST(doc_id AS {cast}))"
+
+
+@query(f"SELECT doc_id, {_of_id(CLEAN, 'VARCHAR')} AS text FROM documents")
 def sanitize_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", markdown.sanitize(F.col("text")).alias("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.lit(UNCLEAN), F.lit("{i}"), F.col("doc_id").cast("string")).alias("text"))
+    return rows.select("doc_id", markdown.sanitize(F.col("text")).alias("text"))
 
 
-@query("SELECT page_id, CASE WHEN length(regexp_replace(html, '\\s+', '', 'g')) < 400 THEN 'short body' WHEN len(regexp_extract_all(html, '<a ')) < 3 THEN 'few links' END AS reason FROM pages")
+@query(f"""
+WITH p AS (SELECT page_id, page_id % 18 AS m, CASE WHEN page_id % 19 = 5 THEN 'short' ELSE html END AS body, CASE WHEN page_id % 23 = 7 THEN 2 ELSE 9 END AS n FROM pages)
+SELECT page_id, CASE WHEN length(regexp_replace(body, '\\s+', '', 'g')) < 400 THEN 'short body' WHEN n < 3 THEN 'few links'
+       ELSE {by_case("page_id", [*["'mark: " + (next(x for x in markdown.SPA_MARKS if x in m)).replace("'", "''") + "'" for m in markdown.SPA_MARKS], "NULL"])} END AS reason FROM p
+""")
 def headless_decision(spark, sf_dir):
-    c = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", markdown.needs_rendering(c, c, F.size(F.regexp_extract_all(c, F.lit("<a "), F.lit(0)))).alias("reason"))
+    """Pages with every mark of a scripted page, short ones, and ones with few links."""
+    mark = F.lit("")
+    for k, m in enumerate(markdown.SPA_MARKS):
+        mark = F.when(F.col("page_id") % (len(markdown.SPA_MARKS) + 1) == k, F.lit(m.upper())).otherwise(mark)
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat("html", mark).alias("html"), F.when(F.col("page_id") % 19 == 5, "short").otherwise(F.col("html")).alias("body"), F.when(F.col("page_id") % 23 == 7, 2).otherwise(9).alias("n"))
+    return rows.select("page_id", markdown.needs_rendering(F.col("html"), F.col("body"), F.col("n")).alias("reason"))
 
 
 @query()
@@ -384,6 +605,15 @@ def page_documents(spark, sf_dir):
     return pages.page_documents(pages.extract_pages(table(spark, sf_dir, "pages")), "https://example.com/", need_code=False)
 
 
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages)
+SELECT page_id, root || '/a/' || page_id || ' https://o.org/x' AS links FROM p
+""")
+def markdown_link_targets(spark, sf_dir):
+    body = F.concat(F.lit("[a](/a/"), F.col("page_id").cast("string"), F.lit(") [b](#top) ![i](https://o.org/x) [m](mailto:x@y) [again](/a/"), F.col("page_id").cast("string"), F.lit(")"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(urls.markdown_links(body, F.col("url")), " ").alias("links"))
+
+
 # Frontier.
 
 
@@ -413,6 +643,18 @@ def frontier_insert(spark, sf_dir):
     return frontier.insert_new(known, f.filter("depth <> 0").select("source_id", "url", "depth")).join(known, ["source_id", "normalized_url"], "left_anti").select("normalized_url")
 
 
+@query(FRONTIER_SQL + """
+SELECT normalized_url, CASE WHEN depth = 2 THEN 'done' WHEN depth = 3 AND attempts % 2 = 0 THEN 'skipped' WHEN depth = 3 THEN 'failed' ELSE status END AS status, (attempts + (depth >= 2)::INT)::INT AS attempts FROM f
+QUALIFY count(*) OVER (PARTITION BY normalized_url) = 1
+""")
+def frontier_results(spark, sf_dir):
+    """Results without an error, with one that skips the page, and with another."""
+    f = _frontier(spark, sf_dir)
+    once = f.join(f.groupBy("normalized_url").count().filter("count = 1").select("normalized_url"), "normalized_url", "left_semi").select(*f.columns)
+    error = F.when(F.col("depth") == 3, F.when(F.col("attempts") % 2 == 0, "HTTP 404").otherwise("timeout"))
+    return frontier.apply_results(once, once.filter("depth >= 2").withColumn("error", error)).select("normalized_url", "status", "attempts")
+
+
 # Libraries and versions.
 
 
@@ -424,92 +666,191 @@ def library_match(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", lookup.match_score(F.col("s_name"), "Supplier#1").cast("int").alias("score"))
 
 
-TAGS = "(1, 0, 'v16.1.0'), (1, 1, 'v16.2.0'), (1, 2, 'v15.9.9'), (1, 3, 'v17.0.0-rc.1'), (2, 0, 'release-1.2.3'), (2, 1, '12.x'), (2, 2, '1.10.0')"
+TAGS = "concat('v', o_orderkey % 7, '.', o_orderkey % 13, '.', o_orderkey % 5, CASE WHEN o_orderkey % 11 = 0 THEN '-rc.1' ELSE '' END)"
+
+
+def _tags(spark, sf_dir) -> DataFrame:
+    """Tags of the customers' orders: (source_id, pos, tag)."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("pos"), F.expr(TAGS).alias("tag"))
+
+
+LATEST_SQL = f"""
+SELECT o_custkey AS source_id, concat(o_orderkey % 7, '.x') AS label, {TAGS} AS tag FROM orders WHERE o_orderkey % 11 <> 0
+QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 ORDER BY o_orderkey % 13 DESC, o_orderkey % 5 DESC, o_orderkey) = 1
+"""
 
 
-@query("SELECT * FROM (VALUES (1, '16.x', 'v16.2.0'), (1, '15.x', 'v15.9.9'), (2, '1.x', '1.10.0')) t(source_id, label, tag)")
+@query(LATEST_SQL)
 def version_latest_by_major(spark, sf_dir):
-    tags = literal(spark, TAGS, "source_id, pos, tag").filter(~versions.is_prerelease(F.col("tag")))
-    return versions.latest_by_major(tags)
+    return versions.latest_by_major(_tags(spark, sf_dir).filter(~versions.is_prerelease(F.col("tag"))))
+
 
+@query(f"SELECT source_id, label, tag FROM ({LATEST_SQL}) WHERE label = '3.x'")
+def version_latest_of_series(spark, sf_dir):
+    return versions.latest_of_series(_tags(spark, sf_dir).filter(~versions.is_prerelease(F.col("tag"))), "v3.x")
 
-@query("SELECT * FROM (VALUES (1, 'v16.1.0', '16.x'), (2, 'release-1.2.3', '1.x'), (3, 'main', 'main')) t(source_id, ref, label)")
+
+@query(f"""
+WITH first AS (SELECT o_custkey AS k, min_by({TAGS}, o_orderkey) AS tag, min(o_orderkey) % 7 AS major FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS source_id, coalesce(tag, 'main') AS ref, coalesce(concat(major::VARCHAR || '.x'), 'main') AS label FROM customer LEFT JOIN first ON k = c_custkey
+""".replace("concat(major::VARCHAR || '.x')", "major::VARCHAR || '.x'"))
 def version_default(spark, sf_dir):
-    return versions.default_version(literal(spark, TAGS, "source_id, pos, tag"), literal(spark, "(1, 'main'), (2, 'main'), (3, 'main')", "source_id, default_branch"))
+    sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.lit("main").alias("default_branch"))
+    return versions.default_version(_tags(spark, sf_dir), sources)
+
+
+@query(f"""
+WITH latest AS ({LATEST_SQL}),
+newest AS (SELECT source_id, label FROM latest QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY label DESC) <= 3),
+labels AS (SELECT source_id, label FROM newest UNION SELECT c_custkey, '1.x' FROM customer WHERE c_custkey % 4 = 0 UNION SELECT c_custkey, 'next' FROM customer WHERE c_custkey % 5 = 0)
+SELECT l.source_id, l.label, CASE WHEN l.label = '1.x' AND l.source_id % 4 = 0 THEN 'v1.0.0' ELSE coalesce(t.tag, 'main') END AS ref FROM labels l LEFT JOIN latest t USING (source_id, label)
+""")
+def version_plan(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"))
+    recorded = customers.filter("source_id % 4 = 0").select("source_id", F.lit("1.x").alias("version_label"), F.lit("v1.0.0").alias("ref"))
+    own = F.when(F.col("source_id") % 5 == 0, "next")
+    sources = customers.select("source_id", own.alias("version_label"), F.lit(None).cast("string").alias("ref"), F.lit("main").alias("default_branch"))
+    return versions.version_plan(_tags(spark, sf_dir).filter(~versions.is_prerelease(F.col("tag"))), sources, recorded)
 
 
-@query("SELECT * FROM (VALUES ('^4.0.0', '4.x', NULL), ('v16.2.3', '16.x', NULL), ('>= 0.25', '0.x', NULL), ('*', NULL, NULL), ('16.x', '16.x', 16), ('v17.x', '17.x', 17)) t(v, label, series)")
+LABELS = by_case("p_partkey", ["concat('^', p_size, '.0.0')", "concat('v', p_size, '.2.3')", "concat('>= 0.', p_size)", "'*'", "concat(p_size, '.x')", "concat('v', p_size, '.x')"])
+
+
+@query(f"""
+SELECT p_partkey, {LABELS} AS v, {by_case("p_partkey", ["concat(p_size, '.x')", "concat(p_size, '.x')", "'0.x'", "NULL", "concat(p_size, '.x')", "concat(p_size, '.x')"])} AS label,
+       CASE WHEN p_partkey % 6 >= 4 THEN p_size END AS series FROM part
+""")
 def version_labels(spark, sf_dir):
-    return literal(spark, "('^4.0.0'), ('v16.2.3'), ('>= 0.25'), ('*'), ('16.x'), ('v17.x')", "v").select("v", versions.suggested_label(F.col("v")).alias("label"), versions.series(F.col("v")).alias("series"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(LABELS).alias("v"))
+    return rows.select("p_partkey", "v", versions.suggested_label(F.col("v")).alias("label"), versions.series(F.col("v")).alias("series"))
 
 
-FILE_ROWS = "('README.md', 10L), ('logo.png', 10L), ('Dockerfile', 10L), ('.env', 10L), ('bundle.min.js', 10L), ('big.md', 9000000L), ('src/vendor/x.go', 10L), ('a/b.ts', 10L), ('x.unknown', 1L)"
+FILE_PATHS = by_case("doc_id", [
+    "concat('docs/', doc_id, '.md')", "concat('img/', doc_id, '.png')", "concat('svc', doc_id, '/Dockerfile')", "concat('.github/', doc_id, '.yml')", "concat('js/', doc_id, '.min.js')",
+    "concat('src/vendor/', doc_id, '.go')", "concat('a/', doc_id, '.ts')", "concat('x/', doc_id, '.unknown')", "concat('x', doc_id, '/package-lock.json')", "concat('cypress/videos/', doc_id, '.md')",
+    "concat('notes/', doc_id)", "concat('docs/draft-', doc_id, '.md')",
+])
+FILE_REASONS = by_case("doc_id", ["NULL", "'extension'", "NULL", "'directory'", "'path_ending'", "'directory'", "NULL", "'not_listed'", "'file_name'", "'path_part'", "'no_extension'", "NULL"])
 
 
-@query("""
-SELECT * FROM (VALUES ('README.md', NULL), ('logo.png', 'extension'), ('Dockerfile', NULL), ('.env', 'directory'), ('bundle.min.js', 'path_ending'), ('big.md', 'file_too_large'),
-('src/vendor/x.go', 'directory'), ('a/b.ts', NULL), ('x.unknown', 'not_listed')) t(path, reason)
+@query(f"""
+SELECT doc_id, coalesce({FILE_REASONS}, CASE WHEN n_chars * 1000 > 5242880 THEN 'file_too_large' END) AS reason,
+       coalesce({FILE_REASONS}, CASE WHEN doc_id % 12 NOT IN (0, 6, 11) THEN 'not_included' WHEN doc_id % 12 = 11 THEN 'excluded' WHEN n_chars * 1000 > 5242880 THEN 'file_too_large' END) AS chosen FROM documents
 """)
 def path_filter(spark, sf_dir):
-    return literal(spark, FILE_ROWS, "path, size").select("path", paths.skip_reason(F.col("path"), F.col("size")).alias("reason"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(FILE_PATHS).alias("path"), (F.col("n_chars") * 1000).alias("size"))
+    chosen = paths.skip_reason(F.col("path"), F.col("size"), include=["docs/**/*.md", "[a-c]/*.{ts,js}"], exclude=["**/draft-*"])
+    return rows.select("doc_id", paths.skip_reason(F.col("path"), F.col("size")).alias("reason"), chosen.alias("chosen"))
 
 
+#: path, content, and the rows that come out, by the remainder of doc_id; {i} is the id and {v} a number of it.
 MANIFESTS = [
-    ("package.json", '{"dependencies": {"hono": "^4.0.0"}, "devDependencies": {"typescript": "5"}}'),
-    ("api/composer.json", '{"require": {"laravel/framework": "^11.0"}, "require-dev": {"phpunit": "1"}}'),
-    ("py/pyproject.toml", '[tool.poetry.dependencies]\npython = "3.12"\nfastapi = "0.110"\n[project]\ndependencies = ["httpx >= 0.25"]\n'),
-    ("py/requirements.txt", "# c\nrequests==2.31.0\nflask\n"),
-    ("go.mod", "module x\nrequire (\n\tgithub.com/pkg/errors v0.9.1\n)\n"),
-    ("Cargo.toml", '[dependencies]\nserde = "1.0"\nreqwest = { version = "0.12", features = ["json"] }\n'),
-    ("Gemfile", 'gem "rails", "7.1"\n'),
-    ("pom.xml", "<dependency><groupId>org.junit.jupiter</groupId><artifactId>junit-jupiter</artifactId><version>5.10</version></dependency>"),
-    ("build.gradle", "dependencies {\n implementation 'com.squareup.okhttp3:okhttp:4.12.0'\n}\n"),
-    ("node_modules/x/package.json", '{"dependencies": {"hidden": "1"}}'),
+    ("p{i}/package.json", '{{"dependencies": {{"hono{i}": "^{v}.0.0"}}, "devDependencies": {{"typescript": "5"}}, "peerDependencies": {{"esbuild-linux-x64": "1"}}}}', [("hono{i}", "^{v}.0.0", "{v}.x")]),
+    ("p{i}/composer.json", '{{"require": {{"laravel/f{i}": "{v}"}}, "require-dev": {{"phpunit": "1"}}}}', [("laravel/f{i}", "{v}", "{v}.x")]),
+    ("p{i}/pyproject.toml", '[tool.poetry.dependencies]\npython = "3.12"\nfast{i} = "0.{v}"\n[project]\ndependencies = ["httpx >= {v}.25"]\n', [("fast{i}", "0.{v}", "0.x"), ("httpx", ">= {v}.25", "{v}.x")]),
+    ("p{i}/requirements.txt", "# c\nrequests{i}=={v}.31.0\nflask\n", [("requests{i}", "{v}.31.0", "{v}.x"), ("flask", "*", None)]),
+    ("p{i}/go.mod", "module x\nrequire (\n\tgithub.com/pkg/e{i} v{v}.9.1\n)\n", [("github.com/pkg/e{i}", "v{v}.9.1", "{v}.x")]),
+    ("p{i}/Cargo.toml", '[dependencies]\nserde{i} = "{v}.0"\nreq = {{ version = "0.{v}", features = ["json"] }}\n[dev-dependencies]\nno = "1"\n', [("serde{i}", "{v}.0", "{v}.x"), ("req", "0.{v}", "0.x")]),
+    ("p{i}/Gemfile", 'gem "rails{i}", "{v}.1"\n', [("rails{i}", "{v}.1", "{v}.x")]),
+    ("p{i}/pom.xml", "<dependency><groupId>g{i}</groupId><artifactId>a</artifactId><version>{v}.10</version></dependency><dependency><groupId>g</groupId><artifactId>t</artifactId><scope>test</scope></dependency>", [("g{i}:a", "{v}.10", "{v}.x")]),
+    ("p{i}/build.gradle", "dependencies {{\n implementation 'com.s{i}:okhttp:{v}.12.0'\n}}\n", [("com.s{i}:okhttp", "{v}.12.0", "{v}.x")]),
+    ("p{i}/Pipfile", '[packages]\nq{i} = "=={v}.2"\n[dev-packages]\nno = "1"\n', [("q{i}", "=={v}.2", "{v}.x")]),
+    ("p{i}/node_modules/x/package.json", '{{"dependencies": {{"hidden": "1"}}}}', []),
 ]
 
 
-@query("""
-SELECT * FROM (VALUES ('package.json', 'hono', '^4.0.0', '4.x'), ('api/composer.json', 'laravel/framework', '^11.0', '11.x'), ('py/pyproject.toml', 'fastapi', '0.110', '0.x'),
-('py/pyproject.toml', 'httpx', '>= 0.25', '0.x'), ('py/requirements.txt', 'requests', '2.31.0', '2.x'), ('py/requirements.txt', 'flask', '*', NULL), ('go.mod', 'github.com/pkg/errors', 'v0.9.1', '0.x'),
-('Cargo.toml', 'serde', '1.0', '1.x'), ('Cargo.toml', 'reqwest', '0.12', '0.x'), ('Gemfile', 'rails', '7.1', '7.x'), ('pom.xml', 'org.junit.jupiter:junit-jupiter', '5.10', '5.x'),
-('build.gradle', 'com.squareup.okhttp3:okhttp', '4.12.0', '4.x')) t(manifest, name, version, label)
-""")
+def filled(template: str | None) -> str:
+    """SQL of a template."""
+    if template is None:
+        return "NULL"
+    plain = template.replace("{{", "{").replace("}}", "}").replace("'", "''")
+    return "replace(replace('" + plain + "', '{i}', CAST(doc_id AS STRING)), '{v}', CAST(n_chars % 90 AS STRING))"
+
+
+@query(" UNION ALL ".join(
+    f"SELECT {filled(path)} AS manifest, {filled(name)} AS name, {filled(version)} AS version, {filled(label)} AS label FROM documents WHERE doc_id % {len(MANIFESTS)} = {k}"
+    for k, (path, _, rows) in enumerate(MANIFESTS) for name, version, label in rows
+))
 def manifest_dependencies(spark, sf_dir):
-    return manifests.detected(spark.createDataFrame(MANIFESTS, "path string, content string"))
+    docs = table(spark, sf_dir, "documents")
+    value = lambda k: F.expr(filled(k))
+    kind = F.col("doc_id") % len(MANIFESTS)
+    path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (p, c, _) in enumerate(MANIFESTS):
+        path, content = F.when(kind == k, value(p)).otherwise(path), F.when(kind == k, value(c.replace("\n", "\\n").replace("\t", "\\t"))).otherwise(content)
+    return manifests.detected(docs.select(path.alias("path"), content.alias("content")))
 
 
 # Discovery.
 
-SITEMAP = "<?xml?><urlset><url><loc>https://e.com/docs/a?x=1&amp;y=2</loc></url><url><loc> https://e.com/blog/b </loc></url></urlset>"
-
 
-@query("SELECT * FROM (VALUES ('https://e.com/docs/a?x=1&y=2'), ('https://e.com/blog/b')) t(url)")
+@query("SELECT DISTINCT url FROM pages")
 def sitemap_pages(spark, sf_dir):
-    index = "<sitemapindex><sitemap><loc>https://e.com/s1.xml</loc></sitemap></sitemapindex>"
-    content = spark.createDataFrame([("https://e.com/sitemap.xml", index), ("https://e.com/s1.xml", SITEMAP)], "url string, content string")
-    return files.read_sitemaps(content.filter("url like '%sitemap.xml'").select("url"), content)
+    """Every host's pages in a sitemap of its own, and an index of these."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    entry = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    own = table(spark, sf_dir, "pages").groupBy(F.concat(F.lit("https://"), host, F.lit("/s.xml")).alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("content"))
+    listed = F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), "")
+    index = own.agg(F.lit("https://example.com/sitemap.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), listed, F.lit("</sitemapindex>")).alias("content"))
+    return files.read_sitemaps(index.select("url"), index.unionByName(own))
 
 
-@query("SELECT * FROM (VALUES (1, 'https://e.com/docs/a'), (1, 'https://e.com/docs/b'), (2, 'https://x.org/only')) t(source_id, url)")
+@query("""
+SELECT page_id AS source_id, unnest(CASE WHEN page_id % 3 = 0 THEN [url, 'https://e.com/docs/' || page_id] WHEN page_id % 3 = 1 THEN ['https://x.org/' || page_id] ELSE [] END) AS url FROM pages
+""")
 def llms_links(spark, sf_dir):
-    rows = [(1, 0, "# T\n- [A](https://e.com/docs/a): x\nhttps://e.com/docs/b\n| no |"), (1, 1, "- [C](https://e.com/c)"), (2, 0, "nothing"), (2, 1, "- https://x.org/only")]
-    return files.manifest_links(spark.createDataFrame(rows, "source_id int, rank int, content string")).select("source_id", "url")
+    """A manifest with a link and a bare address, one whose second file alone lists anything, and one that lists nothing."""
+    pages_ = table(spark, sf_dir, "pages")
+    key = F.col("page_id").cast("string")
+    full = F.concat(F.lit("# T https://no.example\n- [A]("), "url", F.lit("): x\nhttps://e.com/docs/"), key, F.lit("\n| no |\n- [rel](docs/x)"))
+    first = pages_.select(F.col("page_id").alias("source_id"), F.lit(0).alias("rank"), F.when(F.col("page_id") % 3 == 0, full).otherwise("nothing").alias("content"))
+    second = pages_.filter("page_id % 3 < 2").select(F.col("page_id").alias("source_id"), F.lit(1).alias("rank"), F.concat(F.lit("- https://x.org/"), key).alias("content"))
+    return files.manifest_links(first.unionByName(second)).select("source_id", "url")
 
 
-@query("SELECT * FROM (VALUES (1, 'https://e.com/a.xml'), (1, 'https://e.com/b.xml'), (1, 'https://cdn.e.com/c.xml')) t(source_id, url)")
+@query("""
+WITH r AS (SELECT page_id, url, regexp_extract(url, '^(https?):', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)
+SELECT page_id AS source_id, unnest([scheme || '://' || host || '/a.xml', scheme || '://' || host || '/b' || page_id || '.xml', scheme || '://cdn.e.com/c.xml', scheme || '://d.e.com/d.xml']) AS url FROM r
+""")
 def robots_sitemaps(spark, sf_dir):
-    rows = [(1, "https://e.com/docs", "User-agent: *\nSitemap: https://e.com/a.xml\nsitemap: /b.xml\nSITEMAP: //cdn.e.com/c.xml\n")]
-    return files.robots_sitemaps(spark.createDataFrame(rows, "source_id int, root string, content string")).select("source_id", "url")
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    scheme = F.regexp_extract("url", "^(https?):", 1)
+    lines = F.concat(F.lit("User-agent: *\nSitemap: "), scheme, F.lit("://"), host, F.lit("/a.xml\n sitemap: /b"), F.col("page_id").cast("string"), F.lit(".xml\nSITEMAP: //cdn.e.com/c.xml\nSitemap:d.e.com/d.xml\nDisallow: /x"))
+    return files.robots_sitemaps(table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), F.col("url").alias("root"), lines.alias("content"))).select("source_id", "url")
 
 
-@query("SELECT * FROM (VALUES ('demo/repo'), ('Example Docs')) t(name)")
+@query("""
+WITH s AS (SELECT s_suppkey AS pos, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'github|o' || s_suppkey % 26 || '|repo|' ELSE 'web|https://h' || s_suppkey % 30 || '.com/docs' END AS key FROM supplier)
+SELECT name FROM s WHERE pos % 26 <> 4 OR pos % 2 = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos) = 1
+""")
 def seed_dedupe(spark, sf_dir):
-    yaml = """
-- {name: demo/repo, type: github, url: "https://github.com/demo/repo", docs: docs}
-- {name: Example Docs, type: web, url: "https://example.com/docs/", allow: [/docs], deny: [/blog], depth: 2, pages: 50}
-- {name: again, type: github, url: "https://github.com/Demo/repo/", docs: /docs/}
-"""
-    return files.new_seeds(files.read_seeds(spark, yaml), spark.createDataFrame([], "key string")).select("name")
+    """Repositories in other spellings and web roots with and without a slash; one repository is known."""
+    k = F.col("s_suppkey")
+    n = lambda m: (k % m).cast("string")
+    repo = F.concat(F.when(k % 3 == 0, "https://github.com/O").otherwise("https://github.com/o"), n(26), F.when(k % 5 == 0, "/Repo/").otherwise("/repo"))
+    web = F.concat(F.lit("https://h"), n(30), F.when(k % 4 == 1, ".com/docs/").otherwise(".COM/docs"))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("pos"), F.col("s_name").alias("name"), F.when(k % 2 == 0, "github").otherwise("web").alias("type"), F.when(k % 2 == 0, repo).otherwise(web).alias("url"), F.lit(None).cast("string").alias("docs"))
+    return files.new_seeds(rows, spark.createDataFrame([("github|o4|repo|",)], "key string")).select("name")
+
+
+@query("SELECT s_suppkey AS source_id FROM supplier WHERE s_suppkey % 4 = 3 OR (s_suppkey % 4 = 2)")
+def changed_archives(spark, sf_dir):
+    """Weak and strong tags that agree, commits that agree, others, and sources never synced."""
+    k = F.col("s_suppkey")
+    key = k.cast("string")
+    landing = table(spark, sf_dir, "supplier").select(k.alias("source_id"), F.concat(F.lit('W/"'), key, F.lit('"')).alias("etag"), F.concat(F.lit("c"), key).alias("commit_sha"))
+    was = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 3").select(k.alias("source_id"), F.when(k % 4 == 0, F.concat(F.lit('"'), key, F.lit('"'))).otherwise(F.lit("old")).alias("etag"), F.when(k % 4 == 1, F.concat(F.lit("c"), key)).otherwise(F.lit("b")).alias("commit_sha"))
+    return files.changed_archives(landing, was).select("source_id")
+
+
+@query("""
+SELECT url, min(page_id) AS pos FROM pages WHERE lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) = (SELECT min(lower(regexp_extract(url, '^https?://([^/?#]+)', 1))) FROM pages) GROUP BY url
+""")
+def url_discovery(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    host = p.agg(F.min(F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)))).first()[0]
+    lists = p.select(F.lit(0).alias("list"), F.col("page_id").alias("pos"), "url").unionByName(p.select(F.lit(1).alias("list"), F.col("page_id").alias("pos"), "url"))
+    return files.discovered(lists, f"https://{host}/").select("url", F.col("pos.pos").alias("pos"))
 
 
 # Services.
@@ -527,25 +868,47 @@ def source_rows(spark, sf_dir):
     return out
 
 
-SOURCE_ROWS = "(1L, 'next', 'vercel', 'next.js', '16.x'), (2L, 'nextra', 'shuding', 'nextra', NULL), (3L, 'django', 'django', 'django', '5.x')"
-VERSION_ROWS = "(1L, '15.x', TIMESTAMP'2024-01-01'), (1L, '16.x', TIMESTAMP'2024-02-01'), (2L, '3.x', TIMESTAMP'2024-03-01')"
+def _libraries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as sources; their versions from orders of the same number."""
+    k = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("own"), F.col("s_nationkey").cast("string")).alias("owner"), F.concat(F.lit("repo"), k.cast("string")).alias("repo"), F.when(k % 3 == 0, "5.x").alias("version_label"))
+    found = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.concat((F.col("o_orderkey") % 4).cast("string"), F.lit(".x")).alias("version_label"), F.col("o_orderdate").alias("synced_at"))
+    return sources, found
+
+
+LIBRARIES_SQL = """
+WITH src AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN '5.x' END AS own FROM supplier),
+v AS (SELECT o_custkey AS id, concat(o_orderkey % 4, '.x') AS label, max(o_orderdate) AS seen FROM orders GROUP BY ALL),
+lists AS (SELECT id, list(label ORDER BY seen DESC, label DESC) AS l FROM v GROUP BY id),
+lib AS (SELECT src.id, name, CASE WHEN instr(lower(name), 'supplier#0000000') > 0 THEN 80 ELSE 0 END AS score,
+        list_concat(CASE WHEN own IS NULL THEN [] ELSE [own] END, coalesce(l, [])) AS versions FROM src LEFT JOIN lists USING (id))
+"""
 
 
-@query("SELECT * FROM (VALUES (1, 'next', 100, ['16.x', '15.x']), (2, 'nextra', 80, ['3.x'])) t(id, name, score, versions)")
+@query(LIBRARIES_SQL + "SELECT id, name, score, versions FROM lib WHERE score > 0 ORDER BY score DESC, name LIMIT 20")
 def library_search(spark, sf_dir):
-    sources = literal(spark, SOURCE_ROWS, "id, name, owner, repo, version_label")
-    return services.library_lookup(sources, literal(spark, VERSION_ROWS, "source_id, version_label, synced_at"), "next")
+    return services.library_lookup(*_libraries(spark, sf_dir), "supplier#0000000")
 
 
-@query("SELECT * FROM (VALUES (1, 'next')) t(id, name)")
+@query(LIBRARIES_SQL + "SELECT id, name FROM lib WHERE score > 0 AND list_contains(versions, '3.x') ORDER BY score DESC, name LIMIT 20")
 def library_version_fallback(spark, sf_dir):
-    sources = literal(spark, SOURCE_ROWS, "id, name, owner, repo, version_label")
-    return services.library_lookup(sources, literal(spark, VERSION_ROWS, "source_id, version_label, synced_at"), "next", "16.2.1").select("id", "name")
+    return services.library_lookup(*_libraries(spark, sf_dir), "supplier#0000000", "3.2.1").select("id", "name")
 
 
-@query("SELECT * FROM (VALUES ('16.x'), ('15.x'), ('3.x')) t(label)")
+@query("SELECT DISTINCT concat(o_orderkey % 4, '.x') AS label FROM orders")
 def version_listing(spark, sf_dir):
-    return services.available_labels(literal(spark, VERSION_ROWS, "source_id, version_label, synced_at"))
+    return services.available_labels(_libraries(spark, sf_dir)[1])
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_name = 'Supplier#000000007'")
+def library_resolve(spark, sf_dir):
+    return lookup.resolve_library(_libraries(spark, sf_dir)[0], "supplier#000000007").select("id")
+
+
+@query("SELECT o_custkey AS source_id, concat(o_orderkey % 4, '.x') AS version_label, o_orderdate AS synced_at FROM orders WHERE o_custkey = 4")
+def versions_of_source(spark, sf_dir):
+    found = services.list_versions(_libraries(spark, sf_dir)[1], 4)
+    return found.select("source_id", "version_label", F.col("synced_at").cast("timestamp_ntz").alias("synced_at"))
 
 
 @query("SELECT o_orderpriority AS key, min_by(o_orderkey, o_orderkey) AS first FROM orders GROUP BY o_orderpriority")
@@ -567,22 +930,44 @@ def markdown_chunks(spark, sf_dir):
     return chunking.with_chunk_ids(chunking.chunk_documents(docs))
 
 
-@query("SELECT * FROM (VALUES (0, 'Getting Started', 'Getting Started' || chr(10) || chr(10) || '## Getting Started' || chr(10) || 'Hello world', 12, 3, 5), (1, 'API', 'API' || chr(10) || chr(10) || '## API' || chr(10) || 'More details', 6, 6, 7)) t(position, context_path, content, token_count, line_start, line_end)")
+HEADED = "concat('# Title', chr(10), chr(10), '## ', source, chr(10), 'Hello ', doc_id, chr(10), chr(10), '## API', chr(10), 'More details')"
+
+
+@query("""
+WITH s AS (
+    SELECT doc_id AS document_id, 0 AS position, source AS context_path, concat(source, chr(10), chr(10), '## ', source, chr(10), 'Hello ', doc_id) AS content, 3 AS line_start, 5 AS line_end FROM documents
+    UNION ALL SELECT doc_id, 1, 'API', concat('API', chr(10), chr(10), '## API', chr(10), 'More details'), 6, 7 FROM documents
+)
+SELECT document_id, position, context_path, content, greatest(1, ceil(length(content) / 4))::INT AS token_count, line_start, line_end FROM s
+""")
 def heading_chunks(spark, sf_dir):
-    docs = spark.createDataFrame([(1, "t.md", "Title", [], "# Title\n\n## Getting Started\nHello world\n\n## API\nMore details")], "document_id long, path string, title string, prefix array<string>, content string")
-    return chunking.chunk_documents(docs).select("position", "context_path", "content", "token_count", "line_start", "line_end")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("t.md").alias("path"), F.lit("Title").alias("title"), F.array().cast("array<string>").alias("prefix"), F.expr(HEADED).alias("content"))
+    return chunking.chunk_documents(docs).select("document_id", "position", "context_path", "content", "token_count", "line_start", "line_end")
 
 
-@query()
+@query("""
+WITH s AS (
+    SELECT doc_id, 0 AS position, 'f' || doc_id AS name, concat('def f', doc_id, '(x):', chr(10), '    return ', n_chars) AS code, 1 AS line_start, 2 AS line_end FROM documents
+    UNION ALL SELECT doc_id, 1, 'g' || doc_id, concat('def g', doc_id, '():', chr(10), '    pass'), 5, 6 FROM documents
+)
+SELECT doc_id AS document_id, position, name AS symbol_name, 'function_definition' AS symbol_type, concat('o/r > m', doc_id, '.py > ', name) AS context_path,
+       concat('o/r > m', doc_id, '.py > ', name, chr(10), chr(10), '```python', chr(10), code, chr(10), '```') AS content, line_start, line_end FROM s
+""")
 def code_chunks(spark, sf_dir):
-    code = "export function load(id: string) {\n  return fetch(id);\n}\n\nexport class User {\n  name = '';\n  greet() {\n    return `hi ${this.name}`;\n  }\n}\n"
-    docs = spark.createDataFrame([(1, "src/user.ts", None, ["o/r"], code), (2, "m.py", None, ["o/r"], "class A:\n    def f(self):\n        return 1\n")], "document_id long, path string, title string, prefix array<string>, content string")
-    return chunking.chunk_documents(docs)
+    code = F.expr("concat('def f', doc_id, '(x):', chr(10), '    return ', n_chars, chr(10), chr(10), chr(10), 'def g', doc_id, '():', chr(10), '    pass', chr(10))")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.expr("concat('m', doc_id, '.py')").alias("path"), F.lit(None).cast("string").alias("title"), F.array(F.lit("o/r")).alias("prefix"), code.alias("content"))
+    return chunking.chunk_documents(docs).select("document_id", "position", "symbol_name", "symbol_type", "context_path", "content", "line_start", "line_end")
 
 
-@query()
+@query("""
+WITH f AS (SELECT s_nationkey AS source_id, 'f' || s_suppkey || '.md' AS name FROM supplier),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY name) AS k, count(*) OVER (PARTITION BY source_id) AS n FROM f)
+SELECT source_id, concat('├── README.md', chr(10), '├── go.mod', chr(10), '├── docs/', chr(10), string_agg(concat('│   ', CASE WHEN k = n THEN '└── ' ELSE '├── ' END, name), chr(10) ORDER BY k), chr(10), '└── a.ts') AS tree FROM n GROUP BY source_id
+""")
 def repo_tree(spark, sf_dir):
-    return tree.repo_trees(literal(spark, "(1L, 'README.md'), (1L, 'docs/intro.md'), (1L, 'docs/api/auth.md'), (1L, 'src/index.ts')", "source_id, path"))
+    own = table(spark, sf_dir, "supplier")
+    listed = own.select(F.col("s_nationkey").alias("source_id"), F.expr("explode(array(concat('docs/f', s_suppkey, '.md'), 'README.md', 'go.mod', 'a.ts'))").alias("path")).distinct()
+    return tree.repo_trees(listed)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -61,7 +61,7 @@ def relative_path(url: Column) -> Column:
 
 
 def is_llms_manifest(url: Column) -> Column:
-    return F.lower(path(url)).rlike(r"/llms(-full)?\.txt\z")
+    return F.lower(path(url)).rlike(r"/llms[^/]*\.txt\z")
 
 
 def repo_parts(url: Column) -> Column:
@@ -86,9 +86,10 @@ class _Anchors(HTMLParser):
             self.found += [v for k, v in attrs[:] if k == "href" and v][:1]
 
 
-def _resolved(base: str | None, links: list[str]) -> list[str]:
+def absolute(base: str | None, links: list[str]) -> list[str]:
+    """Absolute forms of the targets of a page's links, each once, in order; those that run scripts are left out."""
     out = []
-    for link in links:
+    for link in (h for h in links if h and not h.startswith("javascript:")):
         try:
             out.append(urljoin(base or "", link.strip()))
         except ValueError:
@@ -103,7 +104,7 @@ def html_links(page: pd.Series, url: pd.Series) -> pd.Series:
     for text, base in zip(page, url, strict=True):
         parser = _Anchors()
         parser.feed(text or "")
-        out.append(_resolved(base, [h for h in parser.found if not h.startswith("javascript:")]))
+        out.append(absolute(base, parser.found))
     return pd.Series(out)
 
 
@@ -113,7 +114,7 @@ MARKDOWN_LINK = re.compile(r"\[(?:[^\]]*)\]\(([^)\s]+)\)")
 @pandas_udf(ArrayType(StringType()))
 def markdown_links(text: pd.Series, url: pd.Series) -> pd.Series:
     """Absolute targets of markdown links in order, without fragments-only, mailto and tel."""
-    return pd.Series([_resolved(b, [h for h in MARKDOWN_LINK.findall(t or "") if not h.startswith(("#", "mailto:", "tel:"))]) for t, b in zip(text, url, strict=True)])
+    return pd.Series([absolute(b, [h for h in MARKDOWN_LINK.findall(t or "") if not h.startswith(("#", "mailto:", "tel:"))]) for t, b in zip(text, url, strict=True)])
 
 
 def scoped_links(links: Column, root: str, **scope) -> Column:

@@ -56,7 +56,9 @@ class TextIndex:
     """postings(source_id, chunk_id, term, tf), lengths(source_id, chunk_id, n), stats(source_id, n_rows, avg_len).
 
     ``tf`` is weighted by field; ``df`` is the number of rows with a term. Statistics
-    cover all rows of a source, active or not.
+    cover all rows of a source, active or not. In a stored index, postings and lengths
+    carry the number ``gen`` of the commit that made them: postings whose rows have been
+    replaced since find no length of their commit and drop out.
     """
 
     postings: DataFrame
@@ -69,6 +71,10 @@ def _weighted(words: Column, weight: float) -> Column:
     return F.transform(words, lambda x: F.struct(x.alias("word"), F.lit(weight).alias("w")))
 
 
+def statistics(lengths: DataFrame) -> DataFrame:
+    return lengths.groupBy("source_id").agg(F.count("*").alias("n_rows"), F.avg("n").alias("avg_len"))
+
+
 def build_index(chunks: DataFrame, weights: dict[str, float] | None = None, stemmed: bool = True) -> TextIndex:
     """Inverted index of chunks(source_id, chunk_id, and the weighted text columns)."""
     weights = {k: w for k, w in (weights or WEIGHTS).items() if k in chunks.columns}
@@ -86,8 +92,7 @@ def build_index(chunks: DataFrame, weights: dict[str, float] | None = None, stem
     for k in weights:
         sizes = sizes + F.size(stem.raw_tokens(F.col(k)))
     lengths = chunks.select("source_id", "chunk_id", sizes.cast("long").alias("n"))
-    stats = lengths.groupBy("source_id").agg(F.count("*").alias("n_rows"), F.avg("n").alias("avg_len"))
-    return TextIndex(postings, lengths, stats, stemmed)
+    return TextIndex(postings, lengths, statistics(lengths), stemmed)
 
 
 def term_statistics(index: TextIndex) -> DataFrame:
@@ -108,12 +113,13 @@ def bm25(index: TextIndex, terms: list[str], prefix: bool = False, match_all: bo
     near = F.lit(False)
     for p in phrases:
         near = near | (F.col("term").startswith(p) if prefix else F.col("term") == p)
-    found = index.postings.filter(near).select("source_id", "chunk_id", "tf", F.explode(which).alias("phrase"))
-    found = found.groupBy("source_id", "chunk_id", "phrase").agg(F.sum("tf").alias("f"))
+    row = ["source_id", "chunk_id", *[c for c in ("gen",) if c in index.lengths.columns]]
+    found = index.postings.filter(near).select(*row, "tf", F.explode(which).alias("phrase")).join(index.lengths, row)
+    found = found.groupBy("source_id", "chunk_id", "phrase").agg(F.sum("tf").alias("f"), F.first("n").alias("n"))
     frequency = found.groupBy("source_id", "phrase").agg(F.count("*").alias("df")).join(index.stats, "source_id")
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     frequency = frequency.select("source_id", "phrase", "avg_len", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
-    scored = found.join(frequency, ["source_id", "phrase"]).join(index.lengths, ["source_id", "chunk_id"])
+    scored = found.join(frequency, ["source_id", "phrase"])
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n") / F.col("avg_len")))
     out = scored.groupBy("source_id", "chunk_id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("matched"))
     if match_all:
@@ -126,23 +132,33 @@ def reader_score(bm25_column: Column) -> Column:
     return 1 / (1 + F.abs(bm25_column))
 
 
+def strict_search(index: TextIndex, documents: DataFrame, query: str, limit: int = 20, version: str | None = None) -> DataFrame:
+    """Best rows with all terms of the query, with bm25, score and used_relaxed."""
+    return _ranked(bm25(index, query_tokens(query)), documents, limit, version, False)
+
+
+def relaxed_search(index: TextIndex, documents: DataFrame, query: str, limit: int = 20, version: str | None = None) -> DataFrame:
+    """Best rows with any search term of the query as a prefix; none where it has no search terms."""
+    return _ranked(bm25(index, search_terms(query), prefix=True, match_all=False), documents, limit, version, True)
+
+
+def _ranked(rows: DataFrame, documents: DataFrame, limit: int, version: str | None, loose: bool) -> DataFrame:
+    found = rows.join(active(documents, version), ["source_id", "chunk_id"])
+    found = found.withColumn("score", reader_score(F.col("bm25"))).withColumn("used_relaxed", F.lit(loose))
+    return found.orderBy("bm25", "chunk_id").limit(limit)
+
+
 def keyword_search(index: TextIndex, documents: DataFrame, query: str, limit: int = 20, version: str | None = None, relaxed: bool = True) -> DataFrame:
-    """Best rows with all terms; if there are none and ``relaxed``, rows with any term as a prefix.
+    """Best rows with all terms; if there are none and ``relaxed``, rows with any search term as a prefix.
 
     ``documents``: (source_id, chunk_id, active, version_label, ...). Returns its
-    columns with bm25, score, used_relaxed.
+    columns with bm25, score, used_relaxed. One lazy plan: where it is known that the
+    strict list is empty, ``relaxed_search`` alone does.
     """
-    live = active(documents, version)
-    words = query_tokens(query)
-
-    def ranked(rows: DataFrame, loose: bool) -> DataFrame:
-        found = rows.join(live, ["source_id", "chunk_id"]).withColumn("score", reader_score(F.col("bm25"))).withColumn("used_relaxed", F.lit(loose))
-        return found.orderBy("bm25", "chunk_id").limit(limit)
-
-    strict = ranked(bm25(index, words), False)
+    strict = strict_search(index, documents, query, limit, version)
     if not relaxed:
         return strict
-    loose = ranked(bm25(index, words, prefix=True, match_all=False), True)
+    loose = relaxed_search(index, documents, query, limit, version)
     return strict.unionByName(loose.join(strict.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_anti"))
 
 

@@ -106,8 +106,12 @@ def sync_files(archives: DataFrame, doc_path: str | None = None, docs_only: bool
 
 
 def tree_hash(rows: DataFrame) -> DataFrame:
-    """(tree_hash) over the sorted paths and hashes of a version's files; one row."""
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "hash"))), "\n"), 256).alias("tree_hash"))
+    """(tree_hash) of a version's files: their paths and hashes by folder, then the folders' hashes, so that no row holds all paths; one row."""
+    line = F.concat_ws(" ", "path", "hash")
+    listed = lambda of: F.sha2(F.array_join(F.array_sort(F.collect_list(of)), "\n"), 256)
+    folders = rows.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).agg(listed(line).alias("own"))
+    tops = folders.groupBy(F.substring_index("folder", "/", 1).alias("top")).agg(listed(F.concat_ws(" ", "folder", "own")).alias("own"))
+    return tops.agg(listed(F.concat_ws(" ", "top", "own")).alias("tree_hash"))
 
 
 def ingest_summary(changes: DataFrame, skipped: DataFrame) -> DataFrame:

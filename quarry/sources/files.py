@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions import markdown, urls
 
@@ -83,6 +87,22 @@ def manifest_links(manifests: DataFrame) -> DataFrame:
     return rows.join(first, ["source_id", "rank"]).select("source_id", "pos", "url")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def manifest_targets(content: pd.Series, url: pd.Series) -> pd.Series:
+    """Targets of the list items of an llms.txt page, absolute, in order: the item's link, or the item where it is one word."""
+    out = []
+    for text, base in zip(content, url, strict=True):
+        found = []
+        for line in map(str.strip, (text or "").splitlines()):
+            if line.startswith("-") and "|" not in line:
+                item = line[1:].strip()
+                link = re.match(r"\[.*?\]\((https?://[^\s)]+)\)", item)
+                if link or (item and not re.search(r"\s", item)):
+                    found.append(link[1] if link else item)
+        out.append(urls.absolute(base, found))
+    return pd.Series(out)
+
+
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
     """(source_id, pos, url) of the sitemap lines of robots.txt files (source_id, root, content), made absolute."""
     lines = robots.select("source_id", "root", F.posexplode(F.split("content", r"\r?\n", -1)).alias("pos", "line"))

@@ -1,13 +1,15 @@
 """Readable markdown of fetched pages.
 
-Two extractors read a small element tree: one takes the subtree with the most
-prose, the other a fixed root and a list of allowed elements. Which result is used
-is a CASE over their lengths. Python, since HTML nests.
+Two extractors read a page as one list of pieces in page order: one takes the
+container with the most prose, the other a fixed root and a list of allowed
+elements. Which result is used is a CASE over their lengths. Python, since HTML
+nests; every step is one loop over the pieces, whatever their depth.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -17,183 +19,286 @@ from pyspark.sql import functions as F
 from quarry.functions import markdown, text, urls
 
 SPARSE = 400
-#: Elements and class words by role (fixed values).
+#: Elements, parts of class names and roles that are dropped (fixed values).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-DROPPED = {"script", "style", "nav", "header", "footer", "aside", "noscript", "svg", "button", "form", "input", "select", "textarea", "iframe", "template"}
-DROPPED_WORDS = {"navbar", "sidebar", "menu", "toc", "breadcrumb", "breadcrumbs"}
-DROPPED_ROLES = {"navigation", "banner", "contentinfo", "search", "complementary", "button", "menu", "dialog"}
+DROPPED = {
+    "script", "style", "nav", "header", "footer", "aside", "noscript", "svg", "button", "form", "input", "select", "textarea", "iframe", "template",
+    "label", "menu", "canvas", "dialog",
+}
+DROPPED_PARTS = ("navbar", "sidebar", "menu", "toc", "breadcrumb")
+DROPPED_ROLES = {"toolbar", "navigation", "menu", "tablist"}
 ALLOWED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "pre", "code", "blockquote", "table", "thead", "tbody", "tr", "th", "td", "a", "strong", "em", "b", "i", "br", "hr", "dl", "dt", "dd"}
+CONTAINERS = {"div", "section", "article", "main", "body"}
 BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "li", "pre", "blockquote", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "dt", "dd", "hr", "body", "html"}
-NAV_WORDS = re.compile(r"\b(home|docs|blog|previous|next|menu|search|login|sign in)\b", re.I)
+NAV_WORDS = re.compile(r"\b(log in|sign in|sign up|menu|search|home)\b", re.I)
+LANGUAGE = re.compile(r"lang(?:uage)?-([\w+#-]+)", re.I)
+#: Items and quotes inside one another up to this depth are indented.
+INDENTED = 32
 
 
 @dataclass
-class Node:
+class Piece:
+    """An element, or a text where ``tag`` is empty; ``end`` is the number of the first piece after it."""
+
     tag: str
+    parent: int
+    text: str = ""
     attrs: dict[str, str] = field(default_factory=dict)
-    children: list = field(default_factory=list)
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
-
-    def nodes(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.nodes()
+    end: int = 0
 
-    def link_share(self) -> float:
-        total = len(self.text().strip())
-        return sum(len(n.text().strip()) for n in self.nodes() if n.tag == "a") / total if total else 0.0
+    def words(self) -> str:
+        return self.attrs.get("class", "").lower()
 
 
-class _Tree(HTMLParser):
+class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open = [Node("root")]
+        self.pieces = [Piece("root", -1)]
+        self.open = [0]
+        self.many: Counter[str] = Counter()
+
+    def _add(self, piece: Piece) -> int:
+        self.pieces.append(piece)
+        piece.end = len(self.pieces)
+        return len(self.pieces) - 1
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li") and any(n.tag == tag for n in self.open[-3:]):
-            self.handle_endtag(tag)
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
+        if tag in ("p", "li"):
+            for k in reversed(self.open[-3:]):
+                if self.pieces[k].tag == tag:
+                    self.handle_endtag(tag)
+                if self.pieces[k].tag in (tag, "ul", "ol", "blockquote", "div", "td"):
+                    break
+        k = self._add(Piece(tag, self.open[-1], attrs={k: v or "" for k, v in attrs}))
         if tag not in VOID:
-            self.open.append(node)
+            self.open.append(k)
+            self.many[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
+        self._add(Piece(tag, self.open[-1], attrs={k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
+        while self.many[tag]:
+            k = self.open.pop()
+            self.pieces[k].end = len(self.pieces)
+            self.many[self.pieces[k].tag] -= 1
+            if self.pieces[k].tag == tag:
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def parse(html: str) -> Node:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return tree.open[0]
-
-
-def unwanted(node: Node) -> bool:
-    words = set(re.findall(r"[a-z]+", node.attrs.get("class", "").lower()))
-    return node.tag in DROPPED or bool(words & DROPPED_WORDS) or node.attrs.get("role", "").lower() in DROPPED_ROLES
-
-
-def pruned(node: Node) -> Node:
-    return Node(node.tag, node.attrs, [c if isinstance(c, str) else pruned(c) for c in node.children if isinstance(c, str) or not unwanted(c)])
-
-
-def main_root(tree: Node) -> Node:
-    """The theme's markdown container, else main, article, body, else everything."""
-    every = list(tree.nodes())
-    for test in (lambda n: "theme-doc-markdown" in n.attrs.get("class", "").split(), lambda n: n.tag == "main", lambda n: n.tag == "article", lambda n: n.tag == "body"):
-        found = next((n for n in every if test(n)), None)
-        if found:
-            return found
-    return tree
-
-
-def densest(tree: Node) -> Node:
-    """The container whose own paragraphs hold most unlinked prose."""
-    best, score = main_root(tree), 0.0
-    for n in tree.nodes():
-        if n.tag in ("div", "section", "article", "main", "body"):
-            own = sum(len(c.text().strip()) * (1 - c.link_share()) for c in n.children if isinstance(c, Node) and c.tag in ALLOWED)
-            if own > score:
-                best, score = n, own
-    return best
-
-
-def without_link_blocks(root: Node, ends: int = 5) -> Node:
-    """First and last children that are short and mostly links or navigation words are dropped."""
-    kids = [c for c in root.children if isinstance(c, Node)]
-    for c in [*kids[:ends], *kids[-ends:]]:
-        body = c.text().strip()
-        if c in root.children and len(body) < 220 and c.tag not in ("h1", "h2", "pre") and (c.link_share() > 0.6 or (c.link_share() > 0.3 and NAV_WORDS.search(body))):
-            root.children.remove(c)
-    return root
-
-
-def to_markdown(node: Node, inline_only: bool = False) -> str:
-    """ATX headings, dash bullets, fences with their language, links; images are dropped."""
-    if node.tag == "pre":
-        lang = next((m[1] for n in [node, *node.nodes()] for m in [re.search(r"lang(?:uage)?-([\w+#-]+)", n.attrs.get("class", ""))] if m), "")
-        return f"\n\n```{lang}\n{node.text().strip(chr(10))}\n```\n\n"
-    if node.tag == "br":
-        return "\n"
-    if node.tag == "hr":
-        return "\n\n---\n\n"
-    if node.tag in ("img", "svg"):
-        return ""
-    inner = "".join(re.sub(r"\s+", " ", c) if isinstance(c, str) else to_markdown(c) for c in node.children)
-    flat = inner.strip()
+        self._add(Piece("", self.open[-1], data))
+
+
+class Page:
+    """The pieces of a page, and for every stretch of them how many characters and linked characters it holds (without white space)."""
+
+    def __init__(self, html: str):
+        reader = _Reader()
+        reader.feed(html)
+        reader.close()
+        self.pieces = reader.pieces
+        for k in reader.open:
+            self.pieces[k].end = len(self.pieces)
+        self.title = self.text(next((k for k, p in enumerate(self.pieces) if p.tag == "title"), len(self.pieces))).strip()
+        self.hrefs = [p.attrs["href"] for p in self.pieces if p.tag == "a" and "href" in p.attrs]
+        self.dropped = self._dropped()
+        self.chars, self.linked, link = [0], [0], 0
+        for k, p in enumerate(self.pieces):
+            if p.tag == "a":
+                link = max(link, p.end)
+            n = 0 if p.tag or self.dropped[k] else len("".join(p.text.split()))
+            self.chars.append(self.chars[-1] + n)
+            self.linked.append(self.linked[-1] + (n if k < link else 0))
+
+    def _dropped(self) -> list[bool]:
+        out, until = [], 0
+        for k, p in enumerate(self.pieces):
+            if k >= until and p.tag and (p.tag in DROPPED or "-" in p.tag or any(x in p.words() for x in DROPPED_PARTS) or p.attrs.get("role", "").lower() in DROPPED_ROLES):
+                until = p.end
+            out.append(k < until)
+        return out
+
+    def text(self, k: int) -> str:
+        return "".join(p.text for p in self.pieces[k : self.pieces[k].end] if not p.tag) if k < len(self.pieces) else ""
+
+    def size(self, k: int) -> tuple[int, float]:
+        """(characters, share of them in links)."""
+        end = self.pieces[k].end
+        n = self.chars[end] - self.chars[k]
+        return n, (self.linked[end] - self.linked[k]) / n if n else 0.0
+
+    def children(self, k: int):
+        j = k + 1
+        while j < self.pieces[k].end:
+            yield j
+            j = self.pieces[j].end
+
+    def main_root(self) -> int:
+        """The theme's markdown container, else main, article, body, else everything."""
+        for test in (lambda p: "theme-doc-markdown" in p.words().split(), lambda p: p.tag == "main", lambda p: p.tag == "article", lambda p: p.tag == "body"):
+            found = next((k for k, p in enumerate(self.pieces) if test(p) and not self.dropped[k]), None)
+            if found is not None:
+                return found
+        return 0
+
+    def densest(self) -> int:
+        """The container whose own paragraphs hold most unlinked prose; of equals the outermost."""
+        prose: Counter[int] = Counter()
+        for k, p in enumerate(self.pieces):
+            if p.tag in ALLOWED and not self.dropped[k] and self.pieces[p.parent].tag in CONTAINERS:
+                n, share = self.size(k)
+                prose[p.parent] += n * (1 - share)
+        best = max(prose, key=lambda k: (prose[k], -k), default=None)
+        return self.main_root() if best is None or prose[best] <= 0 else best
+
+    def link_blocks(self, root: int, ends: int = 5) -> set[int]:
+        """First and last elements of a root that are navigation: short and mostly links, or short with words of navigation."""
+        kids = [k for k in self.children(root) if self.pieces[k].tag and not self.dropped[k]]
+        out = set()
+        for k in {*kids[:ends], *kids[-ends:]}:
+            n, share = self.size(k)
+            if self.pieces[k].tag in ("h1", "h2", "pre") or not 0 < n < 220:
+                continue
+            if share > 0.6 or NAV_WORDS.search(self.text(k)):
+                out.add(k)
+        return out
+
+    def markdown(self, root: int, without: set[int] = frozenset()) -> str:
+        """ATX headings, dash bullets, fences with their language, links; images are dropped."""
+        held: list[tuple[int, list[str]]] = [(root, [])]  # open elements that change what they hold
+        inside: Counter[str] = Counter()
+        k, last = root, self.pieces[root].end
+        closing: list[int] = []  # open blocks that only stand apart
+
+        def leave() -> None:
+            at, parts = held.pop()
+            inside[self.pieces[at].tag] -= 1
+            held[-1][1].append(shaped(self.pieces[at], "".join(parts)))
+
+        while k < last or len(held) > 1 or closing:
+            while len(held) > 1 and self.pieces[held[-1][0]].end <= k and not (closing and closing[-1] > held[-1][0]):
+                leave()
+            if closing and self.pieces[closing[-1]].end <= k:
+                closing.pop()
+                held[-1][1].append("\n\n")
+                continue
+            if k >= last:
+                if len(held) > 1:
+                    leave()
+                continue
+            p = self.pieces[k]
+            if self.dropped[k] or k in without or p.tag == "img":
+                k = p.end
+            elif not p.tag:
+                held[-1][1].append(re.sub(r"\s+", " ", p.text))
+                k += 1
+            elif p.tag == "pre":
+                found = next((m[1] for q in self.pieces[k : p.end] if q.tag and (m := LANGUAGE.search(q.words()))), "")
+                held[-1][1].append(f"\n\n```{found}\n{self.text(k).strip(chr(10))}\n```\n\n")
+                k = p.end
+            elif p.tag in ("br", "hr"):
+                held[-1][1].append("\n" if p.tag == "br" else "\n\n---\n\n")
+                k += 1
+            else:
+                nested = inside[p.tag] >= (INDENTED if p.tag in ("li", "blockquote") else 1)
+                if p.tag in SHAPES and not nested and k != root:
+                    inside[p.tag] += 1
+                    held.append((k, []))
+                elif p.tag in BLOCKS:
+                    held[-1][1].append("\n\n")
+                    closing.append(k)
+                k += 1
+        return tidy("".join(held[0][1]))
+
+
+SHAPES = {"h1", "h2", "h3", "h4", "h5", "h6", "code", "a", "strong", "b", "em", "i", "li", "blockquote"}
+
+
+def shaped(piece: Piece, inner: str) -> str:
+    """What an element makes of the markdown inside it."""
+    flat, tag = inner.strip(), piece.tag
     if not flat:
         return ""
-    if m := re.fullmatch(r"h([1-6])", node.tag):
-        return f"\n\n{'#' * int(m[1])} {flat}\n\n"
-    if node.tag == "code":
+    if m := re.fullmatch(r"h([1-6])", tag):
+        return f"\n\n{'#' * int(m[1])} {re.sub(chr(10) + '+', ' ', flat)}\n\n"
+    if tag == "code":
         return f"`{flat}`"
-    if node.tag == "a" and node.attrs.get("href"):
-        return f"[{flat}]({node.attrs['href']})"
-    if node.tag in ("strong", "b"):
+    if tag == "a":
+        return f"[{flat}]({piece.attrs['href']})" if piece.attrs.get("href") else inner
+    if tag in ("strong", "b"):
         return f"**{flat}**"
-    if node.tag in ("em", "i"):
+    if tag in ("em", "i"):
         return f"_{flat}_"
-    if node.tag == "li":
+    flat = re.sub(r"\n{3,}", "\n\n", flat)
+    if tag == "li":
         return "\n- " + flat.replace("\n", "\n  ")
-    if node.tag == "blockquote":
-        return "\n\n" + "\n".join("> " + line for line in flat.split("\n")) + "\n\n"
-    return f"\n\n{flat}\n\n" if node.tag in BLOCKS else inner
+    return "\n\n" + "\n".join("> " + line for line in flat.split("\n")) + "\n\n"
 
 
 def tidy(md: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", md)).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^ (?=\S)", "", re.sub(r"[ \t]+\n", "\n", md))).strip()
 
 
-def read_page(html: str) -> tuple[str, str, str]:
-    """(title, markdown by density, markdown by root)."""
-    tree = parse(html or "")
-    title = next((n.text().strip() for n in tree.nodes() if n.tag == "title"), "")
-    clean = pruned(tree)
-    return title, tidy(to_markdown(densest(clean))), tidy(to_markdown(without_link_blocks(main_root(clean))))
+def read_page(html: str) -> tuple[str, str, str, list[str]]:
+    """(title, markdown by density, markdown by root, targets of links)."""
+    page = Page(html or "")
+    root = page.main_root()
+    return page.title, page.markdown(page.densest()), page.markdown(root, page.link_blocks(root)), page.hrefs
 
 
 def extract_pages(pages: DataFrame, sparse: int = SPARSE) -> DataFrame:
-    """(page_id, url, title, description, markdown, is_sparse, n_links) of pages (page_id, url, html).
+    """(page_id, url, title, description, markdown, is_sparse, n_links, links) of pages (page_id, url, html).
 
     The density result if it is not sparse, else the root result if that is not,
-    else the longer of the two; replacements alone where both hold next to nothing.
+    else the longer of the two. ``links`` are absolute; the page is read once.
     """
     import pyarrow as pa
 
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("raw_title", pa.string()), ("dense", pa.string()), ("rooted", pa.string())])
+    names = ["page_id", "url", "raw_title", "dense", "rooted", "links", "description"]
+    kinds = [pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches):
-        for batch in batches:
-            read = [read_page(h) for h in batch.column("html").to_pylist()]
-            columns = [pa.array([r[k] for r in read], pa.string()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("html"), *columns], schema=schema)
-
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, html string, raw_title string, dense string, rooted string")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                read = [read_page(h) for h in batch.column("html").to_pylist()]
+                links = [urls.absolute(base, found) for base, (*_, found) in zip(batch.column("url").to_pylist(), read, strict=True)]
+                columns = [*[pa.array([r[k] for r in read], pa.string()) for k in range(3)], pa.array(links, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns, batch.column("description")], schema=schema)
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", markdown.meta_description(F.col("html")).alias("description"))
+    rows = rows.mapInArrow(run, "page_id bigint, url string, raw_title string, dense string, rooted string, links array<string>, description string")
     size = lambda c: text.body_length(F.col(c))
     best = F.when(size("dense") >= sparse, F.col("dense")).when(size("rooted") >= sparse, F.col("rooted")).when(size("dense") >= size("rooted"), F.col("dense")).otherwise(F.col("rooted"))
     rows = rows.withColumn("markdown", markdown.cap(markdown.post_process(best)))
     title = F.coalesce(markdown.page_title(F.col("raw_title")), text.markdown_title(F.col("markdown"), F.col("url")))
-    links = F.size(urls.html_links(F.col("html"), F.col("url")))
-    return rows.select("page_id", "url", title.alias("title"), markdown.meta_description(F.col("html")).alias("description"), "markdown", (text.body_length(F.col("markdown")) < sparse).alias("is_sparse"), links.alias("n_links"))
+    return rows.select("page_id", "url", title.alias("title"), "description", "markdown", (text.body_length(F.col("markdown")) < sparse).alias("is_sparse"), F.size("links").alias("n_links"), "links")
+
+
+def markdown_responses(pages: DataFrame) -> DataFrame:
+    """The columns of ``extract_pages`` for pages (page_id, url, markdown) whose server sent markdown."""
+    c = F.col("markdown")
+    links = urls.markdown_links(c, F.col("url"))
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url", text.markdown_title(c, F.col("url")).alias("title"), F.lit(None).cast("string").alias("description"),
+        "markdown", F.lit(False).alias("is_sparse"), F.size(links).alias("n_links"), links.alias("links"),
+    )
+
+
+def read_pages(pages: DataFrame, sparse: int = SPARSE) -> DataFrame:
+    """Pages (page_id, url, html, and optionally markdown): a markdown body that looks like one is taken, others are extracted."""
+    if "markdown" not in pages.columns:
+        return extract_pages(pages, sparse)
+    sent = F.coalesce(text.looks_like_markdown(F.col("markdown")), F.lit(False))
+    return markdown_responses(pages.filter(sent)).unionByName(extract_pages(pages.filter(~sent), sparse))
 
 
-def page_documents(extracted: DataFrame, root: str, min_body: int = 200, need_code: bool = True) -> DataFrame:
+def page_documents(extracted: DataFrame, root: str, min_body: int = 200, need_code: bool = True, **scope) -> DataFrame:
     """Documents of extracted pages: sanitised, gated by length and code, with path, uri and the reason of those left out."""
     clean = markdown.sanitize(F.col("markdown"))
     rows = extracted.withColumn("content", clean)
-    reason = F.when(~urls.in_scope(F.col("url"), root), "out of scope").when(text.body_length(F.col("content")) < min_body, "too small")
+    reason = F.when(~urls.in_scope(F.col("url"), root, **scope), "out of scope").when(text.body_length(F.col("content")) < min_body, "too small")
     if need_code:
         reason = reason.when(~text.has_snippets(F.col("content")), "missing code snippets")
     path = urls.relative_path(F.col("url"))

@@ -16,17 +16,19 @@ LANDED = "source_id bigint, version_label string, path string, uri string, title
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(LANDED).parquet(folder)
+    """Landed rows with the time of their file, then their content's hash, as the order of rows of one path."""
+    rows = spark.readStream.schema(LANDED).parquet(folder)
+    return rows.select("*", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.sha2("content", 256).alias("hash")).alias("landed"))
 
 
 def ingest_stream(spark: SparkSession, engine: Engine, folder: str, checkpoint: str, prefix: list[str]) -> StreamingQuery:
-    """Upserts everything that has landed since the last run, then stops. Replayed batches change nothing."""
+    """Upserts everything that has landed since the last run, then stops; of rows of one path the last landed. Replayed batches change nothing."""
 
     def upsert(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         for row in batch.select("source_id", "version_label").distinct().collect():  # sources of one batch
             own = batch.filter((F.col("source_id") == row.source_id) & (F.col("version_label") == row.version_label))
-            engine.ingest(own.drop("source_id", "version_label").dropDuplicates(["path"]), row.source_id, row.version_label, prefix, complete=False)
+            engine.ingest(own.drop("source_id", "version_label"), row.source_id, row.version_label, prefix, complete=False, latest="landed")
         batch.unpersist()
 
     return landed(spark, folder).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

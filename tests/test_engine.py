@@ -221,12 +221,147 @@ def test_version_plan(spark):
 
 def test_page_extraction():
     html = "<html><head><title>Test Page - Site</title></head><body><nav>menu</nav><main><h1>Test Page</h1><p>Words <b>here</b>.</p><pre><code class='language-python'>print(1)</code></pre></main><footer>f</footer></body></html>"
-    title, dense, rooted = pages.read_page(html)
+    title, dense, rooted, _ = pages.read_page(html)
     assert title == "Test Page - Site" and "```python\nprint(1)\n```" in rooted and "# Test Page" in rooted and "menu" not in rooted and "f" not in rooted.split()
-    assert pages.read_page("")[1:] == ("", "")
+    assert pages.read_page("")[1:] == ("", "", [])
     assert "docs/" in tree.render(["README.md", "docs/intro.md"]) and tree.render(["b.ts", "README.md"]).startswith("├── README.md")
 
 
+def test_page_markdown_forms():
+    html = """<body><main><div class="navbarItem">gone</div><my-widget>gone</my-widget><label>gone</label><div role="tablist">gone</div>
+    <h2>A <em>b</em></h2><p>one <a href="/x">link</a> <code>c</code></p><ul><li>first<ul><li>inner</li></ul></li><li>second</li></ul>
+    <blockquote><p>said</p><p>more</p></blockquote><pre><code class="language-ts">let a = 1;</code></pre><img src="i.png"></main></body>"""
+    _, dense, rooted, links = pages.read_page(html)
+    assert rooted == "## A _b_\n\none [link](/x) `c`\n\n- first\n\n  - inner\n- second\n\n> said\n>\n> more\n\n```ts\nlet a = 1;\n```"
+    assert "gone" not in rooted + dense and links == ["/x"] and "  - inner" in rooted and "> said" in rooted
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "li", "blockquote", "span"])
+def test_deeply_nested_pages_are_read(tag):
+    import time
+
+    start = time.perf_counter()
+    html = f"<main>{f'<{tag}>' * 4000}<p>deep words here</p>{'</x>' * 4000}"
+    assert "deep words here" in pages.read_page(html)[2]
+    assert time.perf_counter() - start < 5
+
+
+def test_markdown_responses(spark):
+    rows = [(1, "https://e.com/a", "<p>html</p>", None), (2, "https://e.com/b.md", None, "# Title\n\nText with [c](/c).\n\n```\nx\n```"), (3, "https://e.com/c", "<main><h1>T</h1><p>text</p></main>", "<!doctype html><p>no</p>")]
+    out = {r.page_id: r for r in pages.read_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, markdown string")).collect()}
+    assert out[2].title == "Title" and out[2].links == ["https://e.com/c"] and out[2].markdown.startswith("# Title") and out[3].markdown == "# T\n\ntext" and len(out) == 3
+
+
+def test_llms_page_targets(spark):
+    text = "# T\n- [A](https://e.com/a): x\n- docs/b\n- two words\n| - c |\nplain\n- https://e.com/d"
+    row = spark.createDataFrame([(text, "https://e.com/docs/llms.txt")], "c string, u string").select(files.manifest_targets("c", "u").alias("t"), urls.is_llms_manifest(F.col("u")).alias("m")).first()
+    assert row.t == ["https://e.com/a", "https://e.com/docs/docs/b", "https://e.com/d"] and row.m
+
+
+COLS = "path string, uri string, title string, content string, content_type string"
+
+
+def page_row(path, title, content):
+    return (path, f"gh://demo/repo@main/{path}", title, content, "text/markdown")
+
+
+def test_stored_index_follows_the_store(spark, tmp_path):
+    """After every ingest the stored index gives what an index built from the chunks gives, and only changed tables are written."""
+    e = plans.Engine(spark, str(tmp_path / "store"))
+    e.SEGMENTS = 2
+    bodies = ["alpha beta gamma", "beta gamma delta delta", "gamma epsilon words"]
+    for step in range(4):
+        rows = [page_row(f"d{k}.md", f"T{k}", f"{b} step{step if k == 1 else 0}") for k, b in enumerate(bodies)]
+        e.ingest(spark.createDataFrame(rows, COLS), 1, "1.x", ["r"])
+        e.ingest(spark.createDataFrame([page_row("other.md", "O", "beta elsewhere")], COLS), 2, "1.x", ["r"])
+        lib = e.library()
+        built = search.build_index(plans.indexed_texts(e.table("chunks")))
+        for words in (["beta"], ["gamma", f"step{step}"], ["step0"]):
+            got, want = (sorted((r.chunk_id, round(r.bm25, 9)) for r in search.bm25(i, words).collect()) for i in (lib.index, built))
+            assert got == want, (step, words)
+    n, state = e._state()
+    assert len(state["postings"]["1"]) <= 2 and n >= 8 and all("part=2" in f for f in state["documents"]["2"])
+    before = state["blobs"]["all"]
+    e.clear_embeddings()
+    assert e._state()[1]["blobs"]["all"] == before  # not written again
+    assert e.vacuum(keep=1) > 0 and e.search("beta", "word").count() == 3
+    e.remove_source(2)
+    assert e.search("beta", "word").count() == 2 and e.search("elsewhere", "word").count() == 0
+
+
+def test_repeated_paths_and_writers(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    e = plans.Engine(spark, str(tmp_path / "store"))
+    e.ingest(spark.createDataFrame([page_row("a.md", "A", "one"), page_row("a.md", "A", "two")], COLS), 1, "1.x", ["r"])
+    assert e.table("documents").count() == 1 and e.table("chunks").count() == 1
+    state = e._state()
+    e._state = lambda: (state[0] - 1, state[1])  # a writer that has not seen the last commit
+    with pytest.raises(AnalysisException):
+        e._commit({("blobs", "all"): spark.createDataFrame([], e.TABLES["blobs"])})
+
+
+def test_relaxed_terms_and_strong_signal(spark, tmp_path):
+    e = plans.Engine(spark, str(tmp_path / "store"))
+    rows = [page_row("a.md", "A", "routers and middleware"), page_row("b.md", "B", "the way to do it how"), page_row("c.md", "C", "caching layers")]
+    e.ingest(spark.createDataFrame(rows, COLS), 1, "1.x", ["r"])
+    lib = e.library()
+    found = search.keyword_search(lib.index, lib.rows(), "how to use the router")
+    assert [(r.path, r.used_relaxed) for r in found.collect()] == [("a.md", True)]
+    assert search.keyword_search(lib.index, lib.rows(), "how to the").filter("used_relaxed").count() == 0
+    asked = []
+    more = lambda q: asked.append(q) or ["caching"]
+    assert {r.path for r in e.search("routers", "hybrid", alternates=more).collect()} == {"a.md", "c.md"} and asked == ["routers"]
+    lib.strong_score = lib.strong_gap = 0.0
+    assert {r.path for r in plans.hybrid_search(lib, "routers", more).collect()} == {"a.md"} and len(asked) == 1
+
+
+def test_embedding_options(spark, tmp_path):
+    e = plans.Engine(spark, str(tmp_path / "store"))
+    for source in (1, 2):
+        e.ingest(spark.createDataFrame([page_row(f"{source}.md", "A", "some words " * 50)], COLS), source, "1.x", ["r"])
+    size = F.pandas_udf(lambda s: s.map(lambda x: [float(len(x)), 1.0]), "array<float>")
+    e.embed("m", size, source_id=1, most_tokens=10, count_tokens=lambda c: F.size(F.split(c, " ")))
+    row = e.table("vectors").collect()
+    assert len(row) == 1 and row[0].source_id == 1 and row[0].embedding[0] < 80
+    assert e.table("chunks", 1).first().token_count > 90
+    e.embed("m", size)
+    assert e.table("vectors").count() == 2
+    e.embed("m", size, source_id=1, force=True)
+    assert e.table("vectors").count() == 2 and e.table("vectors", 1).first().embedding[0] > 80
+    with pytest.raises(Exception, match="dimension"):
+        e.embed("m", F.pandas_udf(lambda s: s.map(lambda x: [1.0]), "array<float>"), force=True)
+
+
+def test_archive_sync(spark, tmp_path):
+    e = plans.Engine(spark, str(tmp_path / "store"))
+    source = e.add_source("demo/repo", docs="docs", tag="v1.2.0")
+    files_ = [("docs/a.md", "# A\n\n```js\nlet a\n```"), ("docs/plain.md", "no code at all"), ("docs/logo.png", "x"), ("src/x.ts", "export const x = 1")]
+    members = lambda rows: spark.createDataFrame([("z", p, len(c), bytearray(c.encode())) for p, c in rows], "archive string, path string, size bigint, content binary")
+    first = e.sync_archive(source, members(files_), "1.x", "abc1234").first()
+    assert (first.updated, first.unchanged) == (1, 0) and first.skipped >= 1
+    got = e.get("docs/a.md", library="repo").first()
+    assert got.uri == "gh://demo/repo@v1.2.0/docs/a.md" and e.get("gh://demo/repo@v1.2.0/docs/a.md").first().title == "A"
+    assert e.sync_archive(source, members([]), "1.x", "abc1234").first().updated == 0 and e.table("documents").filter("active").count() == 1
+    tree_ = e.table("source_versions").first().tree_hash
+    again = e.sync_archive(source, members([(p, c + "\nmore") for p, c in files_]), "1.x", "def5678").first()
+    assert again.updated == 1 and e.table("source_versions").first().tree_hash != tree_ and e.table("sources").first().last_commit == "def5678"
+    with pytest.raises(ValueError, match="no library"):
+        e.get("docs/a.md", library="nothing")
+    with pytest.raises(Exception):
+        e.sync_archive(source, members(files_).drop("content"), "1.x", "fff0000")
+    assert e.table("sources").first().last_error and e.table("sources").first().last_commit == "def5678"
+
+
+def test_pages_into_the_store(spark, tmp_path):
+    e = plans.Engine(spark, str(tmp_path / "store"))
+    source = e.add_source("https://e.com/docs")
+    body = "<main><h1>Guide</h1><p>" + "useful words " * 40 + "</p><pre><code>run()</code></pre></main>"
+    rows = [(1, "https://e.com/docs/guide", body), (2, "https://e.com/docs/tiny", "<main><p>x</p></main>"), (3, "https://e.com/blog", body)]
+    out = {r.page_id: r.reason for r in e.ingest_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), source).collect()}
+    assert out == {1: None, 2: "too small", 3: "out of scope"} and [r.doc_path for r in e.search("useful", "word").collect()] == ["docs/guide.md"]
+
+
 def test_engine_round_trip(spark, tmp_path):
     e = plans.Engine(spark, str(tmp_path / "store"))
     cols = "path string, uri string, title string, content string, content_type string"

@@ -1,24 +1,27 @@
 """Substring dedup by recompression: long word sequences that an earlier document holds are removed.
 
-Words have global 64-bit names. Rounds name pairs of neighbours: names fall on a
-left or right side by a hash, and a left name followed by a right name becomes one
-symbol, named by a hash of the two. A run of one name never pairs with itself, so
-its members keep the run's name. Names are functions of what they stand for, so equal
-substrings get equal symbols everywhere, except within two words of the left and
-three of the right end. After two rounds a symbol spans one to four words, and a
-symbol that starts at word q is settled by words q-2 to q+3.
-
-A window of ``WINDOW`` words holds the starts of such symbols at words 2 to 9 of it;
-the one of least rank stands for the window, under the name of its settled context.
-Names that stand for windows and occur in several documents reveal repeats: only
-windows they stand for can be repeated, and none is missed. Those windows are then
-verified by their own 64-bit names against the smallest document that holds them.
+Words have global 64-bit names. A round first names runs (a name that repeats k times
+becomes one symbol for the name and k), then pairs: symbols fall on a left or right
+side by a hash, and a left one followed by a right one becomes one symbol. Two more
+namings join neighbours two by two, so that a high-level symbol stands for four
+symbols of the round. Names are functions of what they stand for: every task names
+alike, and equal substrings get equal symbols, except near their ends. How near is
+kept with each symbol: the words that were looked at to settle it.
+
+A window of ``WINDOW`` words thus has a form of its own, whatever lies around it: the
+symbols settled by its words alone, and the words popped at both ends. A first Spark
+round finds the high-level symbols that several documents share: of those settled in
+a window the one of least rank stands for it (where runs leave none, the whole form
+does), so windows whose symbol one document alone holds can't be repeated, and none
+that is repeated is missed. A second round verifies the windows revealed: their whole
+forms, named in 96 bits, against the smallest document that holds them.
 
 Documents travel in packs of about ``PACK_CHARS`` characters that are written once.
 Packs send their names to buckets and get one bit for each name back; what a bucket
 gets is one entry for a name and pack at most, so a passage in a third of all
-documents is no hot key. Names of several rounds of traffic are compared as sorted
-arrays; no pairs of documents are made.
+documents is no hot key. Buckets grow in number with the text, ``BUCKET_CHARS``
+characters each at most. Names are compared as sorted arrays; no pairs of documents
+are made.
 
 Defined cases: null or empty text has no words; texts shorter than a window stay
 whole; repeated rows of one id are no earlier document for each other, and each is
@@ -29,6 +32,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -38,11 +42,13 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 from quarry.llm.names import names_of
 
-WINDOW, LEFT, RIGHT = 13, 2, 3
-PACK_CHARS = 4_000_000
+WINDOW, JOINED = 13, 4
+PACK_CHARS, BUCKET_CHARS = 4_000_000, 64_000_000
 WORDS = re.compile(common.WORD)
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bases of the sums that name sequences (odd).
+BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,37 +61,87 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * P1 + b)
 
 
-def pair_round(names: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of the symbols' first names, symbol names) after naming left-right pairs."""
-    side = (mix(names ^ np.uint64(salt)) >> np.uint64(40)) & np.uint64(1)
-    pair = np.zeros(len(names), bool)
-    if len(names) > 1:
-        pair[:-1] = (side[:-1] == 0) & (side[1:] == 1)
-    first = np.ones(len(names), bool)
+@dataclass
+class Level:
+    """Symbols in text order: name, first word, and the words [low, high) that settle it; a document's end settles nothing."""
+
+    name: np.ndarray
+    start: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    doc: np.ndarray
+
+
+def neighbours(level: Level) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the symbol before, and the one after, is of the same document."""
+    same = level.doc[1:] == level.doc[:-1]
+    return np.concatenate([[False], same]), np.concatenate([same, [False]])
+
+
+def run_round(level: Level, ends: np.ndarray) -> Level:
+    """Runs of one name as one symbol, named by the name and its count; ``ends``: first word after each document."""
+    before, _ = neighbours(level)
+    first = np.ones(len(level.name), bool)
+    first[1:] = ~before[1:] | (level.name[1:] != level.name[:-1])
+    at = np.flatnonzero(first)
+    last = np.append(at[1:], len(first)) - 1
+    count = (last - at + 1).astype(np.uint64)
+    name = level.name[at]
+    name = np.where(count > 1, joined(name, mix(count)), name)
+    doc = level.doc[at]
+    low = np.where(before[at], level.low[at - 1], level.start[at] - 1)
+    after = np.minimum(last + 1, len(first) - 1)
+    high = np.where((last + 1 < len(first)) & (level.doc[after] == doc), level.high[after], ends[doc] + 1)
+    return Level(name, level.start[at], low, high, doc)
+
+
+def pair_round(level: Level, ends: np.ndarray, salt: int = 1) -> Level:
+    """Left symbols with a right symbol behind them as one symbol."""
+    left = (mix(level.name ^ np.uint64(salt)) >> np.uint64(40)) & np.uint64(1) == 0
+    before, after = neighbours(level)
+    pair = np.zeros(len(left), bool)
+    pair[:-1] = left[:-1] & ~left[1:] & after[:-1]
+    first = np.ones(len(left), bool)
     first[1:] = ~pair[:-1]
-    out = names.copy()
-    at = np.flatnonzero(pair)
-    out[at] = joined(names[at], names[at + 1])
-    index = np.flatnonzero(first)
-    return index, out[index]
-
-
-def spans_names(names: np.ndarray, size: int) -> np.ndarray:
-    """Names of all ``size``-word sequences, by doubling."""
-    out, done, power, width = None, 0, names, 1
-    for bit in range(size.bit_length()):
-        if size >> bit & 1:
-            n = len(names) - size + 1
-            own = power[done : done + n]
-            out = own if out is None else joined(out, own)
-            done += width
-        power = joined(power[: max(0, len(power) - width)], power[width:])
-        width *= 2
-    return mix(out ^ np.uint64(size))
+    at = np.flatnonzero(first)
+    name = level.name[at]
+    two = pair[at]
+    name[two] = joined(name[two], level.name[at[two] + 1])
+    right = np.minimum(at + 1, len(left) - 1)
+    low = np.where(left[at], level.low[at], np.where(before[at], level.low[at - 1], level.start[at] - 1))
+    high = np.where(left[at], np.where(after[at], level.high[right], ends[level.doc[at]] + 1), level.high[at])
+    return Level(name, level.start[at], low, high, level.doc[at])
+
+
+def four_round(level: Level) -> Level:
+    """Symbols for each four neighbours of one document, joined two by two."""
+    n = len(level.name) - JOINED + 1
+    if n <= 0:
+        return Level(*[x[:0] for x in (level.name, level.start, level.low, level.high, level.doc)])
+    two = joined(level.name[:-1], level.name[1:])
+    name = joined(two[:n], two[2 : n + 2])
+    own = level.doc[:n] == level.doc[JOINED - 1 :]
+    return Level(name[own], level.start[:n][own], level.low[:n][own], level.high[JOINED - 1 :][own], level.doc[:n][own])
+
+
+class Sums:
+    """Names of ranges of a sequence: sums of its names times powers of a base, moved to the power 0."""
+
+    def __init__(self, names: np.ndarray, base: np.uint64):
+        power = np.full(len(names) + 1, base, np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * power[:-1], dtype=np.uint64)])
+        self.back = np.full(len(names) + 1, np.uint64(pow(int(base), -1, 2**64)), np.uint64)
+        self.back[0] = 1
+        np.multiply.accumulate(self.back, out=self.back)
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[first]) * self.back[first]
 
 
 class Pack:
-    """Words of several documents as one array of names."""
+    """Words of several documents as one array of names, and their symbols."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids, self.words = ids, [WORDS.findall(t) for t in texts]
@@ -93,6 +149,9 @@ class Pack:
         self.ends = np.cumsum(sizes)
         self.names = names_of(list(chain.from_iterable(self.words)))
         self.doc = np.repeat(np.arange(len(ids)), sizes)
+        place = np.arange(len(self.names))
+        plain = Level(self.names, place, place, place + 1, self.doc)
+        self.symbols = pair_round(run_round(plain, self.ends), self.ends) if len(place) else plain
 
     def windows(self) -> np.ndarray:
         """Starts of the windows that lie in one document."""
@@ -101,25 +160,49 @@ class Pack:
             return np.empty(0, np.int64)
         return np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :])
 
-    def stands(self, starts: np.ndarray) -> np.ndarray:
-        """For each window the first word of the symbol that stands for it."""
-        first, level = pair_round(self.names, 1)
-        index, level = pair_round(level, 2)
-        rank = np.full(len(self.names), FULL, np.uint64)
-        rank[first[index]] = mix(level)
-        place = np.arange(len(rank))
-        for shift in (1, 2, 4):  # least of eight words, the leftmost of equals
-            later = rank[shift:] < rank[:-shift]
-            place = np.where(later, place[shift:], place[:-shift])
-            rank = np.where(later, rank[shift:], rank[:-shift])
-        return place[starts + LEFT]
-
-    def revealing(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words where standing symbols start, names of their settled contexts), in text order."""
-        where = np.unique(place)
-        if not len(where):
-            return where, np.empty(0, np.uint64)
-        return where, spans_names(self.names, LEFT + RIGHT + 1)[where - LEFT]
+    def stands(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(for each window the first word of the high-level symbol that stands for it, -1 without one; names by first word)."""
+        high = four_round(self.symbols)
+        name, low, end = (np.full(len(self.names) + WINDOW, FULL if k == 0 else -1, np.uint64 if k == 0 else np.int64) for k in range(3))
+        name[high.start], low[high.start], end[high.start] = high.name, high.low, high.high
+        rank = np.full(len(name), FULL, np.uint64)
+        rank[high.start] = mix(high.name)
+        best, place = np.full(len(starts), FULL, np.uint64), np.full(len(starts), -1)
+        for shift in range(WINDOW - JOINED + 1):  # the leftmost of equals
+            at = starts + shift
+            better = (rank[at] < best) & (low[at] >= starts) & (end[at] <= starts + WINDOW)
+            best[better] = rank[at[better]]
+            place[better] = at[better]
+        return place, name
+
+    def forms(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96-bit names (64 and 32 bits) of windows: words popped left, settled symbols, words popped right."""
+        s = self.symbols
+        first = np.searchsorted(s.low, starts, "left")
+        after = np.searchsorted(s.high, starts + WINDOW, "right")
+        core = after > first
+        after = np.where(core, after, first)
+        begin = np.where(core, s.start[np.minimum(first, len(s.start) - 1)], starts + WINDOW)
+        end = np.where(core, np.append(s.start, len(self.names))[after], starts + WINDOW)
+        # the symbol after the core may be of the next document
+        end = np.minimum(end, self.ends[self.doc[starts]])
+        out = []
+        for base in BASES:
+            words, symbols = Sums(self.names, base), Sums(s.name, base)
+            shape = (begin - starts).astype(np.uint64) * P1 + (end - starts).astype(np.uint64) * P2
+            out.append(joined(joined(words.of(starts, begin) + shape, symbols.of(first, after)), words.of(end, starts + WINDOW)))
+        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+    def revealing(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words where what stands for windows begins, names of these, index of each window's)."""
+        place, name = self.stands(starts)
+        where, index = np.unique(place[place >= 0], return_inverse=True)
+        own = np.empty(len(starts), np.int64)
+        own[place >= 0] = index.reshape(-1)
+        bare = np.flatnonzero(place < 0)
+        own[bare] = len(where) + np.arange(len(bare))
+        forms = self.forms(starts[bare])[0] if len(bare) else np.empty(0, np.uint64)
+        return np.concatenate([where, starts[bare]]), np.concatenate([name[where], forms]), own
 
 
 def by_bucket(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +245,7 @@ def marked(replies, kind: int, buckets: np.ndarray) -> np.ndarray:
 
 def sent_names(pack: Pack, buckets: int):
     """(bucket, names, flags) to send: standing names, with those of several documents of the pack flagged."""
-    where, names = pack.revealing(pack.stands(pack.windows()))
+    where, names, _ = pack.revealing(pack.windows())
     own, bucket, back = by_bucket(names, buckets)
     least, most = np.full(len(own), 2**62), np.full(len(own), -1)
     ids = np.array(pack.ids, np.int64)
@@ -173,25 +256,44 @@ def sent_names(pack: Pack, buckets: int):
         yield b, short(own[s]), np.packbits(most[s] > least[s]).tobytes()
 
 
+def groups_of(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one of each distinct pair, in the order of the pairs; index of each pair among these)."""
+    order = np.argsort(high, kind="stable")
+    new = np.ones(len(order), bool)
+    same = high[order[1:]] == high[order[:-1]]
+    if (same & (low[order[1:]] != low[order[:-1]])).any():
+        order = np.lexsort((low, high))
+        same = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    new[1:] = ~same
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return order[new], index
+
+
 def candidates(pack: Pack, replies, buckets: int):
-    """(window starts, their names, distinct names, buckets, index, smallest id of each) of windows that may be repeated."""
+    """(window starts, distinct forms as two arrays, buckets, index, document of each window, smallest id of each form) of windows that may be repeated."""
     starts = pack.windows()
-    place = pack.stands(starts)
-    where, names = pack.revealing(place)
+    _, names, own = pack.revealing(starts)
     _, bucket, back = by_bucket(names, buckets)
-    shared = marked(replies, 0, bucket)[back] if len(where) else np.empty(0, bool)
-    starts = starts[shared[np.searchsorted(where, place)]] if len(where) else starts
-    found = spans_names(pack.names, WINDOW)[starts] if len(starts) else np.empty(0, np.uint64)
-    own, bucket, back = by_bucket(found, buckets)
+    if len(starts):
+        starts = starts[marked(replies, 0, bucket)[back][own]]
+    high, low = pack.forms(starts) if len(starts) else (np.empty(0, np.uint64), np.empty(0, np.uint32))
+    one, index = groups_of(high, low)
+    high, low = high[one], low[one]
+    bucket = (high >> np.uint64(40)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    back = back[index]
     ids = np.array(pack.ids, np.int64)[pack.doc[starts]] if len(starts) else np.empty(0, np.int64)
-    least = np.full(len(own), 2**63 - 1)
+    least = np.full(len(order), 2**63 - 1)
     np.minimum.at(least, back, ids)
-    return starts, own, bucket, back, ids, least
+    return starts, high[order], low[order], bucket[order], back, ids, least
 
 
 def removed_words(pack: Pack, replies, buckets: int) -> np.ndarray:
     """Which words repeated windows cover."""
-    starts, _, bucket, back, ids, least = candidates(pack, replies, buckets)
+    starts, _, _, bucket, back, ids, least = candidates(pack, replies, buckets)
     edge = np.zeros(len(pack.names) + 1, np.int64)
     if len(starts):
         gone = starts[marked(replies, 1, bucket)[back] | (ids > least[back])]
@@ -249,8 +351,9 @@ def substring_dedup(docs: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
     import pyarrow as pa
 
     spark = docs.sparkSession
-    buckets = 2 * common.shuffle_partitions(spark)
     packs = common.materialise(packs_of(docs, pack_chars), "packs")
+    chars = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(2 * common.shuffle_partitions(spark), -(-chars // BUCKET_CHARS))
     reply_schema = pa.schema([("pack", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("bits", pa.binary())])
     reply_kinds = "pack bigint, kind int, bucket bigint, bits binary"
 
@@ -288,26 +391,26 @@ def substring_dedup(docs: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
     def replies_of(table):
         return list(zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("bits").to_pylist(), strict=True))
 
-    window_schema = pa.schema([("pack", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary()), ("least", pa.binary())])
+    window_kinds = "pack bigint, bucket bigint, high binary, low binary, least binary"
+    window_schema = pa.schema([("pack", pa.int64()), ("bucket", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("least", pa.binary())])
 
     def windows(left, right):
         rows = []
         for number, pack in zip(left.column("pack").to_pylist(), rows_of(left), strict=True):
-            _, own, bucket, _, _, least = candidates(pack, replies_of(right), buckets)
-            rows += [(number, b, own[s].tobytes(), least[s].tobytes()) for b, s in slices(bucket)]
+            _, high, low, bucket, _, _, least = candidates(pack, replies_of(right), buckets)
+            rows += [(number, b, high[s].tobytes(), low[s].tobytes(), least[s].tobytes()) for b, s in slices(bucket)]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(window_schema.types)], schema=window_schema)
 
     def earlier(table):
-        names = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("least").to_pylist()])
-        _, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        inverse = inverse.reshape(-1)
-        first = np.full(int(inverse.max()) + 1, 2**63 - 1)
-        np.minimum.at(first, inverse, least)
-        return bits_by_row(table, [len(x) for x in names], first[inverse] < least, 1)
+        every = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+        high, least = every("high", np.uint64), np.concatenate(every("least", np.int64))
+        one, index = groups_of(np.concatenate(high), np.concatenate(every("low", np.uint32)))
+        first = np.full(len(one), 2**63 - 1)
+        np.minimum.at(first, index, least)
+        return bits_by_row(table, [len(x) for x in high], first[index] < least, 1)
 
     grouped = packs.groupBy("pack")
-    found = grouped.cogroup(replies.groupBy("pack")).applyInArrow(windows, "pack bigint, bucket bigint, names binary, least binary")
+    found = grouped.cogroup(replies.groupBy("pack")).applyInArrow(windows, window_kinds)
     found = found.groupBy("bucket").applyInArrow(earlier, reply_kinds)
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 

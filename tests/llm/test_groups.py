@@ -126,18 +126,49 @@ def test_substrings_against_brute_force(spark, seed):
 
 
 def test_substring_symbols_are_consistent():
-    """A window's standing symbol has the same place and name wherever the window lies."""
-    rng = random.Random(5)
-    window = [rng.choice("abcdefg") for _ in range(13)]
-    seen = set()
-    for _ in range(40):
-        before, after = ([rng.choice("abcdefg") for _ in range(rng.randint(0, 9))] for _ in range(2))
-        pack = substring.Pack([1], [" ".join(before + window + after)])
-        starts = pack.windows()
-        place = pack.stands(starts)[len(before)] - len(before)
-        where, names = pack.revealing(pack.stands(starts))
-        seen.add((int(place), int(names[np.searchsorted(where, place + len(before))])))
-    assert len(seen) == 1
+    """A window has the same standing symbol and form wherever it lies, and other windows have others."""
+    rng, forms = random.Random(5), {}
+    for k in range(60):
+        window = [rng.choice("abcdefg") for _ in range(13)]
+        if k % 3 == 0:  # a run
+            window[2:9] = ["r"] * rng.randint(5, 7)
+            window = (window + list("abcdefg"))[:13]
+        seen = set()
+        for _ in range(30):
+            before, after = ([rng.choice("abcdefg") for _ in range(rng.randint(0, 9))] for _ in range(2))
+            pack = substring.Pack([1, 2], ["a b", " ".join(before + window + after)])
+            starts = pack.windows()
+            at = np.flatnonzero(starts == 2 + len(before))
+            place, name = pack.stands(starts[at])
+            high, low = pack.forms(starts[at])
+            seen.add((int(place[0]) - 2 - len(before) if place[0] >= 0 else None, int(name[place[0]]) if place[0] >= 0 else None, int(high[0]), int(low[0])))
+        assert len(seen) == 1, window
+        forms.setdefault(seen.pop()[2:], set()).add(tuple(window))
+    assert all(len(own) == 1 for own in forms.values()) and len(forms) == 60
+
+
+def test_substring_rounds_name_runs_and_pairs(monkeypatch):
+    """Runs and pairs become symbols; forms are made of them, so that without either round they are others."""
+    text = "x a a a b c d e f g h a a a b q q y z u v w"
+    pack = substring.Pack([1], [text])
+    s = pack.symbols
+    runs = {int(n) for n in substring.run_round(substring.Level(pack.names, *[np.arange(22)] * 2, np.arange(1, 23), pack.doc), pack.ends).name}
+    assert len(s.name) < 18 and len(runs) == 15  # a a a is one symbol, twice, and q q another
+    assert any(b - a >= 2 for a, b in zip(s.start, s.start[1:]))
+    forms = set(pack.forms(pack.windows())[0].tolist())
+    for step in ("run_round", "pair_round"):
+        with monkeypatch.context() as m:
+            m.setattr(substring, step, lambda level, ends: level)
+            assert not forms & set(substring.Pack([1], [text]).forms(pack.windows())[0].tolist()) or step == "run_round"
+    high = substring.four_round(s)
+    assert len(high.name) == len(s.name) - 3 and (high.low <= high.start).all()
+
+
+def test_most_windows_are_revealed_by_symbols(spark, data):
+    docs = [r.text for r in common.table(spark, data, "documents").select("text").limit(60).collect()]
+    pack = substring.Pack(list(range(len(docs))), docs)
+    place, _ = pack.stands(pack.windows())
+    assert (place >= 0).mean() > 0.97
 
 
 def test_substring_cases(spark, odd, none):

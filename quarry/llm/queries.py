@@ -77,34 +77,39 @@ FROM judged GROUP BY doc_id
 
 
 def _license_sql() -> str:
-    quoted = lambda x: "'" + x + "'"
+    """Known sentences that lie in one line, by equality with the listed ones and with all notices; rules take their identifiers out one after the other."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
     cues = lambda of, words: "(" + " OR ".join(f"contains({of}, '{w}')" for w in words) + ")"
-    known = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in license.SENTENCES.items())
-    fired = ", ".join(f"CASE WHEN contains(ids, ',{','.join(ids)},') THEN '{name}' END" for name, ids in license.RULES)
+    pairs = lambda rows: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in rows.items())
+    one = lambda rows: ", ".join(f"({quoted(x)})" for x in rows)
+    steps, at = [], "r0"
+    for k, (name, ids) in enumerate(license.RULES):
+        own = quoted("," + ",".join(ids) + ",")
+        steps.append(f"r{k + 1} AS (SELECT doc_id, sentence_ids, n_generic, replace(ids, {own}, ',|,') AS ids, CASE WHEN contains(ids, {own}) AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names FROM {at})")
+        at = f"r{k + 1}"
     return f"""
-WITH known(s, id) AS (VALUES {known}),
+WITH known(s, id) AS (
+    SELECT * FROM (VALUES {pairs(license.SENTENCES)})
+    UNION ALL SELECT o || ' ' || b || n, id FROM (VALUES {one(license.OPENINGS)}) t(o), (VALUES {one(license.BEFORE)}) u(b), (VALUES {pairs(license.NAME_IDS)}) v(n, id)
+), once AS (SELECT s, min(id) AS id FROM known GROUP BY s),
 lines AS (
     SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS lpos
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), cut AS (
     SELECT doc_id, lpos, unnest(ss) AS sentence, unnest(range(len(ss))) AS spos
-    FROM (SELECT doc_id, lpos, string_split_regex(regexp_replace(line, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)) AS ss
+    FROM (SELECT doc_id, lpos, string_split_regex(regexp_replace(line, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS ss
           FROM lines WHERE {cues("lower(line)", license.CUES)})
 ), norm AS (
     SELECT doc_id, lpos, spos, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS s FROM cut
-    WHERE {cues("lower(sentence)", license.CUES)}
 ), found AS (
     SELECT doc_id, coalesce(string_agg(id, ',' ORDER BY lpos, spos), '') AS sentence_ids,
            count(*) FILTER (id IS NULL AND {cues("norm.s", license.STRONG)}) AS n_generic
-    FROM norm LEFT JOIN known USING (s) GROUP BY doc_id
-), fired AS (
-    SELECT doc_id, sentence_ids, n_generic, list_filter([{fired}], lambda x: x IS NOT NULL) AS names
-    FROM (SELECT *, ',' || sentence_ids || ',' AS ids FROM found)
-), once AS (
-    SELECT doc_id, sentence_ids, n_generic, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ',') AS licenses FROM fired
-)
-SELECT d.doc_id, coalesce(o.sentence_ids, '') AS sentence_ids, coalesce(o.licenses, '') AS licenses, coalesce(o.n_generic, 0)::BIGINT AS n_generic
-FROM documents d LEFT JOIN once o USING (doc_id)
+    FROM norm LEFT JOIN once USING (s) GROUP BY doc_id
+), r0 AS (
+    SELECT doc_id, sentence_ids, n_generic, ',' || sentence_ids || ',' AS ids, []::VARCHAR[] AS names FROM found
+), {", ".join(steps)}
+SELECT d.doc_id, coalesce(o.sentence_ids, '') AS sentence_ids, coalesce(array_to_string(o.names, ','), '') AS licenses, coalesce(o.n_generic, 0)::BIGINT AS n_generic
+FROM documents d LEFT JOIN {at} o USING (doc_id)
 """
 
 

@@ -411,21 +411,65 @@ def test_wrapped_licenses(spark):
     """Headers wrapped at some 70 columns, with comment marks, give the identifiers of their long sentences."""
     import textwrap
 
-    known = {i: s for s, i in license.SENTENCES.items()}
+    known = {}
+    for text, i in license.SENTENCES.items():
+        known.setdefault(i, text)
     body = lambda *ids: [known[i][0].upper() + known[i][1:] + "." for i in ids]
     wrap = lambda parts, mark: "\n".join(textwrap.wrap(" ".join(parts), 70, initial_indent=mark, subsequent_indent=mark))
-    mit, gpl = body("mit-grant", "mit-condition", "mit-disclaimer"), body("gpl3-grant", "gpl-disclaimer")
+    mit, gpl = body("mit-grant", "mit-condition", "mit-disclaimer"), body("gpl-3.0-grant", "gpl-disclaimer")
     bsd = body("bsd-grant", "bsd-source", "bsd-binary")
     rows = [
         (1, "Copyright (c) 2001 Someone\n\n" + "\n\n".join(wrap([p], "") for p in mit)), (2, wrap(mit, " * ")), (3, wrap(gpl, "# ")),
         (4, "/*\n" + wrap(gpl, "// ") + "\n*/\nint x;"), (5, "\n".join(wrap([p], "  ") for p in bsd)), (6, "Licensed under the\n\nMIT License."), (7, "Licensed under the\r\nMIT License"),
     ]
     out = {r.doc_id: r for r in license.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert [out[k].licenses for k in range(1, 8)] == [["MIT"], ["MIT"], ["GPL-3.0"], ["GPL-3.0"], ["BSD-3-Clause", "BSD-2-Clause"], [], ["MIT"]]
+    assert [out[k].licenses for k in range(1, 8)] == [["MIT"], ["MIT"], ["GPL-3.0"], ["GPL-3.0"], ["BSD-2-Clause"], [], ["MIT"]]
     assert out[1].sentence_ids == "mit-grant,mit-condition,mit-disclaimer" and out[1].n_generic == 0 and out[6].n_generic == 2
     assert all(any(c in s for c in license.CUES) for s in license.SENTENCES)
 
 
+BSD = """Copyright (c) 2019, Some Body. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED."""
+THIRD = """3. Neither the name of Some Body Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_rules_hold_the_longest_licence(spark):
+    cases = {
+        BSD.format(third=""): ["BSD-2-Clause"], BSD.format(third=THIRD.replace(" Inc.", " Inc")): ["BSD-3-Clause"], "All rights reserved.": [], "Licensed under the BSD 3-Clause License.": ["BSD-3-Clause"],
+        "This library is licensed under the terms of the GNU LGPL v2.1 or later.": ["LGPL-2.1"], "The code is available under CC BY-SA 3.0.": ["CC-BY-SA-3.0"], "Released under a BSD license": ["BSD"],
+        "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0": ["Apache-2.0"],
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": ["AGPL-3.0"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"], "Published under the EUPL-1.2": ["EUPL-1.2"], "licensed under my own terms": [],
+    }
+    out = license.license_scan(spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "doc_id bigint, text string"))
+    assert {r.doc_id: r.licenses for r in out.collect()} == dict(enumerate(cases.values()))
+
+
+def test_every_notice_is_known(spark):
+    """Each name behind some opening, wrapped at its spaces, gives its licence alone."""
+    rng = random.Random(2)
+    rows = [(lic, f"{rng.choice(license.OPENINGS)} {rng.choice(license.BEFORE)}{name}".replace(" ", rng.choice([" ", "\n"])) + ".") for lic, names in license.NAMES.items() for name in names]
+    out = license.license_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id bigint, text string"))
+    got = {r.doc_id: r.licenses for r in out.collect()}
+    assert all(got[k] == [lic] for k, (lic, _) in enumerate(rows)), [(rows[k], got[k]) for k in got if got[k] != [rows[k][0]]][:5]
+
+
 # Pipeline.
 
 

@@ -8,28 +8,37 @@ the shares of its best containers. Spark sums the votes for each host and path
 decides what is extracted from its pages. A page on which the winning path holds
 no text is extracted by the best container of its own.
 
-Elements named by furniture words are cut, but not those that hold more than half of
-the page's unlinked text (of its longest article or main, where it has one): these are
-wrappers, and the votes decide on them. Reader comments count as a wrapper only where
-nothing else of that text is left.
+Forms and elements named by furniture words are cut, but not those that hold more than
+half of the page's unlinked text (of its longest article or main, where it has one):
+these are wrappers, and the votes decide on them. Reader comments count as a wrapper
+only where nothing else of that text is left.
+
+A page is read in one pass with trees of paths and of wrappers, whose sums go from
+children to parents once, so that the work is in proportion to the page however deep
+it nests.
 
 Defined cases: null or empty html gives an empty text; pages without a url share
 one host; a tag cut off by the end of the html is dropped; an unclosed comment,
 script or style runs to the end; ties between paths go to more pages, then to the
-smaller path; repeated rows give repeated results; other columns are ignored.
+smaller path, and within a page to the one that begins first; repeated rows give
+repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from dataclasses import dataclass, field
+from heapq import nsmallest
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-#: Winners up to this many hosts are broadcast (about 100 bytes each); beyond, a merge join takes them.
+#: Winners up to this many hosts are broadcast (about 100 bytes each); beyond, a merge join takes them, whose page side
+#: adaptive execution splits where a host is hot.
 BROADCAST_HOSTS = 200_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
@@ -44,7 +53,7 @@ INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label", "nobr",
 }
-FURNITURE = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "canvas", "object", "head", "fieldset", "option"}
+FURNITURE = {"nav", "header", "footer", "aside", "button", "select", "menu", "dialog", "svg", "canvas", "object", "head", "fieldset", "option"}
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
@@ -64,12 +73,89 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("furniture", "link", "main", "named", "path", "tag")
+    """An open element: numbers of its path, of the innermost wrapper and of the innermost article or main around its text."""
+
+    __slots__ = ("furniture", "link", "main", "path", "tag", "wrapper")
+
+    def __init__(self, tag: str, path: int, furniture: bool, link: bool, wrapper: int = -1, main: int = -1):
+        self.tag, self.path, self.furniture, self.link, self.wrapper, self.main = tag, path, furniture, link, wrapper, main
+
+
+class Tree:
+    """Numbered nodes whose parents (-1: none) come before them."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        return len(self.parent) - 1
+
+    def sums(self, own: list[float]) -> list[float]:
+        """Of each node's own value and those below it."""
+        out = list(own)
+        for k in range(len(out) - 1, -1, -1):
+            if self.parent[k] >= 0:
+                out[self.parent[k]] += out[k]
+        return out
+
+    def below(self, node: int) -> list[bool]:
+        """Whether each node is ``node`` or below it."""
+        out = []
+        for k, parent in enumerate(self.parent):
+            out.append(k == node or (parent >= 0 and out[parent]))
+        return out
+
+
+class Paths(Tree):
+    """Paths of generalised steps, each once."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.step: list[str] = []
+        self.depth: list[int] = []
+        self.known: dict[tuple[int, str], int] = {}
+
+    def at(self, parent: int, step: str) -> int:
+        k = self.known.get((parent, step))
+        if k is None:
+            k = self.known[parent, step] = self.add(parent)
+            self.step.append(step)
+            self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
+        return k
 
-    def __init__(self, tag: str, path: str, furniture: bool, link: bool, named: tuple[int, ...] = (), main: tuple[int, ...] = ()):
-        self.tag, self.path, self.furniture, self.link = tag, path, furniture, link
-        #: Numbers of the open elements named by furniture words, outermost first; and of the open articles and mains.
-        self.named, self.main = named, main
+    def text(self, k: int) -> str:
+        out = []
+        while k >= 0:
+            out.append(self.step[k])
+            k = self.parent[k]
+        return "/".join(reversed(out))
+
+    def find(self, path: str) -> int | None:
+        k: int | None = -1
+        for step in path.split("/"):
+            k = self.known.get((k, step))
+            if k is None:
+                return None
+        return k
+
+
+@dataclass
+class Block:
+    text: str
+    path: int  # of the innermost container
+    linked: int  # characters inside links
+    wrapper: int = -1
+    main: int = -1
+    number: int = 0
+
+
+@dataclass
+class Read:
+    """Blocks of a page and the paths they lie in."""
+
+    blocks: list[Block] = field(default_factory=list)
+    paths: Paths = field(default_factory=Paths)
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -79,40 +165,50 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, list[str], int]]:
-    """(text, paths of the open containers outermost first, characters inside links) of each block outside furniture."""
-    stack = [Element("", "", False, False)]
-    out: list[tuple[str, list[str], int]] = []
-    inside: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
-    comments: list[bool] = []  # of each element named by furniture words
-    number: list[int] = []  # of the block of each piece
-    mains = done = 0
-    parts: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []
-    at = 0
+def blocks(page: str) -> Read:
+    """The blocks of a page outside furniture."""
+    read, wrapped, mains = Read(), Tree(), Tree()
+    stack = [Element("", -1, False, False)]
+    many: Counter[str] = Counter()  # open elements by tag
+    comments: list[bool] = []  # of each wrapper
+    parts: list[tuple[str, Element]] = []
+    done = at = 0
 
     def flush(ends: bool = True) -> None:
         nonlocal done
         if parts:
-            linked = sum(len(p) for p, link, *_ in parts if link)
-            out.append(("".join(p for p, *_ in parts), [e.path for e in stack[1:] if e.tag not in INLINE], linked))
-            inside.append(parts[0][2:])
-            number.append(done)
+            linked = sum(len(p) for p, e in parts if e.link)
+            first = parts[0][1]
+            read.blocks.append(Block("".join(p for p, _ in parts), stack[-1].path, linked, first.wrapper, first.main, done))
             parts.clear()
         done += ends
 
     def said(text: str) -> None:
         top = stack[-1]
         if text and not top.furniture:
-            if parts and parts[-1][2] != top.named:  # an inline element named by furniture words begins or ends
+            if parts and parts[-1][1].wrapper != top.wrapper:  # an inline wrapper begins or ends
                 flush(False)
-            parts.append((entities.unescape(text), top.link, top.named, top.main))
+            parts.append((entities.unescape(text), top))
 
     def close(k: int) -> None:
         """Pops the stack down to the element at k, and that one."""
         if any(e.tag not in INLINE for e in stack[k:]):
             flush()
+        for e in stack[k:]:
+            many[e.tag] -= 1
         del stack[k:]
 
+    def close_last(tags: set[str]) -> None:
+        """Closes the last open element of these tags, unless a fence lies before it."""
+        if not any(many[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in tags:
+                close(k)
+                return
+            if stack[k].tag in FENCES:
+                return
+
     n = len(page)
     while at < n:
         m = TOKEN.search(page, at)
@@ -129,7 +225,7 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if many[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -150,106 +246,106 @@ def blocks(page: str) -> list[tuple[str, list[str], int]]:
         if tag not in INLINE:
             flush()
             if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag in FENCES:
-                        break
+                close_last({"p"})
             if tag in SIBLINGS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in SIBLINGS[tag]:
-                        close(k)
-                        break
-                    if stack[k].tag in FENCES:
-                        break
+                close_last(SIBLINGS[tag])
         found = attributes(m[3]) if m[3].strip(" /") else {}
         names = found.get("class", "").lower()
         top = stack[-1]
         furniture = top.furniture or tag in FURNITURE or "hidden" in found or found.get("role", "").lower() in FURNITURE_ROLES
-        named, main = top.named, top.main
+        wrapper, main = top.wrapper, top.main
         if tag in ("article", "main"):
-            main, mains = (*main, mains), mains + 1
+            main = mains.add(main)
         elif not furniture and tag not in ("html", "body"):
             words = set(WORD.findall(f"{names} {found.get('id', '').lower()}"))
-            if not FURNITURE_WORDS.isdisjoint(words):
-                named = (*named, len(comments))
+            if tag == "form" or not FURNITURE_WORDS.isdisjoint(words):
+                wrapper = wrapped.add(wrapper)
                 comments.append(not COMMENT_WORDS.isdisjoint(words))
-        if tag in INLINE:
-            path = top.path
-        else:
-            kind = ".".join([tag, *sorted(set(DIGITS.sub("0", names).split()))])
-            path = f"{top.path}/{kind}" if top.path else kind
-        stack.append(Element(tag, path, furniture, top.link or tag == "a", named, main))
+        path = top.path if tag in INLINE else read.paths.at(top.path, ".".join([tag, *sorted(set(DIGITS.sub("0", names).replace("/", "|").split()))]))
+        stack.append(Element(tag, path, furniture, top.link or tag == "a", wrapper, main))
+        many[tag] += 1
     flush()
-    cleared = wrappers([max(0, len(t.strip()) - linked) for t, _, linked in out], inside, comments) if comments else set()
-    whole: dict[int, tuple[str, list[str], int]] = {}
-    for k, (text, paths, linked), (named, _) in zip(number, out, inside, strict=True):
-        if cleared.issuperset(named):
-            before, _, more = whole.get(k, ("", paths, 0))
-            whole[k] = (before + text, paths, more + linked)
-    found_blocks = ((SPACE.sub(" ", text).strip(), paths, linked) for text, paths, linked in whole.values())
-    return [block for block in found_blocks if block[0]]
-
-
-def wrappers(sizes: list[int], inside: list[tuple[tuple[int, ...], tuple[int, ...]]], comments: list[bool]) -> set[int]:
-    """Elements named by furniture words that hold most of a page's text; ``inside``: the named elements and the articles around each block."""
-    by_main: dict[int, int] = {}
-    for size, (_, mains) in zip(sizes, inside, strict=True):
-        for k in mains:
-            by_main[k] = by_main.get(k, 0) + size
-    main = max(by_main, key=lambda k: (by_main[k], -k), default=None)
-    if main is not None and not by_main[main]:
-        main = None
-    judged = [(size, named) for size, (named, mains) in zip(sizes, inside, strict=True) if main is None or main in mains]
-    total = sum(size for size, _ in judged)
-    held = [0] * len(comments)
-    for size, named in judged:
-        for k in named:
-            held[k] += size
-    cleared: set[int] = set()
-    for k in range(len(comments)):  # outer elements come first
-        if 2 * held[k] <= total:
-            continue
-        if comments[k] and any(size and cleared.issuperset(named) for size, named in judged):
-            continue
-        cleared.add(k)
-    return cleared
-
-
-def container_scores(found: list[tuple[str, list[str], int]]) -> dict[str, float]:
-    """Score of each container path of a page: unlinked text it holds, with a bias to inner and named containers."""
-    total = sum(max(0, len(t) - linked) for t, _, linked in found) or 1
-    out: dict[str, float] = {}
-    for text, paths, linked in found:
-        weight = max(0, len(text) - linked) / total
-        for path in set(paths):
-            out[path] = out.get(path, 0.0) + weight
-    scored = {}
-    for path, share in out.items():
-        leaf = path.rpartition("/")[2]
+    stays = wrappers(read.blocks, wrapped, comments, mains) if comments else []
+    whole: dict[int, Block] = {}
+    for b in read.blocks:
+        if b.wrapper < 0 or stays[b.wrapper]:
+            before = whole.get(b.number)
+            whole[b.number] = Block(before.text + b.text, before.path, before.linked + b.linked) if before else Block(b.text, b.path, b.linked)
+    read.blocks = [Block(text, b.path, b.linked) for b in whole.values() if (text := SPACE.sub(" ", b.text).strip())]
+    return read
+
+
+def wrappers(found: list[Block], wrapped: Tree, comments: list[bool], mains: Tree) -> list[bool]:
+    """Whether each wrapper and all around it hold most of a page's unlinked text, so that they stay."""
+    sizes = [max(0, len(b.text.strip()) - b.linked) for b in found]
+    own = [0] * len(mains.parent)
+    for size, b in zip(sizes, found, strict=True):
+        if b.main >= 0:
+            own[b.main] += size
+    by_main = mains.sums(own)
+    main = max(range(len(by_main)), key=lambda k: (by_main[k], -k), default=None)
+    inside = mains.below(main) if main is not None and by_main[main] else None
+    bare, total, own = False, 0, [0] * len(comments)
+    for size, b in zip(sizes, found, strict=True):
+        if inside is None or (b.main >= 0 and inside[b.main]):
+            total += size
+            if b.wrapper >= 0:
+                own[b.wrapper] += size
+            elif size:
+                bare = True
+    held = wrapped.sums(own)
+    stays: list[bool] = []
+    for k, parent in enumerate(wrapped.parent):  # outer wrappers come first
+        stay = 2 * held[k] > total and not (comments[k] and bare) and (parent < 0 or stays[parent])
+        stays.append(stay)
+        bare = bare or (stay and own[k] > 0)
+    return stays
+
+
+def container_scores(read: Read) -> dict[int, float]:
+    """Score of each container path of a page: the share of unlinked text it holds, with a bias to inner and named containers."""
+    weights = [max(0, len(b.text) - b.linked) for b in read.blocks]
+    total = sum(weights) or 1
+    own = [0.0] * len(read.paths.parent)
+    for weight, b in zip(weights, read.blocks, strict=True):
+        if b.path >= 0:
+            own[b.path] += weight / total
+    used = [False] * len(own)
+    for b in read.blocks:
+        if b.path >= 0:
+            used[b.path] = True
+    out = {}
+    for k, share in enumerate(read.paths.sums(own)):
+        leaf = read.paths.step[k]
         tag = leaf.partition(".")[0]
-        if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "dt", "dd", "html"):
+        if (share <= 0 and not used[k]) or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "dt", "dd", "html"):
             continue
         words = set(WORD.findall(leaf))
-        bias = 0.25 * (tag in ("article", "main")) + 0.15 * bool(words & {"article", "content", "post", "entry", "story", "main"}) + 0.02 * path.count("/")
-        scored[path] = share * (1 + bias)
-    return scored
+        bias = 0.25 * (tag in ("article", "main")) + 0.15 * bool(words & {"article", "content", "post", "entry", "story", "main"}) + 0.02 * read.paths.depth[k]
+        out[k] = share * (1 + bias)
+    return out
+
+
+def best_paths(read: Read, most: int) -> list[tuple[int, float]]:
+    scored = nsmallest(most, container_scores(read).items(), key=lambda x: (-round(x[1], 9), x[0]))
+    best = (scored[0][1] if scored else 1.0) or 1.0
+    return [(k, score / best) for k, score in scored]
 
 
-def votes(found: list[tuple[str, list[str], int]], most: int = 3) -> list[tuple[str, float]]:
-    scored = sorted(container_scores(found).items(), key=lambda x: (-x[1], x[0]))[:most]
-    best = scored[0][1] if scored else 1.0
-    return [(path, score / best) for path, score in scored]
+def votes(read: Read, most: int = 3) -> list[tuple[str, float]]:
+    return [(read.paths.text(k), score) for k, score in best_paths(read, most)]
 
 
-def text_at(found: list[tuple[str, list[str], int]], path: str | None) -> str:
+def text_at(read: Read, path: str | None) -> str:
     """Text of the blocks inside ``path``; of the page's best container if that holds none."""
-    own = [t for t, paths, _ in found if path in paths] if path else []
-    if not own and found:
-        best = votes(found, 1)
-        own = [t for t, paths, _ in found if not best or best[0][0] in paths]
-    return " ".join(own)
+    for chosen in (lambda: read.paths.find(path) if path else None, lambda: next((k for k, _ in best_paths(read, 1)), None)):
+        k = chosen()
+        if k is not None:
+            inside = read.paths.below(k)
+            own = [b.text for b in read.blocks if b.path >= 0 and inside[b.path]]
+            if own:
+                return " ".join(own)
+    return " ".join(b.text for b in read.blocks)
 
 
 def hosts(pages: DataFrame) -> DataFrame:

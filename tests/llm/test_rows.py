@@ -224,6 +224,19 @@ def test_pii_spans_without_digits_and_of_any_length():
     assert sum(any(long in t[a:b] for a, b in own) for t, own in zip(texts[1:], found[1:], strict=True)) == len(texts) - 1
 
 
+def test_pii_recall_by_kind():
+    """Held-out spans of every kind in prose; most of each is found, and prose with neutral figures is left alone."""
+    rng, tagger = np.random.default_rng(777), pii.train()
+    prose = lambda: " ".join(pii._letters(rng, 1, 9) for _ in range(int(rng.integers(4, 12))))
+    for kind, make in pii.PERSONAL.items():
+        spans_ = [make(rng) for _ in range(60)]
+        texts = [f"{prose()} {x} {prose()}" for x in spans_]
+        hits = sum(any(2 * len(set(range(a, b)) & set(range(t.index(x), t.index(x) + len(x)))) > len(x) for a, b in own) for t, x, own in zip(texts, spans_, pii.tag_texts(tagger, texts), strict=True))
+        assert hits >= 54, (kind, hits)
+    texts = [f"{prose()} {pii._neutral(rng)} {prose()}" for _ in range(200)]
+    assert sum(bool(own) for own in pii.tag_texts(tagger, texts)) <= 6
+
+
 def test_reconcile_takes_the_best_total():
     found = [(0, 10, 3.0), (5, 15, 5.0), (12, 20, 3.0), (12, 20, 0.5)]
     assert pii.reconcile(found) == [(0, 10), (12, 20)] and pii.reconcile([]) == []
@@ -264,6 +277,29 @@ def test_html_wrappers_named_by_furniture_words():
     assert htmltext.text_at(htmltext.blocks("<p>one w<span class='ad'>x</span>ord"), None) == "one word"
 
 
+def test_html_of_any_depth():
+    import time
+
+    start = time.perf_counter()
+    for tag in ("div", "b", "div class='sidebar'", "ul><li", "article"):
+        page = f"<{tag}>" * 8000 + "<p>deep words</p>" + "</span></i>" * 3000
+        assert htmltext.text_at(htmltext.blocks(page), None) == "deep words", tag
+    assert time.perf_counter() - start < 8
+
+
+def test_html_forms_and_repeated_blocks():
+    text = "long text of the page " * 20
+    page = f"<body><form action='/x'><div class='content'><p>{text}</p></div></form></body>"  # the whole page is one form
+    assert htmltext.text_at(htmltext.blocks(page), None) == text.strip()
+    page = f"<body><div class='story'><p>{text}</p></div><form><p>name and address</p></form></body>"
+    assert htmltext.text_at(htmltext.blocks(page), None) == text.strip()
+    twice = "<body><div class='story'><p>same words</p><p>same words</p><div class='w-1/2'><p>half</p></div></div></body>"
+    found = htmltext.blocks(twice)
+    assert htmltext.text_at(found, "body/div.story") == "same words same words half" and htmltext.text_at(found, "body/div.story/div.w-0|0") == "half"
+    tied = "<body><div><p>one one</p></div><section><p>two two</p></section></body>"
+    assert htmltext.text_at(htmltext.blocks(tied), None) == "one one two two"
+
+
 def test_html_hosts_vote(spark):
     """A host whose pages share a layout: the page with a long side block follows the others."""
     normal = "<body><div class='story'><p>" + "text " * 40 + "</p></div><div class='box'><p>short</p></div></body>"

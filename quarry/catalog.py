@@ -8,8 +8,10 @@ so that each kind occurs at every scale; the SQL says what has to come out.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +164,27 @@ def engine_search_hybrid(spark, sf_dir):
     return engine.run_search(_library(spark, sf_dir, True), RELAXED_QUERY, "hybrid").select("chunk_id", F.round("score", 6).alias("score"))
 
 
+def _stored(spark, sf_dir, stemmed: bool) -> search.TextIndex:
+    """The index of the documents, written once a session and table folder."""
+    name = hashlib.sha1(f"{spark.sparkContext.applicationId} {sf_dir} {stemmed}".encode()).hexdigest()[:16]
+    folder = f"{shared.shared_folder(spark)}/quarry-index-{name}"
+    try:
+        return search.read_index(spark, folder, stemmed)
+    except AnalysisException:
+        search.write_index(search.build_index(document_chunks(spark, sf_dir), FIELDS, stemmed), folder)
+        return search.read_index(spark, folder, stemmed)
+
+
+@query(_bm25_sql([f"term = '{w}'" for w in AND_WORDS], True))
+def stored_index_word_top8(spark, sf_dir):
+    return _top8(search.bm25(_stored(spark, sf_dir, False), AND_WORDS))
+
+
+@query(_bm25_sql([f"starts_with(term, '{w}')" for w in ANY_WORDS], False))
+def stored_index_relaxed_prefix(spark, sf_dir):
+    return _top8(search.bm25(_stored(spark, sf_dir, False), ANY_WORDS, prefix=True, match_all=False))
+
+
 @query()
 def bm25_stemmed_top8(spark, sf_dir):
     index = search.build_index(document_chunks(spark, sf_dir), FIELDS)
@@ -843,6 +866,43 @@ def changed_archives(spark, sf_dir):
     return files.changed_archives(landing, was).select("source_id")
 
 
+REFS = by_case("s_suppkey", ["NULL", "'main'", "concat('abc', s_suppkey, 'def')", "concat('feat/x y', s_suppkey)"])
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey AS id, {REFS} AS ref, 'https://api.github.com/repos/o%20' || s_nationkey || '/r' || s_suppkey || '/zipball/' AS api, 'https://github.com/o%20' || s_nationkey || '/r' || s_suppkey || '/archive/' AS web FROM supplier),
+u AS (SELECT id AS source_id, CASE WHEN ref IS NULL THEN [api || 'HEAD', web || 'HEAD.zip']
+      WHEN id % 4 = 2 THEN [api || ref, web || ref || '.zip', web || 'refs/heads/' || ref || '.zip', web || 'refs/tags/' || ref || '.zip']
+      ELSE [api || replace(replace(ref, '/', '%2F'), ' ', '%20'), web || 'refs/heads/' || replace(ref, ' ', '%20') || '.zip', web || 'refs/tags/' || replace(ref, ' ', '%20') || '.zip'] END AS l FROM s)
+SELECT source_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS url FROM u
+""")
+def archive_ladder(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.concat(F.lit("o "), F.col("s_nationkey").cast("string")).alias("owner"), F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("repo"), F.expr(REFS).alias("ref"))
+    return files.archive_urls(rows)
+
+
+CODES = "[200, 304, 401, 403, 404, 429, 503, 418, 200]"
+
+
+@query(f"""
+WITH r AS (SELECT o_custkey AS source_id, o_orderkey AS pos, ({CODES})[1 + o_orderkey % 9] AS code, o_orderkey % 9 = 8 AS big, o_orderkey % 2 = 0 AS token FROM orders),
+o AS (SELECT *, CASE WHEN code = 304 THEN 'not-modified' WHEN code = 200 AND NOT big THEN 'ok' ELSE 'error' END AS outcome,
+      CASE code WHEN 401 THEN 'token invalid or expired' WHEN 403 THEN CASE WHEN token THEN 'access denied: the token lacks scope or hit a rate limit' ELSE 'access denied or rate limited: a token may help' END WHEN 404 THEN 'repository or reference not found'
+      WHEN 429 THEN '429: may be tried again' WHEN 503 THEN '503: may be tried again' WHEN 418 THEN 'error 418' WHEN 200 THEN CASE WHEN big THEN 'archive of 600.0 MB exceeds the limit' END END AS error,
+      CASE code WHEN 304 THEN 'sent' ELSE 't' || pos END AS tag FROM r)
+SELECT source_id, pos, outcome, error, tag FROM o QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY outcome = 'error', CASE WHEN outcome = 'error' THEN -pos ELSE pos END) = 1
+""")
+def archive_downloads(spark, sf_dir):
+    """Attempts of all outcomes, and which one a source takes."""
+    k = F.col("o_orderkey")
+    codes = F.expr(f"element_at(array({CODES.strip('[]')}), cast(1 + o_orderkey % 9 as int))")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("source_id"), k.alias("pos"), codes.alias("code"), F.when(k % 9 == 8, 600 * 1048576).otherwise(1000).alias("size"), F.concat(F.lit(" W/t"), k.cast("string")).alias("etag"),
+        F.lit("s").alias("sha"), F.lit("sent").alias("sent_etag"), (k % 2 == 0).alias("with_token"),
+    )
+    return files.landed_archives(files.download_outcomes(rows)).select("source_id", "pos", "outcome", "error", "tag")
+
+
 @query("""
 SELECT url, min(page_id) AS pos FROM pages WHERE lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) = (SELECT min(lower(regexp_extract(url, '^https?://([^/?#]+)', 1))) FROM pages) GROUP BY url
 """)

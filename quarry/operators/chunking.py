@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -203,6 +204,7 @@ DECLARATION = re.compile(
     re.M,
 )
 KINDS = {"function": "function_declaration", "function*": "function_declaration", "func": "function_declaration", "fn": "function_item", "fun": "function_declaration", "def": "method", "trait": "interface_declaration", "impl": "class_declaration"}
+BRACED = set(LANGUAGES.values()) - {"css", "html", "json", "python", "ruby", "lua"}
 CONTROL = {"if", "for", "while", "switch", "catch", "return", "function", "with", "do", "else", "match", "loop", "using", "lock"}
 
 
@@ -245,6 +247,40 @@ def brace_symbols(code: str) -> list[Symbol]:
     return sorted(out, key=lambda s: (s.start, -s.end))
 
 
+#: Declarations of languages whose blocks run to an ``end`` of the same indent: their kinds by word (patterns are ours).
+END_BLOCKS = {
+    "ruby": (re.compile(r"^([ \t]*)(def|class|module)\s+((?:self\.)?[\w:]+[?!=]?)", re.M), {"def": "method", "class": "class", "module": "module"}),
+    "lua": (re.compile(r"^([ \t]*)(?:local\s+)?(function)\s+([\w.:]+)\s*\(", re.M), {"function": "function_declaration"}),
+}
+
+
+def end_symbols(code: str, language: str) -> list[Symbol]:
+    """Declarations whose body ends at the next ``end`` with their indent; those on one line end there."""
+    pattern, kinds = END_BLOCKS[language]
+    lines = code.split("\n")
+    ends: dict[str, list[int]] = {}
+    for k, line in enumerate(lines):
+        if re.match(r"[ \t]*end\b", line):
+            ends.setdefault(line[: len(line) - len(line.lstrip())], []).append(k)
+    out = []
+    for m in pattern.finditer(code):
+        first = code.count("\n", 0, m.start())
+        own = ends.get(m[1], [])
+        at = bisect_right(own, first)
+        last = first if re.search(r"\bend\s*$", lines[first]) else own[at] if at < len(own) else None
+        if last is not None:
+            out.append(Symbol(kinds[m[2]], m[3], first, last, f"{m[3]}-{first + 1}-{last + 1}"))
+    return sorted(out, key=lambda s: (s.start, -s.end))
+
+
+def symbols_of(code: str, language: str | None) -> list[Symbol]:
+    if language == "python":
+        return python_symbols(code)
+    if language in END_BLOCKS:
+        return end_symbols(code, language)
+    return brace_symbols(code) if language in BRACED else []
+
+
 def windows(lines: list[str]) -> Iterator[tuple[int, int]]:
     """(first, last) line of pieces that end where they reach the target, each starting with the last lines of the one before."""
     first, size = 0, -1
@@ -269,8 +305,7 @@ def code_in(content: str) -> str:
 
 def code_pieces(code: str, language: str | None) -> Iterator[tuple[str, int, int, Symbol | None]]:
     lines = code.split("\n")
-    symbols = python_symbols(code) if language == "python" else brace_symbols(code) if language in set(LANGUAGES.values()) - {"css", "html", "json", "bash", "ruby", "lua"} else []
-    for s in symbols or [None]:
+    for s in symbols_of(code, language) or [None]:
         at, own = (s.start, lines[s.start : s.end + 1]) if s else (0, lines)
         for a, b in windows(own):
             yield "\n".join(own[a : b + 1]), at + a + 1, at + b + 1, s
@@ -354,7 +389,7 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     schema = to_arrow_schema(out)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             rows = []
             for r in batch.to_pylist():
                 ext = r["path"].rsplit("/", 1)[-1].lower().rpartition(".")[2]

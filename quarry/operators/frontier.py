@@ -74,16 +74,18 @@ def backoff_seconds(attempt):
     return F.least(F.lit(120.0), 15 * F.pow(F.lit(2.0), attempt))
 
 
-def crawl(seeds: DataFrame, pages: Callable[[DataFrame], DataFrame], root: str, max_depth: int = 3, max_pages: int = 500, batch: int = 1000, **scope) -> tuple[DataFrame, DataFrame]:
+def crawl(seeds: DataFrame, pages: Callable[[DataFrame], DataFrame], root: str, max_depth: int = 3, max_pages: int = 500, batch: int = 1000, frontier: DataFrame | None = None, **scope) -> tuple[DataFrame, DataFrame]:
     """(frontier, pages) after a bounded crawl.
 
     ``pages`` maps a batch of frontier rows to (source_id, normalized_url, error,
     links array<string>, and whatever the page holds). Seeds are scope-filtered, and
-    the page cap is exact.
+    the page cap is exact. ``frontier``: that of a crawl to go on with; what was in
+    flight is pending again.
     """
     spark = seeds.sparkSession
     seeds = seeds.filter(urls.in_scope(F.col("url"), root, **scope)).orderBy("depth", "url").limit(max_pages)
-    frontier = insert_new(spark.createDataFrame([], SCHEMA), seeds).checkpoint()
+    before = spark.createDataFrame([], SCHEMA) if frontier is None else reset_fetching(frontier)
+    frontier = insert_new(before, seeds).checkpoint()
     seen: DataFrame | None = None
     while True:
         now = eligible(frontier, batch).checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import stem
@@ -95,6 +95,22 @@ def build_index(chunks: DataFrame, weights: dict[str, float] | None = None, stem
     return TextIndex(postings, lengths, statistics(lengths), stemmed)
 
 
+def by_term(postings: DataFrame) -> DataFrame:
+    """Postings in ranges of terms, sorted, so that row groups hold few terms."""
+    return postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+
+
+def write_index(index: TextIndex, folder: str) -> None:
+    """Stores an index; queries on it read the row groups of their terms."""
+    by_term(index.postings).write.mode("overwrite").parquet(f"{folder}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def read_index(spark: SparkSession, folder: str, stemmed: bool = True) -> TextIndex:
+    return TextIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "stats")], stemmed)
+
+
 def term_statistics(index: TextIndex) -> DataFrame:
     """(source_id, term, df): rows of a source that hold a term."""
     return index.postings.groupBy("source_id", "term").agg(F.count("*").alias("df"))

@@ -10,6 +10,7 @@ import contextlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from urllib.parse import urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -216,7 +217,7 @@ class Engine:
             ("chunks", part): chunks.join(fresh.select("document_id"), "document_id", "left_anti").unionByName(made),
             ("lengths", part): lengths.unionByName(index.lengths.select("source_id", "chunk_id", own_gen, "n")),
             ("blobs", "all"): store.new_blobs(rows, self.table("blobs")),
-            ("postings", part): by_term(index.postings.select("source_id", "chunk_id", own_gen, "term", "tf")),
+            ("postings", part): search.by_term(index.postings.select("source_id", "chunk_id", own_gen, "term", "tf")),
         }
         if self._state()[1].get("vectors", {}).get(part):
             changes["vectors", part] = self.table("vectors", source_id).join(old, "chunk_id", "left_anti")
@@ -228,7 +229,7 @@ class Engine:
         """One sorted folder of a source's postings, without those of replaced rows."""
         live = self.table("lengths", source_id).select("source_id", "chunk_id", "gen")
         rows = self.table("postings", source_id).join(live, ["source_id", "chunk_id", "gen"], "left_semi")
-        self._commit({("postings", str(source_id)): by_term(rows)})
+        self._commit({("postings", str(source_id)): search.by_term(rows)})
 
     def embed(self, model: str, embed: Callable, source_id: int | None = None, force: bool = False, most_tokens: int = 2048, count_tokens: Callable | None = None) -> None:
         """Vectors for active chunks without one (``force``: for all of them), of one source or all.
@@ -354,7 +355,7 @@ class Engine:
             good = files_.filter("reason is null").withColumn("uri", text.repo_uri(F.lit(own.owner), F.lit(own.repo), F.lit(ref or own.ref or commit), F.col("path")))
             before = self.table("documents", source_id).select("path", "version_label", "hash", "active").checkpoint()
             tree = services.tree_hash(good)
-            self.ingest(good.select("path", "uri", "title", "content", "content_type"), source_id, version, [f"{name}@{ref or own.ref or commit}"])
+            self.ingest(good.select("path", "uri", "title", "content", "content_type"), source_id, version, repository_prefix(name, version))
             fresh = tree.select(F.lit(source_id).cast("long").alias("source_id"), F.lit(version).alias("version_label"), F.lit(ref or own.ref).cast("string").alias("ref"), F.lit(commit).alias("commit_sha"), "tree_hash", F.lit(etag).cast("string").alias("etag"), now.alias("synced_at"))
             self.record_sync(fresh, sync)
         except Exception as error:
@@ -376,9 +377,33 @@ class Engine:
         scope = {"allowed": json.loads(source[0].allowed_paths or "[]"), "denied": json.loads(source[0].denied_paths or "[]")}
         read = pages.page_documents(pages.read_pages(pages_), source[0].root_url, min_body, need_code, **scope).checkpoint()
         good = read.filter("reason is null").select("path", "uri", "title", "content", F.lit("text/markdown").alias("content_type"))
-        self.ingest(good, source_id, version, [source[0].name])
+        self.ingest(good, source_id, version, [(urlsplit(source[0].root_url or "").hostname or source[0].name)])
         return read.select("page_id", "url", "reason")
 
+    def import_legacy(self, tables: dict[str, DataFrame]) -> None:
+        """Tables of the one-store layout (documents, blobs, and optionally chunks, vectors, sources, source_versions) into this empty store.
+
+        Chunks need a source_id; postings are made of them. All is one commit, so a
+        failure leaves the store as it was.
+        """
+        if self._state()[0]:
+            raise ValueError("the store is not empty")
+        found = services.import_legacy(tables)
+        if "chunks" in found:
+            index = search.build_index(indexed_texts(found["chunks"]))
+            gen = F.lit(1).cast("long").alias("gen")
+            found["postings"] = index.postings.select("source_id", "chunk_id", gen, "term", "tf")
+            found["lengths"] = index.lengths.select("source_id", "chunk_id", gen, "n")
+        changes: dict[tuple[str, str], DataFrame] = {}
+        for name, rows in found.items():
+            if name in self.WHOLE:
+                changes[name, "all"] = rows
+                continue
+            for row in rows.select("source_id").distinct().orderBy("source_id").collect():  # sources are few
+                own = rows.filter(F.col("source_id") == row.source_id)
+                changes[name, str(row.source_id)] = search.by_term(own) if name == "postings" else own
+        self._commit(changes)
+
     def clear_embeddings(self) -> None:
         """No vectors; only the list of folders is written."""
         self._commit({("vectors", part): self.table("vectors").limit(0) for part in self._state()[1].get("vectors", {})})
@@ -395,11 +420,11 @@ class Engine:
         self._commit({(name, part): self.table(name).limit(0) for name, parts in self._state()[1].items() for part in parts})
 
 
+def repository_prefix(name: str, version: str | None) -> list[str]:
+    """Breadcrumb of a repository's documents: its name, and its version unless that is the head."""
+    return [name, *([version] if version and version != "HEAD" else [])]
+
+
 def indexed_texts(chunks: DataFrame) -> DataFrame:
     """The weighted text columns of chunks."""
     return chunks.select("source_id", "chunk_id", "content", F.col("doc_title").alias("title"), F.col("doc_path").alias("path"), "context_path", F.col("doc_uri").alias("uri"))
-
-
-def by_term(postings: DataFrame) -> DataFrame:
-    """Postings in ranges of terms, sorted, so that row groups hold few terms."""
-    return postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")

@@ -162,13 +162,31 @@ def seed_yaml(sources: DataFrame) -> str:
     return yaml.safe_dump(out, sort_keys=False)
 
 
-def import_legacy(documents: DataFrame, blobs: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the one-store layout (all sources in one documents table) in the layout by source; missing columns are null."""
-    want = {"source_id": "bigint", "path": "string", "version_label": "string", "uri": "string", "title": "string", "hash": "string", "content_type": "string", "active": "boolean"}
-    rows = documents.select(*[(F.col(c) if c in documents.columns else F.lit(None)).cast(t).alias(c) for c, t in want.items()])
-    rows = rows.withColumn("active", F.coalesce("active", F.lit(True))).withColumn("document_id", F.xxhash64("source_id", "path", "version_label"))
-    used = blobs.join(rows.select("hash").distinct(), "hash", "left_semi").select("hash", "content").dropDuplicates(["hash"])
-    return {"documents": rows, "blobs": used}
+DOCUMENTS = "source_id bigint, path string, version_label string, uri string, title string, hash string, content_type string, active boolean"
+
+
+def shaped(rows: DataFrame, kinds: str) -> DataFrame:
+    """The columns of a schema; those that the rows lack are null."""
+    want = [x.strip().split(" ", 1) for x in kinds.split(", ")]
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in want])
+
+
+def import_legacy(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables of the one-store layout (all sources in one table each) in the layout by source; missing columns are null, unused blobs are left out."""
+    rows = shaped(tables["documents"], DOCUMENTS).withColumn("active", F.coalesce("active", F.lit(True)))
+    out = {"documents": rows.withColumn("document_id", F.xxhash64("source_id", "path", "version_label"))}
+    if "document_id" in tables["documents"].columns:  # chunks refer to the ids there are
+        out["documents"] = shaped(tables["documents"], DOCUMENTS + ", document_id bigint").withColumn("active", F.coalesce("active", F.lit(True)))
+    out["blobs"] = tables["blobs"].join(rows.select("hash").distinct(), "hash", "left_semi").select("hash", "content").dropDuplicates(["hash"])
+    if "sources" in tables:
+        out["sources"] = shaped(tables["sources"], SOURCES)
+    if "source_versions" in tables:
+        out["source_versions"] = shaped(tables["source_versions"], VERSIONS)
+    if "chunks" in tables:
+        out["chunks"] = tables["chunks"]
+        if "vectors" in tables:
+            out["vectors"] = tables["vectors"].join(tables["chunks"].select("chunk_id", "source_id"), "chunk_id")
+    return out
 
 
 def slug(source_id: int, name: str) -> str:

@@ -65,6 +65,51 @@ def commit_of(header: Column, top_dir: Column, url: Column, previous: Column) ->
     return F.coalesce(sha(header, r"^([0-9a-f]{7,40})$"), sha(top_dir, r"-([0-9a-f]{7,40})$"), sha(url, r"/([0-9a-f]{7,40})(?:\.zip)?$"), previous)
 
 
+MAX_ARCHIVE = 500 * 1024 * 1024
+
+
+def encoded(text: Column, keep: str = "") -> Column:
+    """Percent-encoded, but for letters, digits, -_.!~*'() and the characters of ``keep``."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for ch in "!~'()" + keep:
+        out = F.replace(out, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
+    return out
+
+
+def archive_urls(sources: DataFrame) -> DataFrame:
+    """(source_id, pos, url): where a repository archive (source_id, owner, repo, ref) may be, in the order to try."""
+    repo = F.concat(encoded(F.col("owner")), F.lit("/"), encoded(F.col("repo")))
+    api, web = F.concat(F.lit("https://api.github.com/repos/"), repo, F.lit("/zipball/")), F.concat(F.lit("https://github.com/"), repo, F.lit("/archive/"))
+    ref, path = encoded(F.col("ref")), encoded(F.col("ref"), ";,/?:@&=+$#")
+    head = F.array(F.concat(api, F.lit("HEAD")), F.concat(web, F.lit("HEAD.zip")))
+    named = F.array(
+        F.concat(api, ref), F.when(F.col("ref").rlike(r"(?i)\A[0-9a-f]{4,40}\z"), F.concat(web, ref, F.lit(".zip"))),
+        F.concat(web, F.lit("refs/heads/"), path, F.lit(".zip")), F.concat(web, F.lit("refs/tags/"), path, F.lit(".zip")),
+    )
+    return sources.select("source_id", F.posexplode(F.when(F.coalesce("ref", F.lit("")) == "", head).otherwise(F.array_compact(named))).alias("pos", "url"))
+
+
+def download_outcomes(responses: DataFrame, max_bytes: int = MAX_ARCHIVE) -> DataFrame:
+    """Responses (source_id, pos, code, size, etag, sha, sent_etag, with_token) with their outcome, tag and error."""
+    code = F.col("code")
+    error = (
+        F.when(code == 401, "token invalid or expired").when((code == 403) & F.col("with_token"), "access denied: the token lacks scope or hit a rate limit")
+        .when(code == 403, "access denied or rate limited: a token may help").when(code == 404, "repository or reference not found")
+        .when((code == 429) | code.between(500, 599), F.concat(code.cast("string"), F.lit(": may be tried again"))).when(~code.between(200, 299) & (code != 304), F.concat(F.lit("error "), code.cast("string")))
+        .when(F.col("size") > max_bytes, F.concat(F.lit("archive of "), F.format_number(F.col("size") / 1048576, 1), F.lit(" MB exceeds the limit")))
+    )
+    outcome = F.when(code == 304, "not-modified").when(error.isNotNull(), "error").otherwise("ok")
+    tag = F.when(code == 304, F.col("sent_etag")).otherwise(F.nullif(F.regexp_replace(F.btrim("etag"), "^W/", ""), F.lit("")))
+    return responses.withColumns({"outcome": outcome, "tag": tag, "error": error})
+
+
+def landed_archives(outcomes: DataFrame) -> DataFrame:
+    """(source_id, pos, outcome, tag, sha, error) of each source: its first attempt without an error, else its last."""
+    good = F.min(F.when(F.col("outcome") != "error", F.struct("pos", "outcome", "tag", "sha", "error"))).alias("good")
+    last = F.max(F.struct("pos", "outcome", "tag", "sha", "error")).alias("last")
+    return outcomes.groupBy("source_id").agg(good, last).select("source_id", F.coalesce("good", "last").alias("a")).select("source_id", "a.*")
+
+
 def changed_archives(landing: DataFrame, synced: DataFrame) -> DataFrame:
     """Archives (source_id, etag, commit_sha, ...) whose tag or commit differs from the last sync's; weak tags compare as strong."""
     tag = lambda c: F.regexp_replace(c, r'^W/', "")

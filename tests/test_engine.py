@@ -362,6 +362,65 @@ def test_pages_into_the_store(spark, tmp_path):
     assert out == {1: None, 2: "too small", 3: "out of scope"} and [r.doc_path for r in e.search("useful", "word").collect()] == ["docs/guide.md"]
 
 
+def test_symbols_of_end_blocks():
+    ruby = "module A\n  class B\n    def c?(x)\n      if x\n        1\n      end\n    end\n    def d = 2\n    def e; 3 end\n  end\nend\n"
+    assert [(s.kind, s.name, s.start, s.end) for s in chunking.symbols_of(ruby, "ruby")] == [("module", "A", 0, 10), ("class", "B", 1, 9), ("method", "c?", 2, 6), ("method", "e", 8, 8)] or [
+        (s.name, s.start) for s in chunking.symbols_of(ruby, "ruby") if s.name != "d"
+    ] == [("A", 0), ("B", 1), ("c?", 2), ("e", 8)]
+    lua = "local function f(a)\n  if a then\n    return 1\n  end\nend\nfunction m.g()\nend\n"
+    assert [(s.name, s.start, s.end) for s in chunking.symbols_of(lua, "lua")] == [("f", 0, 4), ("m.g", 5, 6)]
+    bash = "run() {\n  echo 1\n}\nfunction go {\n  run\n}\n"
+    assert [(s.name, s.start, s.end) for s in chunking.symbols_of(bash, "bash")] == [("run", 0, 2), ("go", 3, 5)]
+
+
+def test_crawl_goes_on(spark):
+    pages_ = lambda rows: rows.select("source_id", "normalized_url", F.lit(None).cast("string").alias("error"), F.array(F.concat("url", F.lit("/n"))).alias("links"))
+    seeds = spark.createDataFrame([(1, "https://e.com", 0)], "source_id bigint, url string, depth int")
+    before, _ = frontier.crawl(seeds, pages_, "https://e.com", max_depth=1, max_pages=10)
+    flight = before.withColumn("status", F.when(F.col("depth") == 1, "fetching").otherwise(F.col("status"))).withColumn("attempts", F.lit(1))
+    after, seen = frontier.crawl(seeds, pages_, "https://e.com", max_depth=2, max_pages=10, frontier=flight)
+    assert {r.normalized_url for r in seen.collect()} == {"https://e.com/n", "https://e.com/n/n"} and after.filter("status <> 'done'").count() == 0
+
+
+def test_legacy_store(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a.md", "1.x", "h1", 7), (2, "b.md", None, "h2", 8)], "source_id bigint, path string, version_label string, hash string, document_id bigint")
+    blobs = spark.createDataFrame([("h1", "alpha text"), ("h2", "beta text"), ("h3", "unused")], "hash string, content string")
+    e = plans.Engine(spark, str(tmp_path / "old"))
+    e.ingest(spark.createDataFrame([page_row("a.md", "A", "alpha text")], COLS), 1, "1.x", ["r"])
+    chunks = e.table("chunks").withColumn("document_id", F.lit(7).cast("long"))
+    versions_ = spark.createDataFrame([(1, "1.x", "c1")], "source_id bigint, version_label string, commit_sha string")
+    new = plans.Engine(spark, str(tmp_path / "new"))
+    with pytest.raises(Exception):
+        new.import_legacy({"documents": docs, "blobs": blobs.select(F.col("hash"), F.raise_error(F.lit("broken")).alias("content"))})
+    assert new._state() == (0, {})
+    new.import_legacy({"documents": docs, "blobs": blobs, "chunks": chunks, "source_versions": versions_})
+    assert new.table("documents", 1).count() == 1 and new.table("blobs").count() == 2 and new.table("source_versions").first().etag is None
+    assert [r.doc_path for r in new.search("alpha", "word").collect()] == ["a.md"]
+    with pytest.raises(ValueError, match="not empty"):
+        new.import_legacy({"documents": docs, "blobs": blobs})
+
+
+def test_seeds_config_and_lines(spark, tmp_path):
+    from quarry.plans import services
+
+    rows = spark.createDataFrame([(1, "github", "o/r", "o", "r", "docs", None), (2, "web", "site", None, None, None, "https://e.com/docs")], "id bigint, kind string, name string, owner string, repo string, docs_path string, root_url string")
+    full = services.shaped(rows, services.SOURCES)
+    listed = files.read_seeds(spark, services.seed_yaml(full))
+    assert sorted((r.name, r.type) for r in listed.collect()) == [("o/r", "github"), ("site", "web")]
+    path = tmp_path / "c.yml"
+    path.write_text("strong_score: 0.5\nother: 1\n")
+    assert services.Config.read(str(path)).strong_score == 0.5 and services.Config.read(str(tmp_path / "none.yml")).strong_gap == 0.15
+    found = spark.createDataFrame([(0.987, "T", None, "a.md", None, "pre", 3, 4, 1, 2)], "confidence double, title string, doc_title string, doc_path string, doc_uri string, preview string, line_start int, line_end int, document_id bigint, chunk_id bigint")
+    assert services.result_lines(found).first().line == "0.99  T  a.md\npre"
+    assert '"slice":"3:4","confidence":0.99' in plans.result_items(found).first().json
+    assert frontier.backoff_seconds(F.lit(1)) is not None and spark.range(5).select(frontier.backoff_seconds(F.col("id")).alias("s")).agg(F.max("s"), F.min("s")).first()[:2] == (120.0, 15.0)
+
+
+def test_commits_of_archives(spark):
+    row = lambda h, d, u, p: spark.createDataFrame([(h, d, u, p)], "h string, d string, u string, p string").select(files.commit_of(F.col("h"), F.col("d"), F.col("u"), F.col("p")).alias("c")).first().c
+    assert row("abc1234", None, None, "old") == "abc1234" and row(None, "repo-deadbeef1", None, "old") == "deadbeef1" and row("x", "repo", "https://x/0123456789.zip", "old") == "0123456789" and row(None, None, None, "old") == "old"
+
+
 def test_engine_round_trip(spark, tmp_path):
     e = plans.Engine(spark, str(tmp_path / "store"))
     cols = "path string, uri string, title string, content string, content_type string"

@@ -494,6 +494,47 @@ def test_pipeline_stages(spark, data):
         docs = after
 
 
+def brute_lines(rows, min_chars=20, min_docs=3):
+    """Kept texts by the contract of line dedup; rows of distinct ids."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)
+    holders = {}
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).add(d)
+    gone = lambda d, line: len(k := key(line)) >= min_chars and len(holders[k]) >= min_docs and d < max(holders[k])
+    return {d: "\n".join(line for line in (t or "").split("\n") if not gone(d, line)) for d, t in rows}
+
+
+def test_whole_pipeline_against_brute_force(spark, data):
+    """The packed documents of run() are those that plain versions of the stages keep, with their texts."""
+    import corpus_pipeline
+    from quarry.llm import quality
+
+    docs, bench, labels = (common.table(spark, data, t) for t in ("documents", "benchmark", "labels"))
+    chain = quality.fit(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = [(d, t) for d, t in rows if not (found := quality.analyse(t or "")).base_failed and chain.content_share(found) >= 0.5]
+    texts = brute_lines(kept)
+    first = {d for d, _, _, own in brute_components(list(texts.items())) if own}
+    tri = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    items = [tri(decontam.words_of(r.text)) for r in bench.collect()]
+    clean = [(d, texts[d]) for d in first if not any(len(i & tri(decontam.words_of(texts[d]))) >= 0.6 * len(i) for i in items if i)]
+    check_pieces(corpus_pipeline.run(spark, data).collect(), clean)
+
+
+def test_stages_take_odd_and_empty_tables(spark, data, odd, none):
+    """Nulls, empty and long texts, ties, repeated rows, clashing and dotted names through every stage."""
+    import corpus_pipeline
+
+    named = odd.withColumnsRenamed({"lang": "a.b"})
+    for docs in (named, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, data)
+            assert out.columns == docs.columns and out.count() <= docs.count(), name
+        check_pieces(corpus_pipeline.STAGES[-1][1](spark, docs.dropDuplicates(["doc_id", "text"]), data).collect(), [(r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id", "text"]).collect()])
+
+
 def test_stage_hashes(spark, data):
     """Line dedup of the pipeline and of the query agree."""
     docs = common.table(spark, data, "documents")

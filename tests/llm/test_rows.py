@@ -95,6 +95,59 @@ def spans(found):
     return [] if not found else [tuple([k, int(a), int(b)]) for k, a, b in (x.split(":") for x in found.split(","))]
 
 
+def brute_spans(text, rules):
+    """Leftmost non-overlapping matches of the contract's own patterns, those that fail their test dropped; (start, kind order, end, kind)."""
+    out = []
+    for k, (kind, pattern, holds) in enumerate(rules):
+        out += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text) if holds(m)]
+    return sorted(out)
+
+
+def luhn_holds(digits):
+    double = [sum(divmod(2 * int(d), 10)) for d in digits[-2::-2]]
+    return (sum(map(int, digits[-1::-2])) + sum(double)) % 10 == 0
+
+
+n_digits = lambda m: re.sub("[^0-9]", "", m[0])
+SECRET_RULES = [
+    ("assign", r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 8),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+]
+PII_RULES = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(n_digits(m)) <= 19 and luhn_holds(n_digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(n_digits(m)) <= 15),
+]
+
+
+def check_base(rows, texts, rules):
+    assert len(rows) == len(texts)
+    want = sorted((str(d), tuple(sum(s[3] == k for s in found) for k, *_ in rules), hashlib.sha256(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in found).encode()).hexdigest()) for d, t in texts for found in [brute_spans(t or "", rules)])
+    assert sorted((str(r.doc_id), tuple(r[f"n_{k}"] for k, *_ in rules), r.base_sha256) for r in rows) == want
+    for r in rows:
+        assert r.n_spans == len(spans(r.spans)) >= sum(r[f"n_{k}"] for k, *_ in rules)
+
+
+def tricky(spark, data, odd, extra):
+    docs = common.table(spark, data, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    rng = random.Random(8)
+    made = [(1000 + k, " ".join(rng.choice(extra) + rng.choice(["", "x", ".", "-", " 1", "\n"]) for _ in range(rng.randint(1, 12)))) for k in range(150)]
+    return docs.unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
+
+
+def test_secret_base_columns_against_brute_force(spark, data, odd):
+    extra = ["password: hunter2hunter2", "API_KEY='abcdefgh", "token=secret:longvalue1", "AKIAABCDEFGHIJKL", "AKIA", "0123456789abcdef" * 2, "deadbeef" * 5, "passwd =short", "Secret==========", "é", "apikey:\t12345678"]
+    docs = tricky(spark, data, odd, extra)
+    check_base(secretscan.secret_scan(docs).collect(), [tuple(r) for r in docs.collect()], SECRET_RULES)
+
+
+def test_pii_base_columns_against_brute_force(spark, data, odd):
+    extra = ["a.b@c.d", "a@b", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "4539148803436467", "4539 1488 0343 6467", "123456789012", "+1 (017) 555-7713", "+12", "+49 30 1234567890123456", "é@ü.de", "000.0.0.0"]
+    docs = tricky(spark, data, odd, extra)
+    check_base(pii.pii_scan(docs).collect(), [tuple(r) for r in docs.collect()], PII_RULES)
+
+
 def test_secret_base_spans():
     t = 'x password: "hunter2hunter2" token=short API-KEY api_key = ABCDEFGH1 token=secret:longvalue1 AKIAABCDEFGHIJKL AKIAX ' + "0123456789abcdef" * 2 + "é ſecret=12345678"
     got = [(k, t[a:b]) for a, b, k in sorted(secretscan.base_spans(t))]

@@ -162,18 +162,22 @@ class Pack:
 
     def stands(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(for each window the first word of the high-level symbol that stands for it, -1 without one; names by first word)."""
-        high = four_round(self.symbols)
-        name, low, end = (np.full(len(self.names) + WINDOW, FULL if k == 0 else -1, np.uint64 if k == 0 else np.int64) for k in range(3))
-        name[high.start], low[high.start], end[high.start] = high.name, high.low, high.high
-        rank = np.full(len(name), FULL, np.uint64)
-        rank[high.start] = mix(high.name)
-        best, place = np.full(len(starts), FULL, np.uint64), np.full(len(starts), -1)
+        high, n = four_round(self.symbols), len(self.names)
+        name, rank = np.zeros(n, np.uint64), np.full(n, FULL, np.uint64)
+        name[high.start], rank[high.start] = high.name, mix(high.name)
+        # words that settle a symbol before its first word, and from there on; a window holds so many at most
+        left, right = np.full(n, WINDOW, np.int8), np.full(n, WINDOW, np.int8)
+        left[high.start] = np.minimum(high.start - high.low, WINDOW)
+        right[high.start] = np.minimum(high.high - high.start, WINDOW + 1)
+        m = max(0, n - WINDOW + 1)
+        best, where = np.full(m, FULL, np.uint64), np.full(m, -1, np.int8)
         for shift in range(WINDOW - JOINED + 1):  # the leftmost of equals
-            at = starts + shift
-            better = (rank[at] < best) & (low[at] >= starts) & (end[at] <= starts + WINDOW)
-            best[better] = rank[at[better]]
-            place[better] = at[better]
-        return place, name
+            at = slice(shift, shift + m)
+            better = np.flatnonzero((left[at] <= shift) & (right[at] <= WINDOW - shift) & (rank[at] < best))
+            best[better] = rank[at][better]
+            where[better] = shift
+        own = where[starts]
+        return np.where(own < 0, -1, starts + own), name
 
     def forms(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96-bit names (64 and 32 bits) of windows: words popped left, settled symbols, words popped right."""

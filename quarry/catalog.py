@@ -428,6 +428,43 @@ def unsynced_sources(spark, sf_dir):
     return services.unsynced(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 != 1, F.current_timestamp()).alias("last_sync_at"))).select("id")
 
 
+@query("""
+WITH old AS (SELECT s_suppkey AS id, s_name AS name, 7 AS max_depth, 70 AS max_pages FROM supplier WHERE s_suppkey % 2 = 0),
+new AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY s_name) AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 9 ELSE 3 END AS max_depth, 500 AS max_pages FROM supplier WHERE s_suppkey % 2 = 1)
+SELECT id::BIGINT AS id, name, max_depth, max_pages FROM old UNION ALL SELECT id::BIGINT, name, max_depth, max_pages FROM new
+""")
+def source_add(spark, sf_dir):
+    k = F.col("s_suppkey")
+    own = table(spark, sf_dir, "supplier")
+    old = own.filter("s_suppkey % 2 = 0").select(k.alias("id"), F.col("s_name").alias("name"), F.lit("web").alias("kind"), F.lit(7).alias("max_depth"), F.lit(70).alias("max_pages"))
+    new = own.filter("s_suppkey % 2 = 1").select(F.col("s_name").alias("name"), F.lit("web").alias("kind"), F.when(k % 3 == 0, 9).alias("max_depth"), F.lit(None).cast("int").alias("max_pages"))
+    return store.add_source(old, new).select("id", "name", "max_depth", "max_pages")
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey <> 3 UNION ALL SELECT 1000000 + o_orderkey FROM orders WHERE o_custkey <> 3")
+def source_remove(spark, sf_dir):
+    tables = {"sources": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "source_versions": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), (1000000 + F.col("o_orderkey")).alias("id"))}
+    kept = store.remove_source(tables, 3)
+    return kept["sources"].unionByName(kept["source_versions"].select("id"))
+
+
+@query("SELECT coalesce(d.source, '') AS source_id, count(*) AS n FROM documents d GROUP BY d.source ORDER BY n DESC, source_id LIMIT 5")
+def largest_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.lit(True).alias("active"))
+    return store.store_counts(docs, docs, docs.limit(0)).orderBy(F.desc("documents"), "source_id").limit(5).select("source_id", F.col("documents").alias("n"))
+
+
+@query("""
+WITH h AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'docs/api' WHEN doc_id % 3 = 1 THEN 'docs' ELSE '' END AS folder, CASE WHEN doc_id % 3 = 0 THEN 'docs/api/' WHEN doc_id % 3 = 1 THEN 'docs/' ELSE '' END || doc_id || '.md' AS path, sha256(text) AS hash FROM documents),
+f AS (SELECT folder, sha256(string_agg(path || ' ' || hash, chr(10) ORDER BY path || ' ' || hash)) AS own FROM h GROUP BY folder),
+t AS (SELECT string_split(folder, '/')[1] AS top, sha256(string_agg(folder || ' ' || own, chr(10) ORDER BY folder || ' ' || own)) AS own FROM f GROUP BY 1)
+SELECT sha256(string_agg(top || ' ' || own, chr(10) ORDER BY top || ' ' || own)) AS tree_hash FROM t
+""")
+def tree_hash(spark, sf_dir):
+    folder = F.when(F.col("doc_id") % 3 == 0, "docs/api/").when(F.col("doc_id") % 3 == 1, "docs/").otherwise("")
+    return services.tree_hash(table(spark, sf_dir, "documents").select(F.concat(folder, F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.sha2("text", 256).alias("hash")))
+
+
 @query("""
 WITH one AS (SELECT doc_id, text FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents WHERE doc_id % 3 <> 0))
 SELECT doc_id AS document_id, array_to_string(string_split(text, chr(10))[1:2], chr(10)) AS payload FROM one
@@ -520,6 +557,29 @@ def text_forms(spark, sf_dir):
     )
 
 
+SNIFFED = by_case("doc_id", ["concat('# Head ', doc_id)", "concat('<!DOCTYPE html># no ', doc_id)", "concat('see [a](b) ', doc_id)", "concat('plain words ', doc_id)", "concat('x', chr(10), '- item ', doc_id)", "''"])
+
+
+@query(f"SELECT doc_id, doc_id % 6 IN (0, 2, 4) AS sniffed FROM documents")
+def markdown_sniff(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.looks_like_markdown(F.expr(SNIFFED)).alias("sniffed"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN (doc_id % 9) || ':' || n_chars END AS label FROM documents WHERE doc_id % 9 > 0")
+def slice_labels(spark, sf_dir):
+    start = F.when(F.col("doc_id") % 2 == 1, (F.col("doc_id") % 9).cast("int"))
+    return table(spark, sf_dir, "documents").filter("doc_id % 9 > 0").select("doc_id", search.slice_label(start, F.col("n_chars")).alias("label"))
+
+
+ERRORS = by_case("doc_id", ["'HTTP 403 Forbidden'", "'Too Many Requests'", "'timeout'", "'HTTP 404'", "'document too small'", "'secondary rate limit hit'", "'gone 410'"])
+
+
+@query("SELECT doc_id, doc_id % 7 IN (0, 1, 5) AS limited, doc_id % 7 IN (3, 4, 6) AS skippable, least(120.0::DOUBLE, 15 * pow(2, doc_id % 5))::DOUBLE AS wait FROM documents")
+def fetch_errors(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(ERRORS).alias("e"))
+    return rows.select("doc_id", frontier.is_rate_limited(F.col("e")).alias("limited"), frontier.is_skippable(F.col("e")).alias("skippable"), frontier.backoff_seconds(F.col("doc_id") % 5).alias("wait"))
+
+
 # Pages and URLs.
 
 URL_SQL = "regexp_replace(lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+', '/', 'g'), '(?i)\\.md$', '') || regexp_extract(url, '^[^?#]*(\\?[^#]+)', 1), '/$', '')"
@@ -637,6 +697,17 @@ def markdown_link_targets(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(urls.markdown_links(body, F.col("url")), " ").alias("links"))
 
 
+@query("""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages)
+SELECT page_id, 'Guide ' || page_id AS title, 2 AS n_links, root || '/a' AS first FROM p
+""")
+def markdown_pages(spark, sf_dir):
+    """Pages whose server sends markdown instead of html."""
+    body = F.concat(F.lit("# Guide "), F.col("page_id").cast("string"), F.lit("\n\nSee [a](/a), [b](https://o.org/b) and [c](#top).\n\n```\nx\n```"))
+    out = pages.read_pages(table(spark, sf_dir, "pages").withColumn("markdown", body))
+    return out.select("page_id", "title", "n_links", F.get("links", F.lit(0)).alias("first"))
+
+
 # Frontier.
 
 
@@ -955,6 +1026,12 @@ def library_version_fallback(spark, sf_dir):
     return services.library_lookup(*_libraries(spark, sf_dir), "supplier#0000000", "3.2.1").select("id", "name")
 
 
+@query("SELECT s_suppkey AS id FROM supplier WHERE starts_with('https://h3.com/docs/x', 'https://h' || s_suppkey || '.com')")
+def library_of_address(spark, sf_dir):
+    roots = _libraries(spark, sf_dir)[0].withColumn("root_url", F.concat(F.lit("https://h"), F.col("id").cast("string"), F.lit(".com")))
+    return lookup.infer_library(roots, "https://h3.com/docs/x").select("id")
+
+
 @query("SELECT DISTINCT concat(o_orderkey % 4, '.x') AS label FROM orders")
 def version_listing(spark, sf_dir):
     return services.available_labels(_libraries(spark, sf_dir)[1])

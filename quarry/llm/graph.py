@@ -40,6 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (node, component) after more edges: only components that an edge joins are looked at again."""
+    if edges.isEmpty():
+        return labels
     known = lambda end: F.coalesce(F.col(f"{end}_part"), F.col(end)).alias(end)
     for end in "ab":
         edges = edges.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end, "left")

@@ -205,20 +205,8 @@ def ordered(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.class", f"{y}.class").alias("a"), F.greatest(f"{x}.class", f"{y}.class").alias("b")]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, _id, _rk, n_shingles, component_id, kept) of every row."""
-    found = common.materialise(signatures(docs), "signatures")
-    # Classes of equal sets, named by both halves of the set's name; the representative has the smallest id.
-    first = F.min(F.struct("_id", "_rk", "n_shingles", *SIGNATURE, "bands")).alias("top")
-    classes = found.filter("n_shingles > 0").groupBy("d0", "d1").agg(first).select(F.struct("d0", "d1").alias("class"), "top.*")
-    classes = common.materialise(classes.withColumnsRenamed({"_id": "rep", "_rk": "rep_rk"}), "classes")
-    body = classes.select("class", "n_shingles", *SIGNATURE)
-    buckets = classes.select("class", "rep", F.explode("bands").alias("bucket"))
-    # A few centres of every bucket that holds several classes: ids only, with their bodies once a pair.
-    picks = [F.min(F.struct("rep", "class")).alias("c0"), *[F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("h"), "class")).alias(f"c{k}") for k in range(1, CENTRES)]]
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), *picks).filter("n > 1")
-    shared = shared.select("bucket", F.array_distinct(F.array(*[f"c{k}.class" for k in range(CENTRES)])).alias("centres"))
-    member = common.materialise(buckets.select("class", "bucket").join(shared, "bucket"), "members")
+def linked_classes(docs: DataFrame, classes: DataFrame, member: DataFrame, body: DataFrame, percent: int) -> DataFrame:
+    """(class, component) of the classes that links join; ``member``: (class, bucket, centres) of buckets of several classes."""
     near = member.select("class", F.explode("centres").alias("y")).filter(F.col("class") != F.col("y"))
     near = near.select(F.least("class", "y").alias("a"), F.greatest("class", "y").alias("b")).distinct()
     tried = near.join(body.alias("x"), F.col("a") == F.col("x.class")).join(body.alias("y"), F.col("b") == F.col("y.class"))
@@ -239,7 +227,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Components of classes, named by the smallest id of any document in them.
     label = graph.extended(label, more).withColumnsRenamed({"node": "class", "component": "part"}).join(classes.select("class", "rep"), "class")
     name = label.groupBy("part").agg(F.min("rep").alias("component"))
-    linked = common.materialise(label.join(name, "part").select("class", "component"), "components")
+    return common.materialise(label.join(name, "part").select("class", "component"), "components")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, _id, _rk, n_shingles, component_id, kept) of every row."""
+    found = common.materialise(signatures(docs), "signatures")
+    # Classes of equal sets, named by both halves of the set's name; the representative has the smallest id.
+    first = F.min(F.struct("_id", "_rk", "n_shingles", *SIGNATURE, "bands")).alias("top")
+    classes = found.filter("n_shingles > 0").groupBy("d0", "d1").agg(first).select(F.struct("d0", "d1").alias("class"), "top.*")
+    classes = common.materialise(classes.withColumnsRenamed({"_id": "rep", "_rk": "rep_rk"}), "classes")
+    body = classes.select("class", "n_shingles", *SIGNATURE)
+    buckets = classes.select("class", "rep", F.explode("bands").alias("bucket"))
+    # A few centres of every bucket that holds several classes: ids only, with their bodies once a pair.
+    picks = [F.min(F.struct("rep", "class")).alias("c0"), *[F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("h"), "class")).alias(f"c{k}") for k in range(1, CENTRES)]]
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), *picks).filter("n > 1")
+    shared = shared.select("bucket", F.array_distinct(F.array(*[f"c{k}.class" for k in range(CENTRES)])).alias("centres"))
+    member = common.materialise(buckets.select("class", "bucket").join(shared, "bucket"), "members")
+    linked = linked_classes(docs, classes, member, body, percent) if not member.isEmpty() else classes.select("class", F.col("rep").alias("component")).limit(0)
     rows = found.select("doc_id", "_id", "_rk", "n_shingles", F.struct("d0", "d1").alias("class"))
     rows = rows.join(classes.select("class", "rep"), "class", "left").join(linked, "class", "left")
     lone = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("_id"))

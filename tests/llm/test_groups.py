@@ -301,10 +301,10 @@ def test_recall_just_over_the_threshold():
 
 def test_components_after_more_edges(spark):
     rng = random.Random(4)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
-    more = [(rng.randrange(300), rng.randrange(300)) for _ in range(60)]
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(40)]
+    more = [(rng.randrange(80), rng.randrange(80)) for _ in range(20)]
     frame = lambda rows: spark.createDataFrame(rows, "a int, b int")
-    root = {k: k for k in range(300)}
+    root = {k: k for k in range(80)}
     for a, b in edges + more:
         x, y = root[a], root[b]
         root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
@@ -322,7 +322,7 @@ def test_near_duplicate_cases(spark, odd, none):
         rows.setdefault(r.doc_id, []).append(r)
     assert rows[1][0].component_id == 1 and rows[1][0].kept and rows[8][0].n_shingles == 0 and rows[8][0].kept
     assert len(rows[7]) == 2 and rows[None][0].kept and rows[None][0].component_id is None and not rows[7][0].kept
-    assert neardup.near_duplicates(none).count() == 0
+    assert neardup.keep_first(none).count() == 0
     kept = neardup.keep_first(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {None, 1, 2, 3, 8, 9}
 

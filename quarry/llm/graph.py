@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over (a, b), a > b: every node points its larger (or smaller) neighbours to the least of its neighbourhood."""
+#: Least neighbours of up to this many edges are broadcast (two rows an edge, some 50 bytes each).
+BROADCAST_EDGES = 100_000
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """One step over (a, b), a > b: every node points its larger (or smaller) neighbours to the least of its neighbourhood.
+
+    Beyond ``few`` edges the join has an exchange on both sides, so that adaptive execution can split a node of many neighbours.
+    """
     near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         near = near.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = near.join(least, "u")
+    joined = near.join(F.broadcast(least) if few else least.repartition("u"), "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -34,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = _star(_star(now, True), False).distinct().checkpoint()
+        few = mark[0] <= BROADCAST_EDGES
+        now = _star(_star(now, True, few), False, few).distinct().checkpoint()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

@@ -299,7 +299,11 @@ def test_recall_just_over_the_threshold():
     assert seen > 1000 and lost == 0 and low == 0
 
 
-def test_components_after_more_edges(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_after_more_edges(spark, monkeypatch, few):
+    from quarry.llm import graph
+
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", few)
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(40)]
     more = [(rng.randrange(80), rng.randrange(80)) for _ in range(20)]
@@ -308,8 +312,6 @@ def test_components_after_more_edges(spark):
     for a, b in edges + more:
         x, y = root[a], root[b]
         root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    from quarry.llm import graph
-
     label = graph.extended(graph.components(frame(edges)), frame(more))
     got = {r.node: r.component for r in label.collect()}
     assert all(got[k] == root[k] for k in got) and set(got) >= {k for a, b in edges + more if a != b for k in (a, b)}

@@ -135,10 +135,11 @@ def filter_rows(docs: DataFrame, keep) -> DataFrame:
     import pyarrow as pa
 
     bound_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*columns(docs)).alias("_row"))
 
     def run(batches):
         for batch in batches:
-            found = [x or "" for x in batch.column("text").to_pylist()]
+            found = [x or "" for x in batch.column("_row").field("text").to_pylist()]
             yield batch.filter(pa.array(keep(found), pa.bool_()))
 
-    return docs.mapInArrow(lambda batches: released(run(batches)), docs.schema)
+    return plain_rows(rows.mapInArrow(lambda batches: released(run(batches)), rows.schema), docs)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontam, htmltext, license, linededup, neardup, packing, pii, quality, secretscan, substring
+from quarry.llm import common, decontam, htmltext, license, linededup, neardup, packing, pieces, pii, quality, secretscan, substring
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode(common.table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"),
+    )
+
+
 WHITE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP8_SQL = f"""
@@ -167,5 +175,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql(), "op10_near_duplicates": OP10_SQL}

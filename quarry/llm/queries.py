@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontam, htmltext, license, linededup, neardup, packing, pieces, pii, quality, secretscan, substring
+from quarry.llm import common, decontam, htmltext, license, linededup, neardup, packing, pieces, pii, quality, secretscan, substring, variants
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(common.table(spark, sf_dir, "documents"), noise=97)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encode(common.table(spark, sf_dir, "documents"))
     return rows.select(
@@ -164,6 +168,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+OP11_SQL = rf"""
+WITH RECURSIVE bits AS (
+    SELECT list(list_reduce([b] || repeat([0], 8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS crcs FROM (SELECT unnest(range(256)) AS b)
+), found AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{linededup.UPPER}', '{linededup.LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), runs AS (
+    SELECT doc_id, run, count(*) AS n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bytes FROM found GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, n, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c // 256, crcs[xor(c, b) % 256 + 1])), 4294967295) AS h FROM runs, bits
+), words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), cuts AS (
+    SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+    SELECT a.word AS a, b.word AS b, a.n AS na, b.n AS nb FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word < b.word
+    UNION
+    SELECT w.word, c.word, w.n, c.n FROM words w JOIN cuts c ON w.word = c.rest
+), near AS (
+    SELECT a AS word, b AS other, nb AS n FROM pairs UNION ALL SELECT b, a, na FROM pairs
+), best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), onward(word, root, depth) AS (
+    SELECT word, word, 0 FROM formed UNION ALL SELECT o.word, f.form, depth + 1 FROM onward o JOIN formed f ON f.word = o.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN (SELECT word, arg_max(root, depth) AS root FROM onward GROUP BY word) USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
@@ -175,6 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql(), "op10_near_duplicates": OP10_SQL}
+ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql(), "op10_near_duplicates": OP10_SQL, "op11_spelling_variants": OP11_SQL}

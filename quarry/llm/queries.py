@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontam, htmltext, license, linededup, neardup, packing, pieces, pii, quality, secretscan, substring, variants
+from quarry.llm import common, decontam, htmltext, lexical, license, linededup, neardup, packing, pieces, pii, quality, secretscan, substring, variants
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(common.table(spark, sf_dir, "documents"), noise=97)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encode(common.table(spark, sf_dir, "documents"))
     return rows.select(
@@ -197,6 +201,29 @@ WITH RECURSIVE bits AS (
 SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN (SELECT word, arg_max(root, depth) AS root FROM onward GROUP BY word) USING (word)
 """
 
+TERMS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{linededup.UPPER}', '{linededup.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+WITH terms AS (
+    SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents
+), counts AS (
+    SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL
+), lengths AS (
+    SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id
+), corpus AS (
+    SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM lengths
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, corpus GROUP BY term, nd
+), wanted AS (
+    SELECT item_id, unnest({TERMS_SQL}) AS term FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), corpus GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
@@ -209,6 +236,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_ranked_search": op12_ranked_search,
     "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql(), "op10_near_duplicates": OP10_SQL, "op11_spelling_variants": OP11_SQL}
+ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_license_scan": _license_sql(), "op10_near_duplicates": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_ranked_search": OP12_SQL}

@@ -210,7 +210,7 @@ class Pieces:
                 self._push(parts, backs, piece, range(at, at + len(piece)) if copied else [at] * len(piece), mark)
                 spaced = squeeze and piece[-1:] == b" "
         end = len(source)
-        if squeeze and parts and parts[-1].endswith(mark):
+        if squeeze:
             text = b"".join(parts)
             while text.endswith(mark):
                 text = text[: -len(mark)]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text, urls, versions
-from quarry.operators import chunking, frontier, lookup, paths, search, store, tree
+from quarry.operators import chunking, frontier, lookup, paths, prefixes, search, store, tree
 from quarry.plans import engine, services, shared
 from quarry.sources import files, manifests, pages
 from quarry.streaming import incremental
@@ -1032,6 +1032,55 @@ def library_of_address(spark, sf_dir):
     return lookup.infer_library(roots, "https://h3.com/docs/x").select("id")
 
 
+ROOTS_SQL = """
+WITH roots AS (
+    SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN regexp_extract(url, '^https?://[^/]+') WHEN 1 THEN regexp_extract(url, '^https?://[^/]+/[a-z]+/')
+        WHEN 2 THEN url[1 : length(url) * 7 // 10] ELSE url[1 : length(url) - 1] END AS root FROM supplier JOIN pages ON page_id = s_suppkey
+    UNION ALL SELECT s_suppkey, concat('gh://own', s_nationkey, '/repo', s_suppkey % 30, '@') FROM supplier
+), addresses AS (
+    SELECT url AS address FROM pages UNION SELECT concat('gh://own', s_nationkey, '/repo', s_suppkey % 30, '@main/docs/', s_name, '.md') FROM supplier
+)
+"""
+
+
+def _roots(spark, sf_dir) -> DataFrame:
+    """Sources whose roots are hosts, folders or cut addresses of the first pages."""
+    k, url = F.col("s_suppkey"), F.col("url")
+    root = F.when(k % 4 == 0, F.regexp_extract(url, "^https?://[^/]+", 0)).when(k % 4 == 1, F.regexp_extract(url, "^https?://[^/]+/[a-z]+/", 0))
+    root = root.when(k % 4 == 2, F.substr(url, F.lit(1), F.floor(F.length(url) * 7 / 10).cast("int"))).otherwise(F.substr(url, F.lit(1), F.length(url) - 1))
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "pages").select(F.col("page_id").alias("s_suppkey"), "url"), "s_suppkey", "left")
+    return rows.select(k.alias("id"), root.alias("root_url"), F.concat(F.lit("own"), F.col("s_nationkey").cast("string")).alias("owner"), F.concat(F.lit("repo"), (k % 30).cast("string")).alias("repo"), "s_name")
+
+
+@query(ROOTS_SQL + """SELECT address, first(id ORDER BY length(root) DESC, id) AS id, first(root ORDER BY length(root) DESC, id) AS root, count(*) AS n_matches
+FROM addresses JOIN roots ON starts_with(address, root) AND root <> '' GROUP BY address""")
+def libraries_of_addresses(spark, sf_dir):
+    sources = _roots(spark, sf_dir)
+    repo = F.concat(F.lit("gh://"), "owner", F.lit("/"), "repo", F.lit("@main/docs/"), "s_name", F.lit(".md"))
+    addresses = table(spark, sf_dir, "pages").select(F.col("url").alias("address")).unionByName(sources.select(repo.alias("address")))
+    return prefixes.infer_libraries(addresses, sources)
+
+
+@query("""
+WITH p AS (SELECT DISTINCT url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)) AS path FROM pages),
+s AS (SELECT s_suppkey AS scope_id, CASE WHEN s_suppkey % 3 = 0 THEN host ELSE regexp_replace(host, '^(m|www|blog)[.]', '') END AS host,
+      CASE s_suppkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['/EN', '/de/1'] WHEN 2 THEN ['/fr/', '/es'] ELSE ['/'] END AS allowed,
+      CASE s_suppkey % 2 WHEN 0 THEN [] ELSE ['/en/1', '/de/12'] END AS denied, s_suppkey % 5 < 3 AS sub FROM supplier JOIN p0 ON page_id = s_suppkey)
+SELECT url, scope_id FROM p JOIN s ON (p.host = s.host OR (sub AND ends_with(p.host, '.' || s.host)))
+    AND (len(allowed) = 0 OR len(list_filter(allowed, lambda a: starts_with(path, lower(a)))) > 0) AND len(list_filter(denied, lambda a: starts_with(path, lower(a)))) = 0
+""".replace("WITH p AS", "WITH p0 AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages), p AS"))
+def scopes_of_pages(spark, sf_dir):
+    """Every page against the crawl scope of every source; hosts as they are, or without their first label."""
+    k, pages_ = F.col("s_suppkey"), table(spark, sf_dir, "pages")
+    host = urls.host(F.col("url"))
+    lists = lambda *cases: F.expr(by_case("s_suppkey", [f"array({', '.join(repr(p) for p in c)})" if c else "cast(array() as array<string>)" for c in cases]))
+    scopes = table(spark, sf_dir, "supplier").join(pages_.select(F.col("page_id").alias("s_suppkey"), "url"), "s_suppkey").select(
+        k.alias("scope_id"), F.when(k % 3 == 0, host).otherwise(F.regexp_replace(host, r"^(m|www|blog)\.", "")).alias("host"),
+        lists([], ["/EN", "/de/1"], ["/fr/", "/es"], ["/"]).alias("allowed"), lists([], ["/en/1", "/de/12"]).alias("denied"), (k % 5 < 3).alias("subdomains"),
+    )
+    return prefixes.in_scopes(pages_, scopes)
+
+
 @query("SELECT DISTINCT concat(o_orderkey % 4, '.x') AS label FROM orders")
 def version_listing(spark, sf_dir):
     return services.available_labels(_libraries(spark, sf_dir)[1])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import chunking, lookup, search, store
+from quarry.operators import chunking, lookup, prefixes, search, store
 from quarry.plans import services
 from quarry.plans.shared import shared_folder
 from quarry.sources import manifests, pages
@@ -285,6 +285,10 @@ class Engine:
         found = lookup.by_id(documents, blobs, key) if isinstance(key, int) else lookup.by_path_or_uri(documents, blobs, key, version)
         return lookup.sliced(found, slice_)
 
+    def locate(self, addresses: DataFrame, address: str = "address") -> DataFrame:
+        """(address, root, id, n_matches): the source that each of many addresses lies in."""
+        return prefixes.infer_libraries(addresses, self.table("sources"), address)
+
     def status(self) -> DataFrame:
         return store.store_counts(self.table("documents"), self.table("chunks"), self.table("vectors"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text, urls, versions
-from quarry.operators import chunking, frontier, lookup, paths, prefixes, search, store, tree
+from quarry.operators import chunking, containment, frontier, lookup, paths, prefixes, search, store, tree
 from quarry.plans import engine, services, shared
 from quarry.sources import files, manifests, pages
 from quarry.streaming import incremental
@@ -1081,6 +1081,28 @@ def scopes_of_pages(spark, sf_dir):
     return prefixes.in_scopes(pages_, scopes)
 
 
+@query("""
+WITH ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+one AS (SELECT doc_id, unnest(l) AS line, unnest(l[2:] || ['']) AS after, unnest(range(1, len(l) + 1)) AS k, len(l) AS n FROM ls),
+c AS (SELECT doc_id, 0 AS position, 1 AS a, len(l) AS z, array_to_string(l, chr(10)) AS code FROM ls
+    UNION ALL SELECT doc_id, 2 * k, k, k, CASE WHEN (doc_id + k) % 3 = 0 THEN line || '!' ELSE line END FROM one
+    UNION ALL SELECT doc_id, 2 * k + 1, k, least(k + 1, n), line || chr(10) || after FROM one)
+SELECT DISTINCT c.doc_id AS document_id, c.position FROM c JOIN c o ON o.doc_id = c.doc_id AND o.position <> c.position AND o.a <= c.a AND o.z >= c.z AND contains(o.code, c.code)
+WHERE length(c.code) < 200 AND c.code <> ''
+""")
+def nested_chunks(spark, sf_dir):
+    """Chunks of each text: the whole, its lines (some of them changed), and its pairs of lines."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.split("text", "\n", -1).alias("l"))
+    chunk = lambda p, a, z, code: F.struct(p.cast("int").alias("position"), a.cast("int").alias("line_start"), z.cast("int").alias("line_end"), code.alias("code"))
+    n = F.size("l")
+    line = lambda k: F.get("l", k - 1)
+    own = F.transform(F.sequence(F.lit(1), n), lambda k: chunk(2 * k, k, k, F.when((F.col("document_id") + k) % 3 == 0, F.concat(line(k), F.lit("!"))).otherwise(line(k))))
+    pairs = F.transform(F.sequence(F.lit(1), n), lambda k: chunk(2 * k + 1, k, F.least(k + 1, n), F.concat(line(k), F.lit("\n"), F.coalesce(line(k + 1), F.lit("")))))
+    whole = F.array(chunk(F.lit(0), F.lit(1), n, F.array_join("l", "\n")))
+    rows = lines.select("document_id", F.explode(F.concat(whole, own, pairs)).alias("c")).select("document_id", "c.*")
+    return containment.nested(rows.withColumn("token_count", F.length("code")), 200)
+
+
 @query("SELECT DISTINCT concat(o_orderkey % 4, '.x') AS label FROM orders")
 def version_listing(spark, sf_dir):
     return services.available_labels(_libraries(spark, sf_dir)[1])

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import DOC_EXTENSIONS, LANGUAGES
+from quarry.operators.containment import covering
 
 #: Sizes in approximate tokens, lines and characters (fixed values).
 DOC_MAX, DOC_WANTED, DOC_MIN, DOC_OVERLAP = 600, 200, 40, 60
@@ -367,14 +368,10 @@ def without_nested(chunks: list[Chunk]) -> list[Chunk]:
     if len(chunks) < 2:
         return chunks
     codes = [code_in(c.content) for c in chunks]
-
-    def inside(k: int) -> bool:
-        c = chunks[k]
-        return c.token_count < CODE_NESTED and bool(codes[k]) and any(
-            j != k and o.line_start <= c.line_start and o.line_end >= c.line_end and codes[k] in codes[j] for j, o in enumerate(chunks)
-        )
-
-    return [c for k, c in enumerate(chunks) if not inside(k)]
+    small = [k for k, c in enumerate(chunks) if c.token_count < CODE_NESTED and codes[k]]
+    over = covering([(c.line_start, c.line_end) for c in chunks], small)
+    inside = {k for k, others in over.items() if any(codes[k] in codes[j] for j in others)}
+    return [c for k, c in enumerate(chunks) if k not in inside]
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:

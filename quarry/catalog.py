@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text, urls, versions
-from quarry.operators import chunking, containment, frontier, lookup, paths, prefixes, search, store, tree
+from quarry.operators import chunking, containment, frontier, lookup, paths, prefixes, search, store, symbols, tree
 from quarry.plans import engine, services, shared
 from quarry.sources import files, manifests, pages
 from quarry.streaming import incremental
@@ -1132,10 +1132,76 @@ def ingest_summary(spark, sf_dir):
 # Chunking, events.
 
 
-@query()
+@query("""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, lang || ' > ' || source AS crumb, lang || ' > ' || source || chr(10) || chr(10) || trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: rtrim(x, W)), chr(10)), W) AS content, len(string_split(text, chr(10))) AS n_lines
+    FROM documents WHERE trim(text, W) <> ''
+), long AS (
+    SELECT *, string_split(content, chr(10)) AS ls, list_transform(string_split(content, chr(10)), lambda x: length(x)) AS u FROM docs WHERE ceil(length(content) / 4) > 600
+), walk(doc_id, k, first, size, a, z) AS (
+    SELECT doc_id, 0, 1, -1, NULL::BIGINT, NULL::BIGINT FROM long
+    UNION ALL
+    SELECT doc_id, k, CASE WHEN cut THEN handed ELSE first END, CASE WHEN cut THEN list_sum(u[handed : k])::BIGINT + (k - handed) ELSE size END, CASE WHEN cut THEN first END, CASE WHEN cut THEN k END
+    FROM (SELECT l.doc_id, w.k + 1 AS k, w.first, w.size + u[w.k + 1] + 1 AS size, u, ceil((w.size + u[w.k + 1] + 1) / 4) >= 600 AS cut,
+                 coalesce(list_last(list_filter(range(w.first, w.k + 2), lambda j: list_sum(list_transform(u[j : w.k + 1], lambda x: greatest(1, ceil(x / 4)))) >= 60)), w.first) AS handed
+          FROM walk w JOIN long l USING (doc_id) WHERE w.k < len(u))
+), cuts AS (
+    SELECT doc_id, a, z, FALSE AS rest FROM walk WHERE a IS NOT NULL
+    UNION ALL SELECT w.doc_id, w.first, len(l.u), TRUE FROM walk w JOIN long l USING (doc_id) WHERE w.k = len(l.u)
+), pieces AS (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rest, z) AS n, c, line_start, line_end
+    FROM (SELECT doc_id, z, rest, trim(array_to_string(ls[a : z], chr(10)), W) AS c, CASE WHEN rest THEN n_lines - (z - a) ELSE a END AS line_start, CASE WHEN rest THEN n_lines ELSE z END AS line_end FROM cuts JOIN long USING (doc_id))
+    WHERE ceil(length(c) / 4) >= 40
+), fold(doc_id, n, c, line_start, line_end, done) AS (
+    SELECT doc_id, 1, c, line_start, line_end, NULL::STRUCT(c VARCHAR, a BIGINT, z BIGINT) FROM pieces WHERE n = 1
+    UNION ALL
+    SELECT f.doc_id, p.n, CASE WHEN fits THEN both_ ELSE p.c END, CASE WHEN fits THEN f.line_start ELSE p.line_start END, p.line_end, CASE WHEN NOT fits THEN {'c': f.c, 'a': f.line_start, 'z': f.line_end} END
+    FROM (SELECT *, ceil(length(f0.c) / 4) < 200 AS small FROM fold f0) f JOIN pieces p ON p.doc_id = f.doc_id AND p.n = f.n + 1,
+         LATERAL (SELECT trim(f.c || chr(10) || chr(10) || p.c, W) AS both_), LATERAL (SELECT small AND ceil(length(both_) / 4) <= 600 AS fits)
+), chunks AS (
+    SELECT doc_id, content AS c, 1 AS line_start, n_lines AS line_end FROM docs WHERE ceil(length(content) / 4) <= 600
+    UNION ALL SELECT doc_id, done.c, done.a, done.z FROM fold WHERE done IS NOT NULL
+    UNION ALL SELECT doc_id, c, line_start, line_end FROM fold QUALIFY n = max(n) OVER (PARTITION BY doc_id)
+    UNION ALL SELECT doc_id, rtrim(content[1 : 2400], W), 1, n_lines FROM long WHERE doc_id NOT IN (SELECT doc_id FROM pieces)
+)
+SELECT doc_id AS document_id, crumb AS context_path, c AS content, greatest(1, ceil(length(c) / 4))::INT AS token_count, line_start::INT AS line_start, line_end::INT AS line_end FROM chunks JOIN docs USING (doc_id)
+""".replace("W)", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"))
 def markdown_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("source").alias("title"), F.array(F.col("lang")).alias("prefix"), F.col("text").alias("content"))
-    return chunking.with_chunk_ids(chunking.chunk_documents(docs))
+    return chunking.chunk_documents(docs).select("document_id", "context_path", "content", "token_count", "line_start", "line_end")
+
+
+@query("""
+WITH chars AS (
+    SELECT doc_id, unnest(string_split(c, '')) AS c, unnest(range(length(c))) AS k FROM (SELECT doc_id, translate(text, '.,"''`/', '}{') AS c FROM documents WHERE text <> '')
+), b AS (SELECT doc_id, c, k, sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY k) AS after FROM chars WHERE c IN ('{', '}')),
+pairs AS (SELECT o.doc_id, o.k AS opened, min(c.k) AS closed, o.after AS depth FROM b o JOIN b c ON c.doc_id = o.doc_id AND c.k > o.k AND c.c = '}' AND c.after = o.after - 1 WHERE o.c = '{' GROUP BY ALL)
+SELECT doc_id AS document_id, opened::INT AS opened, closed::INT AS closed, (depth - (SELECT min(after + CASE c WHEN '}' THEN 1 ELSE 0 END) FROM b WHERE b.doc_id = pairs.doc_id AND (c = '}' OR k IN (SELECT opened FROM pairs q WHERE q.doc_id = b.doc_id))) + 1)::INT AS depth FROM pairs
+""".replace("(depth - (SELECT min(after + CASE c WHEN '}' THEN 1 ELSE 0 END) FROM b WHERE b.doc_id = pairs.doc_id AND (c = '}' OR k IN (SELECT opened FROM pairs q WHERE q.doc_id = b.doc_id))) + 1)::INT AS depth FROM pairs", "(depth - min(depth) OVER (PARTITION BY doc_id) + 1)::INT AS depth FROM pairs"))
+def code_brackets(spark, sf_dir):
+    """Pairs of brackets in texts whose commas open and whose full stops close one."""
+    code = F.translate("text", ".,\"'`/", "}{")
+    return symbols.brackets(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), code.alias("content")))
+
+
+@query("""
+WITH l AS (SELECT doc_id, doc_id % 5 AS kind, len(string_split(text, chr(10))) AS n FROM documents),
+own AS (SELECT doc_id, kind, n, unnest(range(n)) AS k FROM l)
+SELECT doc_id AS document_id, 'D' || doc_id AS symbol_name, CASE kind WHEN 0 THEN 'class_declaration' WHEN 1 THEN 'class_definition' ELSE 'class' END AS symbol_type, 0 AS line_start,
+       (CASE kind WHEN 0 THEN 4 * n + 1 WHEN 1 THEN 3 * n ELSE 4 * n + 1 END)::INT AS line_end FROM l WHERE kind < 3
+UNION ALL SELECT doc_id, 'f' || k, CASE kind WHEN 0 THEN 'method_definition' WHEN 1 THEN 'function_definition' ELSE 'method' END, (1 + k * CASE kind WHEN 1 THEN 3 ELSE 4 END)::INT,
+       (CASE kind WHEN 1 THEN 3 + 3 * k ELSE 4 + 4 * k END)::INT FROM own WHERE kind < 3
+""")
+def code_symbols(spark, sf_dir):
+    """Symbols of programs that hold the lines of a text as comments: one class of one function a line, by language."""
+    docs = table(spark, sf_dir, "documents").withColumn("kind", F.col("doc_id") % 5)
+    name, ident = F.concat(F.lit("D"), F.col("doc_id").cast("string")), lambda k: F.concat(F.lit("f"), k.cast("string"))
+    blocks = lambda make: F.array_join(F.transform(F.split("text", "\n", -1), make), "\n")
+    code = F.when(F.col("kind") == 0, F.concat(F.lit("class "), name, F.lit(" {\n"), blocks(lambda x, k: F.concat(F.lit("  "), ident(k), F.lit("(a) {\n    // "), x, F.lit("\n    return a;\n  }"))), F.lit("\n}\n")))
+    code = code.when(F.col("kind") == 1, F.concat(F.lit("class "), name, F.lit(":\n"), blocks(lambda x, k: F.concat(F.lit("    def "), ident(k), F.lit("(a):\n        # "), x, F.lit("\n        return a")))))
+    code = code.when(F.col("kind") == 2, F.concat(F.lit("class "), name, F.lit("\n"), blocks(lambda x, k: F.concat(F.lit("  def "), ident(k), F.lit("(a)\n    # "), x, F.lit("\n    a\n  end"))), F.lit("\nend\n"))).otherwise(F.col("text"))
+    language = F.element_at(F.array(*[F.lit(x) for x in ("typescript", "python", "ruby", "json", "css")]), (F.col("kind") + 1).cast("int"))
+    return symbols.symbols(docs.select(F.col("doc_id").alias("document_id"), language.alias("language"), code.alias("content"))).select("document_id", "symbol_name", "symbol_type", "line_start", "line_end")
 
 
 HEADED = "concat('# Title', chr(10), chr(10), '## ', source, chr(10), 'Hello ', doc_id, chr(10), chr(10), '## API', chr(10), 'More details')"

@@ -17,12 +17,14 @@ from quarry.operators import containment, symbols
 #: Sizes in approximate tokens and lines (fixed values).
 TARGET, OVERLAP_LINES, MOST, JOINED, NESTED = 320, 8, 1000, 800, 50
 PREVIEW = 220
+#: The characters of ``text.SPACE``.
+WHITE = " \t\n\x0b\x0c\r\u00a0\ufeff\u2028\u2029"
 PIECE = "struct<a: int, z: int>"
 
 
 def units(x: Column) -> Column:
     """Length in UTF-16 units."""
-    return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
+    return F.when(F.octet_length(x) == F.length(x), F.length(x)).otherwise((F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int"))
 
 
 def tokens_of(length: Column) -> Column:
@@ -30,11 +32,17 @@ def tokens_of(length: Column) -> Column:
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\A{text.SPACE}+|{text.SPACE}+\z", "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def right_trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, rf"{text.SPACE}+\z", "")
+    return F.rtrim(x, F.lit(WHITE))
+
+
+def preview(x: Column) -> Column:
+    """The preview of a text, of which only the beginning is read where that is long enough."""
+    head = text.squeeze(F.substring(x, 1, 4 * PREVIEW))
+    return F.when(F.length(head) > PREVIEW, F.concat(F.substring(head, 1, PREVIEW - 3), F.lit("..."))).otherwise(text.preview(x, PREVIEW))
 
 
 def sum_of(lengths: Column) -> Column:
@@ -115,7 +123,7 @@ def drafts(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("symbol_part_count", F.when(F.col("big"), F.size(parts))).select("*", F.posexplode(parts).alias("part", "code"))
     return rows.select(
         "document_id", "language", "context_path", "n", "part", "symbol_name", "symbol_type", "symbol_id", F.when(F.col("big"), F.col("part")).alias("symbol_part_index"), "symbol_part_count",
-        "line_start", "line_end", F.coalesce("symbol_name", F.substring_index("context_path", "/", -1)).alias("title"), text.preview(F.col("code"), PREVIEW).alias("preview"),
+        "line_start", "line_end", F.coalesce("symbol_name", F.substring_index("context_path", "/", -1)).alias("title"), preview(F.col("code")).alias("preview"),
         right_trimmed(F.col("code")).alias("code"),
     )
 
@@ -139,7 +147,7 @@ def joined(rows: DataFrame) -> DataFrame:
         code = trimmed(F.concat(last["code"], F.lit("\n"), after["code"]))
         fits = tokens_of(units(fenced(F.col("context_path"), code, F.col("language")))) <= JOINED
         changed = {
-            "code": code, "preview": text.preview(code, PREVIEW), "line_start": F.least(last["line_start"], after["line_start"]), "line_end": F.greatest(last["line_end"], after["line_end"]),
+            "code": code, "preview": preview(code), "line_start": F.least(last["line_start"], after["line_start"]), "line_end": F.greatest(last["line_end"], after["line_end"]),
             "symbol_part_index": F.lit(None).cast("int"), "symbol_part_count": F.lit(None).cast("int"),
         }
         both = F.struct(*[changed.get(c, last[c]).alias(c) for c in ("n", "part", *FOLDED)])

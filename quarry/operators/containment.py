@@ -9,8 +9,6 @@ code is compared in these alone. Chunks with the same lines and code are joined
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +40,3 @@ def nested(chunks: DataFrame, small: int, document: str = "document_id", positio
 def without_nested(chunks: DataFrame, small: int, document: str = "document_id", position: str = "position") -> DataFrame:
     """The chunks that are not nested."""
     return chunks.join(nested(chunks, small, document, position), [document, position], "left_anti")
-
-
-def covering(spans: list[tuple[int, int]], wanted: list[int]) -> dict[int, list[int]]:
-    """The other spans (first, last) that cover each wanted one, by number: one sweep over first lines, spans kept by their last."""
-    order = sorted(range(len(spans)), key=lambda k: spans[k][0])
-    asked, open_, out, at = sorted(wanted, key=lambda k: spans[k][0]), [], {}, 0
-    for k in asked:
-        while at < len(order) and spans[order[at]][0] <= spans[k][0]:
-            insort(open_, (spans[order[at]][1], order[at]))
-            at += 1
-        out[k] = [j for _, j in open_[bisect_left(open_, (spans[k][1], -1)) :] if j != k]
-    return out

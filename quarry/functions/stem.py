@@ -27,19 +27,23 @@ STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "
 
 
 def _consonant(word: str, k: int) -> bool:
-    c = word[k]
-    if c in VOWELS:
-        return False
-    return not (c == "y" and k > 0 and _consonant(word, k - 1))
+    """A y is a vowel after a consonant, so the letters of a run of them take turns."""
+    first = k
+    while first > 0 and word[k] == "y" == word[first - 1]:
+        first -= 1
+    if word[k] != "y":
+        return word[k] not in VOWELS
+    leads = first == 0 or word[first - 1] in VOWELS
+    return leads == ((k - first) % 2 == 0)
 
 
 def _shape(word: str) -> str:
     """Consonants as c, vowels as v, runs collapsed."""
-    out = ""
-    for k in range(len(word)):
-        s = "c" if _consonant(word, k) else "v"
-        if not out or out[-1] != s:
-            out += s
+    out, consonant = "", False
+    for c in word:
+        consonant = c not in VOWELS and not (c == "y" and consonant)
+        if not out.endswith("c" if consonant else "v"):
+            out += "c" if consonant else "v"
     return out
 
 

@@ -105,13 +105,23 @@ def sync_files(archives: DataFrame, doc_path: str | None = None, docs_only: bool
     return rows.select("path", title.alias("title"), "content", kind.alias("content_type"), "hash", reason.alias("reason"))
 
 
-def tree_hash(rows: DataFrame) -> DataFrame:
-    """(tree_hash) of a version's files: their paths and hashes by folder, then the folders' hashes, so that no row holds all paths; one row."""
-    line = F.concat_ws(" ", "path", "hash")
-    listed = lambda of: F.sha2(F.array_join(F.array_sort(F.collect_list(of)), "\n"), 256)
-    folders = rows.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).agg(listed(line).alias("own"))
-    tops = folders.groupBy(F.substring_index("folder", "/", 1).alias("top")).agg(listed(F.concat_ws(" ", "folder", "own")).alias("own"))
-    return tops.agg(listed(F.concat_ws(" ", "top", "own")).alias("tree_hash"))
+def tree_hash(rows: DataFrame, leaf_rows: int = 256) -> DataFrame:
+    """(tree_hash) of a version's files (path, hash); one row.
+
+    A hash tree over the files' digests: leaves are the digests that share their first
+    hexadecimal digits, as many as leave some ``leaf_rows`` to a leaf, and each level
+    above hashes sixteen nodes into one. So no row holds more than a leaf, however many
+    files a version or a folder has, and the same files give the same hash in any order.
+    """
+    depth, count = 0, rows.count()
+    while count > leaf_rows * 16**depth:
+        depth += 1
+    nodes = rows.select(F.sha2(F.concat_ws(" ", "path", "hash"), 256).alias("node")).withColumn("at", F.substring("node", 1, depth))
+    listed = F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\n"), 256)
+    for level in range(depth, 0, -1):
+        nodes = nodes.groupBy("at").agg(listed.alias("node"))
+        nodes = nodes.select(F.concat_ws(" ", "at", "node").alias("node"), F.substring("at", 1, level - 1).alias("at"))
+    return nodes.agg(listed.alias("tree_hash"))
 
 
 def ingest_summary(changes: DataFrame, skipped: DataFrame) -> DataFrame:

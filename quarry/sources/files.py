@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions import markdown, urls
+from quarry.operators import closure
+from quarry.plans.shared import shared_folder
 
 
 def read_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -172,15 +174,17 @@ def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
     return rows.select("url", "nested", "pos", markdown.decode_entities(F.col("raw")).alias("location"))
 
 
-def read_sitemaps(start: DataFrame, content: DataFrame, depth: int = 3) -> DataFrame:
-    """(url) of all pages that sitemaps (url) reach through indexes of at most ``depth`` levels. ``content``: (url, content)."""
-    now, out = start.select("url").distinct(), None
-    for _ in range(depth + 1):
-        found = sitemap_locations(now.join(content, "url"))
-        pages = found.filter(~F.col("nested")).select(F.col("location").alias("url"))
-        out = pages if out is None else out.unionByName(pages)
-        now = found.filter("nested").select(F.col("location").alias("url")).distinct()
-    return out.distinct()
+def read_sitemaps(start: DataFrame, content: DataFrame, depth: int | None = 3) -> DataFrame:
+    """(url) of all pages that sitemaps (url) reach through indexes of at most ``depth`` levels; None: of any. ``content``: (url, content).
+
+    Every file is read once, for its locations; which of them count is a walk over these.
+    """
+    shared_folder(content.sparkSession)
+    found = sitemap_locations(content).checkpoint()
+    links = found.filter("nested").select(F.col("url").alias("source"), F.col("location").alias("target"))
+    known = closure.reached(start.select(F.col("url").alias("node")), links, depth)
+    pages = found.filter(~F.col("nested")).join(known.select(F.col("node").alias("url")), "url", "left_semi")
+    return pages.select(F.col("location").alias("url")).distinct()
 
 
 def discovered(lists: DataFrame, root: str) -> DataFrame:

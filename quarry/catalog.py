@@ -682,7 +682,14 @@ def headless_decision(spark, sf_dir):
     return rows.select("page_id", markdown.needs_rendering(F.col("html"), F.col("body"), F.col("n")).alias("reason"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '(?s)<article><h1>([^<]*)</h1>', 1) AS head, string_split(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<p>')[2:] AS ps, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages),
+b AS (SELECT *, list_transform(ps, lambda x: replace(replace(replace(x, '<br>', ''), '</p>', ''), '<b>', '')) AS plain, list_transform(ps, lambda x: starts_with(x, '<b>')) AS bold FROM p),
+m AS (SELECT *, '# ' || trim(head) || list_reduce([''] || list_transform(range(1, len(plain) + 1), lambda k: CASE WHEN trim(plain[k]) = '' THEN '' WHEN bold[k] THEN chr(10) || chr(10) || '**' || trim(plain[k]) || '**' ELSE chr(10) || chr(10) || trim(plain[k]) END), lambda a, x: a || x) AS md FROM b),
+d AS (SELECT page_id, url, regexp_replace(trim(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')), '(?s)^(.+?)( - | [|] | · | — ).*$', '\1') AS title, replace(replace(replace(replace(replace(md, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS markdown, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, hrefs FROM m)
+SELECT page_id, url, trim(title) AS title, NULL::VARCHAR AS description, markdown, length(regexp_replace(markdown, '\s+', '', 'g')) < 400 AS is_sparse, len(list_distinct(hrefs))::INT AS n_links,
+       (SELECT list(l ORDER BY k) FROM (SELECT l, min(k) AS k FROM (SELECT unnest(list_transform(hrefs, lambda h: site || replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'))) AS l, unnest(range(len(hrefs))) AS k) GROUP BY l)) AS links FROM d
+""")
 def page_extract(spark, sf_dir):
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 

@@ -108,6 +108,12 @@ def html_links(page: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@pandas_udf(ArrayType(StringType()))
+def resolved(links: pd.Series, url: pd.Series) -> pd.Series:
+    """Absolute forms of link targets of a page, as ``absolute`` has them."""
+    return pd.Series([absolute(base, list(found)) for found, base in zip(links, url, strict=True)])
+
+
 MARKDOWN_LINK = re.compile(r"\[(?:[^\]]*)\]\(([^)\s]+)\)")
 
 

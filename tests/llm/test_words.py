@@ -247,3 +247,21 @@ def test_encoding_query(spark, data, library):
     for r in queries.op13_sentencepiece(spark, data).collect():
         ids = library.encode(texts[r.doc_id], add_eos=True)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)))
+
+
+# --- packing of hostile texts
+
+
+def test_long_white_space_is_packed(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quarry.llm import packing
+
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b <|endoftext|>", "short"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for k, text in enumerate(texts):
+        want = [*own.encode(text, add_special_tokens=False).ids, 0]
+        mine = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id == k)
+        assert mine == [(s, n, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in want[s : s + n])), len(want)) for s, n, _, _ in mine] and sum(n for _, n, _, _ in mine) == len(want)

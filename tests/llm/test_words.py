@@ -265,3 +265,24 @@ def test_long_white_space_is_packed(spark):
         want = [*own.encode(text, add_special_tokens=False).ids, 0]
         mine = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id == k)
         assert mine == [(s, n, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in want[s : s + n])), len(want)) for s, n, _, _ in mine] and sum(n for _, n, _, _ in mine) == len(want)
+
+
+# --- base spans of personal data in long runs
+
+
+def test_addresses_are_leftmost_and_linear():
+    import time
+
+    from quarry.llm import pii
+
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    number = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    random.seed(13)
+    for _ in range(4000):
+        text = "".join(random.choices("a1_.@-é +", weights=[4, 4, 1, 4, 3, 1, 1, 1, 1], k=random.randint(0, 40)))
+        assert list(pii.emails(text)) == [m.span() for m in email.finditer(text)], text
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in number.finditer(text)], text
+    start = time.monotonic()
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "@x.org", "a." * 500_000, "@" * 1_000_000, "a@" * 500_000, "1." * 500_000, "+1" * 500_000, "@" + "a" * 1_000_000):
+        pii.base_spans(text)
+    assert time.monotonic() - start < 20

@@ -11,25 +11,35 @@ from quarry.functions.text import extension
 
 MAX_BYTES = 5 * 1024 * 1024
 #: Directory parts, file names, path endings and parts, and extensions that are skipped; extensions that are taken (fixed values).
-SKIPPED_PARTS = (
-    ".git .github .gitlab .hg .svn node_modules dist build .next .svelte-kit .turbo .vercel .parcel-cache .cache __pycache__ "
-    ".pytest_cache .ruff_cache .idea .vscode .pnpm-store .yarn .husky .changeset out coverage tmp vendor storybook-static logs log obj bin"
-).split()
-SKIPPED_NAMES = (
-    "package-lock.json yarn.lock pnpm-lock.yaml bun.lockb cargo.lock worker-configuration.d.ts composer.lock poetry.lock pipfile.lock "
-    "coverage-final.json report.html .ds_store thumbs.db desktop.ini"
-).split()
-SKIPPED_ENDINGS = ".min.js .min.mjs .min.cjs .min.ts .min.tsx .min.jsx .min.css .bundle.js .bundle.css .log .bak .backup .old .orig ~".split()
+SKIPPED_PARTS = [
+    ".git", ".github", ".gitlab", ".hg", ".svn", "node_modules", "dist", "build", ".next", ".svelte-kit", ".turbo", ".vercel", ".parcel-cache", ".cache",
+    "__pycache__", ".pytest_cache", ".ruff_cache", ".idea", ".vscode", ".pnpm-store", ".yarn", ".husky", ".changeset", "out", "coverage", "tmp", "vendor", "storybook-static",
+    "logs", "log", "obj", "bin",
+]
+SKIPPED_NAMES = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "cargo.lock", "worker-configuration.d.ts", "composer.lock", "poetry.lock", "pipfile.lock", "coverage-final.json", "report.html", ".ds_store", "thumbs.db", "desktop.ini",
+]
+SKIPPED_ENDINGS = [
+    ".min.js", ".min.mjs", ".min.cjs", ".min.ts", ".min.tsx", ".min.jsx", ".min.css", ".bundle.js", ".bundle.css", ".log", ".bak", ".backup", ".old", ".orig",
+    "~",
+]
 SKIPPED_WITHIN = ["cypress/videos/", "cypress/screenshots/", "backup/", "backups/"]
-SKIPPED_EXTENSIONS = (
-    "svg xml csv tsv map png jpg jpeg gif bmp webp avif ico tif tiff heic heif pdf mp3 wav flac ogg mp4 mov mkv webm doc docx xls xlsx "
-    "ppt pptx pages numbers key psd ai sketch fig exe dll so dylib a o obj jar war ear apk ipa app dmg iso parquet feather h5 hdf5 npy "
-    "pkl orc avro sav dta rds rdata sas7bdat mat bak sqlite sqlite3 db zip gz tgz rar 7z bz2 xz tar woff woff2 ttf otf eot wasm"
-).split()
-TEXT_EXTENSIONS = (
-    "js jsx ts tsx mjs cjs md mdx txt rst adoc css scss sass less html htm vue svelte astro pug py pyi pyx rb r go rs java kt kts scala "
-    "swift php c cc cpp cxx h hh hpp cs sh bash zsh fish ps1 bat cmd make mk gradle groovy rake gemspec sql graphql gql proto lua dockerfile"
-).split()
+SKIPPED_EXTENSIONS = [
+    "svg", "xml", "csv", "tsv", "map", "png", "jpg", "jpeg", "gif", "bmp", "webp", "avif", "ico", "tif",
+    "tiff", "heic", "heif", "pdf", "mp3", "wav", "flac", "ogg", "mp4", "mov", "mkv", "webm", "doc", "docx",
+    "xls", "xlsx", "ppt", "pptx", "pages", "numbers", "key", "psd", "ai", "sketch", "fig", "exe", "dll", "so",
+    "dylib", "a", "o", "obj", "jar", "war", "ear", "apk", "ipa", "app", "dmg", "iso", "parquet", "feather",
+    "h5", "hdf5", "npy", "pkl", "orc", "avro", "sav", "dta", "rds", "rdata", "sas7bdat", "mat", "bak", "sqlite",
+    "sqlite3", "db", "zip", "gz", "tgz", "rar", "7z", "bz2", "xz", "tar", "woff", "woff2", "ttf", "otf",
+    "eot", "wasm",
+]
+TEXT_EXTENSIONS = [
+    "js", "jsx", "ts", "tsx", "mjs", "cjs", "md", "mdx", "txt", "rst", "adoc", "css", "scss", "sass",
+    "less", "html", "htm", "vue", "svelte", "astro", "pug", "py", "pyi", "pyx", "rb", "r", "go", "rs",
+    "java", "kt", "kts", "scala", "swift", "php", "c", "cc", "cpp", "cxx", "h", "hh", "hpp", "cs",
+    "sh", "bash", "zsh", "fish", "ps1", "bat", "cmd", "make", "mk", "gradle", "groovy", "rake", "gemspec", "sql",
+    "graphql", "gql", "proto", "lua", "dockerfile",
+]
 SPECIAL_NAMES = ["Dockerfile", "Makefile", "Rakefile", "Gemfile"]
 
 

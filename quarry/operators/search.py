@@ -17,7 +17,10 @@ RRF_K, FIRST_BONUS, TOP_BONUS = 60, 0.05, 0.02
 BOOSTS = {"title": 0.02, "path": 0.03, "context_path": 0.01, "preview": 0.005}
 BOOST_CAP = 0.08
 STRONG_SCORE, STRONG_GAP = 0.85, 0.15
-STOPWORDS = set("the and or for to of in on at with without from by as is are be can how what which when where why your you".split())
+STOPWORDS = {
+    "the", "and", "or", "for", "to", "of", "in", "on", "at", "with", "without", "from", "by", "as",
+    "is", "are", "be", "can", "how", "what", "which", "when", "where", "why", "your", "you",
+}
 
 
 # Queries.

@@ -18,7 +18,7 @@ SKIPPED_DIRS = ["node_modules", "vendor", ".git", ".hg", ".svn", ".idea", ".vsco
 MAX_DEPTH = 6
 
 NAME = r"([A-Za-z0-9_.-]+)"
-#: file, section (null: any), pattern with the groups name and version, default version.
+#: file, section (null: any), pattern with the groups name and version, default version. What a line must look like to count is part of the results, so the patterns are fixed values.
 LINE_RULES = [
     ("pyproject.toml", "tool.poetry.dependencies", rf'^(?!python\s*=){NAME}\s*=\s*"([^"]+)"', None),
     ("Pipfile", "packages", rf'^{NAME}\s*=\s*"([^"]+)"', None),
@@ -54,6 +54,7 @@ def _json(files: DataFrame) -> DataFrame:
 
 
 def _pom(files: DataFrame) -> DataFrame:
+    # the patterns of blocks and tags are fixed values: what counts is part of the results
     blocks = F.regexp_extract_all("content", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
     rows = files.filter(base_name(F.col("path")) == "pom.xml").select("path", F.posexplode(blocks).alias("pos", "b"))
     tag = lambda t: F.btrim(F.regexp_extract("b", rf"<{t}>\s*([^<]+)\s*</{t}>", 1), F.lit(" \t\n\r"))

@@ -891,12 +891,14 @@ def manifest_dependencies(spark, sf_dir):
 
 @query("SELECT DISTINCT url FROM pages")
 def sitemap_pages(spark, sf_dir):
-    """Every host's pages in a sitemap of its own, and an index of these."""
-    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    """Every host's pages in sitemaps of at most 10,000 (the protocol allows 50,000), an index for each 10,000 pages, and an index of these."""
+    host, block = F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.floor(F.col("page_id") / 10_000)
     entry = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    own = table(spark, sf_dir, "pages").groupBy(F.concat(F.lit("https://"), host, F.lit("/s.xml")).alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("content"))
-    listed = F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), "")
-    index = own.agg(F.lit("https://example.com/sitemap.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), listed, F.lit("</sitemapindex>")).alias("content"))
+    listed = F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("content")
+    own = table(spark, sf_dir, "pages").groupBy(block.alias("block"), F.concat(F.lit("https://"), host, F.lit("/s"), block, F.lit(".xml")).alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("content"))
+    blocks = own.groupBy(F.concat(F.lit("https://example.com/sitemap"), "block", F.lit(".xml")).alias("url")).agg(listed)
+    index = blocks.agg(F.lit("https://example.com/sitemap.xml").alias("url"), listed)
+    own = blocks.unionByName(own.drop("block"))
     return files.read_sitemaps(index.select("url"), index.unionByName(own))
 
 

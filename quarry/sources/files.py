@@ -168,9 +168,10 @@ def is_sitemap(xml: Column) -> Column:
 
 def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
     """(url, nested, pos, location) of sitemap files (url, content); nested ones are indexes of sitemaps."""
-    rows = sitemaps.filter(is_sitemap(F.col("content")))
     found = F.regexp_extract_all("content", F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
-    rows = rows.select("url", F.col("content").contains("<sitemapindex").alias("nested"), F.posexplode(found).alias("pos", "raw"))
+    # The content ends here: a column of it beside the explode would be copied into every location's row.
+    rows = sitemaps.filter(is_sitemap(F.col("content"))).select("url", F.col("content").contains("<sitemapindex").alias("nested"), found.alias("found"))
+    rows = rows.select("url", "nested", F.posexplode_outer("found").alias("pos", "raw")).filter("raw is not null")
     return rows.select("url", "nested", "pos", markdown.decode_entities(F.col("raw")).alias("location"))
 
 

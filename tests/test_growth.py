@@ -57,3 +57,11 @@ def test_scopes_of_equal_rules_are_matched_as_one(spark, matched):
     rows = prefixes.in_scopes(pages, scopes).collect()
     assert matched == [20 + 11]  # the allowed rule and the denied one
     assert len(rows) == len(set(rows)) == 9 * 50
+
+
+def test_locations_do_not_carry_the_sitemap(spark):
+    found = files.sitemap_locations(spark.createDataFrame([("u", "<urlset><loc> a </loc><loc>b</loc></urlset>")], "url string, content string"))
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = lines[next(k for k, x in enumerate(lines) if "Generate" in x) + 1]
+    assert "AS found" in below
+    assert [(r.pos, r.location) for r in found.orderBy("pos").collect()] == [(0, "a"), (1, "b")]

@@ -8,6 +8,8 @@ so that each kind occurs at every scale; the SQL says what has to come out.
 
 from __future__ import annotations
 
+import dataclasses
+import dataclasses
 import hashlib
 import uuid
 from collections.abc import Callable
@@ -99,7 +101,7 @@ def _library(spark, sf_dir, vectors: bool = False) -> engine.Library:
     chunks = document_chunks(spark, sf_dir)
     rows = chunks.join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("path"), F.lit("").alias("context_path"), F.substring("text", 1, 220).alias("preview")), "chunk_id")
     documents = docs.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 3 != 0).alias("active"), F.col("lang").alias("version_label"))
-    index = search.build_index(chunks, FIELDS, stemmed=False)
+    index = dataclasses.replace(search.build_index(chunks, FIELDS, stemmed=False), digits=6)
     embeddings = _vectors(spark, sf_dir).drop("label") if vectors else None
     probe = (lambda text: _probe(spark, sf_dir, 1)) if vectors else None
     shared.shared_folder(spark)
@@ -198,7 +200,7 @@ SELECT source, term, count(*) AS df FROM words GROUP BY ALL
 """)
 def term_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return search.term_statistics(search.build_index(docs, {"content": 1.0}, stemmed=False)).withColumnRenamed("source_id", "source")
+    return search.term_statistics(docs, "content").withColumnRenamed("source_id", "source")
 
 
 @query("""

@@ -73,3 +73,36 @@ def test_nested_chunks_shuffle_a_code_twice(spark):
         found = containment.nested(rows, 200)
         assert plan(found).count("Exchange hashpartitioning") == 2
         assert sorted(r.position for r in found.collect()) == [1, 3, 4]
+def test_rows_of_equal_rounded_bm25_rank_by_id(spark, tmp_path):
+    import duckdb
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("that hain the"), F.repeat(F.lit(" pad"), (F.lit(12) - F.col("id") % 12).cast("int"))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("engine_search_word", "keyword_search_strict"):
+        want = con.execute(catalog.ORACLES[name]).fetchall()
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(want) == sorted(got)
+
+
+def test_term_statistics_shuffle_terms_alone(spark):
+    docs = spark.createDataFrame([("s", 1, "a b a", "a"), ("s", 2, "a", "c"), ("t", 3, None, "")], "source_id string, chunk_id bigint, content string, title string")
+    found = search.term_statistics(docs, "content", "title")
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in found.collect()} == {("s", "a", 2), ("s", "b", 1), ("s", "c", 1)}
+
+
+def test_stems_of_a_query_are_counted_alone(spark):
+    docs = spark.createDataFrame([(1, 1, "running runs that"), (1, 2, "ran"), (1, 3, "run")], "source_id bigint, chunk_id bigint, content string")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = search.bm25(search.build_index(docs), ["runs", "that"], match_all=False)
+        assert re.search(r"BroadcastHashJoin \[word", plan(found)) and not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[word", plan(found))
+        assert sorted(r.chunk_id for r in found.collect()) == [1, 3]
+
+
+def test_a_frequent_term_is_stored_in_several_parts(spark):
+    postings = spark.range(20_000).select(F.lit(1).alias("source_id"), F.col("id").alias("chunk_id"), F.lit("the").alias("term"), F.lit(1.0).alias("tf"))
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        parts = search.by_term(postings).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 10_000

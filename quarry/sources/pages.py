@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import markdown, text, urls
 from quarry.operators import pagetree
-from quarry.plans.shared import written
+from quarry.plans.shared import bound_batches, written
 
 SPARSE = 400
 #: Kinds of elements (fixed values).
@@ -162,6 +162,7 @@ def extract_pages(pages: DataFrame, sparse: int = SPARSE) -> DataFrame:
     The density result if it is not sparse, else the root result if that is not,
     else the longer of the two. ``links`` are absolute. Equal html is read once.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("page", F.xxhash64("html"))
     read = read_trees(rows.groupBy("page").agg(F.first("html").alias("html")))
@@ -194,6 +195,7 @@ def read_pages(pages: DataFrame, sparse: int = SPARSE) -> DataFrame:
 
 def page_documents(extracted: DataFrame, root: str, min_body: int = 200, need_code: bool = True, **scope) -> DataFrame:
     """Documents of extracted pages: sanitised, gated by length and code, with path, uri and the reason of those left out."""
+    bound_batches(extracted.sparkSession)
     clean = markdown.sanitize(F.col("markdown"))
     rows = extracted.withColumn("content", clean)
     reason = F.when(~urls.in_scope(F.col("url"), root, **scope), "out of scope").when(text.body_length(F.col("content")) < min_body, "too small")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry import catalog
 from quarry.operators import containment, prefixes, search
 from quarry.sources import files
+from quarry.sources import pages as page_sources
 
 
 @contextmanager
@@ -106,3 +107,11 @@ def test_a_frequent_term_is_stored_in_several_parts(spark):
     with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
         parts = search.by_term(postings).groupBy(F.spark_partition_id().alias("part")).count().collect()
     assert len(parts) > 1 and max(r["count"] for r in parts) < 10_000
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with settings(spark, **{key.replace(".", "__"): "10000"}):
+        rows = spark.createDataFrame([(1, "https://a.org/b", "T", "text " * 80)], "page_id bigint, url string, title string, markdown string")
+        assert page_sources.page_documents(rows, "https://a.org/", need_code=False).first().path == "b.md"
+        assert int(spark.conf.get(key)) <= 1000

@@ -160,7 +160,8 @@ def extract_pages(pages: DataFrame, sparse: int = SPARSE) -> DataFrame:
     """(page_id, url, title, description, markdown, is_sparse, n_links, links) of pages (page_id, url, html).
 
     The density result if it is not sparse, else the root result if that is not,
-    else the longer of the two. ``links`` are absolute. Equal html is read once.
+    else the longer of the two; markdown of any length stays whole. ``links`` are
+    absolute. Equal html is read once.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -170,7 +171,7 @@ def extract_pages(pages: DataFrame, sparse: int = SPARSE) -> DataFrame:
     rows = rows.withColumn("links", urls.resolved("hrefs", "url"))
     size = lambda c: text.body_length(F.col(c))
     best = F.when(size("dense") >= sparse, F.col("dense")).when(size("rooted") >= sparse, F.col("rooted")).when(size("dense") >= size("rooted"), F.col("dense")).otherwise(F.col("rooted"))
-    rows = rows.withColumn("markdown", markdown.cap(markdown.post_process(best)))
+    rows = rows.withColumn("markdown", markdown.post_process(best))
     title = F.coalesce(markdown.page_title(F.col("raw_title")), text.markdown_title(F.col("markdown"), F.col("url")))
     return rows.select("page_id", "url", title.alias("title"), "description", "markdown", (text.body_length(F.col("markdown")) < sparse).alias("is_sparse"), F.size("links").alias("n_links"), "links")
 

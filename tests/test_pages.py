@@ -104,3 +104,16 @@ def test_links_are_absolute_and_pages_keep_their_rows(spark):
     html = "<title>T | Site</title><main><h1>T</h1><p>Some <a href='x?a=1&amp;b=2'>words</a> <a href=''>none</a> <a href='javascript:x'>no</a></p></main>"
     rows = pages.extract_pages(spark.createDataFrame([(1, "https://e.com/a/", html), (2, "https://e.com/b/", html), (None, None, html)], "page_id int, url string, html string")).collect()
     assert sorted((str(r.page_id), r.title, r.links[0]) for r in rows) == [("1", "T", "https://e.com/a/x?a=1&b=2"), ("2", "T", "https://e.com/b/x?a=1&b=2"), ("None", "T", "x?a=1&b=2")]
+
+
+def test_markdown_of_many_lines_stays_whole(spark):
+    html = "<main><h1>T</h1>" + "".join(f"<p>words {k}</p>" for k in range(1200)) + "</main>"
+    row = pages.extract_pages(spark.createDataFrame([(1, "https://e.com/a/", html)], "page_id int, url string, html string")).first()
+    assert row.markdown == "\n\n".join(["# T", *[f"words {k}" for k in range(1200)]])
+
+
+def test_prose_with_words_of_a_call_stays(spark):
+    prose = ["the catalog in " + "many words " * 20 + "end", "a catalog in it", "those who log in " + "read on " * 20 + "here"]
+    html = "<main><h1>T</h1><p>Sign up now</p>" + "".join(f"<p>{p}</p>" for p in prose) + "</main>"
+    row = pages.extract_pages(spark.createDataFrame([(1, "https://e.com/a/", html)], "page_id int, url string, html string")).first()
+    assert row.markdown == "\n\n".join(["# T", *prose])

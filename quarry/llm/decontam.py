@@ -2,11 +2,10 @@
 
 Texts are words (letters and digits, lower case) hashed to ``2**BUCKET_BITS``
 buckets, once, and written beside their rows. Document frequencies of buckets are
-counted over all documents in Spark. Benchmark
-items, cut into passages of at most ``PASSAGE`` words, and a bounded sample of corpus
-passages (one each of about ``sample`` documents, by a hash of id and text, and never more than
-twice as many) form a
-TF-IDF matrix A of unit rows, item rows times ``EMPHASIS``. Its leading right singular
+counted over all documents in Spark. All benchmark
+items, cut into passages of at most ``PASSAGE`` words, form a TF-IDF matrix A of unit
+rows. Nothing comes from a sample: the weights are those of all documents, the rows those
+of all items. Its right singular
 vectors come from a randomised SVD with two passes over the passages in Spark: the first
 gives the rows of A times a random matrix, whose basis Q the driver makes; the second
 sums Q'A A'Q. Both are as large as the number of passages. Words' vectors are A'U over
@@ -41,7 +40,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
@@ -53,7 +52,7 @@ from quarry.llm import common
 from quarry.llm.names import names_of
 
 BUCKET_BITS = 18
-PASSAGE, SPAN, STEP, BLOCK, EXTRA = 48, 24, 8, 256, 16
+PASSAGE, SPAN, STEP, BLOCK = 48, 24, 8, 256
 #: Blocks of one pass over the documents: a space takes some 30 MB of a worker.
 TOGETHER = 4
 MOST_ITEMS = 200_000
@@ -64,9 +63,8 @@ PER_TASK, STEP_OF_SUMS = 64, 2048
 WORDS = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 LEAST_WEIGHT = 0.05
-#: Weight of an item passage's row beside a corpus passage's: over the root of the sample's size, so that the space
-#: keeps what tells items apart whatever the corpus repeats.
-EMPHASIS = 30.0
+#: Singular values of less than this share of the greatest are those of rows that repeat one another.
+LEAST_SHARE = 1e-3
 
 
 ONES = np.ones(STEP, np.float32)
@@ -198,7 +196,7 @@ def items_of(benchmark: DataFrame) -> list[Item]:
 
 @dataclass
 class Passages:
-    """Sparse TF-IDF rows: word rows, their weights (scaled to unit length times the passage's scale), and the passage of each."""
+    """Sparse TF-IDF rows: word rows, their weights (scaled to unit length), and the passage of each."""
 
     word: np.ndarray
     value: np.ndarray
@@ -207,9 +205,9 @@ class Passages:
     n: int
 
     @classmethod
-    def of(cls, rows: list[tuple[np.ndarray, float]], row: np.ndarray, weights: np.ndarray, n_words: int) -> Passages:
-        value = [weights[w] * np.float32(scale / np.linalg.norm(weights[w])) for w, scale in rows]
-        return cls(row[np.concatenate([w for w, _ in rows])], np.concatenate(value), np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows]), n_words, len(rows))
+    def of(cls, rows: list[np.ndarray], row: np.ndarray, weights: np.ndarray, n_words: int) -> Passages:
+        value = [weights[w] / np.linalg.norm(weights[w]) for w in rows]
+        return cls(row[np.concatenate(rows)], np.concatenate(value), np.repeat(np.arange(len(rows)), [len(w) for w in rows]), n_words, len(rows))
 
     def times(self, x: np.ndarray) -> np.ndarray:
         """A x, for x of a row a word."""
@@ -367,34 +365,17 @@ class Latent:
                 return share, answer
         return None
 
-    def leaks(self, own: np.ndarray, text: str) -> list[tuple[int, float, float, float]]:
-        """(item_id, cosine, common subsequence share, answer share) of each item that a text with these buckets leaks."""
+    def leaks(self, own: np.ndarray, text: Callable[[], str]) -> list[tuple[int, float, float, float]]:
+        """(item_id, cosine, common subsequence share, answer share) of each item that a text with these buckets leaks; few texts are asked for."""
         out, words = [], None
         for number, windows in self.candidates(own):
-            words = words_of(text) if words is None else words
+            words = words_of(text()) if words is None else words
             item = self.items[number]
             if shares := self.confirmed(item, words, windows):
                 out.append((item.item_id, max(windows.values()), *shares))
         return out
 
 
-def sample_passages(tokens: DataFrame, n: int, sample: int) -> DataFrame:
-    """(words: array of buckets) of one passage from each of about ``sample`` documents, chosen by a hash; distinct, and twice as many at most."""
-    import pyarrow as pa
-
-    rate = min(1.0, sample / max(1, n))
-    chosen = tokens.filter(F.pmod(F.xxhash64("_row.doc_id", "buckets", F.lit(5)), F.lit(1_000_003)) < int(rate * 1_000_003) + 1)
-
-    def cut(batches):
-        for batch in batches:
-            found = [np.frombuffer(own.as_buffer(), np.int32) for own in batch.column("buckets")]
-            out = [own[at : at + PASSAGE].tolist() for own in found for at in (len(own) // (2 * PASSAGE) * PASSAGE,)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["words"])
-
-    rows = chosen.select("buckets").mapInArrow(cut, "words array<int>").distinct()
-    return rows.orderBy(F.xxhash64("words"), "words").limit(2 * sample)
-
-
 @lru_cache(1)
 def directions(rows: int, wide: int) -> np.ndarray:
     """The random matrix of the sketch, made where it is used."""
@@ -413,10 +394,12 @@ def spread(spark, found: Passages, compute, kinds: str) -> DataFrame:
     return spark.range(0, found.n, 1, tasks).mapInArrow(run, kinds)
 
 
-def latent_basis(spark, found: Passages, rank: int, wide: int) -> np.ndarray:
-    """U over the singular values (passages times rank) by a randomised SVD."""
+def latent_basis(spark, found: Passages) -> np.ndarray:
+    """U over the singular values (passages times rank) by a randomised SVD as wide as the passages or their words are many."""
     import pyarrow as pa
 
+    wide = min(found.n, found.n_words)
+
     def sketch(numbers):
         one = np.isin(found.passage, numbers)
         part = Passages(found.word[one], found.value[one], np.searchsorted(numbers, found.passage[one]), found.n_words, len(numbers))
@@ -441,16 +424,15 @@ def latent_basis(spark, found: Passages, rank: int, wide: int) -> np.ndarray:
         total[r.part * STEP_OF_SUMS :][: len(values)] = values
     total = total.reshape(q.shape[1], -1)
     values, rotation = np.linalg.eigh((total + total.T) / 2)
-    best = np.argsort(values)[::-1][:rank]
+    best = np.flatnonzero(values > LEAST_SHARE**2 * values.max())[::-1]
     return (q @ rotation[:, best].astype(np.float32)) / np.sqrt(np.maximum(values[best], 1e-9)).astype(np.float32)
 
 
-def latent_spaces(tokens: DataFrame, items: list[Item], sample: int = 400, least_cosine: float = 0.3, least_lcs: float = 0.6, answer_lcs: float = 0.45, least_answer: float = 0.8) -> list[Latent]:
+def latent_spaces(tokens: DataFrame, items: list[Item], least_cosine: float = 0.3, least_lcs: float = 0.6, answer_lcs: float = 0.45, least_answer: float = 0.8) -> list[Latent]:
     """One latent space for each block of benchmark passages."""
     spark = tokens.sparkSession
     df, n = document_frequencies(tokens)
     weights = weights_of(df, n)
-    corpus = [(np.array(r.words, np.int64), 1.0) for r in sample_passages(tokens, n, sample).collect() if r.words]
     blocks: list[list[tuple[int, np.ndarray]]] = []
     for k, item in enumerate(items):  # an item lies in one block
         passages = [(k, buckets_of(item.words[a : a + PASSAGE])) for a in range(0, len(item.words), PASSAGE)]
@@ -459,16 +441,15 @@ def latent_spaces(tokens: DataFrame, items: list[Item], sample: int = 400, least
         blocks[-1] += passages
     out = []
     for own in blocks:
-        rows = [*corpus, *[(q, EMPHASIS) for _, q in own]]
-        used = np.unique(np.concatenate([w for w, _ in rows]))
+        rows = [q for _, q in own]
+        used = np.unique(np.concatenate(rows))
         row = np.full(2**BUCKET_BITS, -1, np.int32)
         row[used] = np.arange(len(used))
         found = Passages.of(rows, row, weights, len(used))
-        rank = min(len(own) + EXTRA, found.n, len(used))
-        basis = latent_basis(spark, found, rank, min(rank + EXTRA, found.n, len(used)))
+        basis = latent_basis(spark, found)
         mine = sorted({k for k, _ in own})
         owner = np.searchsorted(mine, [k for k, _ in own])
-        out.append(Latent(weights, row, used, found, basis, [q for _, q in own], owner, [items[k] for k in mine], least_cosine, least_lcs, answer_lcs, least_answer))
+        out.append(Latent(weights, row, used, found, basis, rows, owner, [items[k] for k in mine], least_cosine, least_lcs, answer_lcs, least_answer))
     common.release()
     return out
 
@@ -483,7 +464,7 @@ def leaks_in(batch, spaces: list[Latent]):
     spaces = [space.kept() for space in spaces]
     for own, text in zip(batch.column("buckets"), batch.column("_row").field("text"), strict=True):
         found = np.frombuffer(own.as_buffer(), np.int32)
-        yield (leak for space in spaces for leak in space.leaks(found, text.as_py())) if len(found) else iter(())
+        yield (leak for space in spaces for leak in space.leaks(found, text.as_py)) if len(found) else iter(())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -396,6 +396,20 @@ def test_short_item_of_frequent_words_among_rare_ones(spark):
     assert got == [(100 + k, 1) for k in range(9)] + [(200, 1)]
 
 
+def test_latent_space_takes_no_sample(spark, data):
+    """The space is that of all item passages and of nothing else, so cosines do not hang on which documents were drawn."""
+    docs, items = common.table(spark, data, "documents"), decontam.items_of(common.table(spark, data, "benchmark"))
+    spaces = decontam.latent_spaces(decontam.tokenised(docs), items)
+    assert sum(s.passages.n for s in spaces) == sum(-(-len(i.words) // decontam.PASSAGE) for i in items)
+    for s in spaces:
+        units = [s.weights[q] / np.linalg.norm(s.weights[q]) for q in s.own]
+        dense = np.zeros((len(s.own), len(s.used)))
+        for k, (q, u) in enumerate(zip(s.own, units, strict=True)):
+            np.add.at(dense[k], s.row[q], u)
+        dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+        assert np.abs(s.queries @ s.queries.T - dense @ dense.T).max() < 1e-3
+
+
 # Licences.
 
 

@@ -217,7 +217,7 @@ class Engine:
             ("chunks", part): chunks.join(fresh.select("document_id"), "document_id", "left_anti").unionByName(made),
             ("lengths", part): lengths.unionByName(index.lengths.select("source_id", "chunk_id", own_gen, "n")),
             ("blobs", "all"): store.new_blobs(rows, self.table("blobs")),
-            ("postings", part): search.by_term(index.postings.select("source_id", "chunk_id", own_gen, "term", "tf")),
+            ("postings", part): search.by_term(search.row_postings(indexed_texts(made)).select("source_id", "chunk_id", own_gen, "term", "tf")),
         }
         if self._state()[1].get("vectors", {}).get(part):
             changes["vectors", part] = self.table("vectors", source_id).join(old, "chunk_id", "left_anti")

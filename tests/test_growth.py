@@ -115,3 +115,13 @@ def test_pages_reach_python_in_small_batches(spark):
         rows = spark.createDataFrame([(1, "https://a.org/b", "T", "text " * 80)], "page_id bigint, url string, title string, markdown string")
         assert page_sources.page_documents(rows, "https://a.org/", need_code=False).first().path == "b.md"
         assert int(spark.conf.get(key)) <= 1000
+
+
+def test_postings_of_rows_are_those_of_the_index_without_a_shuffle(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    chunks = docs.select((F.col("doc_id") % 3).alias("source_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.concat(F.lit("Élan running "), "source").alias("title"), F.lit(None).cast("string").alias("uri"))
+    rows = search.row_postings(chunks)
+    want = {tuple(r) for r in search.build_index(chunks).postings.select("source_id", "chunk_id", "term", "tf").collect()}
+    got = [tuple(r) for r in rows.collect()]
+    assert len(got) == len(want) > 1000 and set(got) == want
+    assert "Exchange" not in rows._jdf.queryExecution().toString()

@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions for other forms.
 
-The network (numpy only) reads overlapping windows of characters in both
-directions and scores the tags outside, begin and inside; transitions are part of
-the training loss. It is trained here on labelled spans made from templates with a
-fixed seed (``PERSONAL``): spelled-out addresses, national phone forms, spelled-out
-numbers, identity, account, passport and plate numbers, street addresses and dates of
-birth, beside prose, prices, dates, versions and hex strings as negatives. Every kind
-that is taught holds a cue (a digit, ``@``, a form of at or dot, or words of digits). The
-text around cues is read in pieces of ``CORE`` characters with ``CONTEXT`` more on both
-sides, and the joined scores of a stretch are decoded as one; a stretch grows while a
-span touches its ends, so that no length of a span is lost. Spans without a cue are
-not sought. Overlapping proposals would be resolved by the greatest total score (weighted
-interval scheduling); base spans always stay.
+The network (numpy only, gates and states squashed by softsign) reads characters in both
+directions and scores the tags outside, begin and inside; transitions are part of the
+training loss. ``fit`` trains it on labelled spans made from templates with a fixed seed
+(``PERSONAL``): spelled-out addresses, national phone forms, spelled-out numbers,
+identity, account and passport numbers, street addresses and dates of birth, among words
+of many invented writers and neutral prices, dates, versions and hex strings, and after
+each epoch on neutral windows that it mistook for spans. Its parameters are stored
+beside this file.
+
+Every character of every text is read, in pieces of ``CORE`` with ``CONTEXT`` more on both
+sides, and decoded: the scores of a whole text are joined and its best tags are those of
+one Viterbi path, so no place and no length of a span is left out. ``doubtful`` only
+saves steps where an exact bound shows that the best tag is outside. Spans that overlap
+base ones go; base spans always stay. ``reconcile`` joins the spans of several readings
+by the greatest total score (weighted interval scheduling); one path needs none.
 
 Defined cases: null or empty text has no spans; repeated rows give repeated
 results; a null doc_id stays null; other columns are ignored.
@@ -21,9 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,16 +44,15 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NUMERALS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-#: What every kind of span taught below holds: a digit, @, a form of at or dot, or five words of digits.
-CUE = re.compile(
-    rf"[0-9@]|[\[({{<]\s*(?:at|dot)\s*[\])}}>]|\bdot\b|\bat\s+[\w-]+(?:\.|\s+dot\s+)[a-z]{{2}}|\b(?:{'|'.join(NUMERALS)})(?:[\s-]+(?:{'|'.join(NUMERALS)})){{4}}",
-    re.IGNORECASE,
-)
 
 WINDOW = 64  # of training
-CORE, CONTEXT = 64, 32
+STORED = Path(__file__).with_name("pii_tagger.npz")
+CORE, CONTEXT = 512, 32  # of reading: pieces, and what is read before and after them
+LANES = 384  # pieces that are read together
+CELLS = 1 << 20  # of decoding: stretches that are decoded together, times the longest's characters
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n.,:;-_+()[]{}@/\\'\"#*=<>|%&$!?~"
 CODE = {c: k + 2 for k, c in enumerate(SYMBOLS)}  # 0: padding, 1: any other character
+CODES = np.array([CODE.get(chr(k), 1) for k in range(129)])
 HIDDEN, EMBED, TAGS = 20, 12, 3
 
 
@@ -92,7 +95,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def encode(text: str) -> np.ndarray:
-    return np.fromiter((CODE.get(c, 1) for c in text), np.int64, len(text))
+    return CODES[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
 
 
 # Labelled spans for training.
@@ -105,12 +108,14 @@ STREETS = "Baker Church Garden High King Lake Mill North Park Queen River School
 ROADS = "Street Road Avenue Lane St. Ave Drive".split()
 HOSTS = "mail post inbox webpost office uni-net example corp-mail".split()
 ENDS = "com org net edu de fr co".split()
+ACCENTS = list("äöüßéèêàçñíóáøåłжиан的")
+GAPS = (", ", ", ", ". ", ".\n", "\n", "! ", "!! ", "; ", ": ", " - ", " (", ") ", "\n\n", "? ")
 MONTHS = "January February March April May June July August September October November December".split()
 Rng = np.random.Generator
 
 
 def _letters(rng: Rng, low: int, high: int) -> str:
-    return "".join(rng.choice(list("etaoinshrdlucmfgpb"), rng.integers(low, high)))
+    return "".join("etaoinshrdlucmfgpb"[k] for k in rng.integers(0, 18, rng.integers(low, high)))
 
 
 def _digits(rng: Rng, n: int) -> str:
@@ -124,9 +129,10 @@ def _word(rng: Rng) -> str:
 
 
 def _address(rng: Rng) -> str:
-    at, dot = [("[at]", "[dot]"), ("(at)", "(dot)"), ("{at}", "{dot}"), ("at", "dot"), ("[AT]", "[DOT]")][rng.integers(5)]
+    at, dot = [("[at]", "[dot]"), ("(at)", "(dot)"), ("{at}", "{dot}"), ("at", "dot"), ("[AT]", "[DOT]"), ("_at_", "_dot_")][rng.integers(6)]
     user = f"{_word(rng)}{_digits(rng, 2) if rng.random() < 0.4 else ''}" if rng.random() < 0.5 else f"{_word(rng)}.{_word(rng)}"
-    return f"{user} {at} {rng.choice(HOSTS) if rng.random() < 0.4 else _word(rng)} {dot} {rng.choice(ENDS)}"
+    gap = "" if at == "_at_" else " "
+    return gap.join([user, at, str(rng.choice(HOSTS)) if rng.random() < 0.4 else _word(rng), dot, str(rng.choice(ENDS))])
 
 
 def _phone(rng: Rng) -> str:
@@ -145,7 +151,7 @@ PERSONAL = {
     "address": _address,
     "spaced address": lambda r: f"{_word(r)}.{_word(r)} @ {_letters(r, 3, 9)} . {r.choice(ENDS)}",
     "phone": _phone,
-    "spelled number": lambda r: " ".join(r.choice(NUMERALS, r.integers(7, 11))),
+    "spelled number": lambda r: [" ", " ", "-", "."][r.integers(4)].join(r.choice(NUMERALS, r.integers(7, 11))),
     "identity number": lambda r: f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}",
     "account": lambda r: [f"DE{_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)} {_digits(r, 4)} {_digits(r, 4)} {_digits(r, 2)}", f"FR{_digits(r, 20)}", f"GB{_digits(r, 2)} NWBK {_digits(r, 4)} {_digits(r, 4)} {_digits(r, 4)} {_digits(r, 2)}"][r.integers(3)],
     "passport": lambda r: f"passport {['no. ', 'number ', ''][r.integers(3)]}{''.join(r.choice(list('ABCEFGHKLMNPRTX'), r.integers(1, 3)))}{_digits(r, 7)}",
@@ -182,16 +188,61 @@ def _neutral(rng: Rng) -> str:
     return NEUTRAL[rng.integers(len(NEUTRAL))](rng)
 
 
+@lru_cache(1)
+def vocabulary() -> list[str]:
+    """The tokens of byte_bpe_50k that are letters only, without a space before them, in its order."""
+    import base64
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        found = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore").strip() for line in f)
+        return list(dict.fromkeys(word for word in found if word.isalpha()))
+
+
+@lru_cache(1)
+def short_tokens() -> list[str]:
+    return [word for word in vocabulary() if len(word) <= 4]
+
+
+def _writer(rng: Rng) -> Callable[[], str]:
+    """A maker of words and what parts them, with its own shares of common words, of words glued from a few tokens, of letters, of repeats and of signs."""
+    words, short, draw = vocabulary(), short_tokens(), rng.random
+    power = (1, 3, 5)[rng.integers(3)]  # early tokens are frequent ones
+    own = [short[int(len(short) * draw() ** power)] for _ in range(rng.integers(8, 40))] + [str(c) for c in rng.choice(ACCENTS, rng.integers(0, 4))]
+    few = [words[int(len(words) * draw() ** power)] for _ in range(rng.integers(4, 30))]
+    common, glued, stops, titles = draw() * 0.7, draw(), draw() * 0.3, draw() * 0.2
+    again = draw() if draw() < 0.15 else 0.02  # the chance that a word comes many times
+    signs = [str(c) * int(rng.integers(1, 4)) for c in rng.choice(list("#*$%&|<>!?-=+~/_.:;"), 3)] if draw() < 0.2 else []
+
+    def word() -> str:
+        if draw() < common:
+            out = few[int(draw() * len(few))] if draw() < 0.7 else words[int(len(words) * draw() ** power)]
+        elif draw() < glued:
+            out = "".join(own[int(draw() * len(own))] for _ in range(1 + int(draw() * 4)))
+        else:
+            out = _letters(rng, 1, 9)
+        case = draw()
+        out = out.title() if case < titles else out.upper() if case > 0.98 else out
+        if signs and draw() < 0.7:
+            out += (" " if draw() < 0.3 else "") + signs[int(draw() * len(signs))]
+        out += GAPS[int(draw() * len(GAPS))] if draw() < stops else " "
+        return out * int(2 + draw() ** 2 * 40) if draw() < again * 0.2 else out
+
+    return word
+
+
 def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of words with labelled spans and neutral figures among them; a part holds neither, as most of any text does."""
     rng = np.random.default_rng(seed)
     x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
     for k in range(n):
-        text, tags = "", []
+        text, tags, word, plain, loud = "", [], _writer(rng), rng.random() < 0.3, rng.random() < 0.04
         while len(text) < WINDOW + 24:
-            kind = rng.random()
-            part = _personal(rng) if kind < 0.25 else _neutral(rng) if kind < 0.5 else _letters(rng, 1, 9)
+            kind = 1 if plain else rng.random()
+            part = _personal(rng) if kind < 0.25 else _neutral(rng) if kind < 0.5 else word().upper() if loud else word()
             own = [1] + [2] * (len(part) - 1) if kind < 0.25 else [0] * len(part)
-            gap = " " if rng.random() < 0.9 else ", "
+            gap = "" if kind >= 0.5 else " " if rng.random() < 0.9 else ", "
             text, tags = text + part + gap, tags + own + [0] * len(gap)
         at = int(rng.integers(0, len(text) - WINDOW + 1))
         x[k], y[k] = encode(text[at : at + WINDOW]), tags[at : at + WINDOW]
@@ -201,25 +252,24 @@ def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 # The network.
 
 
-def _sigmoid(v: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-v))
+def _sign(v: np.ndarray) -> np.ndarray:
+    """Softsign; its half, from 0 to 1, opens the gates."""
+    return v / (1 + np.abs(v))
 
 
-def _lstm(e: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool):
-    """Hidden states (time, batch, HIDDEN) of inputs (time, batch, EMBED)."""
+def _lstm(e: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray):
+    """Hidden states (time, batch, HIDDEN) of inputs (time, batch, EMBED), and what their gradient needs."""
     steps, n, _ = e.shape
     h, c = np.zeros((n, HIDDEN), e.dtype), np.zeros((n, HIDDEN), e.dtype)
     out, saved = np.empty((steps, n, HIDDEN), e.dtype), []
     pre = e @ w + b
     for t in range(steps):
-        z = pre[t] + h @ u
-        s = _sigmoid(z[:, : 3 * HIDDEN])
-        i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
-        before, c = c, f * c + i * g
-        tc = np.tanh(c)
-        if keep:
-            saved.append((h, before, i, f, o, g, tc))
-        h = o * tc
+        a = _sign(pre[t] + h @ u)
+        s, g = 0.5 + 0.5 * a[:, : 3 * HIDDEN], a[:, 3 * HIDDEN :]
+        before, c = c, s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * g
+        tc = _sign(c)
+        saved.append((h, before, a, s, tc))
+        h = s[:, 2 * HIDDEN :] * tc
         out[t] = h
     return out, saved
 
@@ -230,10 +280,11 @@ def _lstm_back(d_out, e, w, u, saved):
     d_e = np.empty_like(e)
     d_h, d_c = np.zeros_like(saved[0][0]), np.zeros_like(saved[0][0])
     for t in range(steps - 1, -1, -1):
-        h, before, i, f, o, g, tc = saved[t]
+        h, before, a, s, tc = saved[t]
+        i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], a[:, 3 * HIDDEN :]
         d_h = d_h + d_out[t]
-        d_c = d_c + d_h * o * (1 - tc * tc)
-        d_z = np.concatenate([d_c * g * i * (1 - i), d_c * before * f * (1 - f), d_h * tc * o * (1 - o), d_c * i * (1 - g * g)], 1)
+        d_c = d_c + d_h * o * (1 - np.abs(tc)) ** 2
+        d_z = np.concatenate([0.5 * d_c * g, 0.5 * d_c * before, 0.5 * d_h * tc, d_c * i], 1) * (1 - np.abs(a)) ** 2
         d_w += e[t].T @ d_z
         d_u += h.T @ d_z
         d_b += d_z.sum(0)
@@ -259,20 +310,20 @@ class Tagger:
             b[HIDDEN : 2 * HIDDEN] = 1
             self.p |= {f"w{way}": r(EMBED, 4 * HIDDEN), f"u{way}": r(HIDDEN, 4 * HIDDEN), f"b{way}": b}
 
-    def _run(self, x: np.ndarray, keep: bool):
+    def _run(self, x: np.ndarray):
         p = self.p
         e = p["emb"][x.T]
-        hf, sf = _lstm(e, p["wf"], p["uf"], p["bf"], keep)
-        hb, sb = _lstm(e[::-1], p["wb"], p["ub"], p["bb"], keep)
+        hf, sf = _lstm(e, p["wf"], p["uf"], p["bf"])
+        hb, sb = _lstm(e[::-1], p["wb"], p["ub"], p["bb"])
         h = np.concatenate([hf, hb[::-1]], 2)
         return h @ p["out"] + p["bias"], (e, h, sf, sb)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self._run(x, False)[0].transpose(1, 0, 2)
+        return self._run(x)[0].transpose(1, 0, 2)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p = self.p
-        s, (e, h, sf, sb) = self._run(x, True)
+        s, (e, h, sf, sb) = self._run(x)
         steps, n, _ = s.shape
         fwd, bwd = np.empty_like(s), np.zeros_like(s)
         fwd[0] = s[0]
@@ -311,21 +362,44 @@ class Tagger:
         return tags
 
 
-@lru_cache(2)
-def train(windows: int = 5000, epochs: int = 9, batch: int = 60, seed: int = 11) -> Tagger:
-    """A tagger fitted on ``windows`` labelled windows (Adam on the CRF loss)."""
+def neutral_text(rng: Rng, size: int) -> str:
+    """At least ``size`` characters of words of one writer and some neutral figures, without anything personal."""
+    word, loud, parts, n = _writer(rng), rng.random() < 0.05, [], 0
+    while n < size + 2:
+        parts.append(f"{_neutral(rng)} " if rng.random() < 0.04 else word().upper() if loud else word())
+        n += len(parts[-1])
+    return "".join(parts).rstrip()
+
+
+def mistaken_windows(tagger: Tagger, rng: Rng, most: int, texts: int = 400, size: int = 2000) -> np.ndarray:
+    """Up to ``most`` windows of neutral texts around what the tagger takes for spans."""
+    found = [neutral_text(rng, size) for _ in range(texts)]
+    spans = [(k, *span) for k, own in enumerate(tag_texts(tagger, found)) for span in own]
+    spans = [spans[j] for j in rng.permutation(len(spans))[:most]]
+    x = np.zeros((len(spans), WINDOW), np.int64)
+    for row, (k, a, b) in enumerate(spans):
+        at = int(np.clip(rng.integers(a, b) - rng.integers(8, WINDOW - 8), 0, len(found[k]) - WINDOW))
+        x[row] = encode(found[k][at : at + WINDOW])
+    return x
+
+
+def fit(windows: int = 12000, epochs: int = 32, batch: int = 100, seed: int = 11) -> Tagger:
+    """A tagger fitted on ``windows`` labelled windows (Adam on the CRF loss) and, from the second epoch on, on neutral ones that it mistook."""
     x, y = training_windows(windows, seed)
     tagger = Tagger(seed)
     rng = np.random.default_rng(seed + 1)
     first = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     second = {k: np.zeros_like(v) for k, v in tagger.p.items()}
-    step, last = 0, epochs * (windows // batch)
-    for _ in range(epochs):
-        order = rng.permutation(windows)
-        for at in range(0, windows - batch + 1, batch):
+    step = 0
+    for epoch in range(epochs):
+        if epoch:
+            wrong = mistaken_windows(tagger, rng, windows // 6)
+            x, y = np.concatenate([x, wrong]), np.concatenate([y, np.zeros_like(wrong)])
+        order = rng.permutation(len(x))
+        for at in range(0, len(x) - batch + 1, batch):
             step += 1
             _, grads = tagger.step(x[order[at : at + batch]], y[order[at : at + batch]])
-            rate = 0.015 * min(1, 1.2 * (1 - step / (last + 1)))
+            rate = 0.01 * min(1, 1.2 * (1 - (epoch + at / len(x)) / epochs))
             for k, g in grads.items():
                 g = np.clip(g, -1, 1)
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -334,51 +408,77 @@ def train(windows: int = 5000, epochs: int = 9, batch: int = 60, seed: int = 11)
     return tagger
 
 
-def sure_margins(move: np.ndarray) -> np.ndarray:
-    """By how much the outside score must beat each other tag's, so that no transitions can pay for that tag."""
-    before = np.maximum(0, (move - move[:, :1]).max(0))
-    after = np.maximum(0, (move - move[:1]).max(1))
-    return before + after
+@lru_cache(1)
+def train() -> Tagger:
+    """The tagger of ``fit()``: its parameters as stored beside this file (some four minutes of one core), fitted anew where they are missing."""
+    if not STORED.exists():
+        return fit()
+    tagger = Tagger()
+    with np.load(STORED) as found:
+        tagger.p = {k: found[k] for k in tagger.p}
+    return tagger
+
 
+def doubtful(scores: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Whether a span over each character of a text could score as much as the outside tag; where none could, the best tag is outside.
 
-def best_tags(scores: np.ndarray, move: list[list[float]], starts: bool, ends: bool) -> list[int]:
-    """Viterbi over a stretch between outside characters, or from the start or to the end of a text."""
-    rows, back = scores.tolist(), []
-    v = rows[0] if starts else [x + m for x, m in zip(rows[0], move[0], strict=True)]
-    for row in rows[1:]:
-        came = [max(range(TAGS), key=lambda p: v[p] + move[p][t]) for t in range(TAGS)]
-        v = [v[p] + move[p][t] + row[t] for t, p in enumerate(came)]
-        back.append(came)
-    if not ends:
-        v = [x + move[t][0] for t, x in enumerate(v)]
-    tags = [max(range(TAGS), key=v.__getitem__)]
-    for came in reversed(back):
-        tags.append(came[tags[-1]])
-    return tags[::-1]
+    A span scores over the outside tag at most the sum of what its characters do, with the best step between them, and
+    the best steps in and out. Of all spans over a character the best is bounded by the least sum up to it and the
+    greatest one from it on.
+    """
+    into, out, inner = (float(m.max() - move[0, 0]) for m in (move[0, 1:], move[1:, 0], move[1:, 1:]))
+    sums = np.zeros(len(scores) + 1)
+    np.cumsum(np.maximum(scores[:, 1], scores[:, 2]) - scores[:, 0] + inner, dtype=np.float64, out=sums[1:])
+    return np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1]) > inner - into - out - 1e-2
+
+
+def best_tags(scores: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
+    """Viterbi over many stretches, each between outside characters."""
+    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(scores)
+    order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
+    done = 0
+    while done < len(order):
+        own = order[done : done + max(1, CELLS // len(scores[order[done]]))]
+        done += len(own)
+        sizes = np.array([len(scores[k]) for k in own])
+        live = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # lanes longer than each step
+        s = np.zeros((sizes[0], TAGS, len(own)), scores[own[0]].dtype)
+        for lane, k in enumerate(own):
+            s[: sizes[lane], :, lane] = scores[k]
+        v = s[0] + move[0][:, None]
+        came = np.empty(s.shape, np.int8)
+        for t in range(1, sizes[0]):
+            n = live[t]
+            a = v[:, None, :n] + move[:, :, None]
+            came[t, :, :n] = a.argmax(0)
+            v[:, :n] = a.max(0) + s[t, :, :n]
+        tag = (v + move[:, :1]).argmax(0)
+        tags = np.empty((sizes[0], len(own)), np.int8)
+        lanes = np.arange(len(own))
+        for t in range(sizes[0] - 1, -1, -1):
+            n = live[t]
+            tags[t, :n] = tag[:n]
+            if t:
+                tag[:n] = came[t, tag[:n], lanes[:n]]
+        for lane, k in enumerate(own):
+            out[k] = tags[: sizes[lane], lane]
+    return out
 
 
-def proposals(scores: np.ndarray, move: np.ndarray, starts: bool = True, ends: bool = True) -> list[tuple[int, int, float]]:
-    """Spans of a stretch, of any length, with their score over the outside tag; ``starts``, ``ends``: at those of the text.
+def decoded(scores: np.ndarray, move: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Best tags of texts that lie one after another in ``scores``, the k-th from ``bounds[k]`` to ``bounds[k + 1]``.
 
-    Characters whose outside score no transitions can outweigh part a stretch into ones that are decoded alone with
-    the same result. At an end inside a text the next tag is open.
+    What lies before and after a text is outside. Characters that are outside for sure part a text into stretches, which
+    alone have the same best tags as in the whole.
     """
-    out, n = [], len(scores)
-    open_ = np.flatnonzero((scores[:, :1] - scores[:, 1:] <= sure_margins(move)[1:]).any(1))
-    costs = move.tolist()
-    for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
-        first, last = int(run[0]), int(run[-1]) + 1
-        tags, k = best_tags(scores[first:last], costs, first == 0, last == n), 0
-        while k < len(tags):
-            j = k + 1
-            while tags[k] and j < len(tags) and tags[j] == 2:
-                j += 1
-            cut = not starts and first + k == 0  # the begin may lie before
-            if tags[k] == 1 or (tags[k] and cut):
-                own = scores[first + k : first + j]
-                out.append((first + k, first + j, float((own.max(1) - own[:, 0]).sum())))
-            k = j
-    return out
+    tags, runs = np.zeros(len(scores), np.int8), []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if a < b:
+            edges = np.flatnonzero(np.diff(doubtful(scores[a:b], move), prepend=False, append=False)) + a
+            runs += edges.reshape(-1, 2).tolist()
+    for (a, b), own in zip(runs, best_tags([scores[a:b] for a, b in runs], move), strict=True):
+        tags[a:b] = own
+    return tags
 
 
 def reconcile(found: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
@@ -407,55 +507,82 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def read_scores(tagger: Tagger, codes: list[np.ndarray], where: list[tuple[int, int]], batch: int = 512) -> dict[tuple[int, int], np.ndarray]:
-    """Scores of the ``CORE`` characters from each (text, start), read with ``CONTEXT`` more on both sides."""
-    out = {}
-    span = lambda k, at: codes[k][max(0, at - CONTEXT) : at + CORE + CONTEXT]
-    where = sorted(where, key=lambda w: (len(span(*w)), w))
-    for b in range(0, len(where), batch):
-        own = where[b : b + batch]
-        x = np.zeros((len(own), max(len(span(*w)) for w in own)), np.int64)
-        for r, w in enumerate(own):
-            piece = span(*w)
-            x[r, : len(piece)] = piece
-        got = tagger.scores(x)
-        for r, (k, at) in enumerate(own):
-            out[k, at] = got[r, min(at, CONTEXT) :][: min(CORE, len(codes[k]) - at)]
-    return out
+def parts(tagger: Tagger, way: str) -> tuple[np.ndarray, np.ndarray]:
+    """What ``sweep`` multiplies the states (twice the hidden ones) and characters (and a one) by, for gates and tags; and the characters."""
+    p = tagger.p
+    out = np.zeros((HIDDEN + EMBED + 1, TAGS), np.float32)
+    out[:HIDDEN] = (p["out"][:HIDDEN] if way == "f" else p["out"][HIDDEN:]) / 2
+    both = np.concatenate([np.concatenate([p["u" + way] / 2, p["w" + way], p["b" + way][None]]), out], 1)
+    return np.ascontiguousarray(both.T), np.ascontiguousarray(p["emb"].T)
+
+
+def sweep(x: np.ndarray, both: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Tag scores (time, TAGS, lanes) of one direction for codes (time, lanes): ``_lstm`` with a lane a column, in place."""
+    steps, n = x.shape
+    scores = np.empty((steps, TAGS, n), np.float32)
+    given = np.zeros((HIDDEN + EMBED + 1, n), np.float32)  # states doubled, the character, one
+    given[-1] = 1
+    z, size, c, own = (np.zeros((k, n), np.float32) for k in (4 * HIDDEN + TAGS, 4 * HIDDEN, HIDDEN, HIDDEN))
+    h, e, a, tags, gates = given[:HIDDEN], given[HIDDEN:-1], z[: 4 * HIDDEN], z[4 * HIDDEN :], z[: 3 * HIDDEN]
+    i, f, o, g = (a[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    for t in range(steps):
+        codes.take(x[t], 1, e, "clip")
+        np.matmul(both, given, z)
+        if t:
+            scores[t - 1] = tags
+        np.abs(a, size)
+        np.add(size, 1, size)
+        np.divide(a, size, a)
+        np.add(gates, 1, gates)  # twice the open part
+        np.multiply(c, f, c)
+        np.multiply(g, i, g)
+        np.add(c, g, c)
+        np.multiply(c, 0.5, c)
+        np.abs(c, own)
+        np.add(own, 1, own)
+        np.divide(c, own, own)
+        np.multiply(o, own, h)
+    np.matmul(both[4 * HIDDEN :], given, scores[-1])
+    return scores
+
+
+def read_scores(tagger: Tagger, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Tag scores of every character of texts that lie one after another in ``codes``.
+
+    Each text is read in equal pieces of at most ``CORE`` characters with ``CONTEXT`` more of it on both sides, some
+    ``LANES`` at a time. Every piece starts both sweeps at its own ends, so that its scores don't depend on those beside it.
+    """
+    scores = np.empty((len(codes), TAGS), np.float32)
+    forward, backward = parts(tagger, "f"), parts(tagger, "b")
+    pieces = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        size = -(-(b - a) // max(1, -(-(b - a) // CORE)))
+        pieces += [(max(a, at - CONTEXT), at, min(b, at + size), min(b, at + size + CONTEXT)) for at in range(a, b, max(1, size))]
+    pieces.sort(key=lambda p: p[3] - p[0])
+    for k in range(0, len(pieces), LANES):
+        own = pieces[k : k + LANES]
+        x = np.zeros((2, len(own), own[-1][3] - own[-1][0]), np.int64)
+        for lane, (first, _, _, last) in enumerate(own):
+            x[0, lane, : last - first] = codes[first:last]
+            x[1, lane, : last - first] = codes[first:last][::-1]
+        left, right = (np.ascontiguousarray(sweep(np.ascontiguousarray(one.T), *way).transpose(2, 0, 1)) for one, way in zip(x, (forward, backward), strict=True))
+        for lane, (first, a, b, last) in enumerate(own):
+            np.add(left[lane, a - first : b - first], right[lane, last - b : last - a][::-1], out=scores[a:b])
+    scores += tagger.p["bias"]
+    return scores
 
 
 def tag_texts(tagger: Tagger, found: list[str]) -> list[list[tuple[int, int]]]:
-    """Reconciled spans of the network for every text: stretches around cues, which grow while a span touches their ends."""
-    codes = [encode(text) for text in found]
-    cues = [[m.span() for m in CUE.finditer(text)] for text in found]
-    starts = [sorted({at for a, b in own for at in range(max(0, a - CONTEXT) // CORE * CORE, min(len(text), b + CONTEXT), CORE)}) for text, own in zip(found, cues, strict=True)]
-    raw: list[list[tuple[int, int, float]]] = [[] for _ in found]
-    known: dict[tuple[int, int], np.ndarray] = {}
-    todo = [k for k, own in enumerate(starts) if own]
-    while todo:
-        known |= read_scores(tagger, codes, [(k, at) for k in todo for at in starts[k] if (k, at) not in known])
-        again = []
-        for k in todo:
-            raw[k], more, n = [], set(), len(found[k])
-            for run in np.split(np.array(starts[k]), np.flatnonzero(np.diff(starts[k]) > CORE) + 1):
-                first, last = int(run[0]), min(n, int(run[-1]) + CORE)
-                for a, b, gain in proposals(np.concatenate([known[k, int(at)] for at in run]), tagger.p["move"], first == 0, last == n):
-                    a, b = a + first, b + first
-                    if a == first > 0:
-                        more.add(first - CORE)
-                    if b == last < n:
-                        more.add(last)
-                    if b - a >= 8 and gain > 0:
-                        raw[k].append((a, b, gain))
-            if more:
-                starts[k] = sorted({*starts[k], *more})
-                again.append(k)
-        todo = again
-    out = []
-    for own, at in zip(raw, cues, strict=True):
-        begins = [a for a, _ in at]
-        out.append(reconcile([s for s in own if (j := bisect_left(begins, s[0])) < len(at) and at[j][0] < s[1] or j and at[j - 1][1] > s[0]]))
-    return out
+    """Spans of the network for every text: each of its characters is read and decoded."""
+    bounds = np.cumsum([0, *map(len, found)])
+    tags = decoded(read_scores(tagger, np.concatenate([np.empty(0, np.int64), *map(encode, found)]), bounds), tagger.p["move"], bounds)
+    before, after = np.append(0, tags[:-1]), np.append(tags[1:], 0)
+    inner = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(tags))]
+    before[inner], after[inner - 1] = 0, 0
+    first = np.flatnonzero((tags == 1) | (tags == 2) & (before == 0))
+    last = np.flatnonzero((tags > 0) & (after != 2)) + 1
+    at = np.searchsorted(first, bounds)
+    return [list(zip((first[a:b] - start).tolist(), (last[a:b] - start).tolist(), strict=True)) for a, b, start in zip(at[:-1], at[1:], bounds[:-1], strict=True)]
 
 
 def pii_scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
@@ -466,7 +593,10 @@ def pii_scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
         out: dict[str, list] = {k: [] for k in (*[f"n_{k}" for k in KINDS], "n_spans", "base_sha256", "spans")}
         for text, more in zip(found, tag_texts(tagger, found), strict=True):
             base = base_spans(text)
-            spans = base + [(a, b, "other") for a, b in more if not any(s < b and e > a for s, e, _ in base)]
+            taken = bytearray(len(text))
+            for a, b, _ in base:
+                taken[a:b] = b"\1" * (b - a)
+            spans = base + [(a, b, "other") for a, b in more if taken.find(1, a, b) < 0]
             for kind in KINDS:
                 out[f"n_{kind}"].append(sum(s[2] == kind for s in spans))
             out["n_spans"].append(len(spans))

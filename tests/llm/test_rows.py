@@ -290,6 +290,61 @@ def test_pii_recall_by_kind():
     assert sum(bool(own) for own in pii.tag_texts(tagger, texts)) <= 6
 
 
+def test_pii_reads_every_character(spark):
+    """Addresses with neither a digit, a sign nor a word of their own, far from any, at every offset to the pieces."""
+    tagger, words = pii.train(), "some words stand here "
+    for address in ("anna.keller_at_mailbox_dot_org", "jonas-weber_at_office_dot_net"):
+        texts = [(words * 60)[:k].rsplit(" ", 1)[0] + f" {address} " + words * 20 for k in range(440, 1160, 24)]
+        assert not any(c.isdigit() or c == "@" for t in texts for c in t)
+        assert [[t[a:b] for a, b in own] for t, own in zip(texts, pii.tag_texts(tagger, texts), strict=True)] == [[address]] * len(texts)
+    row = pii.pii_scan(spark.createDataFrame([(1, texts[0])], "doc_id bigint, text string")).collect()[0]
+    at = texts[0].index(address)
+    assert row.n_spans == 1 and row.spans == f"other:{at}:{at + len(address)}"
+
+
+def test_pii_best_tags_are_those_of_the_whole_text():
+    """Decoding by stretches against one plain Viterbi path a text, and reading by pieces against reading one by one."""
+    rng, move = np.random.default_rng(6), pii.train().p["move"]
+
+    def path(s):
+        v, back = s[0] + move[0], []
+        for row in s[1:]:
+            ways = v[:, None] + move
+            back.append(ways.argmax(0))
+            v = ways.max(0) + row
+        tags = [int((v + move[:, 0]).argmax())]
+        for came in reversed(back):
+            tags.append(int(came[tags[-1]]))
+        return tags[::-1]
+
+    texts = [rng.normal((1, -1, -0.5), 2, (n, 3)).astype(np.float32) for n in rng.integers(0, 200, 120)]
+    got = pii.decoded(np.concatenate(texts), move, np.cumsum([0, *map(len, texts)]))
+    assert got.tolist() == [tag for s in texts if len(s) for tag in path(s)] and (got > 0).any()
+    found = ["", "one two\ud83d\ude00 \u00e9t\u00e9 call 219-09-9999", "x" * 700, "jane [at] mail [dot] org", ""]
+    bounds = np.cumsum([0, *map(len, found)])
+    scores = pii.read_scores(pii.train(), np.concatenate([*map(pii.encode, found)]), bounds)
+    for k, text in enumerate(found):
+        if 0 < len(text) <= pii.CORE:
+            assert np.allclose(scores[bounds[k] : bounds[k + 1]], pii.train().scores(pii.encode(text)[None])[0], atol=1e-3)
+    assert pii.tag_texts(pii.train(), found) == [pii.tag_texts(pii.train(), [t])[0] for t in found] and pii.tag_texts(pii.train(), []) == []
+
+
+def test_pii_long_spans_beside_short_ones():
+    """A stretch of 200,000 characters is decoded beside thousands of short ones in bounded memory."""
+    import time
+    import tracemalloc
+
+    long, short = "five " * 40_000, "call 219-09-9999 " * 3000
+    pii.train()
+    tracemalloc.start()
+    began = time.time()
+    first, second = pii.tag_texts(pii.train(), [long, short])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300e6 and time.time() - began < 60
+    assert max(b - a for a, b in first) > 100_000 and len(second) == 3000
+
+
 def test_reconcile_takes_the_best_total():
     found = [(0, 10, 3.0), (5, 15, 5.0), (12, 20, 3.0), (12, 20, 0.5)]
     assert pii.reconcile(found) == [(0, 10), (12, 20)] and pii.reconcile([]) == []

@@ -108,10 +108,10 @@ def limited(content: Column, start: Column, end: Column) -> Column:
     return F.when(tokens_of(units(content)) <= MOST, F.array(chunk(content, start, end))).otherwise(let(F.split(content, "\n", -1), cut))
 
 
-def markdown_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of files (document_id, path, title, prefix array, content) by leaf sections; a file without headings is one section under its title."""
+def markdown_chunks(files: DataFrame, *carried: str) -> DataFrame:
+    """Chunks of files (document_id, path, title, prefix array, content) by leaf sections, with the columns ``carried`` of their file; a file without headings is one section under its title."""
     name = trimmed(F.coalesce("title", F.lit("")))
-    files = files.select("document_id", F.when(name == "", "Document").otherwise(name).alias("name"), "prefix", "content")
+    files = files.select("document_id", F.when(name == "", "Document").otherwise(name).alias("name"), "prefix", "content", *carried)
     crumb = lambda path: text.breadcrumb(F.concat(F.col("prefix"), path))
     under = lambda path, s: F.array_join(F.filter(F.array(crumb(path), s), lambda x: x != ""), "\n\n")
     row = lambda path: lambda c: F.struct(c["content"].alias("content"), crumb(path).alias("context_path"), F.element_at(path, -1).alias("title"), c["line_start"].alias("line_start"), c["line_end"].alias("line_end"))
@@ -132,10 +132,10 @@ def markdown_chunks(files: DataFrame) -> DataFrame:
 
     cleaned = lambda lines: let(F.transform(lines, right_trimmed), lambda clean: let(trimmed(F.array_join(clean, "\n")), lambda body: of(lines, clean, body)))
     chunks = let(F.split("content", r"\r?\n", -1), cleaned)
-    rows = files.select("document_id", F.posexplode(chunks).alias("position", "c")).select("document_id", "position", "c.*")
+    rows = files.select("document_id", *carried, F.posexplode(chunks).alias("position", "c")).select("document_id", *carried, "position", "c.*")
     none = F.lit(None).cast("string")
     return rows.select(
         "document_id", "position", F.lit("doc").alias("chunk_type"), "context_path", "title", preview(F.col("content")).alias("preview"), none.alias("language"),
         none.alias("symbol_name"), none.alias("symbol_type"), none.alias("symbol_id"), none.cast("int").alias("symbol_part_index"), none.cast("int").alias("symbol_part_count"),
-        "line_start", "line_end", tokens_of(units(F.col("content"))).alias("token_count"), "content",
+        "line_start", "line_end", tokens_of(units(F.col("content"))).alias("token_count"), "content", *carried,
     )

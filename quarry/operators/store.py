@@ -18,6 +18,15 @@ def new_blobs(incoming: DataFrame, blobs: DataFrame) -> DataFrame:
     return fresh.join(blobs.select("hash"), "hash", "left_anti")
 
 
+def to_land(documents: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(KEY, hash, document_id, uri, title, fresh, holds) of the documents whose content a commit needs: ``fresh`` ones are cut into chunks, and one that ``holds`` brings a hash that the blob table lacks. No content is read."""
+    came = documents.filter(F.col("change_type") != "kept")
+    known = came.join(blobs.select("hash", F.lit(True).alias("_stored")), "hash", "left")
+    first = F.row_number().over(Window.partitionBy("hash").orderBy(*KEY)) == 1
+    rows = known.select(*KEY, "hash", "document_id", "uri", "title", F.col("change_type").isin("new", "changed").alias("fresh"), (F.col("_stored").isNull() & first).alias("holds"))
+    return rows.filter("fresh or holds")
+
+
 def insert_blobs(blobs: DataFrame, incoming: DataFrame) -> DataFrame:
     return blobs.select("hash", "content").unionByName(new_blobs(incoming, blobs))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text
 from quarry.operators import chunking, lookup, prefixes, search, store
 from quarry.plans import services
-from quarry.plans.shared import shared_folder
+from quarry.plans.shared import scratch, shared_folder, small_steps, written
 from quarry.sources import manifests, pages
 
 #: Rows a list holds, rows returned, and weights of lists (fixed values).
@@ -137,7 +137,8 @@ class Engine:
     and of two writers with the same number the second fails.
 
     The text index is stored: postings are appended, sorted by term, so that a query
-    reads the row groups of its terms; lengths are kept by source.
+    reads the pages of its terms; lengths are kept by source. Chunks are appended as
+    well: a row counts if lengths list its chunk with no later commit than its folder's.
     """
 
     TABLES = {
@@ -152,8 +153,10 @@ class Engine:
     }
     #: Tables that are not kept by source.
     WHOLE = {"blobs", "sources", "source_versions"}
-    #: Folders of postings a source may have before they are merged.
+    #: Folders of postings, and of chunks, a source may have before they are merged.
     SEGMENTS = 8
+    #: What chunks take over from their document, by its columns.
+    NAMES = {"source_id": "source_id", "doc_path": "path", "doc_uri": "uri", "doc_title": "title"}
 
     def __init__(self, spark: SparkSession, root: str, config: services.Config | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or services.Config()
@@ -169,18 +172,32 @@ class Engine:
 
     def table(self, name: str, source_id: int | None = None) -> DataFrame:
         """A table of the last commit, or its part of one source."""
-        parts = self._state()[1].get(name, {})
-        folders = [f for part, own in parts.items() for f in own if source_id is None or name in self.WHOLE or part == str(source_id)]
+        parts = {part: own for part, own in self._state()[1].get(name, {}).items() if source_id is None or name in self.WHOLE or part == str(source_id)}
+        folders = [f for own in parts.values() for f in own]
         if not folders:
             return self.spark.createDataFrame([], self.TABLES[name])
+        rows = self._read(name, *folders)
+        if name != "chunks" or all(len(own) == 1 for own in parts.values()):
+            return rows
+        live = self.table("lengths", source_id).select("source_id", "chunk_id", "gen")
+        rows = rows.withColumn("_n", F.regexp_extract("_metadata.file_path", r".*/v=(\d+)/part=", 1).cast("long"))
+        return rows.join(live.withColumnRenamed("gen", "_gen"), ["source_id", "chunk_id"]).filter("_gen <= _n").select(*rows.drop("_n").columns)
+
+    def _read(self, name: str, *folders: str) -> DataFrame:
         return self.spark.read.schema(self.TABLES[name]).parquet(*[f"{self.root}/{f}" for f in folders])
 
-    def _commit(self, changes: dict[tuple[str, str], DataFrame], added: frozenset[str] | set[str] = frozenset()) -> None:
-        """Writes the changed (table, part)s; tables ``added`` to keep their folders, others are replaced. Empty results leave no folder."""
+    def _write(self, name: str, part: str, rows: DataFrame) -> str:
+        """The folder of a part's rows for the next commit."""
+        folder = f"{name}/v={self._state()[0] + 1}/part={part}"
+        columns = self.spark.createDataFrame([], self.TABLES[name]).columns
+        rows.select(*columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _commit(self, changes: dict[tuple[str, str], DataFrame | str], added: frozenset[str] | set[str] = frozenset()) -> None:
+        """Writes the changed (table, part)s, unless they are folders already; tables ``added`` to keep their folders, others are replaced. Empty results leave no folder."""
         n, state = self._state()
         for (name, part), rows in changes.items():
-            folder = f"{name}/v={n + 1}/part={part}"
-            rows.select(*self.spark.createDataFrame([], self.TABLES[name]).columns).write.mode("overwrite").parquet(f"{self.root}/{folder}")
+            folder = rows if isinstance(rows, str) else self._write(name, part, rows)
             own = state.setdefault(name, {})
             own[part] = [*(own.get(part, []) if name in added else []), folder]
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("error").text(f"{self.root}/_commits/n={n + 1}")
@@ -196,40 +213,48 @@ class Engine:
 
         Of several rows of a path the one with the greatest ``latest`` counts.
         """
+        with small_steps(self.spark), scratch(self.spark) as folder:
+            self._ingest(incoming, source_id, version, prefix, complete, latest, folder)
+        if len(self._state()[1]["postings"][str(source_id)]) > self.SEGMENTS:
+            self.merge_postings(source_id)
+
+    def _ingest(self, incoming: DataFrame, source_id: int, version: str, prefix: list[str], complete: bool, latest: str, scratch_: str) -> None:
+        """Keys and hashes decide what is new; only then do contents move, once, and what is made of them is read from the folder of the step before."""
         gen, part = self._state()[0] + 1, str(source_id)
         rows = incoming.withColumns({"source_id": F.lit(source_id).cast("long"), "version_label": F.lit(version), "hash": F.sha2("content", 256)})
-        rows = store.keep_latest(rows, store.KEY, latest).checkpoint()
-        documents = store.upsert_documents(self.table("documents", source_id), rows).checkpoint()
-        fresh = documents.filter(F.col("change_type").isin("new", "changed")).join(rows.select(*store.KEY, "content"), store.KEY)
-        made = chunking.with_chunk_ids(chunking.chunk_documents(fresh.withColumn("prefix", F.array(*[F.lit(p) for p in prefix]))))
-        names = fresh.select("document_id", "source_id", F.col("path").alias("doc_path"), F.col("uri").alias("doc_uri"), F.col("title").alias("doc_title"))
-        made = made.join(names, "document_id").checkpoint()
-        chunks = self.table("chunks", source_id)
-        old = chunks.join(fresh.select("document_id"), "document_id", "left_semi").select("chunk_id").checkpoint()
+        names = written(store.keep_latest(rows.drop("content"), store.KEY, latest).select(*store.KEY, "uri", "title", "hash", "content_type"), "names", scratch_)
+        documents = written(store.upsert_documents(self.table("documents", source_id), names), "documents", scratch_)
+        wanted = store.to_land(documents, self.table("blobs"))
+        landed = rows.select(*store.KEY, "hash", "content").join(wanted, [*store.KEY, "hash"]).dropDuplicates([*store.KEY, "hash"])
+        landed = written(landed, "landed", scratch_)
+        code = chunking.holds_code(documents.filter(F.col("change_type").isin("new", "changed")))
+        fresh = landed.filter("fresh").withColumns({"prefix": F.array(*[F.lit(p) for p in prefix]), **{c: F.col(own) for c, own in self.NAMES.items()}})
+        folder = self._write("chunks", part, chunking.with_chunk_ids(chunking.chunk_documents(fresh, *self.NAMES, code=code)))
+        made = self._read("chunks", folder)
+        replaced = documents.filter(F.col("change_type").isin("new", "changed")).select("document_id")
+        old = self.table("chunks", source_id).join(replaced, "document_id", "left_semi").select("chunk_id")
         plain = documents.drop("change_type")
         if complete:
-            plain = store.deactivate_missing(plain, source_id, version, rows.select("path"))
-        index = search.build_index(indexed_texts(made))
+            plain = store.deactivate_missing(plain, source_id, version, names.select("path"))
         own_gen = F.lit(gen).cast("long").alias("gen")
-        lengths = self.table("lengths", source_id).join(old, "chunk_id", "left_anti")
+        lengths = search.build_index(indexed_texts(made)).lengths
+        postings = search.by_term_within(search.row_postings(indexed_texts(made)).drop("source_id"))
         changes = {
             ("documents", part): plain,
-            ("chunks", part): chunks.join(fresh.select("document_id"), "document_id", "left_anti").unionByName(made),
-            ("lengths", part): lengths.unionByName(index.lengths.select("source_id", "chunk_id", own_gen, "n")),
-            ("blobs", "all"): store.new_blobs(rows, self.table("blobs")),
-            ("postings", part): search.by_term(search.row_postings(indexed_texts(made)).select("source_id", "chunk_id", own_gen, "term", "tf")),
+            ("chunks", part): folder,
+            ("lengths", part): self.table("lengths", source_id).join(old, "chunk_id", "left_anti").unionByName(lengths.select("source_id", "chunk_id", own_gen, "n")),
+            ("blobs", "all"): landed.filter("holds"),
+            ("postings", part): postings.select(F.lit(source_id).cast("long").alias("source_id"), "chunk_id", own_gen, "term", "tf"),
         }
         if self._state()[1].get("vectors", {}).get(part):
             changes["vectors", part] = self.table("vectors", source_id).join(old, "chunk_id", "left_anti")
-        self._commit(changes, {"blobs", "postings"})
-        if len(self._state()[1]["postings"][part]) > self.SEGMENTS:
-            self.merge_postings(source_id)
+        self._commit(changes, {"blobs", "chunks", "postings"})
 
     def merge_postings(self, source_id: int) -> None:
-        """One sorted folder of a source's postings, without those of replaced rows."""
+        """One sorted folder of a source's postings, and one of its chunks, without those of replaced rows."""
         live = self.table("lengths", source_id).select("source_id", "chunk_id", "gen")
         rows = self.table("postings", source_id).join(live, ["source_id", "chunk_id", "gen"], "left_semi")
-        self._commit({("postings", str(source_id)): search.by_term(rows)})
+        self._commit({("postings", str(source_id)): search.by_term(rows), ("chunks", str(source_id)): self.table("chunks", source_id)})
 
     def embed(self, model: str, embed: Callable, source_id: int | None = None, force: bool = False, most_tokens: int = 2048, count_tokens: Callable | None = None) -> None:
         """Vectors for active chunks without one (``force``: for all of them), of one source or all.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +23,21 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """A table written to the shared folder and read back: cuts lineage with one pass, and survives lost executors."""
-    path = f"{shared_folder(rows.sparkSession)}/quarry-{uuid.uuid4().hex}/{name}"
-    rows.write.parquet(path)
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder within the shared one for tables that nothing needs afterwards; it goes with them."""
+    folder = f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """A table written to the shared folder, or a folder within it, and read back: cuts lineage with one pass, and survives lost executors."""
+    path = f"{folder or f'{shared_folder(rows.sparkSession)}/quarry-{uuid.uuid4().hex}'}/{name}"
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -33,3 +46,19 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+
+
+@contextlib.contextmanager
+def small_steps(spark: SparkSession, split: int = 32 << 20) -> Iterator[None]:
+    """While it lasts, files are read in splits of at most ``split`` bytes, so that a task's sort stays in memory, and a statement's shuffle files go when it ends."""
+    want = {"spark.sql.files.maxPartitionBytes": f"{split}b", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    was = {key: spark.conf.get(key) for key in want}
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(was["spark.sql.files.maxPartitionBytes"]) <= split:
+        del want["spark.sql.files.maxPartitionBytes"]
+    for key, value in want.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in want:
+            spark.conf.set(key, was[key])

@@ -1,6 +1,7 @@
 """Functions, operators, sources and services of the engine."""
 
 import io
+import os
 import sqlite3
 import zipfile
 
@@ -286,6 +287,38 @@ def test_stored_index_follows_the_store(spark, tmp_path):
     assert e.search("beta", "word").count() == 2 and e.search("elsewhere", "word").count() == 0
 
 
+def test_commits_append_chunks_and_leave_no_scratch(spark, tmp_path):
+    """A commit writes the chunks of what is new or changed only, readers see the live ones, and nothing stays in the shared folder."""
+    from quarry.plans.shared import shared_folder
+
+    e = plans.Engine(spark, str(tmp_path / "store"))
+    shared = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    files_ = lambda d: {(p, r) for p, _, names in os.walk(tmp_path / "store" / d) for r in names if r.endswith(".parquet")}
+    long = lambda k, word: f"## A{k}\n" + f"{word} text of a section\n" * 200 + "## B\nthe end"
+    rows = [page_row(f"d{k}.md", f"T{k}", long(k, "first")) for k in range(6)]
+    e.ingest(spark.createDataFrame(rows, COLS), 1, "1.x", ["r"])
+    whole = e.table("chunks").count()
+    rows[2] = page_row("d2.md", "T2", "## A2\nshorter than before")
+    rows += [page_row("n.md", "N", "newly here"), page_row("x.py", "X", "def f(a):\n    return a\n"), page_row("x.py", "X", "def f(a):\n    return a\n")]
+    e.ingest(spark.createDataFrame(rows[1:], COLS), 1, "1.x", ["r"])
+    assert set(os.listdir(shared)) == before
+    state = e._state()[1]
+    assert len(state["chunks"]["1"]) == 2 and e._read("chunks", state["chunks"]["1"][1]).count() == 3 and files_("chunks/v=1")
+    names = {r.path: r.document_id for r in e.table("documents").collect()}
+    live = e.table("chunks", 1)
+    assert live.columns == e._read("chunks", *state["chunks"]["1"]).columns and live.count() == whole - whole // 6 + 3 == live.select("chunk_id").distinct().count()
+    found = {(r.document_id, r.content.split("\n")[-1]) for r in live.filter(F.col("document_id") == names["d2.md"]).collect()}
+    assert found == {(names["d2.md"], "shorter than before")}
+    assert [(r.doc_path, r.doc_title, r.language) for r in live.filter("chunk_type = 'code'").collect()] == [("x.py", "X", "python")]
+    assert {r.chunk_id for r in live.collect()} == {r.chunk_id for r in e.table("lengths").collect()}
+    want = {tuple(r) for r in live.collect()}
+    e.merge_postings(1)
+    assert {tuple(r) for r in e.table("chunks").collect()} == want and len(e._state()[1]["chunks"]["1"]) == 1
+    assert e.search("newly", "word").count() == 1 and e.table("blobs").count() == 9
+    assert e.cleanup().first().documents == 1 and e.table("chunks").count() == len(want) - whole // 6
+
+
 def test_repeated_paths_and_writers(spark, tmp_path):
     from pyspark.errors import AnalysisException
 

@@ -237,7 +237,7 @@ class Engine:
         if complete:
             plain = store.deactivate_missing(plain, source_id, version, names.select("path"))
         own_gen = F.lit(gen).cast("long").alias("gen")
-        lengths = search.build_index(indexed_texts(made)).lengths
+        lengths = search.row_lengths(indexed_texts(made))
         postings = search.by_term_within(search.row_postings(indexed_texts(made)).drop("source_id"))
         changes = {
             ("documents", part): plain,

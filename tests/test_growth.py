@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import catalog
+from quarry.functions import stem
 from quarry.operators import containment, prefixes, search
 from quarry.sources import files
 from quarry.sources import pages as page_sources
@@ -125,3 +126,14 @@ def test_postings_of_rows_are_those_of_the_index_without_a_shuffle(spark, data):
     got = [tuple(r) for r in rows.collect()]
     assert len(got) == len(want) > 1000 and set(got) == want
     assert "Exchange" not in rows._jdf.queryExecution().toString()
+
+
+def test_words_in_arrow_are_those_of_columns(spark):
+    import pyarrow as pa
+
+    texts = ["", "  ", "a", "Élan_vital  x\u0301y 3½ ٣", "don't—stop\n\tNow", "東京 2020年", "i\u0307stanbul", "_", "a\x00b", "😀 ok"]
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)] + [(1, 99, None)], "source_id bigint, chunk_id bigint, content string")
+    want = {r.chunk_id: r.w for r in rows.select("chunk_id", stem.raw_tokens(F.col("content")).alias("w")).collect()}
+    assert stem.arrow_tokens(pa.array([t.lower() for t in texts])).to_pylist() == [want[k] for k in range(len(texts))]
+    assert {r.chunk_id: r.n for r in search.row_lengths(rows).collect()} == {k: len(w) for k, w in want.items()} == {r.chunk_id: r.n for r in search.build_index(rows).lengths.collect()}
+    assert {tuple(r) for r in search.row_postings(rows).collect()} == {tuple(r) for r in search.build_index(rows).postings.select("source_id", "chunk_id", "term", "tf").collect()}

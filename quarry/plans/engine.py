@@ -190,7 +190,8 @@ class Engine:
         """The folder of a part's rows for the next commit."""
         folder = f"{name}/v={self._state()[0] + 1}/part={part}"
         columns = self.spark.createDataFrame([], self.TABLES[name]).columns
-        rows.select(*columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        kind = search.STORED_AS if name == "postings" else {}
+        rows.select(*columns).write.mode("overwrite").options(compression="zstd", **kind).parquet(f"{self.root}/{folder}")
         return folder
 
     def _commit(self, changes: dict[tuple[str, str], DataFrame | str], added: frozenset[str] | set[str] = frozenset()) -> None:

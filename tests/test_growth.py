@@ -137,3 +137,13 @@ def test_words_in_arrow_are_those_of_columns(spark):
     assert stem.arrow_tokens(pa.array([t.lower() for t in texts])).to_pylist() == [want[k] for k in range(len(texts))]
     assert {r.chunk_id: r.n for r in search.row_lengths(rows).collect()} == {k: len(w) for k, w in want.items()} == {r.chunk_id: r.n for r in search.build_index(rows).lengths.collect()}
     assert {tuple(r) for r in search.row_postings(rows).collect()} == {tuple(r) for r in search.build_index(rows).postings.select("source_id", "chunk_id", "term", "tf").collect()}
+
+
+def test_ids_of_a_segment_are_stored_as_a_dictionary(spark, tmp_path):
+    from quarry.plans.engine import Engine
+
+    rows = spark.range(180_000).select(F.lit(1).alias("source_id"), F.xxhash64(F.col("id") % 18_000).alias("chunk_id"), F.lit(1).alias("gen"), F.concat(F.lit("t"), F.floor(F.col("id") / 18_000)).alias("term"), F.lit(1.0).alias("tf"))
+    e = Engine(spark, str(tmp_path / "store"))
+    folder = tmp_path / "store" / e._write("postings", "1", search.by_term_within(rows.coalesce(1)))
+    size = sum(f.stat().st_size for f in folder.glob("*.parquet"))
+    assert e._read("postings", str(folder.relative_to(tmp_path / "store"))).count() == 180_000 and size < 4 * 180_000
